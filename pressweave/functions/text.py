@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import vocab
 
@@ -74,7 +75,7 @@ def fold(c, form: str = "NFKD") -> Column:
     return F.regexp_replace(F.translate(F.lower(col(c)), src, dst), r"\p{M}", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(s: pd.Series) -> pd.Series:
     def one(x):
         if x is None:
