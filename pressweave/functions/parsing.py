@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .text import col, non_empty, squash, strip
+from .text import col, non_empty, strip
 
 ANALYSIS_SCHEMA = ("summary string, headline string, mainEvent string, storyIdentity string, "
                    "articleType string, location string, entities array<string>, topics array<string>")
@@ -119,7 +119,7 @@ def log_message(clean) -> Column:
 def log_field(clean) -> Column:
     """Struct (key, value) of a ``key: value`` line that is not a message line, or null."""
     key = F.regexp_extract(clean, r"^\s*([A-Za-z0-9_]+):\s*(.*)$", 1)
-    raw = F.regexp_replace(squash(F.regexp_extract(clean, r"^\s*([A-Za-z0-9_]+):\s*(.*)$", 2)), ",+$", "")
+    raw = F.regexp_replace(strip(F.regexp_extract(clean, r"^\s*([A-Za-z0-9_]+):\s*(.*)$", 2)), ",+$", "")
     return F.when(log_message(clean).isNull() & (key != ""),
                   F.struct(key.alias("key"), F.regexp_replace(raw, '^"(.*)"$', "$1").alias("value")))
 

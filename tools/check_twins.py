@@ -35,6 +35,9 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     queries, oracles = load_all()
     names = sys.argv[2:] or list(queries)
+    if names[0].startswith("@"):
+        mod = "pressweave.catalog." + names[0][1:]
+        names = [n for n, f in queries.items() if f.__module__ == mod]
     spark = get_session("check")
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
