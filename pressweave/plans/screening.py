@@ -22,6 +22,13 @@ def _score(rules, test) -> Column:
     return total
 
 
+def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns behind a one-row generator. A later filter on them stays above it, instead of being
+    pushed down as a copy of everything they were computed from."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_pin")
+    return df.select("*", one).select(*df.columns, "_pin.*")
+
+
 def classify_low_value(df: DataFrame, stage: str, boosts=vocab.LOW_VALUE_SOURCE_BOOSTS) -> DataFrame:
     """Add ``action, rule_id, reason, confidence, signals`` to articles with
     ``source_slug, url, title, lead, body, category``.
@@ -59,7 +66,7 @@ def classify_low_value(df: DataFrame, stage: str, boosts=vocab.LOW_VALUE_SOURCE_
                  lambda x: x.isNotNull()))
     strict, public = F.size("_strict") > 0, F.size("_public") > 0
     media = ~strict & ~public & (F.col("_score") >= 3)
-    out = t.withColumns({
+    out = pin(t, {
         "action": F.when(strict | media, "discard").otherwise("keep"),
         "rule_id": F.when(strict, "strict-low-value").when(media, "low-value-media"),
         "reason": F.when(strict, vocab.STRICT_REASON).when(media, vocab.MEDIA_REASON),
@@ -81,7 +88,7 @@ def route_low_value(df: DataFrame, stage: str, detector: str = "rules", now: Col
 
 
 def validate_articles(df: DataFrame):
-    """``(ok, rejects)``: url, title and fingerprint are required and some content must exist.
+    """``(ok, rejects)``: url and title are required (so a fingerprint exists) and so is some content.
 
     A publication date that does not parse becomes null; the reject side carries ``reject_reason``.
     """
@@ -92,7 +99,7 @@ def validate_articles(df: DataFrame):
     def missing(c):
         return non_empty(c).isNull()
 
-    why = (F.when(missing("url") | missing("title") | missing("fingerprint"), "missing-required")
+    why = (F.when(missing("url") | missing("title"), "missing-required")
            .when(missing("body") & missing("lead") & missing("category"), "no-content"))
     t = t.withColumn("reject_reason", why)
     return t.where("reject_reason is null").drop("reject_reason"), t.where("reject_reason is not null")
