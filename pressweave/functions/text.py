@@ -28,8 +28,10 @@ def strip(c) -> Column:
 
 
 def squash(c) -> Column:
-    """Collapse whitespace runs to one space and trim."""
-    return F.trim(F.regexp_replace(col(c), f"{WS}+", " "))
+    """Collapse whitespace runs to one space and trim.
+
+    A lone plain space, by far the most common run, is not matched and so costs no replacement."""
+    return F.trim(F.regexp_replace(col(c), f"{WS.replace(' ', '', 1)}{WS}*| {WS}+", " "))
 
 
 def non_empty(c) -> Column:
@@ -72,7 +74,9 @@ def fold(c, form: str = "NFKD") -> Column:
     (ligatures, Hangul) are left alone - :func:`fold_exact` covers those.
     """
     src, dst = _fold_table(form)
-    return F.regexp_replace(F.translate(F.lower(col(c)), src, dst), r"\p{M}", "")
+    low = F.lower(col(c))
+    plain = F.length(low) == F.octet_length(low)
+    return F.when(plain, low).otherwise(F.regexp_replace(F.translate(low, src, dst), r"\p{M}", ""))
 
 
 @F.pandas_udf(StringType())

@@ -40,8 +40,10 @@ def classify_low_value(df: DataFrame, stage: str, boosts=vocab.LOW_VALUE_SOURCE_
     t = t.withColumns({
         "_low": F.concat_ws(" ", "_title", "_category", "_url"),
         "_pub": F.concat_ws(" ", "_title", "_category", "_lead", F.substring("_body", 1, 500)),
-        "_media": F.concat_ws(" ", "_title", "_lead", "_body"),
         "_len": F.length("_lead") + F.length("_body")})
+    # only short pieces can be thin media; long bodies never reach that pattern
+    t = t.withColumn("_media", F.when((F.col("_len") > 0) & (F.col("_len") < 160),
+                                      F.concat_ws(" ", "_title", "_lead", "_body")).otherwise(""))
 
     def word_in(c):
         return lambda p: has_word(c, p)
@@ -49,8 +51,7 @@ def classify_low_value(df: DataFrame, stage: str, boosts=vocab.LOW_VALUE_SOURCE_
     def path_in(p):
         return F.col("_url").rlike(f"/(?:{p})(?:/|-|$)")
 
-    thin = (F.lit(stage != "candidate") & (F.col("_len") > 0) & (F.col("_len") < 160)
-            & has_word("_media", vocab.THIN_MEDIA_WORDS))
+    thin = F.lit(stage != "candidate") & has_word("_media", vocab.THIN_MEDIA_WORDS)
     base = (_score(vocab.LOW_VALUE_TITLE, word_in("_title")) + _score(vocab.LOW_VALUE_URL, path_in)
             + _score(vocab.LOW_VALUE_CATEGORY, word_in("_category")) + F.when(thin, 2).otherwise(0))
     t = t.withColumns({
