@@ -1 +1,90 @@
+"""Full-text search."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..plans import search as se
+from . import query
+
+POSTINGS = """words AS (
+  SELECT id, field, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (
+    SELECT id, 'title' AS field, list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
+    FROM news_articles UNION ALL
+    SELECT id, 'body', list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')
+    FROM news_articles)),
+idx AS (SELECT term, id AS article_id, field, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM words GROUP BY 1, 2, 3)"""
+RANK = "sum(CASE WHEN field = 'title' THEN 1.0 ELSE 0.4 END::DOUBLE * tf / (tf + 1.0))"
+
+
+def parts(spark, sf):
+    return fx.news_articles(spark, sf), fx.news_stories(spark, sf), fx.news_sources(spark, sf)
+
+
+@query("search_index", f"""
+WITH {POSTINGS} SELECT term, article_id, field, tf, positions[1] AS first_pos, positions[-1] AS last_pos FROM idx""")
+def search_index(spark, sf):
+    i = se.build_index(fx.news_articles(spark, sf))
+    return i.select("term", "article_id", "field", "tf", F.get("positions", F.lit(0)).cast("bigint").alias("first_pos"),
+                    F.element_at("positions", -1).cast("bigint").alias("last_pos"))
+
+
+@query("search_stories", f"""
+WITH {POSTINGS},
+t AS (SELECT a.story_id, count(*) AS matched_articles, max(published_at) AS latest_published_at, max(rank) AS r
+  FROM (SELECT article_id, {RANK} AS rank FROM idx WHERE term IN ('the', 'with') GROUP BY 1
+        HAVING count(DISTINCT term) = 2) h JOIN news_articles a ON a.id = h.article_id
+  WHERE story_id IS NOT NULL GROUP BY 1 ORDER BY round(r, 9) DESC, a.story_id LIMIT 50)
+SELECT t.story_id, matched_articles, t.latest_published_at, round(r, 6) AS relevance_score, s.title AS story_title,
+  s.source_count, s.article_count, i.image_url
+FROM t JOIN news_stories s ON s.id = t.story_id LEFT JOIN story_image i ON i.story_id = t.story_id""")
+def search_stories(spark, sf):
+    a, s, src = parts(spark, sf)
+    out = se.search(se.build_index(a, positions=False), a, s, src, "The with", excluded=fx.EXCLUDED_IMAGES)
+    return out.withColumn("relevance_score", F.round("relevance_score", 6))
+
+
+@query("search_fallback", """
+WITH t AS (SELECT a.story_id, count(*) AS matched_articles, max(published_at) AS latest_published_at
+  FROM news_articles a JOIN news_stories s ON s.id = a.story_id
+  WHERE contains(lower(a.title), 'he wi') OR contains(lower(s.title), 'he wi') GROUP BY 1
+  ORDER BY latest_published_at DESC NULLS LAST, a.story_id LIMIT 50)
+SELECT t.story_id, matched_articles, t.latest_published_at, 1.0::DOUBLE AS relevance_score, s.title AS story_title,
+  s.source_count, s.article_count, i.image_url
+FROM t JOIN news_stories s ON s.id = t.story_id LEFT JOIN story_image i ON i.story_id = t.story_id""")
+def search_fallback(spark, sf):
+    a, s, src = parts(spark, sf)
+    return se.search(se.build_index(a, positions=False), a, s, src, "HE wi", excluded=fx.EXCLUDED_IMAGES)
+
+
+QSQL = "list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 30)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
+
+
+@query("search_many", f"""
+WITH {POSTINGS}, q AS (SELECT item_id AS query_id, {QSQL} AS w FROM benchmark),
+qt AS (SELECT query_id, len(w) AS need, unnest(w) AS term FROM q),
+h AS (SELECT query_id, need, article_id, {RANK} AS rank, count(DISTINCT qt.term) AS n FROM idx JOIN qt ON qt.term = idx.term
+  GROUP BY 1, 2, 3),
+s AS (SELECT query_id, story_id, count(*) AS matched_articles, max(published_at) AS latest_published_at,
+  round(max(rank), 6) AS relevance_score FROM h JOIN news_articles a ON a.id = h.article_id
+  WHERE n = need AND story_id IS NOT NULL GROUP BY 1, 2)
+SELECT query_id, story_id, matched_articles, latest_published_at, relevance_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, story_id) AS place FROM s)
+WHERE place <= 50""")
+def search_many(spark, sf):
+    a = fx.news_articles(spark, sf)
+    q = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 30).alias("text"))
+    out = se.search_many(se.build_index(a, positions=False), a, q)
+    return out.drop("place").withColumn("relevance_score", F.round("relevance_score", 6))
+
+
+@query("search_index_refresh", f"""
+WITH {POSTINGS} SELECT term, article_id, field, tf FROM idx WHERE article_id % 10 <> 0
+UNION ALL SELECT term, article_id, 'title' AS field, count(*) AS tf FROM (
+  SELECT id AS article_id, unnest(list_filter(regexp_split_to_array(lower('new ' || title), '[^\\p{{L}}\\p{{N}}]+'),
+    lambda x: x <> '')) AS term FROM news_articles WHERE id % 10 = 0) GROUP BY 1, 2""")
+def search_index_refresh(spark, sf):
+    a = fx.news_articles(spark, sf)
+    changed = a.where("id % 10 = 0").select("id", F.concat(F.lit("new "), "title").alias("title"), F.lit("").alias("body"))
+    return se.refresh_index(se.build_index(a, positions=False), changed)
