@@ -92,12 +92,12 @@ def _top_k(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.67, strict: bool = True,
-             block: int = BLOCK, self_join: bool = False) -> DataFrame:
+             block: int = BLOCK, self_join: bool = False, earlier: bool = False) -> DataFrame:
     """The ``k`` most similar right rows of each left row with similarity above ``min_sim``.
 
     Both sides: ``(grp, id, vec)``; only rows of the same group are compared. With ``self_join`` a row
-    is not its own neighbour."""
-    cols = ["grp", "id", "vec"]
+    is not its own neighbour; with ``earlier`` only right rows with a smaller ``ord`` count."""
+    cols = ["grp", "id", "vec", *(["ord"] if earlier else [])]
     lt, rt = cross_grid(left.select(*cols), right.select(*cols), block)
 
     def best(_key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -108,6 +108,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.
                 ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
                 if self_join:
                     sim = np.where(ai[:, None] == bi[None, :], -np.inf, sim)
+                if earlier:
+                    sim = np.where(b["ord"].to_numpy()[None, :] < a["ord"].to_numpy()[:, None], sim, -np.inf)
                 cols_ = _top_k(sim, bi, k)
                 rows_ = np.repeat(np.arange(len(a)), cols_.shape[1])
                 cols_ = cols_.ravel()
