@@ -386,7 +386,7 @@ def density_clusters(df: DataFrame, min_cluster_size: int = 2, min_samples: int
     Returns ``(id, label)``: the smallest id of the row's cluster, or -1 for noise."""
     t = df if "hours" in df.columns else df.withColumn("hours", F.lit(None).cast("double"))
     t = t if "grp" in t.columns else t.withColumn("grp", F.lit(""))
-    t = t.select("grp", "id", "vec", F.col("hours").cast("double").alias("hours"))
+    t = cut(t.select("grp", "id", "vec", F.col("hours").cast("double").alias("hours")))
     weight = time_weight_for(t, time_weight)
     points, members = collapse(t)
     points = cut(points)

@@ -99,9 +99,11 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.
     is not its own neighbour; with ``earlier`` only right rows with a smaller ``ord`` count."""
     cols = ["grp", "id", "vec", *(["ord"] if earlier else [])]
     lt, rt = cross_grid(left.select(*cols), right.select(*cols), block)
+    rt = rt.select(*[F.col(c).alias(f"r_{c}") for c in rt.columns])  # both sides may be the same frame
 
     def best(_key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
+        r = r.rename(columns=lambda c: c[2:])
         if len(l) and len(r):
             for a, b in same_length(l, r):
                 sim = unit_rows(matrix(a["vec"])) @ unit_rows(matrix(b["vec"])).T
@@ -119,7 +121,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.
                                          "nbr": bi[cols_[keep]], "sim": s[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"grp": [], "id": [], "nbr": [], "sim": []})
 
-    found = lt.groupBy("grp", "lc", "rc").cogroup(rt.groupBy("grp", "lc", "rc")).applyInPandas(best, NEIGHBOURS)
+    found = lt.groupBy("grp", "lc", "rc").cogroup(rt.groupBy("r_grp", "r_lc", "r_rc")).applyInPandas(best, NEIGHBOURS)
     w = Window.partitionBy("grp", "id").orderBy(F.col("sim").desc(), "nbr")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
