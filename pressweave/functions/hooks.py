@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 
 
 def embed_texts(df: DataFrame, text: str = "text", fn=None, batch: int = 20, dims: int = 1024,
-                out: str = "vec", id_col: str = "id") -> DataFrame:
+                out: str = "vec", id_col: str = "id", idf: bool = True) -> DataFrame:
     """Vectors for ``(id, text)``.
 
     ``fn(list[str]) -> list[list[float]]`` is called on sub-batches of ``batch`` texts inside the tasks, so
     concurrency is the number of partitions. Without ``fn`` a deterministic hashed bag of words, weighted by
-    inverse document frequency and normalised, is used."""
+    inverse document frequency and normalised, is used; ``idf=False`` leaves the weights out, so that
+    vectors of different batches stay comparable."""
     if fn is None:
         from pyspark.ml.feature import IDF, HashingTF, Normalizer
         from pyspark.ml.functions import vector_to_array
         words = df.select(id_col, F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "").alias("_w"))
         tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dims).transform(words)
-        idf = IDF(inputCol="_tf", outputCol="_x").fit(tf).transform(tf)
-        unit = Normalizer(inputCol="_x", outputCol="_u").transform(idf)
+        weighted = IDF(inputCol="_tf", outputCol="_x").fit(tf).transform(tf) if idf else tf.withColumn("_x", F.col("_tf"))
+        unit = Normalizer(inputCol="_x", outputCol="_u").transform(weighted)
         return unit.select(id_col, vector_to_array("_u").alias(out))
 
     def run(frames):
