@@ -328,3 +328,29 @@ def merge_validation_flags(spark, sf):
     a = articles(spark, sf).where("story_id is not null").select(
         "story_id", (F.col("id") % 2).alias("part"), tx.event_role(*ROLE).alias("role"))
     return needs_validation(a, "story_id", "part")
+
+
+@query("analyzed_articles")
+def analyzed_articles(spark, sf):
+    """A stand-in analyser called inside the tasks, its answers parsed like any model's."""
+    import json
+
+    from ..functions.hooks import analyze
+
+    def model(title, lead, body):
+        return json.dumps({"summary": (lead or body or "")[:100], "headline": title, "mainEvent": title,
+                           "topics": ["sport"], "entities": (title or "").split()[:7]})
+
+    a = articles(spark, sf).select("id", "title", F.col("summary").alias("lead"), "body")
+    p = analyze(a, fn=model).select("id", ps.parse_analysis("answer").alias("p"))
+    return p.select("id", "p.status", "p.main_event", F.size("p.entities").alias("n_entities"))
+
+
+@query("analysis_table_lookup", """
+SELECT id, CASE WHEN length(coalesce(body, '')) + length(coalesce(summary, '')) >= 50 AND id % 2 = 0
+  THEN 'answer ' || id END AS answer FROM news_articles""")
+def analysis_table_lookup(spark, sf):
+    from ..functions.hooks import analyze
+    a = articles(spark, sf)
+    r = a.where("id % 2 = 0").select("id", F.concat(F.lit("answer "), F.col("id").cast("string")).alias("answer"))
+    return analyze(a.select("id", "title", F.col("summary").alias("lead"), "body"), responses=r).select("id", "answer")

@@ -258,3 +258,19 @@ def reclustered_stories(spark, sf):
     final, facts, _ = rc.recluster(articles(spark, sf), vectors(spark, sf), fx.news_sources(spark, sf),
                                    cache(spark, sf), "2024-01-25 18:00:00", seed_hours=24)
     return final.join(facts.select("cluster", "article_count", "source_count", "relevance_score"), "cluster")
+
+
+@query("judged_clusters")
+def judged_clusters(spark, sf):
+    """A stand-in judge called inside the tasks: clusters whose listing is short are coherent."""
+    def judge(listing, old_title):
+        if old_title:
+            return "1"
+        n = listing.count("\n") + 1
+        return '{"coherent": true, "title": "Short"}' if n < 3 else '{"coherent": false, "groups": [[1], [2, 3]]}'
+
+    l = hooks.cluster_listing(small_clusters(spark, sf)).withColumn(
+        "old_title", F.when(F.col("cluster") % 3 == 0, "Old title"))
+    answers = hooks.judge(l, judge)
+    v = l.join(answers, "cluster").select("cluster", ps.parse_coherence("answer", "article_ids", "old_title").alias("v"))
+    return v.select("cluster", "v.coherent", "v.title", F.size("v.groups").alias("n_groups"))

@@ -15,6 +15,16 @@ from .simjoin import BLOCK, matrix, self_grid, unit_rows
 PARTNER = "id bigint, partner bigint, sim double, tie bigint"
 
 
+def pair_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Well mixed non-negative 62-bit number of a pair."""
+    with np.errstate(over="ignore"):
+        z = lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hi.astype(np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(2)).astype(np.int64)
+
+
 def best_partner(clusters: DataFrame, threshold: float, max_size: int, block: int = BLOCK) -> DataFrame:
     """Most similar other cluster of each one, among those it may join (similarity and joint size).
 
@@ -35,7 +45,7 @@ def best_partner(clusters: DataFrame, threshold: float, max_size: int, block: in
             joint = x["size"].to_numpy()[:, None] + y["size"].to_numpy()[None, :]
             sim = np.where((sim >= threshold) & (joint <= max_size) & (xi[:, None] != yi[None, :]), sim, -np.inf)
             lo, hi = np.minimum(xi[:, None], yi[None, :]), np.maximum(xi[:, None], yi[None, :])
-            tie = ((lo * 2654435761 + hi * 40503) ^ (lo >> 7)) % 2147483647
+            tie = pair_hash(lo, hi)
             for s, t, mine, theirs in ((sim, tie, xi, yi), (sim.T, tie.T, yi, xi))[:1 if ci == cj else 2]:
                 top = s.max(axis=1)
                 pick = np.where(s == top[:, None], t, np.iinfo(np.int64).max).argmin(axis=1)

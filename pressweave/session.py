@@ -46,6 +46,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and forget its lineage (used between rounds of a loop)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to a table in the shared folder and go on from there.
+
+    Used between rounds of a loop. Unlike ``checkpoint()`` this computes the frame once, and what is
+    read back is columnar, so later steps still read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
