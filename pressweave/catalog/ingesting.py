@@ -11,6 +11,7 @@ from ..operators import keyed
 from ..plans import repair as rp
 from ..plans import screening as sc
 from ..sources import feeds, html
+from ..session import spread
 from ..sources.outlets import OUTLET_RULES
 from . import query
 from .texts import rule_sql, sq, strip_sql
@@ -54,7 +55,7 @@ def feed_candidates(spark, sf):
 # ---- pages ------------------------------------------------------------------------
 
 def pages(spark, sf):
-    p = fx.table(spark, sf, "pages")
+    p = spread(fx.table(spark, sf, "pages"))
     return p.withColumn("source", F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
 
 
@@ -112,13 +113,13 @@ def screenable(spark, sf):
     i = F.col("id")
     teaser = F.when(i % 12 == 0, "Szexi fotók a strandról: ").when(i % 12 == 1, "Kvíz: ").when(
         i % 12 == 2, "A kormány döntött: ").when(i % 12 == 3, "Horoszkóp és galéria ").otherwise("")
-    return a.select(
+    return spread(a.select(
         "id", F.when(i % 9 == 0, "ripost").otherwise(F.col("source_slug")).alias("source_slug"),
         F.when(i % 5 == 0, F.concat(F.lit("https://x.example/sztar/"), i.cast("string"))).otherwise(F.col("url"))
         .alias("url"), F.concat(teaser, "title").alias("title"),
         F.when(i % 7 == 0, "").otherwise(F.col("summary")).alias("lead"),
         F.when(i % 7 == 0, "foto").otherwise(F.col("body")).alias("body"),
-        F.when(i % 4 == 0, "Bulvár").otherwise(F.get("topics", F.lit(0))).alias("category"), "published_at")
+        F.when(i % 4 == 0, "Bulvár").otherwise(F.get("topics", F.lit(0))).alias("category"), "published_at"))
 
 
 SCREENABLE = """screenable AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'ripost' ELSE source_slug END AS source_slug,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..plans import search as se
+from ..session import spread
 from . import query
 
 POSTINGS = """words AS (
@@ -22,10 +23,14 @@ def parts(spark, sf):
     return fx.news_articles(spark, sf), fx.news_stories(spark, sf), fx.news_sources(spark, sf)
 
 
+def texts(spark, sf):
+    return spread(fx.news_articles(spark, sf).select("id", "title", "body"))
+
+
 @query("search_index", f"""
 WITH {POSTINGS} SELECT term, article_id, field, tf, positions[1] AS first_pos, positions[-1] AS last_pos FROM idx""")
 def search_index(spark, sf):
-    i = se.build_index(fx.news_articles(spark, sf))
+    i = se.build_index(texts(spark, sf))
     return i.select("term", "article_id", "field", "tf", F.get("positions", F.lit(0)).cast("bigint").alias("first_pos"),
                     F.element_at("positions", -1).cast("bigint").alias("last_pos"))
 
@@ -41,7 +46,7 @@ SELECT t.story_id, matched_articles, t.latest_published_at, round(r, 6) AS relev
 FROM t JOIN news_stories s ON s.id = t.story_id LEFT JOIN story_image i ON i.story_id = t.story_id""")
 def search_stories(spark, sf):
     a, s, src = parts(spark, sf)
-    out = se.search(se.build_index(a, positions=False), a, s, src, "The with", excluded=fx.EXCLUDED_IMAGES)
+    out = se.search(se.build_index(texts(spark, sf), positions=False), a, s, src, "The with", excluded=fx.EXCLUDED_IMAGES)
     return out.withColumn("relevance_score", F.round("relevance_score", 6))
 
 
@@ -55,7 +60,7 @@ SELECT t.story_id, matched_articles, t.latest_published_at, 1.0::DOUBLE AS relev
 FROM t JOIN news_stories s ON s.id = t.story_id LEFT JOIN story_image i ON i.story_id = t.story_id""")
 def search_fallback(spark, sf):
     a, s, src = parts(spark, sf)
-    return se.search(se.build_index(a, positions=False), a, s, src, "HE wi", excluded=fx.EXCLUDED_IMAGES)
+    return se.search(se.build_index(texts(spark, sf), positions=False), a, s, src, "HE wi", excluded=fx.EXCLUDED_IMAGES)
 
 
 QSQL = "list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 30)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
@@ -75,7 +80,7 @@ WHERE place <= 50""")
 def search_many(spark, sf):
     a = fx.news_articles(spark, sf)
     q = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 30).alias("text"))
-    out = se.search_many(se.build_index(a, positions=False), a, q)
+    out = se.search_many(se.build_index(texts(spark, sf), positions=False), a, q)
     return out.drop("place").withColumn("relevance_score", F.round("relevance_score", 6))
 
 
@@ -87,4 +92,4 @@ UNION ALL SELECT term, article_id, 'title' AS field, count(*) AS tf FROM (
 def search_index_refresh(spark, sf):
     a = fx.news_articles(spark, sf)
     changed = a.where("id % 10 = 0").select("id", F.concat(F.lit("new "), "title").alias("title"), F.lit("").alias("body"))
-    return se.refresh_index(se.build_index(a, positions=False), changed)
+    return se.refresh_index(se.build_index(texts(spark, sf), positions=False), changed)

@@ -9,6 +9,7 @@ from .. import vocab
 from ..functions import parsing as ps
 from ..functions import text as tx
 from ..plans.pairing import assign_compatible, needs_validation, pair_compatible, rescue_allowed
+from ..session import spread
 from . import query
 
 WS = tx.WS
@@ -38,7 +39,8 @@ def articles(spark, sf):
 @query("content_fingerprint", f"""
 SELECT id, sha256({sq('lower(coalesce(body, title))')}) AS fingerprint FROM news_articles""")
 def content_fingerprint(spark, sf):
-    return articles(spark, sf).select("id", tx.content_fingerprint("body", "title").alias("fingerprint"))
+    a = spread(articles(spark, sf).select("id", "title", "body"))
+    return a.select("id", tx.content_fingerprint("body", "title").alias("fingerprint"))
 
 
 @query("significant_tokens", f"""
@@ -119,7 +121,7 @@ def role_sql():
     text = "title || chr(10) || coalesce(story_identity, '') || chr(10) || coalesce(main_event, '')"
 
     def hit(stems):
-        return f"regexp_matches({text}, '{tx.WORD_START}(?:{'|'.join(stems)})', 'i')"
+        return f"regexp_matches({text}, '(?:^|[^A-Za-z0-9_])(?:{'|'.join(stems)})', 'i')"
 
     return (f"CASE WHEN article_type = 'aggregation' THEN 'aggregation' WHEN article_type = 'opinion' THEN 'analysis' "
             f"WHEN article_type = 'background' THEN 'background' WHEN {hit(vocab.REACTION_STEMS)} THEN 'reaction' "

@@ -15,8 +15,9 @@ from .. import vocab
 # Whitespace as browsers define it; the class is valid in Java regex and in RE2.
 WS = (r"[\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
       r"\x{3000}\x{feff}]")
-WORD_START = r"(?:^|[^A-Za-z0-9_])"
-WORD_END = r"(?:$|[^A-Za-z0-9_])"
+# word borders that only know ASCII word characters, as the rules were written for
+WORD_START = r"(?<![A-Za-z0-9_])"
+WORD_END = r"(?![A-Za-z0-9_])"
 
 
 def col(c) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import col, content_fingerprint, has_word, non_empty, norm_rule_text, strip
-from ..operators.keyed import drop_known, first_per_key
+from ..operators.keyed import drop_known
+from ..session import cut
 
 
 def _signals(rules, test) -> Column:
@@ -88,6 +89,15 @@ def route_low_value(df: DataFrame, stage: str, detector: str = "rules", now: Col
     return kept, log
 
 
+def reject_reason() -> Column:
+    """Why a payload cannot be stored, or null."""
+    def missing(c):
+        return non_empty(c).isNull()
+
+    return (F.when(missing("url") | missing("title"), "missing-required")
+            .when(missing("body") & missing("lead") & missing("category"), "no-content"))
+
+
 def validate_articles(df: DataFrame):
     """``(ok, rejects)``: url and title are required (so a fingerprint exists) and so is some content.
 
@@ -97,12 +107,7 @@ def validate_articles(df: DataFrame):
     if dict(df.dtypes).get("published_at") == "string":
         t = t.withColumn("published_at", F.try_to_timestamp("published_at"))
 
-    def missing(c):
-        return non_empty(c).isNull()
-
-    why = (F.when(missing("url") | missing("title"), "missing-required")
-           .when(missing("body") & missing("lead") & missing("category"), "no-content"))
-    t = t.withColumn("reject_reason", why)
+    t = t.withColumn("reject_reason", reject_reason())
     return t.where("reject_reason is null").drop("reject_reason"), t.where("reject_reason is not null")
 
 
@@ -141,18 +146,20 @@ def screen_images(articles: DataFrame, probes: DataFrame,
 
 
 def with_outcomes(batch: DataFrame, known: DataFrame, known_sources: DataFrame) -> DataFrame:
-    """Label each scraped row with where it ended: missing_source, skipped, discarded, duplicate, inserted."""
-    ok, bad = validate_articles(batch)
-    judged = classify_low_value(ok, "extracted")
-    fresh = drop_known(judged.where("action = 'keep'"), known, "fingerprint")
-    first = first_per_key(fresh, ["fingerprint"], [F.col("id")])
-    fate = (bad.select("id", F.lit("skipped").alias("outcome"))
-            .unionByName(judged.where("action = 'discard'").select("id", F.lit("discarded").alias("outcome")))
-            .unionByName(first.select("id", F.lit("inserted").alias("outcome"))))
-    out = batch.join(fate, "id", "left").join(
-        known_sources.select(F.col("slug").alias("source_slug"), F.lit(True).alias("_s")), "source_slug", "left")
-    return out.withColumn("outcome", F.when(F.col("_s").isNull(), "missing_source").otherwise(
-        F.coalesce("outcome", F.lit("duplicate")))).drop("_s")
+    """Label each scraped row with where it ended: missing_source, skipped, discarded, duplicate, inserted.
+
+    The costly part runs once and leaves a thin table; of equal fingerprints the lowest id is inserted, found
+    by a partial aggregate, so a text copied very often moves as one row per task."""
+    t = batch.withColumns({"fingerprint": content_fingerprint("body", "title"), "_why": reject_reason()})
+    judged = cut(classify_low_value(t, "extracted").select("id", "source_slug", "fingerprint", "_why", "action"))
+    good = judged.where("_why is null and action = 'keep'").select("id", "fingerprint")
+    first = (drop_known(good, known, "fingerprint").groupBy("fingerprint").agg(F.min("id").alias("id"))
+             .select("id", F.lit(True).alias("_in")))
+    slugs = known_sources.select(F.col("slug").alias("source_slug"), F.lit(True).alias("_s"))
+    outcome = (F.when(F.col("_s").isNull(), "missing_source").when(F.col("_why").isNotNull(), "skipped")
+               .when(F.col("action") == "discard", "discarded").when(F.col("_in"), "inserted").otherwise("duplicate"))
+    return judged.join(first, "id", "left").join(slugs, "source_slug", "left").select(
+        "id", "source_slug", outcome.alias("outcome"))
 
 
 def ingest_funnel(outcomes: DataFrame) -> DataFrame:

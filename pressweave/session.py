@@ -55,3 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than cores (one small file, one row group) to all cores.
+
+    Only for frames that are still a plain scan, before per-row work such as parsing or many patterns. Data
+    laid out in many files, as on a cluster, has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
