@@ -7,6 +7,8 @@ and only then turned into arrays.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,21 +70,17 @@ def merge_entities(df: DataFrame, keys, entities: str = "entities", order: str =
 
 
 def centroid(df: DataFrame, keys, vec: str = "embedding", order: str = "id") -> DataFrame:
-    """Mean vector per group; vectors whose length differs from the first one's are skipped.
+    """Mean vector ``centroid`` and row count ``n`` per group; vectors whose length differs from the first
+    one's are skipped.
 
-    One (group, position) row is summed at a time, so partial sums are combined before the shuffle
-    and a hot group never meets in one task until it is one row per position.
-    """
+    Vectors are summed where they lie (one buffer per group and map task), so a hot group moves one partial
+    sum per task."""
     keys = _keys(keys)
-    valid = df.where(F.size(vec) > 0)
-    dims = valid.groupBy(*keys).agg(F.min_by(F.size(vec), F.col(order)).alias("_dim"))
-    flat = (valid.select(*keys, F.size(vec).alias("_d"), F.posexplode(vec).alias("_p", "_x"))
-            .groupBy(*keys, "_d", "_p").agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_n"))
-            .join(dims.withColumnRenamed("_dim", "_d"), [*keys, "_d"], "left_semi"))
-    return (flat.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("_p", (F.col("_s") / F.col("_n")).alias("v")))).alias("_l"),
-                 F.max("_n").alias("n"))
-            .select(*keys, F.transform("_l", lambda x: x["v"]).alias("centroid"), "n"))
+    valid = df.where(F.size(vec) > 0).withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
+    per = valid.groupBy(*keys, F.size(vec).alias("_d")).agg(
+        Summarizer.mean(F.col("_v")).alias("_m"), F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
+    best = per.select(*keys, "_first", F.struct(vector_to_array("_m").alias("centroid"), "n").alias("_c"))
+    return best.groupBy(*keys).agg(F.min_by("_c", "_first").alias("_c")).select(*keys, "_c.*")
 
 
 def merge_centroids(a, na, b, nb) -> Column:
