@@ -50,17 +50,23 @@ def search_stories(spark, sf):
     return out.withColumn("relevance_score", F.round("relevance_score", 6))
 
 
-@query("search_fallback", """
-WITH t AS (SELECT a.story_id, count(*) AS matched_articles, max(published_at) AS latest_published_at
-  FROM news_articles a JOIN news_stories s ON s.id = a.story_id
-  WHERE contains(lower(a.title), 'he wi') OR contains(lower(s.title), 'he wi') GROUP BY 1
-  ORDER BY latest_published_at DESC NULLS LAST, a.story_id LIMIT 50)
-SELECT t.story_id, matched_articles, t.latest_published_at, 1.0::DOUBLE AS relevance_score, s.title AS story_title,
-  s.source_count, s.article_count, i.image_url
+@query("search_fallback", f"""
+WITH {POSTINGS}, f2 AS (SELECT a.story_id, count(*) AS matched_articles, max(published_at) AS latest_published_at,
+    max(rank) AS relevance_score FROM (SELECT article_id, {RANK} AS rank FROM idx WHERE term IN ('ing', 't') GROUP BY 1
+    HAVING count(DISTINCT term) = 2) h JOIN news_articles a ON a.id = h.article_id WHERE story_id IS NOT NULL
+  GROUP BY 1 ORDER BY round(relevance_score, 9) DESC, a.story_id LIMIT 50),
+fb AS (SELECT a.story_id, count(*) AS matched_articles, max(published_at) AS latest_published_at,
+    1.0::DOUBLE AS relevance_score FROM news_articles a JOIN news_stories s ON s.id = a.story_id
+  WHERE contains(lower(a.title), 'ing t') OR contains(lower(s.title), 'ing t') GROUP BY 1
+  ORDER BY latest_published_at DESC NULLS LAST, a.story_id LIMIT 50),
+t AS (SELECT * FROM f2 UNION ALL SELECT * FROM fb WHERE NOT EXISTS (SELECT 1 FROM f2))
+SELECT t.story_id, matched_articles, t.latest_published_at, round(t.relevance_score, 6) AS relevance_score,
+  s.title AS story_title, s.source_count, s.article_count, i.image_url
 FROM t JOIN news_stories s ON s.id = t.story_id LEFT JOIN story_image i ON i.story_id = t.story_id""")
 def search_fallback(spark, sf):
     a, s, src = parts(spark, sf)
-    return se.search(se.build_index(texts(spark, sf), positions=False), a, s, src, "HE wi", excluded=fx.EXCLUDED_IMAGES)
+    return se.search(se.build_index(texts(spark, sf), positions=False), a, s, src, "ING t", excluded=fx.EXCLUDED_IMAGES).withColumn(
+        "relevance_score", F.round("relevance_score", 6))
 
 
 QSQL = "list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 30)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
