@@ -15,7 +15,6 @@ from ..session import spread
 from ..sources.outlets import OUTLET_RULES
 from . import query
 from .texts import rule_sql, sq, strip_sql
-from .views import NOW_SQL
 
 
 def articles(spark, sf):

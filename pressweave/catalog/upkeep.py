@@ -14,7 +14,6 @@ from ..plans import recluster as rc
 from ..plans import repair as rp
 from ..plans.stories import cluster_facts
 from . import query
-from .texts import strip_sql
 from .vectors import SMALL, articles, small_clusters, vectors
 
 SCOPE_NOW = "2024-01-25 00:00:00"

@@ -409,8 +409,9 @@ def split_oversize(df: DataFrame, labels: DataFrame, max_size: int = vocab.MAX_C
     """Re-cluster every cluster above ``max_size`` on its own, then chunk what is still too large.
 
     All oversize clusters of a round are processed together, keyed by their label; members lost to noise
-    become -1. ``df``: ``id, vec[, hours]``."""
-    now = cut(labels.select("id", "label"))
+    become -1. Labels come out as the smallest id of their cluster. ``df``: ``id, vec[, hours]``."""
+    first = labels.where("label >= 0").groupBy("label").agg(F.min("id").alias("_first"))
+    now = cut(labels.join(first, "label", "left").select("id", F.coalesce("_first", "label").alias("label")))
     for _ in range(max_depth):
         big = (now.where("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
                .where(F.col("n") > max_size).select("label"))

@@ -171,10 +171,10 @@ def apply_verdicts(members: DataFrame, articles: DataFrame, cache: DataFrame, st
                    rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """Split clusters by stored verdicts until none applies, then give every cluster a title.
 
-    Returns ``(members, titles)``. A stored title is reused only when the cluster's metadata look sound;
+    Returns ``(members, titles)``, clusters keyed by their smallest member. A stored title is reused only when the cluster's metadata look sound;
     ``stories`` (``fingerprint, title, summary``) are existing clusters with the same members. Otherwise the
     title is that of the first article."""
-    now = cut(members.select("cluster", "id"))
+    now = cut(_regroup(members.select("cluster", "id", F.lit(0).alias("part"))))
     for _ in range(rounds):
         prior = cut(prior_splits(now, cache))
         left = now.join(prior.select("cluster").distinct(), "cluster", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import col, content_fingerprint, has_word, non_empty, norm_rule_text, strip
+from ..functions.text import content_fingerprint, has_word, non_empty, norm_rule_text, strip
 from ..operators.keyed import drop_known
 from ..session import cut
 

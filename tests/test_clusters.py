@@ -158,7 +158,7 @@ def test_blocks_do_not_change_results(spark):
 
 
 def test_assignment_invariants(spark):
-    from pressweave.catalog.vectors import assignable, centroids
+    from pressweave.catalog.vectors import assignable
     from pressweave import fixtures as fx
     from pressweave.plans.assign import assign_stories
     sf = "/root/testdata/sf0.001"
