@@ -262,7 +262,7 @@ FP = f"SELECT id, sha256({sq('lower(coalesce(body, title))')}) AS fingerprint FR
 WITH f AS ({FP}) SELECT min(id) AS id, fingerprint FROM f
 WHERE fingerprint NOT IN (SELECT fingerprint FROM f WHERE id % 3 = 0) GROUP BY fingerprint""")
 def unknown_fingerprints(spark, sf):
-    f = articles(spark, sf).select("id", content_fingerprint("body", "title").alias("fingerprint"))
+    f = spread(articles(spark, sf).select("id", "title", "body")).select("id", content_fingerprint("body", "title").alias("fingerprint"))
     return keyed.drop_known(f, f.where("id % 3 = 0"), "fingerprint", within_batch=True, order=[F.col("id")])
 
 
