@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-TAIL_EDGES = 100_000
-
-
-def _label(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Smallest node of each piece for a table of at most ``TAIL_EDGES`` edges."""
-    up: dict[int, int] = {}
-
-    def find(x):
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-    nodes = list(up)
-    return pd.DataFrame({"root": nodes, "to": [find(n) for n in nodes]})
-
 
 def _hook(rest: DataFrame) -> DataFrame:
     """Every root points at the smallest root next to it, then at that one's target until nothing moves."""
@@ -44,27 +22,20 @@ def _hook(rest: DataFrame) -> DataFrame:
             return hook
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tail: int = TAIL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` with the smallest node of the component as its label.
 
-    Each round contracts the graph at least by half; once at most ``tail`` edges are left, one bounded task
-    finishes. Only edge counts are read back."""
+    Each round contracts the graph at least by half; only whether edges are left is read back."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     rest = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
     labels = nodes.withColumn("component", F.col("node"))
-    left = rest.count()
-    while left:
-        last = left <= tail
-        hook = rest.groupBy(F.lit("tail").alias("tail")).applyInPandas(_label, "root bigint, to bigint") if last else _hook(rest)
-        labels = labels.join(hook.withColumnRenamed("root", "component"), "component", "left").select(
-            "node", F.coalesce("to", "component").alias("component"))
-        labels = cut(labels)
-        if last:
-            break
+    while not rest.isEmpty():
+        hook = _hook(rest)
+        labels = cut(labels.join(hook.withColumnRenamed("root", "component"), "component", "left").select(
+            "node", F.coalesce("to", "component").alias("component")))
         x = hook.select(F.col("root").alias("a"), F.col("to").alias("ra"))
         y = hook.select(F.col("root").alias("b"), F.col("to").alias("rb"))
         moved = rest.join(x, "a").join(y, "b").where("ra <> rb")
         rest = cut(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        left = rest.count()
     return labels

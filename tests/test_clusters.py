@@ -75,8 +75,7 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     want = {n: find(n) for a, b in edges if a != b for n in (a, b)}
-    for tail in (100_000, 20):
-        assert {r[0]: r[1] for r in connected_components(df, tail=tail).collect()} == want
+    assert {r[0]: r[1] for r in connected_components(df).collect()} == want
 
 
 def greedy(clusters, threshold, cap):
