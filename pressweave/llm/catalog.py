@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cascade, chat, htmltext, langid, ruleensemble, tokenbin, wordbpe
+from . import cascade, chat, decontam, htmltext, langid, linededup, neardup, ruleensemble, tokenbin, wordbpe
 from .common import load, remainder
 
 QUERIES: dict = {}
@@ -34,6 +34,49 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(docs, trees, keep={"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score")
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS ln FROM (
+  SELECT doc_id, string_split(regexp_replace(t, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS ls FROM d)),
+h AS (SELECT *, CAST('0x' || md5(trim(ln, ' ' || chr(10) || chr(13) || chr(9)))[1:8] AS BIGINT) AS h FROM p),
+b AS (SELECT *, (31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) + h) % 3 = 0 AS ends FROM h),
+c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM b),
+k AS (SELECT doc_id, c, min(i) AS s, count(*) AS n, trim(string_agg(ln, '' ORDER BY i), ' ' || chr(10) || chr(13) || chr(9)) AS t FROM c GROUP BY doc_id, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS nth FROM k WHERE n >= 2 AND length(t) >= 40),
+gone AS (SELECT doc_id, c, n FROM r WHERE nth > 1),
+left_ AS (SELECT doc_id, string_agg(ln, '' ORDER BY i) AS text FROM c ANTI JOIN gone USING (doc_id, c) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN g.doc_id IS NULL THEN d.t ELSE coalesce(left_.text, '') END AS text, CAST(coalesce(g.m, 0) AS BIGINT) AS n_lines_removed
+FROM d LEFT JOIN left_ USING (doc_id) LEFT JOIN (SELECT doc_id, sum(n) AS m FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id"""
+
+
+@query("op2_line_dedup", OP2_SQL)
+def op2_line_dedup(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return linededup.dedup_lines(docs, removed_lines="n_lines_removed")
+
+
+OP3_SQL = r"""
+WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, n, ws[i:i + n - 1] AS w FROM (
+    SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT *, least(len(ws), 10) AS n FROM iw WHERE len(ws) > 0))),
+dwin AS (SELECT rid, i, n, ws[i:i + n - 1] AS w FROM (
+    SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
+hit AS (SELECT rid, i, n, item_id FROM dwin JOIN win USING (n, w)),
+pos AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)"""
+
+
+@query("op3_decontamination", OP3_SQL)
+def op3_decontamination(spark, sf_dir):
+    return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -71,6 +114,25 @@ def op5_token_binary(spark, sf_dir):
     return tokenbin.binary_round_trip(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws
+    ELSE [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM m JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 80 * (a.n + b.n - m)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id, w.doc_id = min(r.y) AS kept
+FROM w JOIN r ON r.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id"""
+
+
+@query("op6_near_duplicates", OP6_SQL)
+def op6_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(load(spark, sf_dir, "documents"), width=2)
+
+
 @query("op7_quality_classifier")
 def op7_quality_classifier(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")

@@ -126,3 +126,24 @@ def classify(statistics: DataFrame, model: RuleModel, threshold: float = 0.3) ->
     """``(doc_id, score, predicted)``; repeated rows stay, an empty table gives none."""
     scored = statistics.select("doc_id", model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns under neutral names plus the statistics, written once, so that a model can
+    be fitted and applied without joining texts."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    frame = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)), F.col(f"`{text}`").cast("string").alias("_text"))
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields]
+
+    def body(part, texts):
+        return {**{n: part.column(n) for n in names}, **{k: pa.array(v, type=pa.float64()) for k, v in statistics(texts).items()}}
+    return map_slices(frame, body, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", " + ", ".join(f"{s} double" for s in STATISTICS), text="_text")
+
+
+def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality", doc_id: str = "doc_id",
+                       text: str = "text", **fit) -> DataFrame:
+    """``docs`` without those whose chance of label 1 is below ``threshold``; all columns and repeated rows of the rest stay."""
+    wide = cut(with_statistics(docs, text))
+    key = f"_c{docs.columns.index(doc_id)}"
+    model = learn(wide.select(F.col(key).cast("bigint").alias("doc_id"), *STATISTICS), labels, label, doc_id, **fit)
+    return wide.where(model.score() >= threshold).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))

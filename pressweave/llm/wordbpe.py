@@ -197,8 +197,8 @@ def decode_documents(coded: DataFrame, vocabulary: str, doc_id: str = "doc_id",
     return coded.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{ids}` ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of the ids and of the text decoded from them.
+def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids])``: digests of the ids and of the text decoded from them.
 
     Null and empty texts have no ids and decode to an empty text; repeated rows stay; an empty table gives none.
     """
@@ -208,10 +208,11 @@ def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
         raw = memoryview(ids.astype("<u4").tobytes())
         data, starts = bpe.decode(ids)
         cut = starts[off]
+        lists = {"ids": pa.ListArray.from_arrays(pa.array(off, type=pa.int32()), pa.array(ids, type=pa.int32()))} if with_ids else {}
         return {
             "doc_id": part.column("doc_id"),
             "n_tokens": pa.array(np.diff(off)),
             "ids_sha256": [hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in _spans(off)],
-            "decoded_sha256": [hashlib.sha256(data[a:max(a, b - 1)]).hexdigest() for a, b in _spans(cut)]}
-    return map_slices(pick(docs, doc_id, text), body,
-                      "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            "decoded_sha256": [hashlib.sha256(data[a:max(a, b - 1)]).hexdigest() for a, b in _spans(cut)], **lists}
+    return map_slices(pick(docs, doc_id, text), body, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+                      + (", ids array<int>" if with_ids else ""))
