@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-LINE_END = r"(?<=\n|[.!?] )"
+LINE_END = r"(?<=[\n ])(?<=\n|[.!?] )"
 #: One boundary in so many lines.
 DIVISOR = 3
 MIN_LINES = 2
@@ -29,17 +29,17 @@ def let(value: Column, body) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """The lines with their ends; put together they are the text."""
-    return F.split(F.coalesce(text, F.lit("")), LINE_END)
+    """The lines with their ends; put together they are the text and a line feed, so that the last line ends like others."""
+    return F.array_remove(F.split(F.concat(F.coalesce(text, F.lit("")), F.lit("\n")), LINE_END), "")
 
 
 def line_hash(line: Column) -> Column:
-    """32 bits of a line without the white space around it."""
-    return F.conv(F.substring(F.md5(F.btrim(line, F.lit(BLANK)).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    """32 bits of a line without the spaces at its end."""
+    return F.conv(F.substring(F.md5(F.rtrim(line).cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
 def _spans(cut_lines: Column) -> Column:
-    """``(s, n, t)``: first line (from 0), number of lines and trimmed text of each chunk."""
+    """``(s, n, t)``: first line (from 0), number of lines and text of each chunk, without spaces at its end."""
     def rolled(hashes):
         before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(hashes, F.lit(1), F.size(hashes) - 1))
         return F.zip_with(hashes, before, lambda h, b: (F.lit(31).cast("bigint") * b + h) % DIVISOR == 0)
@@ -51,7 +51,7 @@ def _spans(cut_lines: Column) -> Column:
             lambda s, e: F.struct(s.alias("s"), (e - s + 1).alias("n"))))
 
     return let(cut_lines, lambda ls: F.transform(let(rolled(F.transform(ls, line_hash)), spans), lambda x: F.struct(
-        x["s"].alias("s"), x["n"].alias("n"), F.btrim(F.array_join(F.slice(ls, x["s"] + 1, x["n"]), ""), F.lit(BLANK)).alias("t"))))
+        x["s"].alias("s"), x["n"].alias("n"), F.rtrim(F.array_join(F.slice(ls, x["s"] + 1, x["n"]), "")).alias("t"))))
 
 
 def chunks(base: DataFrame) -> DataFrame:
@@ -65,7 +65,9 @@ def _kept(text: Column, removed: Column) -> Column:
     def put(ls):
         starts = F.concat(F.array(F.lit(0)), F.transform(removed, lambda r: r["s"] + r["n"]))
         ends = F.concat(F.transform(removed, lambda r: r["s"]), F.array(F.size(ls)))
-        return F.array_join(F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(ls, a + 1, F.greatest(b - a, F.lit(0))), "")), "")
+        left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(ls, a + 1, F.greatest(b - a, F.lit(0))), "")), "")
+        last = F.element_at(removed, -1)
+        return F.when(last["s"] + last["n"] == F.size(ls), left).otherwise(F.left(left, F.char_length(left) - 1))
     return let(lines(text), put)
 
 
