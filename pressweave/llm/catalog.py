@@ -37,14 +37,15 @@ def op1_language_id(spark, sf_dir):
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 p AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS ln FROM (
-  SELECT doc_id, string_split(regexp_replace(t, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS ls FROM d)),
-h AS (SELECT *, CAST('0x' || md5(trim(ln, ' ' || chr(10) || chr(13) || chr(9)))[1:8] AS BIGINT) AS h FROM p),
+  SELECT doc_id, string_split(regexp_replace(t || chr(10), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS ls FROM d)),
+h AS (SELECT *, CAST('0x' || md5(rtrim(ln))[1:8] AS BIGINT) AS h FROM p WHERE ln <> ''),
 b AS (SELECT *, (31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) + h) % 3 = 0 AS ends FROM h),
 c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM b),
-k AS (SELECT doc_id, c, min(i) AS s, count(*) AS n, trim(string_agg(ln, '' ORDER BY i), ' ' || chr(10) || chr(13) || chr(9)) AS t FROM c GROUP BY doc_id, c),
+k AS (SELECT doc_id, c, min(i) AS s, count(*) AS n, rtrim(string_agg(ln, '' ORDER BY i)) AS t FROM c GROUP BY doc_id, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS nth FROM k WHERE n >= 2 AND length(t) >= 40),
 gone AS (SELECT doc_id, c, n FROM r WHERE nth > 1),
-left_ AS (SELECT doc_id, string_agg(ln, '' ORDER BY i) AS text FROM c ANTI JOIN gone USING (doc_id, c) GROUP BY doc_id)
+size AS (SELECT doc_id, max(i) AS m FROM c GROUP BY doc_id),
+left_ AS (SELECT doc_id, string_agg(CASE WHEN i = m THEN left(ln, length(ln) - 1) ELSE ln END, '' ORDER BY i) AS text FROM c JOIN size USING (doc_id) ANTI JOIN gone USING (doc_id, c) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN g.doc_id IS NULL THEN d.t ELSE coalesce(left_.text, '') END AS text, CAST(coalesce(g.m, 0) AS BIGINT) AS n_lines_removed
 FROM d LEFT JOIN left_ USING (doc_id) LEFT JOIN (SELECT doc_id, sum(n) AS m FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id"""
 
