@@ -120,7 +120,7 @@ def ingest_stream(spark, sf):
     path, ckpt = dirs(spark, "ingest")
     a = stream(fx.news_articles, spark, sf).withColumns({
         "lead": F.col("summary"), "category": F.get("topics", F.lit(0))}).drop("story_id", "summary")
-    job = jobs.Ingest(spark, path, threshold=0.90, rounds=2)
+    job = jobs.Ingest(spark, path, threshold=0.90)
     job.run(a, ckpt)
     return job.articles.rows().select("id", "source_slug", "story_id")
 

@@ -47,7 +47,7 @@ def candidate_scores(articles: DataFrame, stories: DataFrame, now, k: int = 10,
 
 def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: float = vocab.SIM_THRESHOLD,
                    max_size: int = vocab.MAX_STORY_SIZE, lookback_hours: int = vocab.ASSIGN_LOOKBACK_HOURS,
-                   rounds: int = 12, k: int = 10, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+                   k: int = 10, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(assignments, new_stories)`` for one batch of articles.
 
     Articles ``id, vec, title, matching_text, role, entities, article_type, created_at``; stories ``id, title,
@@ -56,7 +56,8 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
     One round scores everything still open against the current stories, gives each article its best story,
     lets a story take its best articles up to its free places, and moves centroids, counts and entities. An
     article without any story whose vector is not close to an earlier one of the same kind founds a story.
-    What is left after the last round founds a story each. New ids are the largest story id plus the founder's
+    Every round places an article at least, since the earliest open one founds a story if none takes it, and rounds
+    go on until all are placed. New ids are the largest story id plus the founder's
     id plus one. Within a batch the outcome does not depend on row order.
     """
     cutoff = ntz(as_datetime(now) - dt.timedelta(hours=lookback_hours))
@@ -70,33 +71,26 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
         return rows.select((F.col("id") + F.lit(top_id + 1)).alias("id"), "title", F.lit(1).cast("bigint").alias(
             "article_count"), "entities", F.col("vec").alias("centroid"), ntz(as_datetime(now)).alias("created_at"))
 
-    for turn in range(rounds + 1):
-        if todo.isEmpty():
-            break
-        if turn == rounds:
-            seeds, taken = todo, None
-        else:
-            free = now_stories.where(F.col("article_count") < max_size)
-            scored = cut(candidate_scores(todo, free, now, k, threshold, block))
-            mine = Window.partitionBy("id").orderBy(F.col("score").desc(), "story_id")
-            best = scored.withColumn("_rn", F.row_number().over(mine)).where("_rn = 1").drop("_rn")
-            queue = Window.partitionBy("story_id").orderBy(F.col("score").desc(), "id")
-            room = free.select(F.col("id").alias("story_id"), (F.lit(max_size) - F.col("article_count")).alias("room"))
-            taken = cut(best.withColumn("_rn", F.row_number().over(queue)).where(F.col("_rn") <= max_size)
-                        .join(room, "story_id").where(F.col("_rn") <= F.col("room"))
-                        .select("id", "story_id", "score", "sim"))
-            lonely = todo.join(scored.select("id"), "id", "left_anti")
-            side = _side(lonely, "vec")
-            # ids are given in arrival order, so the lower id is the earlier article
-            earlier = knn_join(side, side, 1, threshold - vocab.CANDIDATE_MARGIN, block=block, self_join=True,
-                               earlier=True).select("id")
-            seeds = cut(lonely.join(earlier, "id", "left_anti"))
+    while not todo.isEmpty():
+        free = now_stories.where(F.col("article_count") < max_size)
+        scored = cut(candidate_scores(todo, free, now, k, threshold, block))
+        mine = Window.partitionBy("id").orderBy(F.col("score").desc(), "story_id")
+        best = scored.withColumn("_rn", F.row_number().over(mine)).where("_rn = 1").drop("_rn")
+        queue = Window.partitionBy("story_id").orderBy(F.col("score").desc(), "id")
+        room = free.select(F.col("id").alias("story_id"), (F.lit(max_size) - F.col("article_count")).alias("room"))
+        taken = cut(best.withColumn("_rn", F.row_number().over(queue)).where(F.col("_rn") <= max_size)
+                    .join(room, "story_id").where(F.col("_rn") <= F.col("room"))
+                    .select("id", "story_id", "score", "sim"))
+        lonely = todo.join(scored.select("id"), "id", "left_anti")
+        side = _side(lonely, "vec")
+        # ids are given in arrival order, so the lower id is the earlier article
+        earlier = knn_join(side, side, 1, threshold - vocab.CANDIDATE_MARGIN, block=block, self_join=True,
+                           earlier=True).select("id")
+        seeds = cut(lonely.join(earlier, "id", "left_anti"))
         fresh = cut(found(seeds))
         founded.append(fresh)
         seeded = seeds.select("id", (F.col("id") + F.lit(top_id + 1)).alias("story_id"))
-        done.append(cut(seeded if taken is None else seeded.unionByName(taken.select("id", "story_id"))))
-        if taken is None:
-            break
+        done.append(cut(seeded.unionByName(taken.select("id", "story_id"))))
         grown = taken.join(todo.select("id", "vec", "entities"), "id")
         hit = now_stories.join(taken.select(F.col("story_id").alias("id")).distinct(), "id", "left_semi")
         means = centroid(grown, "story_id", vec="vec").select(F.col("story_id").alias("id"), F.col("centroid").alias(
@@ -111,7 +105,7 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
         todo = cut(todo.join(done[-1].select("id"), "id", "left_anti"))
 
     def union(frames, like):
-        out = frames[0] if frames else like.limit(0)
+        out = frames[0] if frames else like.where(F.lit(False))
         for f in frames[1:]:
             out = out.unionByName(f)
         return out
@@ -119,8 +113,7 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
     assigned = union(done, todo.select("id", F.lit(0).cast("bigint").alias("story_id")))
     current = now_stories.select("id", "title", "article_count", "entities", "centroid")
     founders = union(founded, now_stories).select("id").distinct()
-    late = union(founded[-1:], now_stories).select(*current.columns)
-    new = current.join(founders, "id", "left_semi").unionByName(late.join(current.select("id"), "id", "left_anti"))
+    new = current.join(founders, "id", "left_semi")
     return assigned, new
 
 

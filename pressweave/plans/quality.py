@@ -167,15 +167,15 @@ def _regroup(parts: DataFrame) -> DataFrame:
     return parts.join(head, ["cluster", "part"]).select(F.col("_new").alias("cluster"), "id")
 
 
-def apply_verdicts(members: DataFrame, articles: DataFrame, cache: DataFrame, stories: DataFrame | None = None,
-                   rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def apply_verdicts(members: DataFrame, articles: DataFrame, cache: DataFrame, stories: DataFrame | None = None
+                   ) -> tuple[DataFrame, DataFrame]:
     """Split clusters by stored verdicts until none applies, then give every cluster a title.
 
     Returns ``(members, titles)``, clusters keyed by their smallest member. A stored title is reused only when the cluster's metadata look sound;
     ``stories`` (``fingerprint, title, summary``) are existing clusters with the same members. Otherwise the
     title is that of the first article."""
     now = cut(_regroup(members.select("cluster", "id", F.lit(0).alias("part"))))
-    for _ in range(rounds):
+    while True:  # each pass only makes clusters smaller
         prior = cut(prior_splits(now, cache))
         left = now.join(prior.select("cluster").distinct(), "cluster", "left_anti")
         same = fingerprints(left).join(valid_decisions(cache).where(~F.col("coherent")).select(

@@ -164,7 +164,7 @@ def test_assignment_invariants(spark):
     new = assignable(spark, sf).drop("story_id").where("id < 80")
     stories = spark.createDataFrame([], "id bigint, title string, article_count bigint, entities array<string>, "
                                         "centroid array<double>, created_at timestamp_ntz, updated_at timestamp_ntz")
-    done, founded = assign_stories(new, stories, fx.NOW, threshold=0.2, max_size=5, rounds=4)
+    done, founded = assign_stories(new, stories, fx.NOW, threshold=0.2, max_size=5)
     rows = done.toPandas()
     kinds = {r["id"]: r["article_type"] for r in new.collect()}
     assert sorted(rows["id"]) == sorted(i for i, k in kinds.items() if k != "aggregation")

@@ -53,7 +53,7 @@ def test_ingest_replay_is_idempotent(spark, sf):
     work = tempfile.mkdtemp(prefix="work-")
     a = fx.news_articles(spark, sf).withColumns({
         "lead": F.col("summary"), "category": F.get("topics", F.lit(0))}).drop("story_id", "summary")
-    job = jobs.Ingest(spark, work, dims=64, threshold=0.9, rounds=1)
+    job = jobs.Ingest(spark, work, dims=64, threshold=0.9)
     first, second = a.where("id < 60"), a.where("id between 40 and 90")
     job.on_batch(first, 0)
     job.on_batch(second, 1)
