@@ -4,6 +4,9 @@ Instead of one group of minhashes per table, ``collections`` small groups are ha
 keys a table: 16 groups of 3 minhashes make 120 tables of 6. Two documents become candidates when at least two
 groups agree. At a similarity of 0.8 that fails for one pair in about 5,500, at 0.85 for one in 80,000.
 
+Before sets are compared, a pair has to pass a sketch: four bits of the least hash in each of 512 ranges. Every range
+that differs takes a shingle that only one of the two sets has, so few ranges differ in similar sets.
+
 Large buckets are not expanded into pairs: their members are first compared with the bucket's least document, and
 only members that are still in different components are compared with each other.
 """
@@ -14,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -22,6 +25,7 @@ from ..session import cut
 from .common import map_slices, pick, starts_of, words_of
 
 COLLECTIONS, ROWS = 16, 3
+SKETCH, PLANES = 512, 4
 #: Up to so many keys (8 bytes each) are sent to all executors; more are shuffled.
 BROADCAST_KEYS = 2_000_000
 
@@ -66,7 +70,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, n, f1, f2, c)``: set size, a 128-bit digest of the set and the collections' hashes."""
+    """``(doc_id, n, f1, f2, c, k)``: set size, a 128-bit digest of the set, the collections' hashes and the sketch."""
     factors = _odd(29, COLLECTIONS * ROWS)
 
     def body(part, texts):
@@ -82,9 +86,40 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             for k, factor in enumerate(factors):
                 least = np.minimum.reduceat(hashes * factor, at)
                 c[real, k // ROWS] = mixed(c[real, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(c.ravel().view(np.int64)), COLLECTIONS).cast(pa.list_(pa.int64()))
-        return {"doc_id": part.column("doc_id"), "n": pa.array(n), "f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2.view(np.int64)), "c": lists}
-    return map_slices(docs, body, "doc_id bigint, n bigint, f1 bigint, f2 bigint, c array<bigint>")
+        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64()))
+        return {"doc_id": part.column("doc_id"), "n": pa.array(n), "f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2.view(np.int64)),
+                "c": lists(c), "k": lists(sketches(hashes, off))}
+    return map_slices(docs, body, "doc_id bigint, n bigint, f1 bigint, f2 bigint, c array<bigint>, k array<bigint>")
+
+
+def sketches(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """``PLANES`` bits of the least hash in each of ``SKETCH`` ranges, 0 for an empty range: plane after plane, as
+    rows of 64-bit numbers."""
+    rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    place = (hashes >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    key = rows * SKETCH + place
+    least = np.append(True, key[1:] != key[:-1])[:len(key)]  # hashes are sorted within a row
+    bits = np.zeros((len(off) - 1, PLANES, SKETCH), dtype=np.uint8)
+    for plane in range(PLANES):
+        bits[rows[least], plane, place[least]] = (hashes[least] >> np.uint64(20 + plane)) & np.uint64(1)
+    return np.packbits(bits.reshape(-1, PLANES * SKETCH), axis=1).view(np.uint64)
+
+
+def alike(na: Column, ka: Column, nb: Column, kb: Column, percent: int) -> Column:
+    """Whether sizes and sketches leave it possible that two sets are similar enough.
+
+    Similar sets differ in at most ``(na + nb) * (1 - s) / (1 + s)`` shingles, so in as many ranges at most; this bound
+    is exact. Large sets differ in ``1 - s`` of all ranges on average; five standard deviations are granted on top, by
+    which one similar pair in millions is lost."""
+    s, words = percent / 100, SKETCH // 64
+    most = F.least((na + nb) * ((1 - s) / (1 + s)), F.lit((1 - s) * SKETCH + 5 * (s * (1 - s) * SKETCH) ** 0.5))
+    differ = F.lit(0)
+    for i in range(words):
+        word = ka[i].bitwiseXOR(kb[i])
+        for plane in range(1, PLANES):
+            word = word.bitwiseOR(ka[plane * words + i].bitwiseXOR(kb[plane * words + i]))
+        differ = differ + F.bit_count(word)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= most + 1e-6)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -123,36 +158,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # equal sets are one class, known by its least key
     classes = linked.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    member = cut(linked.select("doc_id", "n", "f1", "f2", "c").join(classes, ["n", "f1", "f2"]))
-    reps = member.where("doc_id = rep").select("rep", "n", "c").dropDuplicates(["rep", "n"])
+    member = cut(linked.join(classes, ["n", "f1", "f2"]))
+    reps = member.where("doc_id = rep").select("rep", "n", "c", "k").dropDuplicates(["rep"])
 
     pairs = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
-    keys = reps.select("rep", F.explode(F.array(*(F.xxhash64(F.lit(i * COLLECTIONS + j), F.col("c")[i], F.col("c")[j])
-                                                 for i, j in pairs))).alias("key"))
+    keys = reps.select("rep", F.inline(F.array(*(F.struct(
+        F.lit(i).alias("i"), F.lit(j).alias("j"), F.xxhash64(F.lit(i * COLLECTIONS + j), F.col("c")[i], F.col("c")[j]).alias("key"))
+        for i, j in pairs))))
     buckets = cut(keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("many")).where("a < b"))
     large = cut(buckets.where("many > 2").select("key"))
     crowd = cut(semi(keys, large, "key"))
     stars = crowd.join(buckets.select("key", "a"), "key").where("rep <> a").select("a", F.col("rep").alias("b"))
-    tried = cut(buckets.where("many = 2").select("a", "b").union(stars).distinct())
+    facts = cut(reps.select("rep", F.col("n").alias("size"), "c", "k"))
+
+    def promising(some: DataFrame) -> DataFrame:
+        a = facts.select(F.col("rep").alias("a"), F.col("size").alias("na"), F.col("k").alias("ka"))
+        b = facts.select(F.col("rep").alias("b"), F.col("size").alias("nb"), F.col("k").alias("kb"))
+        return some.join(a, "a").join(b, "b").where(alike(F.col("na"), F.col("ka"), F.col("nb"), F.col("kb"), percent)).select("a", "b")
+
+    tried = cut(promising(buckets.where("many = 2").select("a", "b").union(stars).distinct()))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = cut(some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct())
+        return cut(full_sets(semi(frame, wanted, "doc_id"), width).dropDuplicates(["doc_id"]))
 
-    wanted = cut(tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct())
-    sets = cut(full_sets(semi(frame, wanted, "doc_id"), width).dropDuplicates(["doc_id"]))
-    edges = cut(_confirm(tried, sets, percent))
+    edges = cut(_confirm(tried, sets_of(tried), percent))
     parts = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("part"))
 
     # members of a bucket that are in different components after that are compared with each other
-    size = reps.select("rep", F.col("n").alias("size"))
-    seen = crowd.join(parts, "rep", "left").join(size, "rep").select("key", "rep", "size", F.coalesce("part", "rep").alias("part"))
+    seen = crowd.join(parts, "rep", "left").join(facts, "rep").select("key", "i", "j", "rep", "size", "c", "k", F.coalesce("part", "rep").alias("part"))
     per_part = seen.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
     main = per_part.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "part")).alias("x")).where("parts > 1").select(
         "key", F.col("x.part").alias("main"))
     open_ = cut(seen.join(main, "key"))
-    x = open_.where("part <> main").select("key", F.col("rep").alias("x"), F.col("part").alias("px"), F.col("size").alias("sx"))
-    y = open_.select("key", F.col("rep").alias("y"), F.col("part").alias("py"), F.col("size").alias("sy"), "main")
-    cross = x.join(y, "key").where("px <> py AND (py = main OR x < y)").where(
-        100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = cut(cross.distinct().join(tried, ["a", "b"], "left_anti"))
-    more = cut(_confirm(rest, sets, percent))
+    x = open_.where("part <> main").select("key", "i", "j", *(F.col(n).alias(n[0] + "x") for n in ("rep", "part", "size", "c", "k")))
+    y = open_.select("key", "main", *(F.col(n).alias(n[0] + "y") for n in ("rep", "part", "size", "c", "k")))
+    agree = F.lit(0)
+    for t in range(COLLECTIONS):
+        agree = agree.bitwiseOR(F.when(F.col("cx")[t] == F.col("cy")[t], F.lit(1 << t)).otherwise(F.lit(0)))
+    first = agree.bitwiseAND(F.expr("shiftleft(1, j) - 1")) == F.expr("shiftleft(1, i)")  # only the first table that has the pair reports it
+    cross = x.join(y, (x["key"] == y["key"]) & (F.col("px") != F.col("py")) & ((F.col("py") == F.col("main")) | (F.col("rx") < F.col("ry")))
+                   & first & alike(F.col("sx"), F.col("kx"), F.col("sy"), F.col("ky"), percent)).select(
+        F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"))
+    rest = cut(cut(cross).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = cut(_confirm(rest, sets_of(rest), percent))
     if not more.isEmpty():
         parts = connected_components(edges.union(more)).select(F.col("node").alias("rep"), F.col("component").alias("part"))
 
