@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from .common import Memo, flat, gather, pick, slices, starts_of
 
 SAMPLE = 64
 SEGMENT = "part int, seq int, doc_ids array<bigint>, n_ids bigint, width int, ids binary, low_bits int, low binary, high binary, ranks binary"
 IDS_BYTES = 4 << 20
+#: Up to so many segment offsets (16 bytes each) are sent to all executors, so that ids need no second shuffle.
+BROADCAST_SEGMENTS = 1_000_000
 
 
 # ---- Elias-Fano -------------------------------------------------------------------
@@ -196,7 +198,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int | None = None, doc_id:
     """Segments of all documents in ascending order of ``doc_id`` (nulls first, ties by text).
 
     One range shuffle of the texts; each task encodes its range slice by slice and emits segments of about 4 MB."""
-    ordered = pick(docs, doc_id, text).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = pick(docs, doc_id, text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.int64()),
                         ("width", pa.int32()), ("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()),
                         ("high", pa.binary()), ("ranks", pa.binary())])
@@ -235,6 +237,9 @@ def read_documents(table: DataFrame, with_ids: bool = False) -> DataFrame:
     heads = table.select("part", "seq", "n_ids").join(bases, F.col("part") == F.col("p"))
     heads = heads.select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("base") + F.sum("n_ids").over(
         Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("base"))
+    heads = cut(heads)  # a row per segment of about 4 MB
+    if heads.count() <= BROADCAST_SEGMENTS:
+        heads = F.broadcast(heads)
     full = table.join(heads, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).drop("p", "s")
 
     def run(batches):
