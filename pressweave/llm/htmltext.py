@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +50,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.out = ["html"], [-1], [False]
         self.flow: list[tuple[int, str | None]] = []  # (node, text), or None for a border between blocks
+        self.open = Counter()  # how many elements of each tag are open: the stack is searched only for what is on it
         stack = [0]
         at = 0
         for m in TOKEN.finditer(source):
@@ -68,11 +70,13 @@ class Page:
 
     def _pop(self, stack, to):
         while len(stack) > to:
-            if self.tag[stack.pop()] in BLOCK:
+            tag = self.tag[stack.pop()]
+            self.open[tag] -= 1
+            if tag in BLOCK:
                 self.flow.append((stack[-1], None))
 
     def _end(self, stack, name):
-        if name in ("body", "html"):
+        if name in ("body", "html") or not self.open[name]:
             return
         for i in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[i]]
@@ -86,39 +90,39 @@ class Page:
         if name == "br":
             self.flow.append((stack[-1], " "))
             return
-        if name in ("html", "body") and name in (self.tag[n] for n in stack):
-            if name == "html":
-                return
+        if name == "html":
+            return
         closes, shields = CLOSES.get(name, ((), ()))
         if name in ENDS_P:
             closes, shields = {*closes, "p"}, {*shields, "td", "th", "button", "table"} - {name}
         if name == "body":
             closes, shields = {"head"}, set()
-        lowest = None
+        lowest, left = None, sum(self.open[c] for c in closes)
         for i in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[i]]
-            if tag in closes:
-                lowest = i
-            elif tag in shields:
+            if not left or tag in shields:
                 break
+            if tag in closes:
+                lowest, left = i, left - 1
         if lowest is not None:
             self._pop(stack, lowest)
         node = len(self.tag)
         up = stack[-1]
         self.tag.append(name)
         self.parent.append(up)
-        self.out.append(self.out[up] or self._left_out(name, attributes, stack))
+        self.out.append(self.out[up] or self._left_out(name, attributes))
         if name in BLOCK:
             self.flow.append((up, None))
         if name not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            self.open[name] += 1
 
-    def _left_out(self, name, attributes, stack) -> bool:
+    def _left_out(self, name, attributes) -> bool:
         if name in ("html", "body"):
             return False
         if name in LEAVES_OUT:
             return True
-        inside = any(self.tag[n] in ("article", "main") for n in stack)
+        inside = self.open["article"] > 0 or self.open["main"] > 0
         if name == "header" and not inside:
             return True
         for m in ATTRIBUTE.finditer(attributes):
@@ -195,9 +199,10 @@ def chosen(page: Page) -> list[bool]:
     for i in range(1, n):
         keep[i] = keep[i] or keep[page.parent[i]]
     # lists of links inside the main text are menus
+    children = Counter(page.parent)
     for i in range(1, n):
-        if page.tag[i] in ("ul", "ol", "div", "section", "table") and i not in path and chars[i] and 3 * links[i] > 2 * chars[i] \
-                and sum(page.parent[k] == i for k in range(i + 1, n)) > 1:
+        if page.tag[i] in ("ul", "ol", "div", "section", "table") and chars[i] and 3 * links[i] > 2 * chars[i] \
+                and children[i] > 1 and i not in path:
             page.out[i] = True
         page.out[i] = page.out[i] or page.out[page.parent[i]]
     return [k and not o for k, o in zip(keep, page.out)]

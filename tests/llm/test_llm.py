@@ -253,6 +253,15 @@ def test_main_text():
     assert htmltext.main_text("<p" * 2000) is not None and htmltext.main_text('<a href="' * 3000) is not None
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<div>" * 20_000 + "text", "<div><p>a b c" * 20_000, "<ul><li>x" * 20_000, "<div><a>x</a><a>y</a></div>" * 20_000):
+        htmltext.main_text(page)
+    assert time.perf_counter() - began < 20  # a search of the whole stack per tag takes minutes
+
+
 def test_pages_hard(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>x</p>")], "page_id bigint, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in htmltext.extract_pages(df).collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
