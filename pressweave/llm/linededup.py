@@ -79,7 +79,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     keys = cut(chunks(base).groupBy("h").count().where("count > 1").select("h"))
     small = keys.count() <= BROADCAST_KEYS
     again = cut(chunks(base).join(F.broadcast(keys) if small else keys, "h", "left_semi"))
-    first = again.groupBy("h", "t").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("_d", "_t", "s")).alias("first")).where("many > 1")
+    # written, so that both sides of the join are plain shuffles and a chunk with very many places is split over tasks
+    first = cut(again.groupBy("h", "t").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("_d", "_t", "s")).alias("first")).where("many > 1"))
     later = again.join(first, ["h", "t"]).where(~F.struct("_d", "_t", "s").eqNullSafe(F.col("first")))
     return later.groupBy("_d", "_t").agg(F.sort_array(F.collect_set(F.struct("s", "n"))).alias("removed"))
 
