@@ -12,7 +12,6 @@ from ..plans import repair as rp
 from ..plans import screening as sc
 from ..sources import feeds, html
 from ..session import spread
-from ..sources.outlets import OUTLET_RULES
 from . import query
 from .texts import rule_sql, sq, strip_sql
 
@@ -58,26 +57,93 @@ def pages(spark, sf):
     return p.withColumn("source", F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
 
 
-def rules(spark):
-    return html.rules_frame(spark, OUTLET_RULES)
+def _text_sql(x):
+    for name, char in html.NAMED:
+        x = f"replace({x}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"replace({x}, '&amp;', '&')"
 
 
-@query("harvested_links")
+def _squeezed(x):
+    return f"trim(regexp_replace({x}, '{html.SPACE}', ' ', 'g'))"
+
+
+def _visible(x):
+    return _squeezed(_text_sql(f"regexp_replace({x}, '{html.TAG}', '', 'g')"))
+
+
+def _lit(pattern):
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _quoted(x, pattern):
+    return f"regexp_extract({x}, {_lit(pattern)}, 1) || regexp_extract({x}, {_lit(pattern)}, 2)"
+
+
+def _meta(keys, tags="m"):
+    one = [f"nullif({_squeezed(_text_sql('(' + _quoted(f'list_filter({tags}, lambda t: regexp_matches(t, {_lit(html.meta_key(*k))}))[1]', html.CONTENT) + ')'))}, '')"
+           for k in keys]
+    return f"coalesce({', '.join(one)})"
+
+
+_FIELDS = {n: _meta(keys) for n, keys in html.META_FIELDS.items()}
+LINKS_SQL = f"""
+WITH l AS (SELECT page_id, url, unnest(a) AS a, generate_subscripts(a, 1) - 1 AS pos FROM (
+  SELECT page_id, url, regexp_extract_all(html, {_lit(html.LINK)}) AS a FROM pages)),
+t AS (SELECT page_id, url, pos, {_text_sql('(' + _quoted('a', html.HREF) + ')')} AS href, {_visible('a')} AS text FROM l)
+SELECT page_id, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS link,
+  coalesce(nullif(min_by(text, pos), ''), href) AS title, CAST(min(pos) AS INT) AS pos
+FROM t WHERE starts_with(href, '/') GROUP BY page_id, url, href"""
+PAGE_TEXT_SQL = f"""
+SELECT page_id, {_visible(f"regexp_replace(html, {_lit(html.elements('head', *html.DROPPED))}, '', 'g')")} AS text FROM pages"""
+META_SQL = f"""
+SELECT page_id, {', '.join(f'{v} AS {n}' for n, v in _FIELDS.items())}
+FROM (SELECT page_id, regexp_extract_all(html, {_lit(html.META)}) AS m FROM pages)"""
+
+
+def _all_inside(name):
+    return f"nullif(array_to_string(regexp_extract_all(c, {_lit(html.inside(name))}, 1), ''), '')"
+
+
+ARTICLES_SQL = f"""
+SELECT page_id, url, source, CAST(length(html) AS INT) AS html_len, html IS NULL AS fetch_failed,
+  coalesce(nullif({_visible(f"regexp_extract(html, {_lit(html.inside('title'))}, 1)")}, ''), {_meta([('property', 'og:title')])}) AS title,
+  {_visible(f"coalesce(art, main, regexp_replace(c, {_lit(html.elements('head'))}, '', 'g'))")} AS body,
+  nullif({_visible(f"regexp_extract(art, {_lit(html.inside('p'))}, 1)")}, '') AS lead,
+  coalesce({_FIELDS['section']}, nullif({_visible(f"regexp_extract(c, {_lit(html.CATEGORY)}, 1)")}, '')) AS category,
+  {_FIELDS['og_image']} AS image_url, {_FIELDS['og_description']} AS og_description, {_FIELDS['published_time']} AS published
+FROM (SELECT *, {_all_inside('article')} AS art, {_all_inside('main')} AS main FROM (
+  SELECT *, regexp_replace(html, {_lit(html.elements(*html.DROPPED))}, '', 'g') AS c, regexp_extract_all(html, {_lit(html.META)}) AS m,
+    regexp_extract(url, '^https?://([^/?#]+)', 1) AS source FROM pages))"""
+KEY30 = "substr(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 1, 50)"
+QUALITY_CTE = f"""a AS ({ARTICLES_SQL}),
+q AS (SELECT *, CASE WHEN fetch_failed THEN 'fallback' WHEN length(coalesce(body, '')) < 100 THEN 'degraded' ELSE 'good' END AS quality,
+  CASE WHEN page_id % 3 = 0 THEN 'feed fallback text' END AS fb, {KEY30.format("'Feed item ' || page_id")} AS f, {KEY30.format('title')} AS t FROM a),
+r AS (SELECT page_id, url, source, quality, nullif(CASE WHEN quality = 'good' THEN body ELSE fb END, '') AS final_body,
+  quality = 'good' AND length(coalesce(body, '')) / html_len < 0.01 AS low_ratio,
+  quality = 'good' AND coalesce(NOT (contains(t, substr(f, 1, 30)) OR contains(f, substr(t, 1, 30))), false) AND length(t) > 0 AS title_mismatch,
+  coalesce(lead, 'feed lead') AS final_lead, category AS final_category, image_url AS final_image FROM q)"""
+QUALITY_SQL = f"""WITH {QUALITY_CTE} SELECT *, final_body IS NULL AS skipped FROM r"""
+STATS_SQL = f"""WITH {QUALITY_CTE} SELECT source, count(*) AS pages, count(*) FILTER (WHERE final_body IS NULL) AS skipped,
+  count(*) FILTER (WHERE quality = 'fallback') AS fetch_failed, count(*) FILTER (WHERE quality = 'degraded') AS degraded,
+  count(*) FILTER (WHERE low_ratio OR title_mismatch) AS issues FROM r GROUP BY source"""
+
+
+@query("harvested_links", LINKS_SQL)
 def harvested_links(spark, sf):
     return html.harvest_links(pages(spark, sf), "/")
 
 
-@query("page_text")
+@query("page_text", PAGE_TEXT_SQL)
 def page_text(spark, sf):
     return html.extract_text(pages(spark, sf))
 
 
-@query("page_articles")
+@query("page_articles", ARTICLES_SQL)
 def page_articles(spark, sf):
-    return html.extract_articles(pages(spark, sf), rules(spark))
+    return html.extract_articles(pages(spark, sf))
 
 
-@query("page_meta")
+@query("page_meta", META_SQL)
 def page_meta(spark, sf):
     return html.meta_fields(pages(spark, sf))
 
@@ -90,21 +156,16 @@ def candidates(spark, sf):
                     F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("image_url"))
 
 
-@query("extraction_quality")
+@query("extraction_quality", QUALITY_SQL)
 def extraction_quality(spark, sf):
-    return html.extraction_quality(html.extract_articles(pages(spark, sf), rules(spark)), candidates(spark, sf))
+    return html.extraction_quality(html.extract_articles(pages(spark, sf)), candidates(spark, sf))
 
 
-@query("extraction_stats")
+@query("extraction_stats", STATS_SQL)
 def extraction_stats(spark, sf):
     return html.extraction_stats(extraction_quality(spark, sf))
 
 
-@query("selector_coverage")
-def selector_coverage(spark, sf):
-    return html.selector_coverage(pages(spark, sf), rules(spark))
-
-
 # ---- screening --------------------------------------------------------------------
 
 def screenable(spark, sf):

@@ -1,324 +1,124 @@
-"""Fetched pages to article fields.
+"""Fetched pages to article fields, with column functions only.
 
-Spark partitions the pages and joins the rule rows; one Arrow UDF per pass turns a page into a struct.
-Rules are data: ordered selector lists per source, limited to tags, #id, .class, [attr], [attr=v],
-[attr^=v], [attr*=v] and descendant steps.
+Elements are found by regular expressions: an element ends at the first end tag of its name, and ``>`` inside an
+attribute value ends a tag. One generic rule serves all outlets: the text of ``<article>``, else of ``<main>``, else of
+the page, without scripts, menus, headers, footers and the like.
 """
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, StringType, StructField, StructType)
 
 from ..functions.text import non_empty
 
-VOID = set("area base br col embed hr img input link meta source track wbr".split())
-VISIBLE_DROP = "script, style, nav, header, footer, aside, iframe, noscript"
-SPACE = re.compile("[\\t\\n\\x0b\\f\\r    -     　﻿]+")
-STEP = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w:-]+)(?:([\^*]?=)\"?([^\"\]]*)\"?)?\]")
-
-
-def squeeze(text: str) -> str:
-    return SPACE.sub(" ", text).strip(" ")
-
-
-class _Tree(HTMLParser):
-    """Just enough structure to select elements and read their text."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = ["#root", {}, [], None]
-        self.at = self.root
-
-    def handle_starttag(self, tag, attrs):
-        node = [tag, {k: (v or "") for k, v in attrs}, [], self.at]
-        self.at[2].append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at[2].append([tag, {k: (v or "") for k, v in attrs}, [], self.at])
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node[0] != tag:
-            node = node[3]
-        if node is not None and node[3] is not None:
-            self.at = node[3]
-
-    def handle_data(self, data):
-        self.at[2].append(data)
-
-
-def parse(html: str):
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    return tree.root
-
-
-@lru_cache(maxsize=4096)
-def compile_selector(selector: str):
-    """List of alternatives, each a list of steps, each a list of (kind, name, op, value) tests."""
-    out = []
-    for alternative in selector.split(","):
-        steps = []
-        for part in alternative.split():
-            tests = []
-            for tag, ident, cls, attr, op, value in STEP.findall(part):
-                if tag and tag != "*":
-                    tests.append(("tag", tag, "", ""))
-                elif ident:
-                    tests.append(("attr", "id", "=", ident))
-                elif cls:
-                    tests.append(("class", cls, "", ""))
-                elif attr:
-                    tests.append(("attr", attr, op, value))
-            steps.append(tests)
-        out.append(steps)
-    return out
-
-
-def _fits(node, tests):
-    for kind, name, op, value in tests:
-        if kind == "tag":
-            if node[0] != name:
-                return False
-        elif kind == "class":
-            if name not in node[1].get("class", "").split():
-                return False
-        else:
-            have = node[1].get(name)
-            if have is None or (op == "=" and have != value) or (op == "^=" and not have.startswith(value)) \
-                    or (op == "*=" and value not in have):
-                return False
-    return True
-
-
-def _matches(node, steps):
-    if not _fits(node, steps[-1]):
-        return False
-    up = node[3]
-    for tests in reversed(steps[:-1]):
-        while up is not None and not _fits(up, tests):
-            up = up[3]
-        if up is None:
-            return False
-        up = up[3]
-    return True
-
-
-def select(root, selector: str, removed=frozenset()):
-    """Matching elements in document order, leaving out removed subtrees."""
-    wanted = compile_selector(selector)
-    stack, found = [root], []
-    while stack:
-        node = stack.pop()
-        if isinstance(node, str) or id(node) in removed:
-            continue
-        if any(_matches(node, steps) for steps in wanted):
-            found.append(node)
-        stack.extend(reversed(node[2]))
-    return found
-
-
-def text_of(node, removed=frozenset()) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif id(x) not in removed:
-            stack.extend(reversed(x[2]))
-    return "".join(out)
-
-
-def removed_nodes(root, selector: str | None):
-    return frozenset(id(n) for n in select(root, selector)) if selector else frozenset()
-
-
-def read_value(root, spec: str, removed) -> str:
-    """``selector`` text of all matches, ``first:selector`` of the first, ``nth2:selector`` of the second,
-    ``each:selector`` trimmed pieces joined by a space, ``selector@attr`` an attribute of the first match."""
-    mode, _, rest = spec.partition(":") if re.match(r"(first|each|nth\d+):", spec) else ("all", "", spec)
-    selector, _, attr = rest.partition("@")
-    nodes = select(root, selector, removed)
-    if attr:
-        return nodes[0][1].get(attr, "") if nodes else ""
-    if mode == "first":
-        nodes = nodes[:1]
-    elif mode.startswith("nth"):
-        n = int(mode[3:])
-        nodes = nodes[n - 1:n]
-    texts = [text_of(n, removed) for n in nodes]
-    if mode == "each":
-        return " ".join(t for t in (squeeze(x) for x in texts) if t)
-    return "".join(texts)
-
-
-def first_value(root, specs, removed) -> str | None:
-    """The first spec that gives text; ``spec =~ regex`` keeps the first group, underscores as spaces."""
-    for spec in specs if specs is not None else []:
-        spec, _, pattern = spec.partition(" =~ ")
-        v = squeeze(read_value(root, spec, removed))
-        if pattern:
-            m = re.search(pattern, v)
-            v = m.group(1).replace("_", " ") if m else ""
-        if v:
-            return v
-    return None
-
-
-ARTICLE = StructType([StructField(n, StringType()) for n in
-                      ("title", "body", "lead", "category", "image_url", "og_description", "published")])
-
-
-def _frame(rows, fields):
-    return pd.DataFrame(rows, columns=fields)
-
-
-@F.pandas_udf(ARTICLE)
-def _article_udf(html: pd.Series, remove: pd.Series, body: pd.Series, lead: pd.Series,
-                 category: pd.Series) -> pd.DataFrame:
-    rows = []
-    for h, rm, b, le, ca in zip(html, remove, body, lead, category):
-        if h is None:
-            rows.append((None,) * 7)
-            continue
-        root = parse(h)
-        gone = removed_nodes(root, rm)
-        none = frozenset()
-        meta = meta_of(root)
-        rows.append((
-            first_value(root, ["title", 'meta[property="og:title"]@content'], none),
-            first_value(root, b, gone) or "", first_value(root, le, none), first_value(root, ca, none),
-            meta["og_image"], meta["og_description"], meta["published_time"]))
-    return _frame(rows, [f.name for f in ARTICLE])
-
-
-META_SPECS = {
-    "og_image": ['meta[property="og:image"]@content', 'meta[name="og:image"]@content'],
-    "og_description": ['meta[property="og:description"]@content', 'meta[name="description"]@content'],
-    "section": ['meta[property="article:section"]@content', 'meta[name="article:section"]@content'],
-    "published_time": ['meta[property="article:published_time"]@content',
-                       'meta[name="article:published_time"]@content'],
+DROPPED = ("script", "style", "nav", "header", "footer", "aside", "iframe", "noscript")
+SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+#: Character references by name; numbers are decoded too, ``&amp;`` last.
+NAMED = (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("copy", "\u00a9"), ("middot", "\u00b7"),
+         ("hellip", "\u2026"), ("ndash", "\u2013"), ("mdash", "\u2014"), ("laquo", "\u00ab"), ("raquo", "\u00bb"))
+TAG = r"(?s)<[a-zA-Z/!?][^>]*>"
+LINK = r"(?is)<a\s[^>]*>.*?</a\s*>"
+HREF = r"""(?is)^<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+META = r"(?is)<meta\s[^>]*>"
+CONTENT = r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+CATEGORY = r"""(?is)<[a-z][a-z0-9]*\s[^>]*class\s*=\s*["'](?:[^"']*\s)?category(?:\s[^"']*)?["'][^>]*>(.*?)</"""
+
+#: Field -> attribute and key of the meta elements that give it, the first with content counting.
+META_FIELDS = {
+    "og_image": (("property", "og:image"), ("name", "og:image")),
+    "og_description": (("property", "og:description"), ("name", "description")),
+    "section": (("property", "article:section"), ("name", "article:section")),
+    "published_time": (("property", "article:published_time"), ("name", "article:published_time")),
 }
 
 
-def meta_of(root) -> dict:
-    return {k: first_value(root, specs, frozenset()) for k, specs in META_SPECS.items()}
-
-
-META = StructType([StructField(k, StringType()) for k in META_SPECS])
+def elements(*names: str) -> str:
+    """Pattern of whole elements of these names and of comments."""
+    return "(?is)<!--.*?-->|" + "|".join(rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in names)
 
 
-@F.pandas_udf(META)
-def _meta_udf(html: pd.Series) -> pd.DataFrame:
-    rows = [tuple(meta_of(parse(h)).values()) if h is not None else (None,) * 4 for h in html]
-    return _frame(rows, list(META_SPECS))
+def inside(name: str) -> str:
+    return rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>"
 
 
-@F.pandas_udf(StringType())
-def _visible_udf(html: pd.Series) -> pd.Series:
-    def one(h):
-        if h is None:
-            return None
-        root = parse(h)
-        gone = removed_nodes(root, VISIBLE_DROP)
-        bodies = select(root, "body", gone)
-        return squeeze("".join(text_of(b, gone) for b in bodies))
-    return html.map(one)
+def meta_key(attribute: str, key: str) -> str:
+    return rf"""(?is)\s{attribute}\s*=\s*["']?{key}["'\s/>]"""
 
 
-LINKS = ArrayType(StructType([StructField("pos", IntegerType()), StructField("href", StringType()),
-                              StructField("text", StringType())]))
+def squeeze(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
-@F.pandas_udf(LINKS)
-def _links_udf(html: pd.Series, prefix: pd.Series) -> pd.Series:
-    def one(h, p):
-        out = []
-        for n in select(parse(h or ""), "a"):
-            href = n[1].get("href", "")
-            if href and href.startswith(p):
-                out.append({"pos": len(out), "href": href, "text": squeeze(text_of(n))})
-        return out
-    return pd.Series([one(h, p) for h, p in zip(html, prefix)])
+def decoded(c: Column) -> Column:
+    """Character references as characters; unknown ones stay."""
+    for name, char in NAMED:
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
 
+    def numbered(text: Column) -> Column:
+        refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,5});"), F.lit(1)))
+        good = F.filter(refs, lambda r: (r.cast("int") > 0) & ~r.cast("int").between(0xD800, 0xDFFF))
+        return F.aggregate(good, text, lambda t, r: F.replace(t, F.concat(F.lit("&#"), r, F.lit(";")), F.decode(
+            F.unhex(F.lpad(F.hex(r.cast("int")), 8, "0")), "UTF-32")))
+    return F.replace(F.transform(F.array(c), numbered)[0], F.lit("&amp;"), F.lit("&"))
 
-COVERAGE = ArrayType(StructType([StructField("kind", StringType()), StructField("selector", StringType()),
-                                 StructField("found", BooleanType()), StructField("text_len", IntegerType()),
-                                 StructField("preview", StringType())]))
 
+def visible(c: Column) -> Column:
+    """Text between the tags, white space squeezed."""
+    return squeeze(decoded(F.regexp_replace(c, TAG, "")))
 
-@F.pandas_udf(COVERAGE)
-def _coverage_udf(html: pd.Series, remove: pd.Series, body: pd.Series, lead: pd.Series,
-                  category: pd.Series) -> pd.Series:
-    def one(h, rm, groups):
-        root = parse(h or "")
-        gone = removed_nodes(root, rm)
-        out = []
-        for kind, specs in groups:
-            for s in specs if specs is not None else []:
-                v = squeeze(read_value(root, s, gone if kind == "body" else frozenset()))
-                out.append({"kind": kind, "selector": s, "found": bool(v), "text_len": len(v), "preview": v[:120]})
-        for k, specs in META_SPECS.items():
-            v = first_value(root, specs, frozenset()) or ""
-            out.append({"kind": "meta", "selector": k, "found": bool(v), "text_len": len(v), "preview": v[:120]})
-        return out
-    return pd.Series([one(h, rm, (("body", b), ("lead", le), ("category", ca)))
-                      for h, rm, b, le, ca in zip(html, remove, body, lead, category)])
 
+def quoted(c: Column, pattern: str) -> Column:
+    """What stands in either kind of quotes."""
+    return F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2))
 
-def rules_frame(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(
-        rules, "source string, remove string, body array<string>, lead array<string>, category array<string>")
 
+def meta_value(tags: Column, keys) -> Column:
+    def one(attribute, key):
+        found = F.filter(tags, lambda t: t.rlike(meta_key(attribute, key)))
+        return non_empty(squeeze(decoded(quoted(F.get(found, F.lit(0)), CONTENT))))
+    return F.coalesce(*(one(*k) for k in keys))
 
-GENERIC_RULE = ("script, style, nav, header, footer, aside, .ad", ["article", "main", "body"],
-                ["first:article p"], ["first:.category"])
 
+def with_meta_tags(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("_meta", F.regexp_extract_all("html", F.lit(META), F.lit(0)))
 
-def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Attach the rule row of the page's source; unknown sources use the generic rule."""
-    j = pages.join(rules.withColumnRenamed("source", "_s"), F.col("source") == F.col("_s"), "left").drop("_s")
 
-    def lits(values):
-        return F.array(*[F.lit(v) for v in values])
-    return j.withColumns({
-        "remove": F.coalesce("remove", F.lit(GENERIC_RULE[0])), "body": F.coalesce("body", lits(GENERIC_RULE[1])),
-        "lead": F.coalesce("lead", lits(GENERIC_RULE[2])),
-        "category": F.coalesce("category", lits(GENERIC_RULE[3]))})
-
-
-def extract_articles(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages ``(page_id, url, html, source)`` to title, body, lead, category, image, description, date."""
-    t = with_rules(pages, rules)
-    t = t.withColumn("a", _article_udf("html", "remove", "body", "lead", "category"))
-    return t.select("page_id", "url", "source", F.length("html").alias("html_len"),
-                    F.col("html").isNull().alias("fetch_failed"), "a.*")
+def meta_fields(pages: DataFrame) -> DataFrame:
+    """``(page_id, *META_FIELDS)``; a page that was not fetched has nulls."""
+    return with_meta_tags(pages).select("page_id", *(meta_value(F.col("_meta"), keys).alias(n) for n, keys in META_FIELDS.items()))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", _visible_udf("html").alias("text"))
+    """Visible text of the whole page without head and dropped elements; null html gives null."""
+    return pages.select("page_id", visible(F.regexp_replace("html", elements("head", *DROPPED), "")).alias("text"))
 
 
-def meta_fields(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", _meta_udf("html").alias("m")).select("page_id", "m.*")
+def extract_articles(pages: DataFrame) -> DataFrame:
+    """Pages ``(page_id, url, html, source)`` to title, body, lead, category, image, description, date."""
+    t = with_meta_tags(pages).withColumn("_clean", F.regexp_replace("html", elements(*DROPPED), ""))
+
+    def all_inside(name):
+        return F.array_join(F.regexp_extract_all("_clean", F.lit(inside(name)), F.lit(1)), "")
+    t = t.withColumns({"_article": non_empty(all_inside("article")), "_main": non_empty(all_inside("main"))})
+    whole = F.regexp_replace("_clean", elements("head"), "")
+    meta = {n: meta_value(F.col("_meta"), keys) for n, keys in META_FIELDS.items()}
+    title = F.coalesce(non_empty(visible(F.regexp_extract("html", inside("title"), 1))), meta_value(F.col("_meta"), [("property", "og:title")]))
+    return t.select(
+        "page_id", "url", "source", F.length("html").alias("html_len"), F.col("html").isNull().alias("fetch_failed"),
+        title.alias("title"), visible(F.coalesce("_article", "_main", whole)).alias("body"),
+        non_empty(visible(F.regexp_extract("_article", inside("p"), 1))).alias("lead"),
+        F.coalesce(meta["section"], non_empty(visible(F.regexp_extract("_clean", CATEGORY, 1)))).alias("category"),
+        meta["og_image"].alias("image_url"), meta["og_description"].alias("og_description"), meta["published_time"].alias("published"))
 
 
 def harvest_links(pages: DataFrame, prefix: str = "/hirek/", base: str | None = None) -> DataFrame:
     """First occurrence of every prefixed link of a page, with absolute url and title."""
-    x = pages.select("page_id", "url", F.explode(_links_udf("html", F.lit(prefix))).alias("a"))
+    links = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(LINK), F.lit(0))).alias("pos", "a"))
+    links = links.select("page_id", "url", "pos", decoded(quoted(F.col("a"), HREF)).alias("href"), visible(F.col("a")).alias("text")).where(
+        (F.col("href") != "") & F.col("href").startswith(prefix))
     origin = F.lit(base) if base else F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    first = x.groupBy("page_id", "url", F.col("a.href").alias("href")).agg(
-        F.min(F.struct("a.pos", "a.text")).alias("f"))
+    first = links.groupBy("page_id", "url", "href").agg(F.min(F.struct("pos", "text")).alias("f"))
     return first.select("page_id", "href", F.concat(origin, "href").alias("link"),
                         F.coalesce(non_empty("f.text"), "href").alias("title"), F.col("f.pos").alias("pos"))
 
@@ -359,14 +159,3 @@ def extraction_stats(quality: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pages"), n(F.col("skipped")).alias("skipped"),
         n(F.col("quality") == "fallback").alias("fetch_failed"), n(F.col("quality") == "degraded").alias("degraded"),
         n(F.col("low_ratio") | F.col("title_mismatch")).alias("issues"))
-
-
-def selector_coverage(pages: DataFrame, rules: DataFrame, body_ok: int = 50, lead_ok: int = 10) -> DataFrame:
-    """Per source and selector: pages seen, pages where it found text, longest text, pages where it is enough."""
-    t = with_rules(pages, rules)
-    x = t.select("source", F.explode(_coverage_udf("html", "remove", "body", "lead", "category")).alias("c"))
-    need = F.when(F.col("kind") == "body", body_ok).when(F.col("kind") == "lead", lead_ok).otherwise(0)
-    return (x.select("source", "c.*").groupBy("source", "kind", "selector")
-            .agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("found")).alias("found"),
-                 F.max("text_len").alias("longest"), F.count_if(F.col("text_len") > need).alias("enough"),
-                 F.min(F.when(F.col("found"), F.col("preview"))).alias("preview")))

@@ -49,7 +49,10 @@ DELTAS = "sample_id bigint, previous bigint, counter_reset boolean, delta bigint
 
 def counter_delta_stream(samples: DataFrame, tails: BatchTable, deltas: BatchTable, checkpoint: str,
                          keys=("project_id", "branch_id")) -> None:
-    """Counter deltas across micro-batches: the last sample of every key is carried as one row."""
+    """Counter deltas across micro-batches: the newest sample of every key is carried as one row.
+
+    A sample that arrives late is compared with what its own batch holds before it, else has no previous one; it never
+    takes the place of a newer carried sample."""
     keys = list(keys)
 
     def on_batch(batch: DataFrame, n: int) -> None:
@@ -58,7 +61,7 @@ def counter_delta_stream(samples: DataFrame, tails: BatchTable, deltas: BatchTab
         both = last.unionByName(batch.withColumn("_old", F.lit(False)))
         out = cut(us.counter_deltas(both, keys).where("not _old"))
         deltas.write(out.select("sample_id", "previous", "counter_reset", "delta"), n)
-        newest = batch.groupBy(*keys).agg(F.max(F.struct("collected_at", "sample_id", "bytes")).alias("t"))
+        newest = both.groupBy(*keys).agg(F.max(F.struct("collected_at", "sample_id", "bytes")).alias("t"))
         tails.write(newest.select(*keys, "t.*"), n)
 
     run_available(samples, on_batch, checkpoint)

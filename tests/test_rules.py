@@ -173,30 +173,28 @@ def test_redaction(spark):
 
 
 PAGE = """<html><head><title>The Title</title><meta property="og:image" content=" i.png ">
-<meta property="article:section" content="sport"></head><body class="a rovat_kul_fold"><nav>menu</nav>
-<p class="article-lead">Lead  text</p><div class="article-html-content">Body <script>x()</script>one
-<div class="related-articles">skip</div> two</div><a href="/hirek/1">One <b>x</b></a><a href="/hirek/1">Again</a>
+<meta content='sport' property='article:section'></head><body class="a"><nav>menu</nav><!-- <p>no</p> -->
+<article><p>Lead  text</p><div>Body <script>x("</p>")</script>one
+<aside>skip</aside> &#337;&lt;t&gt; &amp;amp;</div></article><a href="/hirek/1">One <b>x</b></a><a class="c" href='/hirek/1'>Again</a>
 <a href="/other">No</a><a href="/hirek/2"></a></body></html>"""
 
 
 def test_page_extraction(spark):
-    from pressweave.sources.outlets import OUTLET_RULES
     pages = spark.createDataFrame([(1, "https://t.hu/a", PAGE, "telex"), (2, "https://t.hu/b", None, "telex"),
-                                   (3, "https://i.hu/c", PAGE, "index")],
+                                   (3, "https://i.hu/c", "", "index")],
                                   "page_id bigint, url string, html string, source string")
-    rules = html.rules_frame(spark, OUTLET_RULES)
-    got = {r["page_id"]: r for r in html.extract_articles(pages, rules).collect()}
+    got = {r["page_id"]: r for r in html.extract_articles(pages).collect()}
     assert (got[1]["body"], got[1]["lead"], got[1]["category"], got[1]["image_url"], got[1]["title"]) == (
-        "Body one two", "Lead text", "sport", "i.png", "The Title")
-    assert got[2]["fetch_failed"] and not got[1]["fetch_failed"]
-    links = html.harvest_links(pages.where("page_id = 1"), "/hirek/").orderBy("pos").collect()
+        "Lead textBody one ő<t> &amp;", "Lead text", "sport", "i.png", "The Title")
+    assert got[2]["fetch_failed"] and not got[1]["fetch_failed"] and got[3]["body"] == ""
+    links = html.harvest_links(pages, "/hirek/").orderBy("pos").collect()
     assert [(x["link"], x["title"]) for x in links] == [
         ("https://t.hu/hirek/1", "One x"), ("https://t.hu/hirek/2", "/hirek/2")]
     assert "menu" not in html.extract_text(pages).where("page_id = 1").first()["text"]
+    assert html.meta_fields(pages).where("page_id = 1").first()["section"] == "sport"
 
 
 def test_page_quality(spark):
-    from pressweave.sources.outlets import OUTLET_RULES
     long = PAGE.replace("one", "one " + "word " * 40)
     pages = spark.createDataFrame([(1, "u1", long, "telex"), (2, "u2", PAGE, "telex"), (3, "u3", None, "telex")],
                                   "page_id bigint, url string, html string, source string")
@@ -204,7 +202,7 @@ def test_page_quality(spark):
                                  "url string, title string, body_fallback string")
     for c in ("lead", "category", "image_url"):
         cand = cand.withColumn(c, F.lit(None).cast("string"))
-    q = html.extraction_quality(html.extract_articles(pages, html.rules_frame(spark, OUTLET_RULES)), cand)
+    q = html.extraction_quality(html.extract_articles(pages), cand)
     got = {r["page_id"]: r for r in q.collect()}
     assert [got[i]["quality"] for i in (1, 2, 3)] == ["good", "degraded", "fallback"]
     assert [got[i]["skipped"] for i in (1, 2, 3)] == [False, False, True]
