@@ -69,7 +69,7 @@ def search_fallback(spark, sf):
         "relevance_score", F.round("relevance_score", 6))
 
 
-QSQL = "list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 30)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
+QSQL = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
 
 
 @query("search_many", f"""
@@ -85,7 +85,7 @@ SELECT query_id, story_id, matched_articles, latest_published_at, relevance_scor
 WHERE place <= 50""")
 def search_many(spark, sf):
     a = fx.news_articles(spark, sf)
-    q = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 30).alias("text"))
+    q = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     out = se.search_many(se.build_index(texts(spark, sf), positions=False), a, q)
     return out.drop("place").withColumn("relevance_score", F.round("relevance_score", 6))
 

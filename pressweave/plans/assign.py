@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,10 +46,25 @@ def candidate_scores(articles: DataFrame, stories: DataFrame, now, k: int = 10,
             .select("id", "story_id", "sim", "score"))
 
 
+def _founders(lonely: DataFrame, first: DataFrame, max_size: int, parts: int = 64) -> DataFrame:
+    """Ids of ``first`` and, as its exact copies (equal ``_same``) fill one story each ``max_size``, of every so-many-th copy.
+
+    Copies are numbered in ``parts`` slices by a hash of their id, so a hot group is not one task."""
+    slices = Window.partitionBy("_same").orderBy("_part")
+    t = lonely.select("id", "_same").join(first.select("_same").distinct(), "_same", "left_semi").join(
+        first.select("id", F.lit(-1).alias("_at")), "id", "left").withColumn(
+        "_part", F.coalesce("_at", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")))
+    before = t.groupBy("_same", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_same", "_part").orderBy("id"))
+    numbered = t.withColumn("_nth", nth).join(before, ["_same", "_part"])
+    return numbered.where((F.col("_part") == -1) | ((F.col("_before") + F.col("_nth") - 1) % max_size == 0)).select("id")
+
+
 def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: float = vocab.SIM_THRESHOLD,
                    max_size: int = vocab.MAX_STORY_SIZE, lookback_hours: int = vocab.ASSIGN_LOOKBACK_HOURS,
-                   rounds: int = 12, k: int = 10, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``(assignments, new_stories)`` for one batch of articles.
+                   rounds: int | None = None, k: int = 10, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(assignments, new_stories, changed_stories)`` for one batch of articles.
 
     Articles ``id, vec, title, matching_text, role, entities, article_type, created_at``; stories ``id, title,
     article_count, entities, centroid, created_at, updated_at``. Aggregation articles get no story.
@@ -56,12 +72,15 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
     One round scores everything still open against the current stories, gives each article its best story,
     lets a story take its best articles up to its free places, and moves centroids, counts and entities. An
     article without any story whose vector is not close to an earlier one of the same kind founds a story.
-    What is left after the last round founds a story each. New ids are the largest story id plus the founder's
+    Of exact copies every ``max_size``-th founds one at once, so a hot event takes few rounds. Rounds go on until
+    nothing is open: each one has a founder or an article that finds a place. With ``rounds`` given, what is left
+    after the last one founds a story each. Existing stories that took articles come back with their new centroid,
+    count and entities. New ids are the largest story id plus the founder's
     id plus one. Within a batch the outcome does not depend on row order.
     """
     cutoff = ntz(as_datetime(now) - dt.timedelta(hours=lookback_hours))
-    todo = cut(articles.where("article_type is null or article_type <> 'aggregation'").withColumn(
-        "ord", F.col("id")))
+    todo = cut(articles.where("article_type is null or article_type <> 'aggregation'").withColumns({
+        "ord": F.col("id"), "_same": F.xxhash64("vec", "matching_text", "role", "entities")}))
     top_id = stories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     now_stories = cut(stories.where((F.col("updated_at") > cutoff) & F.col("centroid").isNotNull()).select(*STORY))
     done, founded = [], []
@@ -70,7 +89,7 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
         return rows.select((F.col("id") + F.lit(top_id + 1)).alias("id"), "title", F.lit(1).cast("bigint").alias(
             "article_count"), "entities", F.col("vec").alias("centroid"), ntz(as_datetime(now)).alias("created_at"))
 
-    for turn in range(rounds + 1):
+    for turn in itertools.count():
         if todo.isEmpty():
             break
         if turn == rounds:
@@ -78,7 +97,7 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
         else:
             free = now_stories.where(F.col("article_count") < max_size)
             scored = cut(candidate_scores(todo, free, now, k, threshold, block))
-            mine = Window.partitionBy("id").orderBy(F.col("score").desc(), "story_id")
+            mine = Window.partitionBy("id").orderBy(F.col("score").desc(), F.xxhash64("id", "story_id"), "story_id")
             best = scored.withColumn("_rn", F.row_number().over(mine)).where("_rn = 1").drop("_rn")
             queue = Window.partitionBy("story_id").orderBy(F.col("score").desc(), "id")
             room = free.select(F.col("id").alias("story_id"), (F.lit(max_size) - F.col("article_count")).alias("room"))
@@ -90,7 +109,8 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
             # ids are given in arrival order, so the lower id is the earlier article
             earlier = knn_join(side, side, 1, threshold - vocab.CANDIDATE_MARGIN, block=block, self_join=True,
                                earlier=True).select("id")
-            seeds = cut(lonely.join(earlier, "id", "left_anti"))
+            first = lonely.join(earlier, "id", "left_anti").select("id", "_same")
+            seeds = cut(lonely.join(_founders(lonely, first, max_size), "id", "left_semi"))
         fresh = cut(found(seeds))
         founded.append(fresh)
         seeded = seeds.select("id", (F.col("id") + F.lit(top_id + 1)).alias("story_id"))
@@ -121,7 +141,16 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
     founders = union(founded, now_stories).select("id").distinct()
     late = union(founded[-1:], now_stories).select(*current.columns)
     new = current.join(founders, "id", "left_semi").unionByName(late.join(current.select("id"), "id", "left_anti"))
-    return assigned, new
+    changed = now_stories.join(stories.select("id"), "id", "left_semi").join(
+        assigned.select(F.col("story_id").alias("id")), "id", "left_semi").select(*current.columns)
+    return assigned, new, changed
+
+
+def renewed(stories: DataFrame, new: DataFrame, changed: DataFrame, at, everything: bool = False) -> DataFrame:
+    """Rows to write after a batch: new stories and changed ones, dated ``at``; with ``everything`` the others too."""
+    moved = changed.join(stories.select("id", "created_at"), "id").withColumn("updated_at", at)
+    rows = moved.unionByName(new.withColumns({"created_at": at, "updated_at": at}))
+    return rows.unionByName(stories.join(changed.select("id"), "id", "left_anti")) if everything else rows
 
 
 def rebuild(articles: DataFrame, bounds: list, now, **options) -> DataFrame:
@@ -135,13 +164,7 @@ def rebuild(articles: DataFrame, bounds: list, now, **options) -> DataFrame:
     stories, out = empty, None
     for lo, hi in zip(bounds, bounds[1:]):
         batch = articles.where((F.col("created_at") >= ntz(as_datetime(lo))) & (F.col("created_at") < ntz(as_datetime(hi))))
-        done, new = assign_stories(batch, stories, hi, **options)
-        at = ntz(as_datetime(hi))
-        fresh = new.withColumns({"created_at": at, "updated_at": at}).select(*empty.columns)
-        grown = done.groupBy(F.col("story_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-        old = stories.join(grown, "id", "left").withColumns({
-            "article_count": F.col("article_count") + F.coalesce("_n", F.lit(0)),
-            "updated_at": F.when(F.col("_n") > 0, at).otherwise(F.col("updated_at"))}).drop("_n")
-        stories = cut(old.unionByName(fresh))
+        done, new, changed = assign_stories(batch, stories, hi, **options)
+        stories = cut(renewed(stories, new, changed, ntz(as_datetime(hi)), everything=True).select(*empty.columns))
         out = done if out is None else out.unionByName(done)
     return out

@@ -112,10 +112,9 @@ def split_outliers(members: DataFrame, **limits) -> DataFrame:
 
 # ---- verdict cache ------------------------------------------------------------------
 
-def fingerprints(members: DataFrame, key: str = "cluster", max_size: int = vocab.MAX_CLUSTER_SIZE) -> DataFrame:
-    """Comma-joined sorted member ids of clusters up to ``max_size``; no larger set can equal one."""
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_size).select(key)
-    return members.join(sizes, key, "left_semi").groupBy(key).agg(
+def fingerprints(members: DataFrame, key: str = "cluster") -> DataFrame:
+    """Comma-joined sorted member ids of every cluster."""
+    return members.groupBy(key).agg(
         F.array_sort(F.collect_list("id")).alias("article_ids")).withColumn(
         "fingerprint", F.array_join(F.transform("article_ids", lambda x: x.cast("string")), ","))
 
@@ -167,22 +166,23 @@ def _regroup(parts: DataFrame) -> DataFrame:
     return parts.join(head, ["cluster", "part"]).select(F.col("_new").alias("cluster"), "id")
 
 
-def apply_verdicts(members: DataFrame, articles: DataFrame, cache: DataFrame, stories: DataFrame | None = None,
-                   rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def apply_verdicts(members: DataFrame, articles: DataFrame, cache: DataFrame, stories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Split clusters by stored verdicts until none applies, then give every cluster a title.
 
     Returns ``(members, titles)``, clusters keyed by their smallest member. A stored title is reused only when the cluster's metadata look sound;
     ``stories`` (``fingerprint, title, summary``) are existing clusters with the same members. Otherwise the
     title is that of the first article."""
     now = cut(_regroup(members.select("cluster", "id", F.lit(0).alias("part"))))
-    for _ in range(rounds):
+    while True:  # each pass leaves smaller clusters only
         prior = cut(prior_splits(now, cache))
         left = now.join(prior.select("cluster").distinct(), "cluster", "left_anti")
         same = fingerprints(left).join(valid_decisions(cache).where(~F.col("coherent")).select(
             "fingerprint", "groups"), "fingerprint")
         stored = same.select("cluster", F.posexplode("groups").alias("part", "ids")).select(
             "cluster", F.explode("ids").alias("id"), F.col("part").cast("bigint").alias("part"))
-        stored = cut(stored.join(left, ["cluster", "id"], "left_semi"))
+        stored = stored.join(left, ["cluster", "id"], "left_semi")
+        several = stored.groupBy("cluster").agg(F.count_distinct("part").alias("_n")).where("_n >= 2").select("cluster")
+        stored = cut(stored.join(several, "cluster", "left_semi"))
         if prior.isEmpty() and stored.isEmpty():
             break
         split = prior.unionByName(stored)

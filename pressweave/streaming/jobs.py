@@ -13,7 +13,7 @@ from ..functions.hooks import embed_texts
 from ..functions.text import cluster_text, event_role
 from ..operators.keyed import drop_known, first_per_key
 from ..plans import usage as us
-from ..plans.assign import assign_stories
+from ..plans.assign import assign_stories, renewed
 from ..plans.screening import route_low_value, validate_articles
 from ..session import cut
 from .state import BatchTable, run_available
@@ -154,15 +154,12 @@ class Ingest:
         now = fresh.agg(F.max("created_at").alias("m")).first()["m"] + dt.timedelta(seconds=1)
         before = cut(self.stories.latest(["id"], before=n))
         ready = fresh.join(vec, "id")
-        assigned, founded = assign_stories(ready, before, now, **self.options)
+        assigned, founded, changed = assign_stories(ready, before, now, **self.options)
         placed = fresh.join(assigned, "id", "left").select("id", "url", "fingerprint", "title", "source_slug",
                                                          "story_id", "created_at")
         self.articles.write(placed, n)
         at = F.lit(now).cast("timestamp_ntz")
-        grown = assigned.groupBy(F.col("story_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-        touched = before.join(grown, "id").withColumns({
-            "article_count": F.col("article_count") + F.col("_n"), "updated_at": at}).drop("_n")
-        self.stories.write(touched.unionByName(founded.withColumns({"created_at": at, "updated_at": at})), n)
+        self.stories.write(renewed(before, founded, changed, at).select(*before.columns), n)
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         run_available(stream, self.on_batch, checkpoint)

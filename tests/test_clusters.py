@@ -1,5 +1,6 @@
 """Clustering, merging, matching and assignment against plain definitions on small data."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -164,10 +165,40 @@ def test_assignment_invariants(spark):
     new = assignable(spark, sf).drop("story_id").where("id < 80")
     stories = spark.createDataFrame([], "id bigint, title string, article_count bigint, entities array<string>, "
                                         "centroid array<double>, created_at timestamp_ntz, updated_at timestamp_ntz")
-    done, founded = assign_stories(new, stories, fx.NOW, threshold=0.2, max_size=5, rounds=4)
+    done, founded, _ = assign_stories(new, stories, fx.NOW, threshold=0.2, max_size=5)
     rows = done.toPandas()
     kinds = {r["id"]: r["article_type"] for r in new.collect()}
     assert sorted(rows["id"]) == sorted(i for i, k in kinds.items() if k != "aggregation")
     assert rows.groupby("story_id").size().max() <= 5
     counts = {r["id"]: r["article_count"] for r in founded.collect()}
     assert counts == rows.groupby("story_id").size().to_dict()
+
+
+def assign_rows(spark, rows):
+    return spark.createDataFrame([(i, list(v), "t", "t", "event", ["A", "B"], None, dt.datetime(2024, 1, 1)) for i, v in rows],
+                                 "id bigint, vec array<double>, title string, matching_text string, role string, "
+                                 "entities array<string>, article_type string, created_at timestamp_ntz")
+
+
+NO_STORIES = ("id bigint, title string, article_count bigint, entities array<string>, centroid array<double>, "
+              "created_at timestamp_ntz, updated_at timestamp_ntz")
+
+
+def test_equal_articles_fill_whole_stories(spark):
+    from pressweave.plans.assign import assign_stories
+    done, _, _ = assign_stories(assign_rows(spark, [(i, (1.0, 0.0)) for i in range(60)]), spark.createDataFrame([], NO_STORIES),
+                                "2024-01-01", max_size=12)
+    rows = done.toPandas()
+    assert len(rows) == 60 and rows["id"].is_unique
+    assert sorted(rows.groupby("story_id").size()) == [12] * 5
+
+
+def test_changed_stories_come_back(spark):
+    from pressweave.plans.assign import assign_stories, renewed
+    old = spark.createDataFrame([(7, "t", 1, ["A", "B"], [1.0, 0.0], dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1)),
+                                 (8, "u", 1, ["C"], [0.0, -1.0], dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1))], NO_STORIES)
+    done, new, changed = assign_stories(assign_rows(spark, [(1, (0.8, 0.6))]), old, "2024-01-01")
+    assert [tuple(r) for r in done.collect()] == [(1, 7)] and new.isEmpty()
+    rows = {r["id"]: r for r in renewed(old, new, changed, F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz"), everything=True).collect()}
+    assert set(rows) == {7, 8} and rows[7]["article_count"] == 2 and rows[8]["article_count"] == 1
+    assert rows[7]["centroid"][1] > 0.2 and rows[7]["created_at"] == dt.datetime(2024, 1, 1)

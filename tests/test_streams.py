@@ -37,6 +37,17 @@ def test_counter_deltas_across_batches(spark, sf):
     assert deltas.rows().exceptAll(want).isEmpty() and want.exceptAll(deltas.rows()).isEmpty()
 
 
+def test_late_sample_does_not_move_the_tail(spark):
+    work = tempfile.mkdtemp(prefix="work-")
+    for i, (hour, size) in enumerate([(10, 100), (5, 50), (11, 110)]):
+        spark.sql(f"SELECT {i}L AS sample_id, 1L AS project_id, 'b' AS branch_id, CAST('2024-01-01 {hour:02d}:00:00' AS timestamp_ntz) "
+                  f"AS collected_at, {size}L AS bytes").coalesce(1).write.mode("append").parquet(f"{work}/in")
+    tails = BatchTable(spark, work + "/t", jobs.TAIL).create()
+    deltas = BatchTable(spark, work + "/d", jobs.DELTAS).create()
+    jobs.counter_delta_stream(parquet_stream(spark, work + "/in", "*.parquet", files_per_batch=1), tails, deltas, work + "/c")
+    assert {r["sample_id"]: (r["previous"], r["delta"]) for r in deltas.rows().collect()} == {0: (None, None), 1: (None, None), 2: (100, 10)}
+
+
 def test_quota_across_batches(spark, sf):
     folder = split_events(spark, sf)
     work = tempfile.mkdtemp(prefix="work-")
