@@ -291,11 +291,11 @@ def assigned_stories(spark, sf):
     s = fx.news_stories(spark, sf, entities=True)
     s = s.join(centroids(spark, sf).select(F.col("story_id").alias("id"), "centroid"), "id").select(
         "id", "title", "article_count", "entities", "centroid", F.col("first_seen_at").alias("created_at"), "updated_at")
-    done, _, _ = asg.assign_stories(new, s, fx.NOW, threshold=0.30, max_size=60, lookback_hours=24 * 31)
+    done, _, _ = asg.assign_stories(new, s, fx.NOW, threshold=0.30, max_size=60, lookback_hours=24 * 31, rounds=4)
     return done
 
 
 @query("rebuilt_stories")
 def rebuilt_stories(spark, sf):
     return asg.rebuild(assignable(spark, sf).drop("story_id"), ["2024-01-01", "2024-01-16", "2024-02-01"], fx.NOW,
-                       threshold=0.40, lookback_hours=24 * 31)
+                       threshold=0.40, rounds=3, lookback_hours=24 * 31)
