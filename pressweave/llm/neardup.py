@@ -51,8 +51,8 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     word = each[np.asarray(coded.indices)]
     factor = _odd(17, width)
     n = len(word)
-    total = np.zeros(max(n, 0), dtype=np.uint64)
-    for j in range(width):
+    total = np.zeros(n, dtype=np.uint64)
+    for j in range(min(width, n)):
         total[:n - j] += word[j:] * factor[j]
     total = mixed(total)
     starts = starts_of(counts)

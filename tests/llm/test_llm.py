@@ -215,6 +215,13 @@ def test_near_duplicates_hard(hard, nothing):
     assert neardup.one_of_each(hard).columns == hard.columns
 
 
+@pytest.mark.parametrize("text", ["a", "a b", "a b c", "a b c d"])
+def test_a_short_document_alone_in_its_partition(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1)
+    assert [(r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=5).collect()] == [(1, 1, True)]
+    assert neardup.one_of_each(df).count() == 1
+
+
 # ---- 7 classifier -----------------------------------------------------------------
 
 def test_classifier_held_out(spark, sf):
