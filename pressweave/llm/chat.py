@@ -16,6 +16,8 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 #: Strings that must not stand in a text: the marks' opening and the control strings of common chat templates.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TURNS = "array<struct<role:string,text:string>>"
+#: Records of so many bytes are read without a variant where none can hold them (Spark's limit is about four times as much).
+LONG = 4 << 20
 #: Names of the speakers in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "chatgpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -78,6 +80,46 @@ def _turns(layout: Layout, record: Column) -> Column:
         for f in layout.fields))
 
 
+def _skeleton(record: Column) -> Column:
+    """A JSON text without white space: known names with a value are ``<name>``, other strings, numbers and truth values ``<>``."""
+    names = sorted({n for x in LAYOUTS for n in (x.items or [p for f in x.fields for p in f[1:]])})
+    text = F.regexp_replace(record, r"(?s)\\.", "?")  # what is escaped can't end a string
+    text = F.regexp_replace(text, '"(?:(' + "|".join(names) + r')"\s*+:|[^"]*+")', "<$1>")
+    text = F.regexp_replace(text, r"\s++", "")
+    text = F.regexp_replace(text, r"-?[0-9][0-9.eE+-]*+|\b(?:true|false)\b", "<>")
+    return F.regexp_replace(text, r"<(\w++)>(?:<>|null)", "<$1>")
+
+
+def _long_fits(layout: Layout, skeleton: Column) -> Column:
+    """Whether a skeleton has the field paths of a layout (an empty list is never long)."""
+    if layout.items:
+        path, role, text = layout.items
+        turn = rf"\{{(?:<{role}>(?:,<{text}>)?|<{text}>(?:,<{role}>)?)?\}}"
+        rest = F.regexp_replace(F.regexp_replace(skeleton, turn, "#"), r"(?<=[\[,])null(?=[,\]])", "#")
+        return (F.regexp_replace(rest, "#,(?=#)", "") == f"{{<{path}>[#]}}") & F.contains(skeleton, F.lit(f"<{role}>")) & F.contains(
+            skeleton, F.lit(f"<{text}>"))
+    fields = sorted(f"<{p}>" for f in layout.fields for p in f[1:])
+    return (F.length(skeleton) < 1000) & (F.array_join(F.sort_array(F.split(F.regexp_replace(skeleton, r"^\{|\}$", ""), ",")), ",") == ",".join(
+        fields)) & F.startswith(skeleton, F.lit("{")) & F.endswith(skeleton, F.lit("}"))
+
+
+def _long_turns(layout: Layout, record: Column) -> Column:
+    """``_turns`` of a record that no variant can hold; null if it is broken."""
+    shape = f"`{layout.items[0]}` array<struct<`{layout.items[1]}`:string,`{layout.items[2]}`:string>>" if layout.items else ", ".join(
+        f"`{p}` string" for f in layout.fields for p in f[1:])
+    parsed = F.from_json(record, f"{shape}, _broken string", {"columnNameOfCorruptRecord": "_broken", "maxStringLen": str(2 ** 31 - 1)})
+    if layout.items:
+        path, role, text = layout.items
+        turns = F.transform(parsed[path], lambda t: F.struct(
+            F.coalesce(t[role], F.lit("")).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+    else:
+        value = lambda p: F.coalesce(parsed[p], F.lit(""))
+        turns = F.array(*(F.struct(F.lit(f[0]).alias("role"), F.array_join(F.filter(
+            F.array(*(value(p) for p in f[1:])), lambda x: x != "") if len(f) > 2 else F.array(value(f[1])), "\n\n").alias("text"))
+            for f in layout.fields))
+    return F.when(parsed["_broken"].isNull(), turns)
+
+
 def _prints(spark: SparkSession) -> list[int]:
     """Fingerprints of the layouts' examples (constants; one row)."""
     return list(spark.range(1).select(*(fingerprint(F.lit(x.example)).alias(f"f{i}") for i, x in enumerate(LAYOUTS))).first())
@@ -86,11 +128,16 @@ def _prints(spark: SparkSession) -> list[int]:
 def canonical_turns(records: DataFrame, record: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(*keep, layout, turns)`` of JSON records.
 
-    A record of another layout, a broken one and a null have null ``layout`` and ``turns``: none is dropped. Null
-    roles and texts are empty. Speaker names of other layouts become user and assistant."""
+    A record of another layout, a broken one and a null have null ``layout`` and ``turns``: none is dropped. A record
+    too long for a variant is read by its layout's schema. Null roles and texts are empty. Speaker names of other layouts become user and assistant."""
     prints = _prints(records.sparkSession)
     base = records.select(*keep, F.col(record).alias("_record"), fingerprint(F.col(record)).alias("_print"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    base = base.withColumn("_long", F.when(
+        (F.octet_length("_record") >= LONG) & F.try_parse_json("_record").isNull(), _skeleton(F.col("_record"))))
+    lists = [x for x in LAYOUTS if x.name != "messages_empty"]
+    base = base.withColumn("_fit", F.when(F.col("_long").isNotNull(), F.coalesce(*(F.when(_long_fits(x, F.col("_long")), F.lit(x.name)) for x in lists))))
+    base = base.withColumn("_read", F.coalesce(*(F.when(F.col("_fit") == x.name, _long_turns(x, F.col("_record"))) for x in lists)))
+    layout, turns = F.when(F.col("_read").isNotNull(), F.col("_fit")), F.col("_read")
     for x, print_ in reversed(list(zip(LAYOUTS, prints))):
         here = F.col("_print") == F.lit(print_)
         layout = F.when(here, F.lit(x.name)).otherwise(layout)

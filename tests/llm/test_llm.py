@@ -299,6 +299,26 @@ def test_control_strings_come_back(spark):
     assert not any(c in inside for c in chat.CONTROL)
 
 
+def test_records_that_no_variant_holds(spark):
+    text = 'é"\\ \n a:b,{}[] 12 null <role> <|end|> ' * 450_000  # 17 million characters
+    many = [("user" if i % 2 == 0 else "assistant", f"turn {i} " * 16) for i in range(100_000)]
+    parts = [spark.createDataFrame([(1, 0, "user", text[:len(text) // 450_000]), (1, 1, "assistant", "b")], "conv_id int, turn int, role string, text string")
+             .withColumn("text", F.when(F.col("turn") == 0, F.repeat("text", F.lit(450_000))).otherwise(F.col("text"))),
+             spark.range(100_000).selectExpr("2 AS conv_id", "CAST(id AS int) AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role",
+                                             "repeat(concat('turn ', id, ' '), 16) AS text")]
+    records = chat.conversation_records(parts[0].unionByName(parts[1]))
+    assert records.where("octet_length(record) > 16 << 20").count() == 2
+    got = {r.conv_id: r for r in chat.chat_digests(chat.format_chats(records, keep=("conv_id",))).collect()}
+    for i, turns in ((1, [("user", text), ("assistant", "b")]), (2, many)):
+        assert got[i].n_turns == len(turns)
+        assert got[i].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert got[i].loss_sha256 == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
+    long = "concat(%s, repeat('long ', 4000000), %s)"
+    odd = spark.range(1).selectExpr("inline(array(" + ",".join(f"struct({i} AS conv_id, " + long % (repr(a), repr(b)) + " AS record)" for i, (a, b) in enumerate((
+        ('{"output":"b","instruction":"', '"}'), ('{"prompt":"', '"}'), ('{"messages":[{"role":"user","content":"', '"}]'), ('{"prompt":"', '","response":["a"]}')))) + "))")
+    assert {r.conv_id: r.layout for r in chat.canonical_turns(odd, keep=("conv_id",)).collect()} == {0: "instruction", 1: None, 2: None, 3: None}
+
+
 # ---- 10 BPE -----------------------------------------------------------------------
 
 def test_bpe_equals_the_library(spark, sf, hard, nothing):
