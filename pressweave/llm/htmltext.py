@@ -185,17 +185,14 @@ def chosen(page: Page) -> list[bool]:
         path.append(page.parent[path[-1]])
     roots = [i for i in path if page.tag[i] == "article"] or [i for i in path if page.tag[i] == "main"]
     keep = [False] * n
-    if roots:
-        keep[roots[-1]] = True
-    else:
-        keep[anchor] = True
-        inner = path[:next((k for k, i in enumerate(path) if page.tag[i] == "body"), len(path) - 1) + 1]
-        threshold = min(density[i] for i in inner)
-        on_path = set(path)
-        for i in range(1, n):  # blocks beside the path, dense enough and not made of links
-            if page.parent[i] in on_path and i not in on_path and page.tag[i] in BLOCK and density[i] >= threshold > 0 \
-                    and 2 * links[i] <= chars[i]:
-                keep[i] = True
+    keep[roots[-1] if roots else anchor] = True
+    inner = path[:next((k for k, i in enumerate(path) if page.tag[i] == "body"), len(path) - 1) + 1]
+    threshold = min(density[i] for i in inner)
+    on_path = set(path)
+    for i in range(1, n):  # blocks beside the path, dense enough and not made of links
+        if page.parent[i] in on_path and i not in on_path and page.tag[i] in BLOCK and density[i] >= threshold > 0 \
+                and 2 * links[i] <= chars[i]:
+            keep[i] = True
     for i in range(1, n):
         keep[i] = keep[i] or keep[page.parent[i]]
     # lists of links inside the main text are menus

@@ -260,6 +260,14 @@ def test_main_text():
     assert htmltext.main_text("<p" * 2000) is not None and htmltext.main_text('<a href="' * 3000) is not None
 
 
+def test_sibling_articles_are_taken_like_sibling_blocks():
+    parts = [[f"Part{i} " + prose(10 * i + k, 60) for k in range(10 if i == 1 else 2)] for i in range(4)]
+    for tag in ("article", "div"):
+        page = "<body><nav><a href=1>Home</a></nav>" + "".join(
+            f"<{tag}>" + "".join(f"<p>{t}</p>" for t in part) + f"</{tag}>" for part in parts) + "<footer>f</footer>"
+        assert htmltext.main_text(page).split("\n") == [t for part in parts for t in part], tag
+
+
 def test_deep_pages_take_linear_time():
     import time
 
