@@ -41,6 +41,8 @@ HINT = re.compile(
     r"breadcrumbs?|footer|comments?|commentlist|disqus|respond|replies|reply|related|recommended|recommendations|widget|toolbar|"
     r"pagination|pager|search|skip)(?:$|[\s_-])", re.I)
 HEAD_HINT = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+#: What a class or id hints at goes if it holds up to this share of the page's text outside links.
+SMALL = 1 / 2
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu toolbar".split())
 
 
@@ -48,7 +50,7 @@ class Page:
     """Nodes of a page (tag, parent, left out or not) and its texts and block borders in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out = ["html"], [-1], [False]
+        self.tag, self.parent, self.out, self.hinted = ["html"], [-1], [False], [False]
         self.flow: list[tuple[int, str | None]] = []  # (node, text), or None for a border between blocks
         self.open = Counter()  # how many elements of each tag are open: the stack is searched only for what is on it
         stack = [0]
@@ -110,32 +112,61 @@ class Page:
         up = stack[-1]
         self.tag.append(name)
         self.parent.append(up)
-        self.out.append(self.out[up] or self._left_out(name, attributes))
+        out, hinted = self._left_out(name, attributes)
+        self.out.append(self.out[up] or out)
+        self.hinted.append(hinted)
         if name in BLOCK:
             self.flow.append((up, None))
         if name not in VOID and not attributes.endswith("/"):
             stack.append(node)
             self.open[name] += 1
 
-    def _left_out(self, name, attributes) -> bool:
+    def _left_out(self, name, attributes) -> tuple[bool, bool]:
+        """Whether a node is left out whatever it holds, and whether its class or id hints that it may be."""
         if name in ("html", "body"):
-            return False
+            return False, False
         if name in LEAVES_OUT:
-            return True
-        inside = self.open["article"] > 0 or self.open["main"] > 0
+            return True, False
+        inside, hinted = self.open["article"] > 0 or self.open["main"] > 0, False
         if name == "header" and not inside:
-            return True
+            return True, False
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True
+                return True, False
             if key == "role" and value.lower() in ROLES:
-                return True
+                return True, False
             if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
+                return True, False
             if key in ("class", "id") and (HINT.search(value) or not inside and HEAD_HINT.search(value)):
-                return True
-        return False
+                hinted = True
+        return False, hinted and name not in ("article", "main")
+
+
+def leave_hinted(page: Page) -> None:
+    """Leaves out hinted nodes that are made of links or hold at most ``SMALL`` of the page's text outside links; none
+    that is or holds an article or main."""
+    if not any(page.hinted):
+        return
+    n = len(page.tag)
+    chars, links, holds, in_link = [0] * n, [0] * n, [tag in ("article", "main") for tag in page.tag], [False] * n
+    for i in range(1, n):
+        in_link[i] = page.tag[i] == "a" or in_link[page.parent[i]]
+    for node, text in page.flow:
+        if text is not None and not page.out[node]:
+            size = len("".join(text.split()))
+            chars[node] += size
+            links[node] += size * in_link[node]
+    for i in range(n - 1, 0, -1):
+        if not page.out[i]:
+            up = page.parent[i]
+            chars[up] += chars[i]
+            links[up] += links[i]
+            holds[up] = holds[up] or holds[i]
+    plain = chars[0] - links[0]
+    for i in range(1, n):
+        page.out[i] = page.out[i] or page.out[page.parent[i]] or page.hinted[i] and not holds[i] and (
+            2 * links[i] > chars[i] or chars[i] - links[i] <= SMALL * plain)
 
 
 def densities(page: Page) -> tuple[list[float], list[float], list[int], list[int]]:
@@ -176,6 +207,7 @@ def densities(page: Page) -> tuple[list[float], list[float], list[int], list[int
 def chosen(page: Page) -> list[bool]:
     """Which nodes belong to the main text."""
     n = len(page.tag)
+    leave_hinted(page)
     density, sums, chars, links = densities(page)
     anchor = max(range(n), key=lambda i: (sums[i], -i))
     if sums[anchor] <= 0:
@@ -195,11 +227,12 @@ def chosen(page: Page) -> list[bool]:
             keep[i] = True
     for i in range(1, n):
         keep[i] = keep[i] or keep[page.parent[i]]
-    # lists of links inside the main text are menus
-    children = Counter(page.parent)
+    # lists of links are menus unless they stand in an article or main
+    children, inside = Counter(page.parent), [False] * n
     for i in range(1, n):
+        inside[i] = inside[page.parent[i]] or page.tag[i] in ("article", "main")
         if page.tag[i] in ("ul", "ol", "div", "section", "table") and chars[i] and 3 * links[i] > 2 * chars[i] \
-                and children[i] > 1 and i not in path:
+                and children[i] > 1 and i not in on_path and not inside[i]:
             page.out[i] = True
         page.out[i] = page.out[i] or page.out[page.parent[i]]
     return [k and not o for k, o in zip(keep, page.out)]

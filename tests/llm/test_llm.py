@@ -268,6 +268,17 @@ def test_sibling_articles_are_taken_like_sibling_blocks():
         assert htmltext.main_text(page).split("\n") == [t for part in parts for t in part], tag
 
 
+def test_loose_class_words_and_source_lists_stay():
+    body = "<p>" + prose(5, 80) + "</p><p>" + prose(6, 80) + "</p>"
+    menu = "<div class='share-menu'><a href=1>Tweet it</a> <a href=2>Post it</a></div>"
+    for opened, closed in (('<article class="post comments-open">', "</article>"), ('<div class="content no-sidebar">', "</div>"),
+                           ('<div class="entry has-share-buttons">', "</div>"), ('<div id="social"><article>', "</article></div>")):
+        got = htmltext.main_text(f"<body><div class=nav><a href=0>Home</a></div>{opened}{body}{menu}{closed}<div class=sidebar>Side words</div></body>")
+        assert got.split("\n") == [prose(5, 80), prose(6, 80)], opened
+    sources = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul>"
+    assert htmltext.main_text(f"<article>{body}{sources}</article>").endswith("First source\nSecond source")
+
+
 def test_deep_pages_take_linear_time():
     import time
 
