@@ -16,8 +16,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated chunks of lines are cut out; a document of which nothing is left goes."""
-    return linededup.dedup_lines(docs, n_chars="n_chars", drop_emptied=True)
+    """Later copies of repeated passages are cut out, all their whole lines; a document of which nothing is left goes."""
+    return linededup.dedup_lines(docs, n_chars="n_chars", drop_emptied=True, whole=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

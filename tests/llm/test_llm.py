@@ -94,6 +94,25 @@ def test_repeated_passage_goes_and_clean_text_stays(spark):
         assert got[i] == t if i not in (5, 8) else len(got[i]) < len(t) - len(passage) // 2
 
 
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_planted_passages_go_whole(spark, n):
+    import corpus_pipeline as cp
+
+    rows, want = [], {}
+    for p in range(8):
+        size = 50 + p
+        passage = "".join(prose(1000 * n + 10 * p + k, size // n + (k < size % n)) + ". " for k in range(n))
+        for c in range(3):
+            key = 10 * p + c
+            before, after = prose(7000 + 100 * n + key, 12) + ". ", prose(8000 + 100 * n + key, 12) + ".\n\n" + prose(9000 + 100 * n + key, 9)
+            rows.append((key, before + passage + after, 0))
+            want[key] = before + (passage if c == 0 else "") + after
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, df, "").collect()}
+    assert {k: got[k][0] for k in want} == want
+    assert all(got[k][1] == len(want[k]) for k in want if k % 10)
+
+
 def test_lines_hard(hard, nothing):
     got = linededup.dedup_lines(hard)
     assert got.columns == hard.columns and got.count() == hard.count()
@@ -101,6 +120,13 @@ def test_lines_hard(hard, nothing):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def test_whole_passages_hard(hard, nothing):
+    whole = linededup.dedup_lines(hard, whole=True)
+    assert whole.columns == hard.columns and whole.count() == hard.count()
+    assert {r.text for r in whole.where("doc_id = 2").collect()} == {None} and {r.text for r in whole.where("doc_id = 7").collect()} == {" \n\t "}
+    assert linededup.dedup_lines(nothing, whole=True).count() == 0
+
+
 # ---- 3 decontamination ------------------------------------------------------------
 
 def test_short_and_repeated_items(spark):
