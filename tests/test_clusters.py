@@ -202,3 +202,12 @@ def test_changed_stories_come_back(spark):
     rows = {r["id"]: r for r in renewed(old, new, changed, F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz"), everything=True).collect()}
     assert set(rows) == {7, 8} and rows[7]["article_count"] == 2 and rows[8]["article_count"] == 1
     assert rows[7]["centroid"][1] > 0.2 and rows[7]["created_at"] == dt.datetime(2024, 1, 1)
+
+
+def test_registered_queries_have_no_round_limits():
+    import inspect
+
+    from pressweave.catalog import streams, vectors
+
+    for query in (vectors.assigned_stories, vectors.rebuilt_stories, vectors.split_oversize, streams.ingest_stream):
+        assert "rounds=" not in inspect.getsource(query) and "max_depth=" not in inspect.getsource(query)
