@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cascade, chat, decontam, htmltext, langid, linededup, neardup, ruleensemble, tokenbin, wordbpe
+from . import (cascade, chat, decontam, htmltext, langid, linededup, mixing, neardup, prefixtrie, ruleensemble, tokenbin, vectorcode,
+               wordbpe)
 from .common import load, remainder
 
 QUERIES: dict = {}
@@ -178,3 +179,88 @@ def op9_chat_format(spark, sf_dir):
 @query("op10_bpe_round_trip")
 def op10_bpe_round_trip(spark, sf_dir):
     return wordbpe.round_trip(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS most,
+  [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w FROM s0),
+t AS (SELECT sum(source_size) * 1.5::DOUBLE AS whole, sum(w) AS weight FROM s),
+o AS (SELECT *, row_number() OVER r AS k, sum(most) OVER r AS given, sum(w) OVER r AS taken FROM s
+  WINDOW r AS (ORDER BY most / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT 0 AS k, whole AS rest, weight AS left_w FROM t UNION ALL SELECT k, whole - given, weight - taken FROM o, t),
+level AS (SELECT arg_min(rest, k) AS rest, arg_min(left_w, k) AS left_w FROM c LEFT JOIN (SELECT k - 1 AS k, most, w FROM o) n USING (k)
+  WHERE n.k IS NULL OR most * left_w > w * rest),
+g AS (SELECT source, source_size, CASE WHEN left_w <= 0 OR most * left_w <= w * rest THEN most ELSE w * rest / left_w END AS target FROM s, level),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM g),
+h AS (SELECT d.*, r.source_size, r.target, floor(rate)::BIGINT AS whole, (rate - floor(rate)) * 4294967296 AS bound,
+  sha256('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+v AS (SELECT source, i, abs(any_value(whole) * any_value(source_size) + sum(CASE WHEN CAST('0x' || substr(x, 8 * i + 1, 8) AS BIGINT) < bound THEN size ELSE 0 END)
+  - any_value(target)) AS off FROM h, (SELECT unnest(range(8)) AS i) GROUP BY source, i),
+b AS (SELECT v.source, min(i) AS i FROM v JOIN (SELECT source, min(off) AS off FROM v GROUP BY source) m
+  ON v.source IS NOT DISTINCT FROM m.source AND v.off = m.off GROUP BY v.source)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN CAST('0x' || substr(x, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT) < bound THEN 1 ELSE 0 END) AS taken
+FROM h JOIN b ON h.source IS NOT DISTINCT FROM b.source
+"""
+
+
+@query("op11_source_mix", OP11_SQL)
+def op11_source_mix(spark, sf_dir):
+    rows, _ = mixing.plan(load(spark, sf_dir, "documents"), share=1.5, cap=2.0, weights=(3, 1, 2))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id AS c, sha256(strlen(r) || ':' || r || x) AS k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || x)) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+b AS (SELECT h.c, t.p, t.k, t.w FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.p <= h.h),
+r AS (SELECT c, p AS d, k, w FROM b UNION ALL
+  SELECT t.c, p - h + coalesce(n, 0), k, w FROM t JOIN h USING (c) LEFT JOIN (SELECT c, count(*) AS n FROM b GROUP BY c) USING (c) WHERE p > h),
+m AS (SELECT c, d, list(k) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path, w FROM r UNION ALL SELECT c, 0, [], 0 FROM h),
+n AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM m GROUP BY d, path),
+l AS (SELECT c, max(d) AS d FROM m GROUP BY c),
+e AS (SELECT d, path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM m JOIN l USING (c, d) GROUP BY d, path),
+k AS (SELECT d - 1 AS d, path[:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+z AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * w AS own FROM n LEFT JOIN k USING (d, path)),
+s AS (SELECT m.d, m.path, sum(own)::BIGINT AS saved, count(*) FILTER (n_children = 0) AS leaves FROM z JOIN m ON m.c = z.conv_id AND m.d <= z.d GROUP BY m.d, m.path)
+SELECT z.conv_id, z.d AS depth, u.conv_id AS parent_conv_id, z.n_convs, z.n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM z JOIN s USING (d, path) LEFT JOIN e USING (d, path) LEFT JOIN n u ON z.d > 0 AND u.d = z.d - 1 AND u.path = z.path[:z.d - 1]
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark, sf_dir):
+    paths = prefixtrie.conversation_paths(load(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    return prefixtrie.prefix_trie(prefixtrie.with_heads(paths, c - c % 20, F.crc32(c.cast("string")) % 4, most=3))
+
+
+OP13_SQL = r"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, p, v[4 * p + 1] AS a, v[4 * p + 2] AS b, v[4 * p + 3] AS c, v[4 * p + 4] AS d FROM k, (SELECT unnest(range(16)) AS p)),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, a, b, c, d FROM q
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 64),
+{rounds},
+s AS (SELECT vec_id, string_agg(printf('%02x', CAST(y AS INT)), '' ORDER BY p) AS code, sum(z)::BIGINT AS error FROM (SELECT vec_id, p, e AS y, dist AS z FROM a2) GROUP BY vec_id),
+f AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (
+  SELECT p, e, generate_subscripts([a, b, c, d], 1) AS i, unnest([a, b, c, d]) AS x FROM c2)),
+g AS (SELECT label, sum(error)::BIGINT AS label_error FROM k JOIN s USING (vec_id) GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM k JOIN s USING (vec_id) JOIN g ON k.label IS NOT DISTINCT FROM g.label, f
+"""
+_SQUARES = " + ".join(f"(q.{x} - c.{x}) * (q.{x} - c.{x})" for x in "abcd")
+_FLOORS = ", ".join(f"CASE WHEN n IS NULL THEN c.{x} ELSE (m.{x} - ((m.{x} % n) + n) % n) // n END AS {x}" for x in "abcd")
+OP13_SQL = OP13_SQL.replace("{rounds}", ",\n".join(f"""a{i} AS (SELECT vec_id, p, min(x * 64 + e) % 64 AS e, min(x) AS dist FROM (
+  SELECT vec_id, p, e, {_SQUARES} AS x FROM q JOIN c{i} c USING (p)) GROUP BY vec_id, p)""" + ("" if i == 2 else f""",
+c{i + 1} AS (SELECT p, e, {_FLOORS} FROM c{i} c LEFT JOIN (SELECT p, e, count(*) AS n, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d
+  FROM a{i} JOIN q USING (vec_id, p) GROUP BY p, e) m USING (p, e))""") for i in range(3)))
+
+
+@query("op13_vector_codes", OP13_SQL)
+def op13_vector_codes(spark, sf_dir):
+    return vectorcode.vector_codes(load(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)

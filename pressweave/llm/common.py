@@ -137,3 +137,27 @@ def hash_sample(df: DataFrame, key: str, wanted: int, total: int, seed: int) ->
         return df
     limit = int(wanted / total * (1 << 40))
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) < limit)
+
+
+#: A side table is broadcast up to so many bytes (its key's text and 64 bytes a row).
+BROADCAST_BYTES = 64 << 20
+SALTS = 64
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, salt: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``left`` with the other columns of ``right`` (one row per ``key``, null a key too).
+
+    ``right`` is broadcast if its counted bytes are within ``limit``; beyond that the rows of one key are dealt
+    over ``SALTS`` tasks by a hash of the column ``salt``, so that a key with a third of all rows isn't one task."""
+    right = right.withColumnRenamed(key, "_k")
+    size = right.agg(F.sum(F.coalesce(F.octet_length(F.col("_k").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    if size <= limit:
+        return left.join(F.broadcast(right), left[key].eqNullSafe(F.col("_k")), "left").drop("_k")
+    left = left.withColumn("_s", F.pmod(F.xxhash64(F.lit(7), salt), F.lit(SALTS)))
+    right = right.withColumn("_s2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return left.join(right, left[key].eqNullSafe(F.col("_k")) & (F.col("_s") == F.col("_s2")), "left").drop("_k", "_s", "_s2")
+
+
+def word_count(text: Column) -> Column:
+    """How many ``[^\\x20\\x09-\\x0D]+`` a text has; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
