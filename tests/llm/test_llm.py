@@ -17,7 +17,7 @@ from llmprose import prose
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(name, spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     cur = con.execute(ORACLES[name])
