@@ -11,10 +11,11 @@ from ..operators import density as dn
 from ..operators import simjoin as sj
 from ..operators.groups import centroid, merge_centroids
 from ..operators.merging import merge_clusters
+from ..operators.vectorindex import VectorIndex
 from ..plans import assign as asg
 from ..plans import quality as ql
 from ..plans import recluster as rc
-from ..session import cut
+from ..session import cut, scratch_path
 from . import query
 from .texts import EMPTY, tokens_sql
 
@@ -77,6 +78,20 @@ def nearest_stories(spark, sf):
     return out.select("id", F.col("nbr").alias("story_id"), r6("sim"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("indexed_neighbours", """
+WITH p AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT id, nbr, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr) AS rank
+  FROM p WHERE sim > 0.2) WHERE rank <= 5""")
+def indexed_neighbours(spark, sf):
+    """An index is built, written by cells, read back and searched exactly."""
+    e = fx.table(spark, sf, "embeddings").select(F.lit("").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    path = scratch_path(spark, "index")
+    VectorIndex.build(e, block=128).write(path)
+    out = sj.index_knn(e, VectorIndex.read(spark, path), 5, 0.2, self_join=True)
+    return out.select("id", "nbr", r6("sim"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("story_pair_similarity", """
 WITH v AS (SELECT a.story_id, a.id, e.embedding FROM news_articles a JOIN article_vectors e ON e.id = a.id
   WHERE story_id IS NOT NULL), p AS (SELECT a.story_id, list_cosine_similarity(a.embedding, b.embedding) AS s

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..session import cut
 from .components import connected_components
-from .simjoin import matrix, self_grid, unit_rows
+from .simjoin import matrix, self_grid, stacked, unit_rows
 
 FLOOR = 1e-9
 BAND_EDGES = 50_000
@@ -113,7 +113,7 @@ def nearest(points: DataFrame, k: int, weight: float, scale: float = vocab.TIME_
             else:
                 take(d, a, b)
                 take(d.T, b, a)
-        return pd.concat(out) if out else pd.DataFrame({"grp": [], "id": [], "nbr": [], "dist": [], "mult": []})
+        return stacked(out, "grp", "id", "nbr", "dist", "mult")
 
     found = grid.groupBy(*PAIR_KEYS).applyInPandas(near, "grp string, id bigint, nbr bigint, dist double, mult bigint")
     if max_dist is not None:

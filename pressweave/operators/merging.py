@@ -1,4 +1,9 @@
-"""Greedy merging of near-identical clusters by centroid."""
+"""Greedy merging of near-identical clusters by centroid, under earlier verdicts.
+
+A verdict that put articles into different groups marks the clusters that hold them: ``marks`` is a list of
+``(verdict, group)``, and two clusters that hold different groups of one verdict may not meet. A merged cluster carries the
+marks of both, so the ban is contracted with every round.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +15,12 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..session import cut
 from .groups import merge_centroids
-from .simjoin import BLOCK, matrix, self_grid, unit_rows
+from .simjoin import BLOCK, matrix, unit_rows
+from .vectorindex import Pivots, VectorIndex, fit_pivots
 
+MARKS = "array<struct<f:bigint,g:int>>"
 PARTNER = "id bigint, partner bigint, sim double, tie bigint"
+ORDER = "(sim, tie)"
 
 
 def pair_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -25,65 +33,146 @@ def pair_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (z >> np.uint64(2)).astype(np.int64)
 
 
-def best_partner(clusters: DataFrame, threshold: float, max_size: int, block: int = BLOCK) -> DataFrame:
-    """Most similar other cluster of each one, among those it may join (similarity and joint size).
+def split_marks(members: DataFrame, splits: DataFrame) -> DataFrame:
+    """``(cluster, marks)`` for clusters ``(cluster, id)`` and verdicts ``(fingerprint, groups)`` that split articles."""
+    rows = splits.select(F.xxhash64("fingerprint").alias("f"), F.posexplode("groups").alias("g", "ids")).select("f", "g", F.explode("ids").alias("id"))
+    return members.join(rows, "id").groupBy("cluster").agg(F.collect_set(F.struct("f", "g")).alias("marks"))
+
+
+def banned(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    """Which pairs of two blocks hold different groups of one verdict."""
+    out = np.zeros((len(x), len(y)), dtype=bool)
+    def flat(pdf):
+        return pd.DataFrame([(i, m["f"], m["g"]) for i, marks in enumerate(pdf["marks"]) if marks is not None for m in marks], columns=["i", "f", "g"])
+    a, b = flat(x), flat(y)
+    for f, left in a.groupby("f"):
+        right = b[b["f"] == f]
+        if len(right):
+            i, j = np.nonzero(left["g"].to_numpy()[:, None] != right["g"].to_numpy()[None, :])
+            out[left["i"].to_numpy()[i], right["i"].to_numpy()[j]] = True
+    return out
+
+
+def _allowed(a: pd.DataFrame, b: pd.DataFrame, threshold: float, max_size: int):
+    """Per vector length: the two sides, their ids, and the similarities of pairs that may merge (others -inf)."""
+    for n in sorted((set(a["vec"].map(len)) & set(b["vec"].map(len))) - {0}):
+        x, y = a[a["vec"].map(len) == n].reset_index(drop=True), b[b["vec"].map(len) == n].reset_index(drop=True)
+        sim = np.round(unit_rows(matrix(x["vec"])) @ unit_rows(matrix(y["vec"])).T, 9)
+        xi, yi = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64)
+        joint = x["size"].to_numpy()[:, None] + y["size"].to_numpy()[None, :]
+        ok = (sim >= threshold) & (joint <= max_size) & (xi[:, None] != yi[None, :])
+        if ok.any():
+            ok &= ~banned(x, y)
+        yield x, y, xi, yi, np.where(ok, sim, -np.inf)
+
+
+def best_partners(left: VectorIndex, right: VectorIndex, threshold: float, max_size: int, both: bool = False) -> DataFrame:
+    """``id, partner, sim, tie``: the most similar right cluster that each left one may join; with ``both`` also the
+    most similar left cluster marked ``made`` for each right one.
 
     Equal similarities are ordered by a hash of the pair, the same from both ends, so that a large set of
     copies pairs off in parallel."""
-    grid = self_grid(clusters.select(F.lit("").alias("grp"), "id", F.col("centroid").alias("vec"),
-                                     F.col("size").cast("bigint").alias("size")), block)
+    lt, rt = left.grid(right, threshold)
+    cols = ["grp", "id", "vec", "size", "marks", "made", "lc", "rc"]
+    rt = rt.select(*[F.col(c).alias(f"r_{c}") for c in cols])
 
-    def propose(pdf: pd.DataFrame) -> pd.DataFrame:
-        ci, cj = pdf["ci"].iloc[0], pdf["cj"].iloc[0]
-        a, b = pdf[pdf["chunk"] == ci], pdf[pdf["chunk"] == cj]
+    def propose(_key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.rename(columns=lambda c: c[2:])
         out = []
-        dims = set(a["vec"].map(len)) & set(b["vec"].map(len)) - {0}
-        for n in sorted(dims):
-            x, y = a[a["vec"].map(len) == n], b[b["vec"].map(len) == n]
-            sim = np.round(unit_rows(matrix(x["vec"])) @ unit_rows(matrix(y["vec"])).T, 9)
-            xi, yi = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64)
-            joint = x["size"].to_numpy()[:, None] + y["size"].to_numpy()[None, :]
-            sim = np.where((sim >= threshold) & (joint <= max_size) & (xi[:, None] != yi[None, :]), sim, -np.inf)
-            lo, hi = np.minimum(xi[:, None], yi[None, :]), np.maximum(xi[:, None], yi[None, :])
-            tie = pair_hash(lo, hi)
-            for s, t, mine, theirs in ((sim, tie, xi, yi), (sim.T, tie.T, yi, xi))[:1 if ci == cj else 2]:
+        for x, y, xi, yi, sim in _allowed(a, b, threshold, max_size):
+            tie = pair_hash(np.minimum(xi[:, None], yi[None, :]), np.maximum(xi[:, None], yi[None, :]))
+            sides = [(sim, tie, xi, yi)]
+            if both:
+                sides.append((np.where(x["made"].to_numpy(bool)[None, :], sim.T, -np.inf), tie.T, yi, xi))
+            for s, t, mine, theirs in sides:
+                if not s.size:
+                    continue
                 top = s.max(axis=1)
                 pick = np.where(s == top[:, None], t, np.iinfo(np.int64).max).argmin(axis=1)
-                ok = np.isfinite(top)
-                rows = np.arange(len(mine))[ok]
-                out.append(pd.DataFrame({"id": mine[rows], "partner": theirs[pick[rows]], "sim": top[rows],
-                                         "tie": t[rows, pick[rows]]}))
+                at = np.flatnonzero(np.isfinite(top))
+                out.append(pd.DataFrame({"id": mine[at], "partner": theirs[pick[at]], "sim": top[at], "tie": t[at, pick[at]]}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "partner": [], "sim": [], "tie": []})
 
-    found = grid.groupBy("ci", "cj").applyInPandas(propose, PARTNER)
+    return lt.select(*cols).groupBy("grp", "lc", "rc").cogroup(rt.groupBy("r_grp", "r_lc", "r_rc")).applyInPandas(propose, PARTNER)
+
+
+def _best(found: DataFrame) -> DataFrame:
     order = F.struct("sim", (-F.col("tie")).alias("t"), (-F.col("partner")).alias("p"))
     return found.groupBy("id").agg(F.max_by(F.struct("partner", "sim", "tie"), order).alias("b")).select(
         "id", "b.partner", "b.sim", "b.tie")
 
 
+def disturbed(made: VectorIndex, parts: VectorIndex, threshold: float, max_size: int) -> DataFrame:
+    """``pair`` of clusters about to merge that a better pair's merged cluster would come closer to.
+
+    ``made`` are the would-be merged clusters and ``parts`` the clusters of all pairs; both carry ``pair, psim, ptie``."""
+    lt, rt = made.grid(parts, threshold)
+    cols = ["grp", "id", "vec", "size", "marks", "pair", "psim", "ptie", "lc", "rc"]
+    rt = rt.select(*[F.col(c).alias(f"r_{c}") for c in cols])
+
+    def check(_key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.rename(columns=lambda c: c[2:])
+        out = set()
+        for x, y, xi, yi, sim in _allowed(a, b, threshold, max_size):
+            tie = pair_hash(np.minimum(xi[:, None], yi[None, :]), np.maximum(xi[:, None], yi[None, :]))
+            qs, qt = x["psim"].to_numpy()[:, None], x["ptie"].to_numpy()[:, None]
+            ps, pt = y["psim"].to_numpy()[None, :], y["ptie"].to_numpy()[None, :]
+            first = (qs > ps) | ((qs == ps) & (qt < pt))
+            closer = (sim > ps) | ((sim == ps) & (tie < pt))
+            hit = (first & closer & (x["pair"].to_numpy()[:, None] != y["pair"].to_numpy()[None, :])).any(axis=0)
+            out |= set(y["pair"].to_numpy()[hit].tolist())
+        return pd.DataFrame({"pair": sorted(out)}, dtype="int64")
+
+    found = lt.select(*cols).groupBy("grp", "lc", "rc").cogroup(rt.groupBy("r_grp", "r_lc", "r_rc")).applyInPandas(check, "pair bigint")
+    return found.distinct()
+
+
 def merge_clusters(clusters: DataFrame, threshold: float = vocab.MERGE_THRESHOLD,
                    max_size: int = vocab.MERGE_MAX_SIZE, block: int = BLOCK) -> DataFrame:
-    """``(id, merged)`` for clusters ``(id, size, centroid)``: repeatedly join the most similar pair at or above
-    the threshold whose joint size fits, with the size-weighted mean as the new centroid.
+    """``(id, merged)`` for clusters ``(id, size, centroid[, marks])``: repeatedly join the most similar pair at or above
+    the threshold whose joint size fits and whose marks allow it, with the size-weighted mean as the new centroid.
 
-    In every round all pairs that are each other's best choice join at once; the overall best pair is always
-    one of them. This is the sequential order wherever no two merges compete for the same neighbour."""
-    now = cut(clusters.select("id", F.col("size").cast("bigint").alias("size"), "centroid"))
+    A round joins all pairs that are each other's best choice, except those that the merged cluster of a better pair would
+    come closer to: these wait, as they would in the sequential order. Only clusters that were made in the last round, or
+    lost their partner in it, look for one again; the index keeps them to the cells in reach."""
+    marks = F.col("marks").cast(MARKS) if "marks" in clusters.columns else F.lit(None).cast(MARKS)
+    now = cut(clusters.select(F.lit("").alias("grp"), "id", F.col("centroid").cast("array<double>").alias("vec"), F.col("size").cast("bigint").alias("size"),
+                              marks.alias("marks"), F.lit(False).alias("made")))
     member = cut(clusters.select("id", F.col("id").alias("merged")))
+    pivots: Pivots = fit_pivots(now, block)
+
+    def index(rows):
+        return VectorIndex.build(rows, block, pivots)
+
+    whole = index(now)
+    want = cut(_best(best_partners(whole, whole, threshold, max_size)))
     while True:
-        want = cut(best_partner(now, threshold, max_size, block))
         back = want.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
-        pairs = cut(want.join(back, ["id", "partner"]).where("id < partner").select("id", "partner"))
-        if pairs.isEmpty():
+        mutual = cut(want.join(back, ["id", "partner"]).where("id < partner"))
+        if mutual.isEmpty():
             if want.isEmpty():
                 return member
             top = want.orderBy(F.col("sim").desc(), "tie", "id").limit(1)  # rounding broke a symmetry
-            pairs = cut(top.select(F.least("id", "partner").alias("id"), F.greatest("id", "partner").alias("partner")))
-        right = now.select(F.col("id").alias("partner"), F.col("size").alias("_n"), F.col("centroid").alias("_c"))
-        joined = (now.join(pairs, "id").join(right, "partner")
-                  .select("id", (F.col("size") + F.col("_n")).alias("size"),
-                          merge_centroids("centroid", "size", "_c", "_n").alias("centroid")))
-        touched = pairs.select("id").union(pairs.select("partner"))
-        now = cut(now.join(touched, "id", "left_anti").unionByName(joined))
+            mutual = cut(top.select(F.least("id", "partner").alias("id"), F.greatest("id", "partner").alias("partner"), "sim", "tie"))
+        right = now.select(F.col("id").alias("partner"), F.col("size").alias("_n"), F.col("vec").alias("_v"), F.col("marks").alias("_m"))
+        union = F.array_union(F.coalesce("marks", F.array().cast(MARKS)), F.coalesce("_m", F.array().cast(MARKS)))
+        tag = [F.col("pair"), F.col("sim").alias("psim"), F.col("tie").alias("ptie")]
+        pairs = mutual.withColumn("pair", F.col("id"))
+        joined = cut(now.join(pairs, "id").join(right, "partner").select(
+            "grp", "id", merge_centroids("vec", "size", "_v", "_n").alias("vec"), (F.col("size") + F.col("_n")).alias("size"), union.alias("marks"),
+            F.lit(True).alias("made"), *tag))
+        parts = now.join(pairs.select("id", "pair", "sim", "tie").unionByName(pairs.select(F.col("partner").alias("id"), "pair", "sim", "tie")), "id").select(
+            *now.columns, *tag)
+        waiting = disturbed(index(joined), index(parts), threshold, max_size)
+        pairs = cut(mutual.join(waiting.select(F.col("pair").alias("id")), "id", "left_anti"))
+        made = joined.join(pairs.select("id"), "id", "left_semi").select(*now.columns)
+        touched = cut(pairs.select("id").union(pairs.select("partner")))
+        now = cut(now.join(touched, "id", "left_anti").withColumn("made", F.lit(False)).unionByName(made))
         to = pairs.select(F.col("partner").alias("merged"), F.col("id").alias("_to"))
         member = cut(member.join(to, "merged", "left").select("id", F.coalesce("_to", "merged").alias("merged")))
+        kept = want.join(touched, "id", "left_anti")
+        lost = kept.join(touched.withColumnRenamed("id", "partner"), "partner", "left_semi").select("id")
+        kept = kept.join(touched.withColumnRenamed("id", "partner"), "partner", "left_anti").select(*want.columns)
+        looking = now.join(lost.union(pairs.select("id")), "id", "left_semi")
+        fresh = best_partners(index(looking), index(now), threshold, max_size, both=True)
+        want = cut(_best(kept.unionByName(fresh)))

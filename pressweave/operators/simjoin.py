@@ -1,18 +1,23 @@
-"""Exact similarity joins over vectors as a grid of bounded blocks.
+"""Exact similarity joins over vectors as pairs of bounded blocks.
 
-Rows are hashed into chunks of about ``block`` rows per group; every pair of chunks is one task that does
-one matrix product and keeps a bounded number of results per row (the k best, the extremes, or a spanning
-forest). A group that holds a third of all rows becomes more tasks, not a larger one, and no task ever
-emits all of its pairs.
+Rows are indexed into chunks of about ``block`` rows (see :mod:`pressweave.operators.vectorindex`); every pair of
+chunks that can hold a result is one task that does one matrix product and keeps a bounded number of results per
+row (the k best) or block (the best pairs, the extremes). A group that holds a third of all rows becomes more tasks, not a
+larger one, and no task ever emits all of its pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .vectorindex import SLACK, VectorIndex, chunk_bound, chunk_pairs, radius
+
 BLOCK = 2048
 
 
@@ -70,18 +75,12 @@ def self_grid(df: DataFrame, block: int = BLOCK) -> DataFrame:
             .drop("_o", "chunks"))
 
 
-def cross_grid(left: DataFrame, right: DataFrame, block: int = BLOCK):
-    """Both sides replicated to every (left chunk, right chunk) of their group."""
-    lt = _chunked(left, group_sizes(left), block, "lc")
-    rt = _chunked(right, group_sizes(right), block, "rc")
-    lcs = lt.select("grp", "lcs").distinct()
-    rcs = rt.select("grp", "rcs").distinct()
-    lt = lt.join(rcs, "grp").withColumn("rc", F.explode(F.sequence(F.lit(0), F.col("rcs") - 1))).drop("lcs", "rcs")
-    rt = rt.join(lcs, "grp").withColumn("lc", F.explode(F.sequence(F.lit(0), F.col("lcs") - 1))).drop("lcs", "rcs")
-    return lt, rt
+NEIGHBOURS = "grp string, id bigint, nbr bigint, sim double"
 
 
-NEIGHBOURS = "grp string, id bigint, nbr bigint, sim double"
+def stacked(frames: list[pd.DataFrame], *names: str) -> pd.DataFrame:
+    """The frames as one; group names stay objects, also where there is no row (Arrow can't type them otherwise)."""
+    return (pd.concat(frames) if frames else pd.DataFrame(columns=names)).astype({"grp": object})
 
 
 def _top_k(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -91,14 +90,8 @@ def _top_k(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[part]
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.67, strict: bool = True,
-             block: int = BLOCK, self_join: bool = False, earlier: bool = False) -> DataFrame:
-    """The ``k`` most similar right rows of each left row with similarity above ``min_sim``.
-
-    Both sides: ``(grp, id, vec)``; only rows of the same group are compared. With ``self_join`` a row
-    is not its own neighbour; with ``earlier`` only right rows with a smaller ``ord`` count."""
-    cols = ["grp", "id", "vec", *(["ord"] if earlier else [])]
-    lt, rt = cross_grid(left.select(*cols), right.select(*cols), block)
+def block_knn(lt: DataFrame, rt: DataFrame, k: int, min_sim: float, strict: bool, self_join: bool, earlier: bool) -> DataFrame:
+    """The ``k`` best of every block pair ``(grp, lc, rc)``, per left row."""
     rt = rt.select(*[F.col(c).alias(f"r_{c}") for c in rt.columns])  # both sides may be the same frame
 
     def best(_key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -117,26 +110,70 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.
                 cols_ = cols_.ravel()
                 s = sim[rows_, cols_]
                 keep = (s > min_sim if strict else s >= min_sim) & np.isfinite(s)
-                out.append(pd.DataFrame({"grp": a["grp"].to_numpy()[rows_[keep]], "id": ai[rows_[keep]],
+                out.append(pd.DataFrame({"grp": a["grp"].to_numpy(object)[rows_[keep]], "id": ai[rows_[keep]],
                                          "nbr": bi[cols_[keep]], "sim": s[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"grp": [], "id": [], "nbr": [], "sim": []})
+        return stacked(out, "grp", "id", "nbr", "sim")
+
+    return lt.groupBy("grp", "lc", "rc").cogroup(rt.groupBy("r_grp", "r_lc", "r_rc")).applyInPandas(best, NEIGHBOURS)
+
 
-    found = lt.groupBy("grp", "lc", "rc").cogroup(rt.groupBy("r_grp", "r_lc", "r_rc")).applyInPandas(best, NEIGHBOURS)
+def ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("grp", "id").orderBy(F.col("sim").desc(), "nbr")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-STATS = "grp string, pairs bigint, total double, low double, high double"
+def index_knn(left: DataFrame, index: VectorIndex, k: int = 10, min_sim: float = 0.67, strict: bool = True, self_join: bool = False,
+              earlier: bool = False, probes: int | None = None) -> DataFrame:
+    """``grp, id, nbr, sim, rank``: the ``k`` most similar rows of an index for each left row above ``min_sim``.
 
+    Exact without ``probes``: the best of a row's own cell give it an angle beyond which no chunk is looked at. With
+    ``probes`` only that many nearest cells are."""
+    cols = ["grp", "id", "vec", *(["ord"] if earlier else [])]
+    left = left.select(*cols)
+
+    def near(n):
+        lt, rt = index.probe(left, n)
+        return ranked(block_knn(lt, rt.select(*cols, "lc", "rc"), k, min_sim, strict, self_join, earlier), k)
+    if probes is not None:
+        return near(probes)
+    own = VectorIndex.build(left, index.block, index.pivots)
+    reach = None
+    if index.pivots:
+        kth = cut(near(1).where(F.col("rank") == k).select(F.col("grp").alias("_g"), F.col("id").alias("_i"), F.acos(F.least("sim", F.lit(1.0))).alias("_reach")))
+        rows = own.rows.join(kth, (F.col("grp") == F.col("_g")) & (F.col("id") == F.col("_i")), "left").drop("_g", "_i")
+        own = VectorIndex(rows, own.chunks, None, own.pivots, own.block)
+        reach = F.least(F.lit(radius(min_sim)), F.coalesce(F.col("_reach") + 1e-6, F.lit(10.0)))
+    lt, rt = own.grid(index, min_sim, reach)
+    return ranked(block_knn(lt.select(*cols, "lc", "rc"), rt.select(*cols, "lc", "rc"), k, min_sim, strict, self_join, earlier), k)
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.67, strict: bool = True,
+             block: int = BLOCK, self_join: bool = False, earlier: bool = False) -> DataFrame:
+    """The ``k`` most similar right rows of each left row with similarity above ``min_sim``.
+
+    Both sides: ``(grp, id, vec)``; only rows of the same group are compared. With ``self_join`` a row
+    is not its own neighbour; with ``earlier`` only right rows with a smaller ``ord`` count."""
+    cols = ["grp", "id", "vec", *(["ord"] if earlier else [])]
+    return index_knn(left, VectorIndex.build(right.select(*cols), block), k, min_sim, strict, self_join, earlier)
 
-def pair_stats(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Number, mean, minimum and maximum of the cosine over all pairs of each group, without listing them."""
-    grid = self_grid(df.select("grp", "id", "vec"), block)
 
-    def stats(pdf: pd.DataFrame) -> pd.DataFrame:
+def index_self_grid(index: VectorIndex, pairs: DataFrame) -> DataFrame:
+    """Rows per unordered pair of chunks ``(ci <= cj)``; ``chunk`` says on which side a row stands."""
+    base = [c for c in index.rows.columns if not c.startswith("_")]
+    sides = pairs.select("grp", F.col("lc").alias("ci"), F.col("rc").alias("cj")).where("ci <= cj")
+    a = index.rows.withColumn("ci", F.col("_chunk")).join(sides, ["grp", "ci"]).select(*base, "ci", "cj", F.col("ci").alias("chunk"))
+    b = index.rows.withColumn("cj", F.col("_chunk")).join(sides.where("ci < cj"), ["grp", "cj"]).select(*base, "ci", "cj", F.col("cj").alias("chunk"))
+    return a.unionByName(b)
+
+
+STATS = "grp string, low double, high double"
+
+
+def _extremes(index: VectorIndex, pairs: DataFrame) -> DataFrame:
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
         ci, cj = pdf["ci"].iloc[0], pdf["cj"].iloc[0]
         a, b = pdf[pdf["chunk"] == ci], pdf[pdf["chunk"] == cj]
-        n, s, lo, hi = 0, 0.0, np.inf, -np.inf
+        lo, hi = np.inf, -np.inf
         if len(a) and len(b):
             for x, y in same_length(a, b):
                 sim = unit_rows(matrix(x["vec"])) @ unit_rows(matrix(y["vec"])).T
@@ -144,16 +181,37 @@ def pair_stats(df: DataFrame, block: int = BLOCK) -> DataFrame:
                     xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
                     sim = sim[xi[:, None] < yi[None, :]]
                 if sim.size:
-                    n, s = n + sim.size, s + float(sim.sum())
                     lo, hi = min(lo, float(sim.min())), max(hi, float(sim.max()))
-        ok = n > 0
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "pairs": [n], "total": [s],
-                             "low": [lo if ok else None], "high": [hi if ok else None]})
+        ok = np.isfinite(lo)
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "low": [lo if ok else None], "high": [hi if ok else None]})
 
-    parts = grid.groupBy("grp", "ci", "cj").applyInPandas(stats, STATS)
-    return (parts.groupBy("grp").agg(F.sum("pairs").alias("pairs"), (F.sum("total") / F.sum("pairs")).alias("avg_sim"),
-                                     F.min("low").alias("min_sim"), F.max("high").alias("max_sim"))
-            .where("pairs > 0"))
+    return index_self_grid(index, pairs).groupBy("grp", "ci", "cj").applyInPandas(ends, STATS)
+
+
+def pair_stats(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Number, mean, minimum and maximum of the cosine over all pairs of each group, without listing them.
+
+    Number and mean come from the sum of the unit vectors. For the extremes, pairs inside chunks come first; other
+    pairs of chunks are compared only where their angles can beat what is known."""
+    df = cut(df.select("grp", "id", "vec"))
+    norm = F.sqrt(dot(F.col("vec"), F.col("vec")))
+    unit = F.transform("vec", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    sums = df.where(F.size("vec") > 0).select("grp", F.size("vec").alias("d"), array_to_vector(unit).alias("u"), (norm > 0).cast("double").alias("one"))
+    sums = sums.groupBy("grp", "d").agg(Summarizer.sum(F.col("u")).alias("s"), F.count(F.lit(1)).alias("n"), F.sum("one").alias("own"))
+    per = sums.withColumn("s", vector_to_array("s")).select("grp", "n", ((dot(F.col("s"), F.col("s")) - F.col("own")) / 2).alias("total"))
+    means = per.groupBy("grp").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"), F.sum("total").alias("total")).where("pairs > 0")
+    index = VectorIndex.build(df, block)
+    spark = df.sparkSession
+    own = index.chunks.where("n > 1").select("grp", F.col("_chunk").alias("lc"), F.col("_chunk").alias("rc"))
+    found = cut(_extremes(index, own))
+    known = found.groupBy("grp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    others = chunk_pairs(spark, index.pivots, index.chunks, index.chunks, float(np.pi) + SLACK).where("lc < rc").join(known, "grp", "left")
+    nearest = chunk_bound(F.col("g"), F.col("llo"), F.col("lhi"), F.col("rlo"), F.col("rhi"))
+    farthest = F.least(F.col("g") + F.col("lhi") + F.col("rhi"), F.lit(2 * float(np.pi)) - F.col("g") - F.col("llo") - F.col("rlo"))
+    better = F.col("high").isNull() | (nearest < F.acos(F.least("high", F.lit(1.0))) + SLACK) | (farthest > F.acos(F.greatest("low", F.lit(-1.0))) - SLACK)
+    found = found.unionByName(_extremes(index, cut(others.where(better).select("grp", "lc", "rc"))))
+    ends = found.groupBy("grp").agg(F.min("low").alias("min_sim"), F.max("high").alias("max_sim"))
+    return means.join(ends, "grp").select("grp", "pairs", (F.col("total") / F.col("pairs")).alias("avg_sim"), "min_sim", "max_sim")
 
 
 TOP_PAIRS = "grp string, a bigint, b bigint, sim double"
@@ -161,7 +219,9 @@ TOP_PAIRS = "grp string, a bigint, b bigint, sim double"
 
 def top_pairs(df: DataFrame, n: int = 10, above: float = -1.0, block: int = BLOCK) -> DataFrame:
     """The ``n`` most similar pairs (a < b) of each group above a similarity; each block reports at most ``n``."""
-    grid = self_grid(df.select("grp", "id", "vec"), block)
+    index = VectorIndex.build(df.select("grp", "id", "vec"), block)
+    pairs = chunk_pairs(df.sparkSession, index.pivots, index.chunks, index.chunks, radius(above))
+    pairs = cut(pairs) if index.pivots else pairs
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         ci, cj = pdf["ci"].iloc[0], pdf["cj"].iloc[0]
@@ -177,10 +237,10 @@ def top_pairs(df: DataFrame, n: int = 10, above: float = -1.0, block: int = BLOC
                 cut_at = np.partition(sim.ravel(), sim.size - m)[sim.size - m]
                 i, j = np.nonzero(sim >= max(cut_at, np.nextafter(above, np.inf)))
                 lo, hi = np.minimum(xi[i], yi[j]), np.maximum(xi[i], yi[j])
-                f = pd.DataFrame({"grp": pdf["grp"].iloc[0], "a": lo, "b": hi, "sim": sim[i, j]})
+                f = pd.DataFrame({"grp": np.full(len(lo), pdf["grp"].iloc[0], object), "a": lo, "b": hi, "sim": sim[i, j]})
                 out.append(f.sort_values(["sim", "a", "b"], ascending=[False, True, True]).head(n))
-        return pd.concat(out) if out else pd.DataFrame({"grp": [], "a": [], "b": [], "sim": []})
+        return stacked(out, "grp", "a", "b", "sim")
 
-    found = grid.groupBy("grp", "ci", "cj").applyInPandas(best, TOP_PAIRS)
+    found = index_self_grid(index, pairs).groupBy("grp", "ci", "cj").applyInPandas(best, TOP_PAIRS)
     w = Window.partitionBy("grp").orderBy(F.col("sim").desc(), "a", "b")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
