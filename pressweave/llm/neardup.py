@@ -69,27 +69,35 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), starts_of(sizes)
 
 
+def digests(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(n, f1, f2)``: size and a 128-bit digest of each set."""
+    n = np.diff(off)
+    real = n > 0
+    f1, f2 = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+    if len(hashes):
+        f1[real] = np.add.reduceat(hashes, off[:-1][real])
+        f2[real] = np.add.reduceat(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), off[:-1][real])
+    return n, f1.view(np.int64), f2.view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, n, f1, f2, c, k)``: set size, a 128-bit digest of the set, the collections' hashes and the sketch."""
+    """``(doc_id, t, n, f1, f2, c, k)``: the text's hash, set size and digest, the collections' hashes and the sketch."""
     factors = _odd(29, COLLECTIONS * ROWS)
 
     def body(part, texts):
         hashes, off = shingle_sets(texts, width)
-        n = np.diff(off)
+        n, f1, f2 = digests(hashes, off)
         real = n > 0
         at = off[:-1][real]
         c = np.zeros((len(n), COLLECTIONS), dtype=np.uint64)
-        f1, f2 = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
         if len(hashes):
-            f1[real] = np.add.reduceat(hashes, at)
-            f2[real] = np.add.reduceat(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), at)
             for k, factor in enumerate(factors):
                 least = np.minimum.reduceat(hashes * factor, at)
                 c[real, k // ROWS] = mixed(c[real, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least)
         lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64()))
-        return {"doc_id": part.column("doc_id"), "n": pa.array(n), "f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2.view(np.int64)),
+        return {"doc_id": part.column("doc_id"), "t": part.column("t"), "n": pa.array(n), "f1": pa.array(f1), "f2": pa.array(f2),
                 "c": lists(c), "k": lists(sketches(hashes, off))}
-    return map_slices(docs, body, "doc_id bigint, n bigint, f1 bigint, f2 bigint, c array<bigint>, k array<bigint>")
+    return map_slices(docs, body, "doc_id bigint, t bigint, n bigint, f1 bigint, f2 bigint, c array<bigint>, k array<bigint>")
 
 
 def sketches(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -123,12 +131,13 @@ def alike(na: Column, ka: Column, nb: Column, kb: Column, percent: int) -> Colum
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, set)`` with all shingle hashes."""
+    """``(doc_id, n, f1, f2, set)`` with all shingle hashes."""
     def body(part, texts):
         hashes, off = shingle_sets(texts, width)
-        return {"doc_id": part.column("doc_id"),
+        n, f1, f2 = digests(hashes, off)
+        return {"doc_id": part.column("doc_id"), "n": pa.array(n), "f1": pa.array(f1), "f2": pa.array(f2),
                 "set": pa.ListArray.from_arrays(pa.array(off, type=pa.int32()), pa.array(hashes.view(np.int64)))}
-    return map_slices(docs, body, "doc_id bigint, set array<bigint>")
+    return map_slices(docs, body, "doc_id bigint, n bigint, f1 bigint, f2 bigint, set array<bigint>")
 
 
 def semi(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -138,8 +147,8 @@ def semi(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+    a = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
+    b = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
                                                  F.size(F.array_intersect("sa", "sb")).alias("m"))
     return both.where(100 * F.col("m") >= percent * (F.col("na") + F.col("nb") - F.col("m"))).select("a", "b")
@@ -151,15 +160,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents are linked when ``100 * intersection >= percent * union`` of their sets of ``width``-word shingles
     (words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z). ``component_id`` is the least key reachable.
     A null or empty text has an empty set and is linked with nothing; a null key is linked with nothing and has a
-    null component. Repeated rows are answered one by one."""
-    frame = pick(docs, doc_id, text)
+    null component. Rows are answered one by one, also where they share a key: each has the links of its own set."""
+    return _answered(docs, doc_id, text, width, percent).drop("t")
+
+
+def _answered(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``t``, the hash of their text."""
+    frame = pick(docs, doc_id, text).withColumn("t", F.xxhash64("text"))
     signed = cut(signatures(frame, width))
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
 
-    # equal sets are one class, known by its least key
-    classes = linked.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    member = cut(linked.join(classes, ["n", "f1", "f2"]))
-    reps = member.where("doc_id = rep").select("rep", "n", "c", "k").dropDuplicates(["rep"])
+    # equal sets are one class: a number, its least key, and the hashes that all its members have
+    wide = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = cut(linked.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"), F.any_value("c").alias("c"), F.any_value("k").alias("k")).repartition(
+        wide).withColumn("rep", F.monotonically_increasing_id()))
+    reps = classes.select("rep", "n", "c", "k").repartition(wide)  # 120 keys a row follow: many small tasks
 
     pairs = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
     keys = reps.select("rep", F.inline(F.array(*(F.struct(
@@ -179,8 +194,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tried = cut(promising(buckets.where("many = 2").select("a", "b").union(stars).distinct()))
 
     def sets_of(some: DataFrame) -> DataFrame:
-        wanted = cut(some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct())
-        return cut(full_sets(semi(frame, wanted, "doc_id"), width).dropDuplicates(["doc_id"]))
+        wanted = some.select(F.col("a").alias("rep")).union(some.select("b")).distinct()
+        wanted = cut(classes.join(wanted, "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), "n", "f1", "f2"))
+        full = full_sets(semi(frame, cut(wanted.select("doc_id").distinct()), "doc_id"), width)
+        return cut(full.join(wanted, ["doc_id", "n", "f1", "f2"]).select("rep", "set").dropDuplicates(["rep"]))
 
     edges = cut(_confirm(tried, sets_of(tried), percent))
     parts = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("part"))
@@ -205,16 +222,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not more.isEmpty():
         parts = connected_components(edges.union(more)).select(F.col("node").alias("rep"), F.col("component").alias("part"))
 
-    found = member.select("doc_id", F.col("n").alias("size"), "f1", "f2", "rep").dropDuplicates(["doc_id", "size", "f1", "f2"]).join(
-        parts, "rep", "left").select(F.col("doc_id").alias("_d"), "size", "f1", "f2", F.coalesce("part", "rep").alias("component_id"))
-    out = signed.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("n") == F.col("size")) & (signed["f1"] == found["f1"])
-                      & (signed["f2"] == found["f2"]), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(
+    least = parts.join(classes.select("rep", "least"), "rep").groupBy("part").agg(F.min("least").alias("component_id"))
+    known = parts.join(least, "part").select("rep", "component_id")
+    # written, so that the join is between plain shuffles and a class with very many members is split over tasks
+    found = cut(classes.select("rep", "n", "f1", "f2", "least").join(known, "rep", "left").select(
+        F.col("n").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("component_id", "least").alias("component_id")))
+    out = signed.select("doc_id", "t", "n", "f1", "f2").join(found, (F.col("n") == F.col("_n")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(
         F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the least key. Other columns stay."""
-    gone = near_duplicates(docs, doc_id, text, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """``docs`` with one document of each group of near duplicates: the one with the least key. Other columns stay.
+
+    Rows that share the least key of their group all stay; a row whose namesake goes stays if its own text does."""
+    gone = _answered(docs, doc_id, text, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t")).distinct()
+    own = F.xxhash64(F.col(text).cast("string"))
+    return docs.join(gone, (docs[doc_id].cast("bigint") == gone["_gone"]) & (own == gone["_t"]), "left_anti")

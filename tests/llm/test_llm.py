@@ -400,3 +400,12 @@ def test_pipeline(spark, sf):
         assert name == "bpe" or docs.columns == names
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
     assert [n for n, _ in cp.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "decontamination", "bpe"]
+
+
+def test_rows_that_share_a_key_keep_their_own_links(spark):
+    a, b = prose(31, 80), prose(32, 80)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (9, prose(33, 80)), (9, a)], "doc_id bigint, text string")
+    rows = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, width=2).collect())
+    assert rows == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (9, 1, False), (9, 9, True)]
+    left = neardup.one_of_each(docs, width=2).collect()
+    assert sorted(r["doc_id"] for r in left) == [1, 1, 9] and [r["text"] for r in left if r["doc_id"] == 9] == [prose(33, 80)]
