@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -251,12 +253,43 @@ def refreshed_stories(spark, sf):
     return out.select("story_id", "title", F.array_join("topics", ",").alias("topics"))
 
 
+SCOPED = "2024-01-25 18:00:00"
+
+
+def size_judge(listing, old_title):
+    """A stand-in judge: lists of up to six articles are coherent, longer ones fall into halves."""
+    n = len(re.findall(r"(?m)^[0-9]+\. \[", listing))
+    if n <= 6:
+        return '{"coherent": true, "title": "Judged %d"}' % n
+    return '{"coherent": false, "groups": [%s, %s]}' % (list(range(1, n // 2 + 1)), list(range(n // 2 + 1, n + 1)))
+
+
+def run_job(spark, sf, store):
+    return rc.recluster(articles(spark, sf), vectors(spark, sf), fx.news_sources(spark, sf), store, SCOPED,
+                        stories=fx.news_stories(spark, sf, entities=True), judge=size_judge, model="m", seed_hours=24)
+
+
 @query("reclustered_stories")
 def reclustered_stories(spark, sf):
     """The whole periodic job on the recent window."""
-    final, facts, _ = rc.recluster(articles(spark, sf), vectors(spark, sf), fx.news_sources(spark, sf),
-                                   cache(spark, sf), "2024-01-25 18:00:00", seed_hours=24)
-    return final.join(facts.select("cluster", "article_count", "source_count", "relevance_score"), "cluster")
+    job = run_job(spark, sf, cache(spark, sf))
+    return job.members.join(job.facts.select("cluster", "article_count", "source_count", "relevance_score"), "cluster").join(
+        job.matches, "cluster")
+
+
+@query("recluster_decisions")
+def recluster_decisions(spark, sf):
+    """Two runs in a row: the second finds every verdict of the first in the store and asks nothing new."""
+    first = run_job(spark, sf, cache(spark, sf))
+    second = run_job(spark, sf, first.cache)
+    old = first.decisions.select("fingerprint", "coherent", "title", F.size("groups").alias("parts"), F.lit(1).alias("run"))
+    return old.unionByName(second.decisions.select("fingerprint", "coherent", "title", F.size("groups").alias("parts"), F.lit(2).alias("run")))
+
+
+@query("recluster_changes")
+def recluster_changes(spark, sf):
+    """What the run does to each story it touches."""
+    return run_job(spark, sf, cache(spark, sf)).changes
 
 
 @query("judged_clusters")
@@ -271,5 +304,5 @@ def judged_clusters(spark, sf):
     l = hooks.cluster_listing(small_clusters(spark, sf)).withColumn(
         "old_title", F.when(F.col("cluster") % 3 == 0, "Old title"))
     answers = hooks.judge(l, judge)
-    v = l.join(answers, "cluster").select("cluster", ps.parse_coherence("answer", "article_ids", "old_title").alias("v"))
+    v = l.join(answers, ["cluster", "part"]).select("cluster", ps.parse_coherence("answer", "article_ids", "old_title").alias("v"))
     return v.select("cluster", "v.coherent", "v.title", F.size("v.groups").alias("n_groups"))

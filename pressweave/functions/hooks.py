@@ -54,24 +54,29 @@ def analyze(df: DataFrame, fn=None, responses: DataFrame | None = None, min_char
 
 
 def judge(listings: DataFrame, fn) -> DataFrame:
-    """Answers of a coherence judge ``fn(listing, old_title)`` for ``(cluster, listing, old_title)``."""
+    """Answers of a coherence judge ``fn(listing, old_title)`` for ``(cluster[, part], listing, old_title)``."""
+    keys = [c for c in ("cluster", "part") if c in listings.columns]
+
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"cluster": f["cluster"], "answer": [
-                fn(a, b) for a, b in zip(f["listing"], f["old_title"])]})
-    return listings.select("cluster", "listing", "old_title").mapInPandas(run, "cluster bigint, answer string")
+            yield pd.DataFrame({**{k: f[k] for k in keys}, "answer": [fn(a, b) for a, b in zip(f["listing"], f["old_title"])]})
+    schema = ", ".join(f"{k} {listings.schema[k].dataType.simpleString()}" for k in keys)
+    return listings.select(*keys, "listing", "old_title").mapInPandas(run, f"{schema}, answer string")
 
 
 def cluster_listing(members: DataFrame, max_size: int = 24) -> DataFrame:
-    """Numbered list ``n. [title] summary`` per cluster with the ids in the same order.
+    """Numbered lists ``n. [title] summary`` of every cluster, with the ids in the same order.
+
+    ``(cluster, part, listing, article_ids)``: a cluster above ``max_size`` members comes in several parts, each numbered from 1,
+    so that no row grows with the cluster. Parts are runs of ids (see :func:`pressweave.operators.density.id_runs`)."""
+    from ..operators.density import id_runs
 
-    Only clusters up to ``max_size`` members are listed; larger ones are split before they get here."""
-    small = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_size)
-    rows = members.join(small.select("cluster"), "cluster", "left_semi")
+    rows = id_runs(members.select(F.col("cluster").alias("label"), "id", "title", "summary"), max_size).select(
+        F.col("label").alias("cluster"), F.col("run").cast("int").alias("part"), "id", "title", "summary")
     line = F.struct("id", "title", F.coalesce("summary", "title").alias("s"))
-    g = rows.groupBy("cluster").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    g = rows.groupBy("cluster", "part").agg(F.array_sort(F.collect_list(line)).alias("l"))
     text = F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". ["), x["title"], F.lit("] "), x["s"]))
-    return g.select("cluster", F.array_join(text, "\n").alias("listing"),
+    return g.select("cluster", "part", F.array_join(text, "\n").alias("listing"),
                     F.transform("l", lambda x: x["id"]).alias("article_ids"))
 
 

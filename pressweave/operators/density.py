@@ -426,22 +426,26 @@ def split_oversize(df: DataFrame, labels: DataFrame, max_size: int = vocab.MAX_C
     return _chunk(now, sizes, max_size)
 
 
-def _chunk(now: DataFrame, sizes: DataFrame, max_size: int, slices: int = 256) -> DataFrame:
-    """Cut clusters above ``max_size`` into runs of ``max_size`` ids in id order.
-
-    The position inside a cluster is the count of earlier id ranges plus the position in the range, so a
-    huge cluster is ranked by many tasks."""
-    big = sizes.where(F.col("n") > max_size)
-    t = now.join(big.select("label"), "label", "left_semi")
-    span = t.groupBy("label").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(slices)), F.lit(1))
-    t = t.join(span, "label").withColumn("_s", F.floor((F.col("id") - F.col("lo")) / width)).drop("lo", "hi")
+def id_runs(rows: DataFrame, size: int, slices: int = 256) -> DataFrame:
+    """``rows`` ``(label, id, ...)`` with ``run``: runs of ``size`` ids in id order within each label.
+
+    The position inside a label is the count of earlier id ranges plus the position in the range, so a
+    huge label is ranked by many tasks."""
+    span = rows.groupBy("label").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
+    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(slices)), F.lit(1))
+    t = rows.join(span, "label").withColumn("_s", F.floor((F.col("id") - F.col("_lo")) / width)).drop("_lo", "_hi")
     before = Window.partitionBy("label").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     ahead = t.groupBy("label", "_s").agg(F.count(F.lit(1)).alias("_c")).withColumn(
         "_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     w = Window.partitionBy("label", "_s").orderBy("id")
-    pos = t.withColumn("_rn", F.row_number().over(w)).join(ahead, ["label", "_s"]).withColumn(
-        "_run", F.floor((F.col("_before") + F.col("_rn") - 1) / F.lit(max_size)))
-    first = pos.groupBy("label", "_run").agg(F.min("id").alias("_new"))
-    cutup = pos.join(first, ["label", "_run"]).select("id", F.col("_new").alias("label"))
+    return t.withColumn("_rn", F.row_number().over(w)).join(ahead, ["label", "_s"]).withColumn(
+        "run", F.floor((F.col("_before") + F.col("_rn") - 1) / F.lit(size))).drop("_s", "_rn", "_before")
+
+
+def _chunk(now: DataFrame, sizes: DataFrame, max_size: int) -> DataFrame:
+    """Cut clusters above ``max_size`` into runs of ``max_size`` ids in id order."""
+    big = sizes.where(F.col("n") > max_size)
+    pos = id_runs(now.join(big.select("label"), "label", "left_semi"), max_size)
+    first = pos.groupBy("label", "run").agg(F.min("id").alias("_new"))
+    cutup = pos.join(first, ["label", "run"]).select("id", F.col("_new").alias("label"))
     return now.join(big.select("label"), "label", "left_anti").select("id", "label").unionByName(cutup)

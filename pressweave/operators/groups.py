@@ -40,29 +40,47 @@ def top_topics(df: DataFrame, keys, topics: str = "topics", order: str = "id", n
             .select(*keys, F.transform("_l", lambda x: x["topic"]).alias("topics")))
 
 
-def _proper_substrings(c: Column) -> Column:
+#: Characters of a form's anchor: its first ones, looked up among all windows of that length in other forms.
+ANCHOR = 8
+
+
+def _windows(c: Column) -> Column:
+    """All distinct runs of up to ``ANCHOR`` characters."""
     n = F.length(c)
-    starts = F.sequence(F.lit(1), n)
-    every = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda k: c.substr(i, k))))
-    return F.filter(F.array_distinct(every), lambda s: s != c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(ANCHOR))), lambda k: F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: c.substr(i, k)))))
+
+
+def contained_forms(forms: DataFrame, keys, how: str = "left_semi") -> DataFrame:
+    """Forms ``(keys, _l)`` that are part of a longer one in their group; ``how='inner'`` names that one in ``_in``.
+
+    A form is looked up by its first characters among the windows of the group's forms, then compared: windows
+    grow with the length of a form, not with its square."""
+    keys = _keys(keys)
+    inner = forms.select(*keys, "_l", F.left("_l", F.lit(ANCHOR)).alias("_a"))
+    outer = forms.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_l").alias("_in"), F.explode(_windows(F.col("_l"))).alias("_w"))
+    cond = (F.col("_a") == F.col("_w")) & (F.length("_l") < F.length("_in")) & F.contains("_in", "_l")
+    for i, k in enumerate(keys):
+        cond = cond & (inner[k] == F.col(f"_k{i}"))
+    return inner.join(outer, cond, how).select(*keys, "_l", *(["_in"] if how == "inner" else []))
+
+
+def entity_forms(df: DataFrame, keys, entities: str = "entities", order: str = "id") -> DataFrame:
+    """``(keys, _l, _first)``: lower-cased forms and where they are seen first (``_o`` row, ``_p`` position, ``_e`` spelling)."""
+    keys = _keys(keys)
+    return (df.select(*keys, F.col(order).alias("_o"), F.posexplode(entities).alias("_p", "_e"))
+            .withColumn("_l", strip(F.lower("_e"))).where("_l <> ''")
+            .groupBy(*keys, "_l")
+            .agg(F.min(F.struct("_o", "_p", "_e")).alias("_first")))
 
 
 def merge_entities(df: DataFrame, keys, entities: str = "entities", order: str = "id",
                    limit: int = 15) -> DataFrame:
     """Case-insensitive distinct entities in first-seen order, without any form that is part of a
-    longer one in the same group.
-
-    Containment is an equi anti-join against the substrings of each distinct form, so a group
-    with very many forms is spread over the cluster by (group, form).
-    """
+    longer one in the same group."""
     keys = _keys(keys)
-    forms = (df.select(*keys, F.col(order).alias("_o"), F.posexplode(entities).alias("_p", "_e"))
-             .withColumn("_l", strip(F.lower("_e"))).where("_l <> ''")
-             .groupBy(*keys, "_l")
-             .agg(F.min(F.struct("_o", "_p", "_e")).alias("_first")))
-    inner = forms.select(*keys, F.explode(_proper_substrings(F.col("_l"))).alias("_l"))
-    kept = forms.join(inner, [*keys, "_l"], "left_anti")
+    forms = entity_forms(df, keys, entities, order)
+    kept = forms.join(contained_forms(forms, keys), [*keys, "_l"], "left_anti")
     w = Window.partitionBy(*keys).orderBy("_first")
     return (kept.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rn", "_first"))).alias("_l"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import jaccard, non_empty, norm_entities, shared_count, significant_tokens
-from ..operators.groups import centroid, merge_entities
+from ..functions.text import non_empty, norm_entities, significant_tokens, strip
+from ..operators.groups import centroid, contained_forms
 from ..operators.simjoin import cosine, knn_join
 from ..session import cut
 from .pairing import SOFT_ROLES
@@ -72,44 +72,84 @@ def cluster_suspicious(members: DataFrame) -> DataFrame:
         ((n >= 2) & (bad > 0) & ~((bad == n) & (n <= 2))).alias("suspicious"))
 
 
-def suspicious_outliers(members: DataFrame, max_size: int = vocab.MAX_CLUSTER_SIZE, **limits) -> DataFrame:
-    """Embedding outliers whose metadata does not fit the rest either.
-
-    The rest is described by one identity line per article and its merged entity list. Clusters hold at
-    most ``max_size`` articles once oversize ones are split, which bounds the (outlier, rest) table; a larger
-    cluster is judged by :func:`metadata_suspicion` instead."""
+def _rest_words(articles: DataFrame, out: DataFrame) -> DataFrame:
+    """``(cluster, id, token_score)`` of outliers against the identity lines of the rest of their cluster.
+
+    A word is in the rest if more lines use it than the article's own, so counts per cluster serve every member."""
+    line = significant_tokens(F.coalesce("story_identity", "main_event", "title"))
+    lines = articles.select("cluster", "id", F.explode(line).alias("t"))
+    df = lines.groupBy("cluster", "t").agg(F.count(F.lit(1)).alias("df"))
+    every = df.groupBy("cluster").agg(F.count(F.lit(1)).alias("every"))
+    mine = lines.join(out, ["cluster", "id"], "left_semi").withColumn("own", F.lit(1))
+    alone = mine.join(df, ["cluster", "t"]).groupBy("cluster", "id").agg(F.count_if(F.col("df") == 1).alias("alone"))
+    words = articles.join(out, ["cluster", "id"], "left_semi").select("cluster", "id", F.explode(significant_tokens(identity_text())).alias("t"))
+    shared = words.join(mine, ["cluster", "id", "t"], "left").join(df, ["cluster", "t"], "left").groupBy("cluster", "id").agg(
+        F.count(F.lit(1)).alias("words"), F.count_if(F.coalesce("df", F.lit(0)) - F.coalesce("own", F.lit(0)) >= 1).alias("both"))
+    t = out.join(shared, ["cluster", "id"], "left").join(alone, ["cluster", "id"], "left").join(every, "cluster", "left").fillna(
+        0, ["words", "both", "alone", "every"])
+    rest = F.col("every") - F.col("alone")
+    score = F.when((F.col("words") == 0) | (rest == 0), 0.0).otherwise(F.col("both") / (F.col("words") + rest - F.col("both")))
+    return t.select("cluster", "id", score.alias("token_score"))
+
+
+def _rest_entities(articles: DataFrame, out: DataFrame, limit: int = 15) -> DataFrame:
+    """``(cluster, id, shared_entities)``: how many of an outlier's entities are in the merged list of the rest.
+
+    The rest's list (see :func:`merge_entities`) differs from the cluster's only by what the article itself says: forms that
+    nobody else has go, forms that only stood inside those come back, and what it says first is seen later. So a
+    look at the first ``limit`` forms of the cluster and a few more is enough for every outlier."""
+    some = articles.join(out.select("cluster").distinct(), "cluster", "left_semi").where("entities is not null")
+    seen = cut(some.select("cluster", "id", F.posexplode("entities").alias("_p", "_e")).withColumn("_l", strip(F.lower("_e"))).where(
+        "_l <> ''").groupBy("cluster", "_l", "id").agg(F.min("_p").alias("_p")))
+    forms = seen.groupBy("cluster", "_l").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("id", "_p")).alias("first"))
+    inside = cut(contained_forms(forms.select("cluster", "_l"), "cluster", "inner"))
+    own = seen.join(out, ["cluster", "id"], "left_semi").select("cluster", "id", "_l")
+    many = own.groupBy("cluster", "id").agg(F.count(F.lit(1)).alias("m"))
+    kept = forms.join(inside.select("cluster", "_l").distinct(), ["cluster", "_l"], "left_anti")
+    kept = kept.withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy("first")))
+    listed = out.join(many, ["cluster", "id"], "left").join(kept, "cluster").where(F.col("rn") <= limit + F.coalesce("m", F.lit(0))).select(
+        "cluster", "id", "_l")
+    lone = forms.where("df = 1").select("cluster", F.col("_l").alias("_in"), F.col("first.id").alias("id")).join(out, ["cluster", "id"], "left_semi")
+    freed = inside.join(lone, ["cluster", "_in"]).groupBy("cluster", "id", "_l").agg(F.count(F.lit(1)).alias("gone")).join(
+        inside.groupBy("cluster", "_l").agg(F.count(F.lit(1)).alias("all")), ["cluster", "_l"]).where(F.col("gone") == F.col("all")).select(
+        "cluster", "id", "_l")
+    near = listed.unionByName(freed).join(own.withColumn("own", F.lit(1)), ["cluster", "id", "_l"], "left").join(
+        forms, ["cluster", "_l"]).where(F.col("df") - F.coalesce("own", F.lit(0)) >= 1)
+    early = near.where(F.col("first.id") == F.col("id")).select("cluster", "id", "_l")
+    later = early.join(seen.select("cluster", "_l", F.col("id").alias("other"), "_p"), ["cluster", "_l"]).where("other <> id").groupBy(
+        "cluster", "id", "_l").agg(F.min(F.struct(F.col("other").alias("id"), "_p")).alias("second"))
+    order = Window.partitionBy("cluster", "id").orderBy(F.coalesce("second", "first"))
+    named = near.join(later, ["cluster", "id", "_l"], "left").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit)
+    counts = named.groupBy("cluster", "id").agg(F.count("own").alias("shared_entities"))
+    return out.join(counts, ["cluster", "id"], "left").fillna(0, ["shared_entities"])
+
+
+def suspicious_outliers(members: DataFrame, **limits) -> DataFrame:
+    """Embedding outliers whose metadata does not fit the rest of their cluster either, by one rule at every size.
+
+    The rest is described by one identity line per article and its merged entity list; both come from counts
+    per cluster, not from a copy of the cluster per outlier."""
     out = cut(embedding_outliers(members.select("cluster", "id", "embedding"), **limits).select("cluster", "id"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
-    small = out.join(sizes.where(F.col("_n") <= max_size), "cluster").select("cluster", F.col("id").alias("outlier"))
-    meta = members.drop("embedding")
-    rest = meta.join(small, "cluster").where("id <> outlier")
-    line = F.coalesce("story_identity", "main_event", "title")
-    words = rest.groupBy("cluster", "outlier").agg(
-        F.collect_set(line).alias("_lines")).select("cluster", F.col("outlier").alias("id"),
-                                                    F.array_join("_lines", " ").alias("_rest"))
-    names = merge_entities(rest.where("entities is not null"), ["cluster", "outlier"]).select(
-        "cluster", F.col("outlier").alias("id"), F.col("entities").alias("_names"))
-    mine = (meta.join(words, ["cluster", "id"]).join(names, ["cluster", "id"], "left"))
-    shared = shared_count(norm_entities("entities"), norm_entities("_names"))
-    score = jaccard(significant_tokens(identity_text()), significant_tokens("_rest"))
-    near = mine.withColumns({"_sh": shared, "_sc": score}).where(
-        _verdict(F.col("article_type"), F.col("_sh"), F.col("_sc"))).select("cluster", "id")
-    huge = sizes.where(F.col("_n") > max_size).select("cluster")
-    far = (metadata_suspicion(meta.join(huge, "cluster", "left_semi")).where("suspicious").select("cluster", "id")
-           .join(out, ["cluster", "id"], "left_semi"))
-    return near.unionByName(far)
+    articles = members.drop("embedding").join(out.select("cluster").distinct(), "cluster", "left_semi")
+    scored = _rest_words(articles, out).join(_rest_entities(articles, out), ["cluster", "id"]).join(
+        articles.select("cluster", "id", "article_type"), ["cluster", "id"])
+    return scored.where(_verdict(F.col("article_type"), F.col("shared_entities"), F.col("token_score"))).select("cluster", "id")
 
 
-def split_outliers(members: DataFrame, **limits) -> DataFrame:
-    """``(cluster, id, part)``: suspicious outliers become parts of their own (part = their id) as long as a
-    core (part 0) remains."""
-    odd = cut(suspicious_outliers(members, **limits).withColumn("_odd", F.lit(True)))
+def _parted(members: DataFrame, odd: DataFrame) -> DataFrame:
+    odd = odd.withColumn("_odd", F.lit(True))
     t = members.select("cluster", "id").join(odd, ["cluster", "id"], "left")
     core = t.where("_odd is null").select("cluster").distinct().withColumn("_core", F.lit(True))
     return t.join(core, "cluster", "left").select(
         "cluster", "id", F.when(F.col("_odd") & F.col("_core"), F.col("id")).otherwise(F.lit(0)).alias("part"))
 
 
+def split_outliers(members: DataFrame, **limits) -> DataFrame:
+    """``(cluster, id, part)``: suspicious outliers become parts of their own (part = their id) as long as a
+    core (part 0) remains."""
+    return _parted(members, cut(suspicious_outliers(members, **limits)))
+
+
 # ---- verdict cache ------------------------------------------------------------------
 
 def fingerprints(members: DataFrame, key: str = "cluster") -> DataFrame:
@@ -160,43 +200,114 @@ def prior_splits(members: DataFrame, cache: DataFrame) -> DataFrame:
             .select("cluster", "id", F.coalesce("part", -F.col("id") - 1).cast("bigint").alias("part")))
 
 
-def _regroup(parts: DataFrame) -> DataFrame:
+def regroup(parts: DataFrame) -> DataFrame:
     """New cluster keys: the smallest id of each part."""
     head = parts.groupBy("cluster", "part").agg(F.min("id").alias("_new"))
     return parts.join(head, ["cluster", "part"]).select(F.col("_new").alias("cluster"), "id")
 
 
-def apply_verdicts(members: DataFrame, articles: DataFrame, cache: DataFrame, stories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split clusters by stored verdicts until none applies, then give every cluster a title.
-
-    Returns ``(members, titles)``, clusters keyed by their smallest member. A stored title is reused only when the cluster's metadata look sound;
-    ``stories`` (``fingerprint, title, summary``) are existing clusters with the same members. Otherwise the
-    title is that of the first article."""
-    now = cut(_regroup(members.select("cluster", "id", F.lit(0).alias("part"))))
-    while True:  # each pass leaves smaller clusters only
-        prior = cut(prior_splits(now, cache))
-        left = now.join(prior.select("cluster").distinct(), "cluster", "left_anti")
-        same = fingerprints(left).join(valid_decisions(cache).where(~F.col("coherent")).select(
-            "fingerprint", "groups"), "fingerprint")
-        stored = same.select("cluster", F.posexplode("groups").alias("part", "ids")).select(
-            "cluster", F.explode("ids").alias("id"), F.col("part").cast("bigint").alias("part"))
-        stored = stored.join(left, ["cluster", "id"], "left_semi")
-        several = stored.groupBy("cluster").agg(F.count_distinct("part").alias("_n")).where("_n >= 2").select("cluster")
-        stored = cut(stored.join(several, "cluster", "left_semi"))
-        if prior.isEmpty() and stored.isEmpty():
-            break
-        split = prior.unionByName(stored)
-        now = cut(now.join(split.select("cluster").distinct(), "cluster", "left_anti").unionByName(_regroup(split)))
-    meta = now.join(articles, "id")
-    sound = cluster_suspicious(meta).where(~F.col("suspicious")).select("cluster")
-    known = valid_decisions(cache).where("coherent").select("fingerprint", "title", "summary", F.lit(1).alias("_o"))
+CACHE_COLUMNS = ("fingerprint string, article_ids array<bigint>, coherent boolean, title string, summary string, "
+                 "groups array<array<bigint>>, model string, created_at timestamp_ntz")
+
+
+def _groups(split: DataFrame) -> DataFrame:
+    """``(cluster, article_ids, groups)`` of clusters ``(cluster, id, part)``, members and groups in order."""
+    per = split.groupBy("cluster", "part").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return per.groupBy("cluster").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("article_ids"), F.array_sort(F.collect_list("ids")).alias("groups"))
+
+
+def settle(members: DataFrame, articles: DataFrame, cache: DataFrame, stories: DataFrame | None = None, judge=None, model: str = "",
+           now=None, max_size: int = vocab.MAX_CLUSTER_SIZE, **limits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every cluster through prior splits, stored verdicts, the judge and the outlier guard, until none is split any more.
+
+    Returns ``(members, titles, decisions)``: clusters keyed by their smallest member, their titles (``reused`` if stored), and the
+    new rows for the cache. An open cluster is, in this order: left alone if it has one member; split as an earlier verdict did
+    (three or more members); given the title of the story with the same members (``stories``: ``fingerprint, title, summary``) or of a
+    coherent verdict, if its metadata look sound and it has no suspicious outlier; split by a stored verdict on just these members;
+    judged. ``judge(listing, old_title)`` is called inside the tasks and its answer parsed; without a judge, or without a usable
+    answer, the first article gives the title. A cluster judged coherent loses its suspicious outliers. With a column
+    ``embedding`` in ``articles`` outliers are looked for, else there are none."""
+    known = valid_decisions(cache)
+    whole = known.where("coherent").select("fingerprint", "title", "summary", F.lit(1).alias("_o"))
     if stories is not None:
-        known = known.unionByName(stories.select("fingerprint", "title", "summary", F.lit(0).alias("_o")))
-    known = known.groupBy("fingerprint").agg(F.min_by(F.struct("title", "summary"), "_o").alias("k"))
-    kept = fingerprints(now).join(sound, "cluster", "left_semi").join(known, "fingerprint").select("cluster", "k")
-    first = meta.groupBy("cluster").agg(F.min(F.struct("id", "title", "summary")).alias("f"))
-    titles = first.join(kept, "cluster", "left").select(
+        whole = whole.unionByName(stories.select("fingerprint", "title", "summary", F.lit(0).alias("_o")))
+    whole = cut(whole.groupBy("fingerprint").agg(F.min_by(F.struct("title", "summary"), "_o").alias("k")))
+    apart = cut(known.where(~F.col("coherent")).select("fingerprint", "groups"))
+    at = F.lit(now).cast("timestamp_ntz") if now is not None else F.lit(None).cast("timestamp_ntz")
+    open_ = cut(regroup(members.select("cluster", "id", F.lit(0).alias("part"))))
+    done, given, decisions = [], [], []
+    while not open_.isEmpty():  # what stays open is in smaller clusters
+        prior = cut(prior_splits(open_, cache))
+        left = open_.join(prior.select("cluster").distinct(), "cluster", "left_anti")
+        prints = cut(fingerprints(left))
+        several = prints.where(F.size("article_ids") > 1)
+        rows = left.join(several.select("cluster"), "cluster", "left_semi").join(articles, "id")
+        odd = cut(suspicious_outliers(rows, **limits)) if "embedding" in articles.columns else left.where("false")
+        hit = several.join(whole, "fingerprint")
+        doubted = cluster_suspicious(rows.join(hit.select("cluster"), "cluster", "left_semi")).where("suspicious").select("cluster")
+        kept = cut(hit.join(doubted, "cluster", "left_anti").join(odd, "cluster", "left_anti").select("cluster", "k"))
+        stored = _split_by(several.join(kept, "cluster", "left_anti").join(apart, "fingerprint").select("cluster", "groups"), left)
+        rest = several.join(kept, "cluster", "left_anti").join(stored.select("cluster").distinct(), "cluster", "left_anti")
+        judged = judged_clusters(left.join(rest, "cluster", "left_semi").join(articles, "id"), judge, max_size)
+        wrong = _split_by(judged.where(~F.col("coherent")).select("cluster", "groups"), left) if judge else left.where("false").withColumn("part", F.lit(0))
+        fine = rest.select("cluster").join(wrong.select("cluster").distinct(), "cluster", "left_anti")
+        parts = cut(_parted(left.join(fine, "cluster", "left_semi"), odd))
+        guarded = parts.where("part <> 0").select("cluster").distinct()
+        torn = parts.join(guarded, "cluster", "left_semi")
+        whole_ones = left.join(wrong.unionByName(stored).select("cluster").distinct().union(guarded), "cluster", "left_anti")
+        done.append(whole_ones.select("cluster", "id").unionByName(regroup(torn)))
+        titled = judged.where("coherent").join(guarded, "cluster", "left_anti")
+        given += [titled.select("cluster", F.struct("title", "summary").alias("k"), F.lit(False).alias("reused")),
+                  kept.withColumn("reused", F.lit(True))]
+        no_groups, no_text = F.lit(None).cast("array<array<bigint>>"), F.lit(None).cast("string")
+        split = _groups(wrong.unionByName(torn)).select("cluster", "groups").join(prints, "cluster").select(
+            "fingerprint", prints["article_ids"], F.lit(False).alias("coherent"), no_text.alias("title"), no_text.alias("summary"), "groups")
+        good = titled.join(prints, "cluster").select("fingerprint", prints["article_ids"], "coherent", "title", "summary", no_groups.alias("groups"))
+        decisions += [split.withColumns({"model": F.lit(model), "created_at": at}), good.withColumns({"model": F.lit(model), "created_at": at})]
+        open_ = cut(regroup(prior.unionByName(stored).unionByName(wrong)))
+    spark = members.sparkSession
+
+    def together(frames, schema):
+        out = spark.createDataFrame([], schema)
+        for f in frames:
+            out = out.unionByName(f)
+        return cut(out)
+    settled = together(done, "cluster bigint, id bigint")
+    given = together(given, "cluster bigint, k struct<title:string,summary:string>, reused boolean")
+    heads = settled.join(articles, "id").groupBy("cluster").agg(F.min(F.struct("id", "title", "summary")).alias("f"))
+    titles = cut(heads.join(given, "cluster", "left").select(
         "cluster", F.coalesce("k.title", "f.title").alias("title"),
         F.when(F.col("k").isNotNull(), F.col("k.summary")).otherwise(F.col("f.summary")).alias("summary"),
-        F.col("k").isNotNull().alias("reused"))
-    return now, titles
+        F.coalesce("reused", F.lit(False)).alias("reused")))
+    return settled, titles, together(decisions, CACHE_COLUMNS)
+
+
+def _split_by(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """``(cluster, id, part)`` of the clusters that their ``groups`` really divide; members in no group are left out."""
+    named = groups.select("cluster", F.posexplode("groups").alias("part", "ids")).select("cluster", F.explode("ids").alias("id"), F.col("part").cast("bigint").alias("part"))
+    named = named.join(members, ["cluster", "id"], "left_semi").groupBy("cluster", "id").agg(F.min("part").alias("part"))
+    several = named.groupBy("cluster").agg(F.count_distinct("part").alias("_n")).where("_n >= 2").select("cluster")
+    return cut(named.join(several, "cluster", "left_semi"))
+
+
+def judged_clusters(rows: DataFrame, judge, max_size: int) -> DataFrame:
+    """``(cluster, coherent, title, summary, groups)`` of the judge's usable answers; a cluster listed in parts is coherent if all are."""
+    from ..functions.hooks import cluster_listing
+    from ..functions.hooks import judge as ask
+    from ..functions.parsing import parse_coherence
+
+    schema = "cluster bigint, coherent boolean, title string, summary string, groups array<array<bigint>>"
+    if judge is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    listings = cut(cluster_listing(rows, max_size).withColumn("old_title", F.lit(None).cast("string")))
+    answers = ask(listings, judge)
+    v = listings.join(answers, ["cluster", "part"]).select("cluster", "part", "article_ids", parse_coherence("answer", "article_ids").alias("v")).where(
+        "v is not null")
+    own = F.when(F.col("v.coherent"), F.array("article_ids")).otherwise(F.col("v.groups"))
+    return cut(v.groupBy("cluster").agg(F.bool_and("v.coherent").alias("coherent"), F.min_by("v.title", "part").alias("title"),
+                                        F.min_by("v.summary", "part").alias("summary"), F.flatten(F.collect_list(own)).alias("groups")))
+
+
+def apply_verdicts(members: DataFrame, articles: DataFrame, cache: DataFrame, stories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(members, titles)`` of :func:`settle` without a judge: stored verdicts only."""
+    return settle(members, articles, cache, stories)[:2]

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import datetime as dt
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.news import seconds_between
+from ..functions.text import event_role
 from ..operators.density import density_clusters, split_oversize, with_singletons
 from ..operators.groups import centroid, top_topics
-from ..operators.matching import reconcile
-from ..operators.merging import merge_clusters
+from ..operators.keyed import drop_empty, upsert
+from ..operators.matching import reconcile, story_changes
+from ..operators.merging import merge_clusters, split_marks
 from ..operators.simjoin import pair_stats, top_pairs
 from ..session import cut
 from .feed import as_datetime, ntz
-from .quality import apply_verdicts, split_outliers
+from .pairing import needs_validation
+from .quality import fingerprints, judged_clusters, regroup, settle, valid_decisions
 from .stories import cluster_facts
 
 
@@ -88,32 +92,115 @@ def cross_story_stats(articles: DataFrame, vectors: DataFrame, sample: int = 100
                     F.max("sim").alias("max_sim"))
 
 
-def recluster(articles: DataFrame, vectors: DataFrame, sources: DataFrame, cache: DataFrame, now,
-              seed_hours: int = 24, max_size: int = vocab.MAX_CLUSTER_SIZE,
-              merge_threshold: float = vocab.MERGE_THRESHOLD, **density):
-    """Scope, cluster, split, apply verdicts, guard, merge and reconcile.
-
-    Returns ``(members, facts, plan)`` with final clusters ``(cluster, id)``, their facts, and the
-    reconciliation frames of :func:`pressweave.operators.matching.reconcile`."""
+class Reclustered(NamedTuple):
+    """What a re-clustering run leaves: final clusters and everything that has to be written."""
+
+    members: DataFrame    #: cluster, id
+    facts: DataFrame      #: one row per cluster
+    matches: DataFrame    #: cluster, story_id (null: a new story)
+    moves: DataFrame      #: articles whose story changes
+    cleared: DataFrame    #: articles that leave their story
+    check_deletion: DataFrame  #: stories that lose articles
+    titles: DataFrame     #: titles before merging, with ``reused``
+    decisions: DataFrame  #: verdicts of this run
+    cache: DataFrame      #: the verdict store with them
+    flagged: DataFrame    #: merged clusters that a judge should see, with their parts
+    changes: DataFrame    #: insert, update, skip or delete per story
+
+
+def _old_stories(scope: DataFrame, stories: DataFrame) -> DataFrame:
+    """Fingerprints, titles and summaries of the stories that articles in scope stand in."""
+    held = scope.where("story_id is not null").select(F.col("story_id").alias("cluster"), "id")
+    t = stories.select(F.col("id").alias("cluster"), "title", "summary")
+    return fingerprints(held).join(t, "cluster").select("fingerprint", "title", "summary")
+
+
+def _revalidated(final: DataFrame, merged: DataFrame, flagged: DataFrame, scope: DataFrame, judge, max_size: int):
+    """Merged clusters sent back to the judge: ``(final, titles, decisions)``, split ones as the judge says."""
+    rows = final.join(flagged.select("cluster"), "cluster", "left_semi").join(scope, "id")
+    verdicts = judged_clusters(rows, judge, max_size)
+    split = verdicts.where(~F.col("coherent")).select("cluster", F.posexplode("groups").alias("part", "ids")).select(
+        "cluster", F.explode("ids").alias("id"), "part").groupBy("cluster", "id").agg(F.min("part").cast("bigint").alias("part"))
+    split = cut(split.join(final, ["cluster", "id"], "left_semi"))
+    parts = regroup(split)
+    whole = final.join(split.select("cluster").distinct(), "cluster", "left_anti")
+    return cut(whole.unionByName(parts)), parts, verdicts.where("coherent").select("cluster", F.struct("title", "summary").alias("v"))
+
+
+def recluster(articles: DataFrame, vectors: DataFrame, sources: DataFrame, cache: DataFrame, now, stories: DataFrame | None = None,
+              judge=None, model: str = "", seed_hours: int = 24, max_size: int = vocab.MAX_CLUSTER_SIZE,
+              merge_threshold: float = vocab.MERGE_THRESHOLD, merge_max_size: int = vocab.MERGE_MAX_SIZE, **density) -> Reclustered:
+    """One run of the periodic job: scope, cluster, split, settle by verdicts, merge, validate, reconcile.
+
+    ``cache`` is the verdict store that the run reads and that comes back with the new verdicts upserted; verdicts that split
+    articles also keep the merge from joining them again. ``stories`` are the existing ones: a cluster with just the members of one
+    keeps its title, and ``changes`` says what happens to each (new stories get ids above the existing ones). ``judge`` is asked
+    about clusters without a verdict and about merged ones that :func:`needs_validation` flags; without it these stay
+    merged and are only listed in ``flagged``."""
     scope = cut(recluster_scope(articles, vectors, now, seed_hours))
     points = cluster_input(scope, now)
     labels = density_clusters(points, **density)
     labels = split_oversize(points, labels, max_size)
     members = cut(with_singletons(labels).select("cluster", "id"))
-    members, titles = apply_verdicts(members, scope.drop("embedding"), cache)
-    guarded = split_outliers(members.join(scope, "id"))
-    head = guarded.groupBy("cluster", "part").agg(F.min("id").alias("_new"))
-    members = cut(guarded.join(head, ["cluster", "part"]).select(F.col("_new").alias("cluster"), "id"))
-    titles = members.join(scope, "id").groupBy("cluster").agg(F.min(F.struct("id", "title", "summary")).alias("t")).select(
-        "cluster", "t.title", "t.summary")
+    known = _old_stories(scope, stories) if stories is not None else None
+    at = ntz(as_datetime(now))
+    members, titles, decisions = settle(members, scope, cache, known, judge, model, at, max_size)
+    new_cache = cut(upsert(cache, decisions.select(*cache.columns), "fingerprint"))
     base = centroid(members.join(scope, "id"), "cluster").join(
         members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
-    merged = merge_clusters(base.select(F.col("cluster").alias("id"), "size", "centroid"), merge_threshold)
+    splits = valid_decisions(new_cache).where(~F.col("coherent")).select("fingerprint", "groups")
+    base = base.join(split_marks(members, splits), "cluster", "left")
+    merged = merge_clusters(base.select(F.col("cluster").alias("id"), "size", "centroid", "marks"), merge_threshold, merge_max_size)
+    merged = cut(members.select("cluster").distinct().join(merged.withColumnRenamed("id", "cluster"), "cluster", "left").select(
+        F.col("cluster").alias("id"), F.coalesce("merged", "cluster").alias("merged")))  # clusters without a centroid stay
+    placed = cut(members.join(merged.select(F.col("id").alias("cluster"), "merged"), "cluster").select(
+        F.col("merged").alias("cluster"), F.col("cluster").alias("part"), "id"))
+    final = placed.select("cluster", "id")
+    roles = placed.join(scope, "id").select("cluster", "part", event_role("title", "story_identity", "main_event", "article_type").alias("role"))
+    flagged = needs_validation(roles, "cluster", "part").where("needs_validation").select("cluster")
+    flagged = cut(placed.join(flagged, "cluster", "left_semi").groupBy("cluster").agg(
+        F.array_sort(F.collect_set("part")).alias("parts"), F.array_sort(F.collect_list("id")).alias("article_ids")))
     facts = merged_facts(members, merged, scope, sources, titles)
-    final = cut(members.join(merged.select(F.col("id").alias("cluster"), "merged"), "cluster").select(
-        F.col("merged").alias("cluster"), "id"))
-    assigned = scope.select("id", "story_id")
-    return final, facts, reconcile(final, assigned)
+    if judge is not None:
+        final, parts, given = _revalidated(final, merged, flagged, scope, judge, max_size)
+        own = facts_with_centroid(parts, scope, sources).drop("centroid").select(*facts.columns)
+        gone = flagged.select("cluster").join(given, "cluster", "left_anti").join(parts.join(placed.withColumnRenamed("cluster", "_m"), "id").select(
+            F.col("_m").alias("cluster")).distinct(), "cluster", "left_semi")
+        kept = facts.join(gone, "cluster", "left_anti").join(given, "cluster", "left")
+        kept = kept.withColumns({"title": F.coalesce("v.title", "title"), "summary": F.when(F.col("v").isNotNull(), F.col("v.summary")).otherwise(
+            F.col("summary"))}).drop("v")
+        facts = kept.select(*facts.columns).unionByName(own)
+    facts = cut(facts)
+    matches, moves, cleared, loses = reconcile(final, scope.select("id", "story_id"))
+    matches, moves = cut(matches), cut(moves)
+    changes = planned_changes(facts, matches, moves, cleared, loses, articles, stories) if stories is not None else None
+    return Reclustered(final, facts, matches, moves, cleared, loses, titles, decisions, new_cache, flagged, changes)
+
+
+STORY_FIELDS = ["title", "summary", "topics", "entities", "article_count", "source_count", "relevance_score", "first_seen_at"]
+
+
+def planned_changes(facts: DataFrame, matches: DataFrame, moves: DataFrame, cleared: DataFrame, loses: DataFrame, articles: DataFrame,
+                    stories: DataFrame) -> DataFrame:
+    """``story_id, cluster, change``: insert for new stories, update where a field or a member changes, skip, and delete for
+    stories that lost their last article. A new story's id is the greatest existing one plus its cluster's key plus one."""
+    top = stories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    final = facts.join(matches, "cluster")
+    fresh = final.where("story_id is null").join(top).select((F.col("_top") + F.col("cluster") + 1).alias("story_id"), "cluster", F.lit("insert").alias("change"))
+    old = final.where("story_id is not null")
+    cols = [f for f in STORY_FIELDS if f in facts.columns and f in stories.columns]
+    held = stories.withColumnRenamed("id", "story_id").join(old.select("story_id"), "story_id", "left_semi")
+    joined = moves.where("story_id is not null").select("story_id").distinct().withColumn("_moved", F.lit(True))
+    same = story_changes(old, held, cols).join(old.select("story_id", "cluster"), "story_id").join(joined, "story_id", "left").select(
+        "story_id", "cluster", F.when(F.col("_moved") & (F.col("change") == "skip"), "update").otherwise(F.col("change")).alias("change"))
+    leaving = moves.select("id").union(cleared.select("id"))
+    still = articles.select("id", "story_id").join(leaving, "id", "left_anti").unionByName(
+        moves.where("story_id is not null").select("id", "story_id"))
+    candidates = loses.select(F.col("story_id").alias("id"))
+    left = drop_empty(stories, still, candidates).select("id")
+    gone = stories.join(candidates, "id", "left_semi").join(left, "id", "left_anti").select(
+        F.col("id").alias("story_id"), F.lit(None).cast("bigint").alias("cluster"), F.lit("delete").alias("change"))
+    return cut(fresh.unionByName(same).unionByName(gone))
 
 
 def refresh_stories(stories: DataFrame, articles: DataFrame, changed: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -79,34 +79,40 @@ def test_components(spark):
     assert {r[0]: r[1] for r in connected_components(df).collect()} == want
 
 
-def greedy(clusters, threshold, cap):
-    groups = [([i], n, np.asarray(c, float)) for i, n, c in clusters]
+def greedy(clusters, threshold, cap, marks=()):
+    """One pair after the other, most similar first (then by the hash of the pair), as far as sizes and verdicts allow."""
+    from pressweave.operators.merging import pair_hash
+    marks = dict(marks)
+    groups = {i: ([i], n, np.asarray(c, float), set(marks.get(i, ()))) for i, n, c in clusters}
     while True:
         best = None
-        for i in range(len(groups)):
-            for j in range(i + 1, len(groups)):
-                if groups[i][1] + groups[j][1] > cap:
+        for i in groups:
+            for j in groups:
+                a, b = groups[i], groups[j]
+                if i >= j or a[1] + b[1] > cap or any(f == g and x != y for f, x in a[3] for g, y in b[3]):
                     continue
-                a, b = groups[i][2], groups[j][2]
-                s = a @ b / np.linalg.norm(a) / np.linalg.norm(b)
-                if s >= threshold and (best is None or s > best[0]):
-                    best = (s, i, j)
+                s = round(float(a[2] @ b[2] / np.linalg.norm(a[2]) / np.linalg.norm(b[2])), 9)
+                rank = (-s, int(pair_hash(np.array([i]), np.array([j]))[0]))
+                if s >= threshold and (best is None or rank < best[0]):
+                    best = (rank, i, j)
         if best is None:
-            return {frozenset(g[0]) for g in groups}
+            return {frozenset(g[0]) for g in groups.values()}
         _, i, j = best
-        (x, n, a), (y, m, b) = groups[i], groups[j]
-        groups[i] = (x + y, n + m, (a * n + b * m) / (n + m))
-        del groups[j]
-
-
-def test_merge_matches_sequential(spark):
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(12, 6))
-    rows = [(i, int(rng.integers(1, 6)), (centres[i % 12] + 0.12 * rng.normal(size=6)).tolist()) for i in range(50)]
-    got = merge_clusters(spark.createDataFrame(rows, "id bigint, size bigint, centroid array<double>"), 0.95, 12,
-                         block=16).toPandas()
-    found = {frozenset(g["id"]) for _, g in got.groupby("merged")}
-    assert found == greedy(rows, 0.95, 12)
+        a, b = groups[i], groups.pop(j)
+        groups[i] = (a[0] + b[0], a[1] + b[1], (a[2] * a[1] + b[2] * b[1]) / (a[1] + b[1]), a[3] | b[3])
+
+
+@pytest.mark.parametrize("seed,block", [(0, 2048), (2, 2048), (3, 10)])
+def test_merge_matches_sequential(spark, seed, block):
+    """Tight sizes, close centroids and blocked pairs."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 5))
+    rows = [(i, int(rng.integers(1, 6)), (centres[i % 6] + 0.25 * rng.normal(size=5)).tolist()) for i in range(40)]
+    marks = {i: [(int(rng.integers(0, 3)), int(rng.integers(0, 2)))] for i in range(0, 40, 3)}
+    df = spark.createDataFrame([(*r, marks.get(r[0])) for r in rows],
+                               "id bigint, size bigint, centroid array<double>, marks array<struct<f:bigint,g:int>>")
+    got = merge_clusters(df, 0.9, 10, block=block).toPandas()
+    assert {frozenset(g["id"]) for _, g in got.groupby("merged")} == greedy(rows, 0.9, 10, marks)
 
 
 def test_merge_of_many_copies_ends(spark):
