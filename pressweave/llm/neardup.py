@@ -170,10 +170,10 @@ def _answered(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     signed = cut(signatures(frame, width))
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
 
-    # equal sets are one class: a number, its least key, and the hashes that all its members have
+    # equal sets are one class: a number in order of its least key, and the hashes that all its members have
     wide = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    classes = cut(linked.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"), F.any_value("c").alias("c"), F.any_value("k").alias("k")).repartition(
-        wide).withColumn("rep", F.monotonically_increasing_id()))
+    classes = cut(linked.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"), F.any_value("c").alias("c"), F.any_value("k").alias("k")).repartitionByRange(
+        wide, "least").sortWithinPartitions("least", "n", "f1", "f2").withColumn("rep", F.monotonically_increasing_id()))
     reps = classes.select("rep", "n", "c", "k").repartition(wide)  # 120 keys a row follow: many small tasks
 
     pairs = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
