@@ -26,7 +26,7 @@ def plain_targets(sizes, weights, share, cap):
     return target
 
 
-@pytest.mark.parametrize("share", [0.4, 1.5, 2.0])
+@pytest.mark.parametrize("share", [0.4, 1.5])
 def test_targets_stop_at_the_cap_and_the_excess_is_reshared(spark, share):
     sizes = {"a": 10, "b": 1000, "c": 0, "d": 300, "e": 5, "z": 20_000}
     weights = {"a": 3.0, "b": 1.0, "c": 2.0, "d": 3.0, "e": 0.0, "z": 2.0}
@@ -165,7 +165,7 @@ def rebuilt_paths(df):
     return prefixtrie.with_heads(prefixtrie.conversation_paths(df), c - c % 20, F.crc32(c.cast("string")) % 4, most=3)
 
 
-@pytest.mark.parametrize("shards,limit", [(1, 1 << 20), (7, 1 << 20), (25, 1 << 20), (25, 700), (25, 0)])
+@pytest.mark.parametrize("shards,limit", [(1, 1 << 20), (15, 1 << 20), (15, 700)])
 def test_trie_follows_the_definition_at_any_number_of_shards(spark, shards, limit):
     rows = talk()
     got = trie_rows(prefixtrie.prefix_trie(rebuilt_paths(table(spark, rows).repartition(6)), shards, limit))
@@ -234,7 +234,7 @@ def numbers(i, dims):
     return [((i * 7919 + j * 104729 + (i * j) % 13 * 31) % 2001 - 1000) / 700 for j in range(dims)]
 
 
-@pytest.mark.parametrize("n,dims,entries", [(300, 32, 64), (300, 32, 5), (40, 16, 64), (120, 40, 7), (30, 5, 4)])
+@pytest.mark.parametrize("n,dims,entries", [(300, 32, 64), (40, 16, 64), (90, 5, 4)])
 def test_codes_follow_the_definition(spark, monkeypatch, n, dims, entries):
     data = [(i * 37 % 1009 - 50, numbers(i, dims), None if i % 4 == 0 else i % 3) for i in range(n)]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int").repartition(3)
