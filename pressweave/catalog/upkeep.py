@@ -10,11 +10,12 @@ from .. import fixtures as fx
 from ..functions import hooks
 from ..functions import parsing as ps
 from ..operators import matching as mt
-from ..operators.keyed import drop_empty
+from ..operators.keyed import drop_empty, upsert
 from ..plans import quality as ql
 from ..plans import recluster as rc
 from ..plans import repair as rp
 from ..plans.stories import cluster_facts
+from ..session import cut
 from . import query
 from .vectors import SMALL, articles, small_clusters, vectors
 
@@ -264,32 +265,27 @@ def size_judge(listing, old_title):
     return '{"coherent": false, "groups": [%s, %s]}' % (list(range(1, n // 2 + 1)), list(range(n // 2 + 1, n + 1)))
 
 
-def run_job(spark, sf, store):
-    return rc.recluster(articles(spark, sf), vectors(spark, sf), fx.news_sources(spark, sf), store, SCOPED,
-                        stories=fx.news_stories(spark, sf, entities=True), judge=size_judge, model="m", seed_hours=24)
-
-
 @query("reclustered_stories")
 def reclustered_stories(spark, sf):
-    """The whole periodic job on the recent window."""
-    job = run_job(spark, sf, cache(spark, sf))
-    return job.members.join(job.facts.select("cluster", "article_count", "source_count", "relevance_score"), "cluster").join(
-        job.matches, "cluster")
-
-
-@query("recluster_decisions")
-def recluster_decisions(spark, sf):
-    """Two runs in a row: the second finds every verdict of the first in the store and asks nothing new."""
-    first = run_job(spark, sf, cache(spark, sf))
-    second = run_job(spark, sf, first.cache)
-    old = first.decisions.select("fingerprint", "coherent", "title", F.size("groups").alias("parts"), F.lit(1).alias("run"))
-    return old.unionByName(second.decisions.select("fingerprint", "coherent", "title", F.size("groups").alias("parts"), F.lit(2).alias("run")))
-
-
-@query("recluster_changes")
-def recluster_changes(spark, sf):
-    """What the run does to each story it touches."""
-    return run_job(spark, sf, cache(spark, sf)).changes
+    """The whole periodic job on the recent window: final clusters, their stories, and what happens to these."""
+    job = rc.recluster(articles(spark, sf), vectors(spark, sf), fx.news_sources(spark, sf), cache(spark, sf), SCOPED,
+                       stories=fx.news_stories(spark, sf, entities=True), judge=size_judge, model="m", seed_hours=24)
+    facts = job.facts.select("cluster", "title", "article_count", "source_count", "relevance_score")
+    return job.members.join(facts, "cluster").join(job.changes.where("cluster is not null"), "cluster")
+
+
+@query("settled_verdicts")
+def settled_verdicts(spark, sf):
+    """Verdicts of two runs over the small clusters, the second with those of the first in its store: only titles that the
+    outlier gate holds back are asked for again."""
+    m, a, store = small_clusters(spark, sf).select("cluster", "id"), articles(spark, sf).join(vectors(spark, sf), "id"), cache(spark, sf)
+    out = None
+    for run in (1, 2):
+        m, _, new = ql.settle(m, a, store, judge=size_judge, model="m", now=SCOPED)
+        store = cut(upsert(store, new.select(*store.columns), "fingerprint"))
+        rows = new.select("fingerprint", "coherent", "title", F.size("groups").alias("parts"), F.lit(run).alias("run"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("judged_clusters")
