@@ -11,7 +11,7 @@ HEADLINE = [
     "page_articles", "ingest_funnel", "usage_hourly", "usage_breakdown", "counter_deltas", "app_runtime",
     "rolling_rate", "job_runs", "search_index", "search_stories", "search_many", "nearest_stories",
     "story_pair_similarity", "core_distances", "metadata_suspicion", "density_clusters", "story_matches",
-    "usage_hourly_stream", "story_sessions",
+    "usage_hourly_stream", "story_sessions", "merged_clusters", "indexed_neighbours",
 ]
 
 
