@@ -207,3 +207,9 @@ def test_page_quality(spark):
     assert [got[i]["quality"] for i in (1, 2, 3)] == ["good", "degraded", "fallback"]
     assert [got[i]["skipped"] for i in (1, 2, 3)] == [False, False, True]
     assert got[2]["final_body"] == "fb" and not got[1]["title_mismatch"]
+
+
+def test_a_very_long_entity_form(spark):
+    long = "".join(chr(97 + i * 7 % 26) for i in range(10_000)) + " Ann Lee"
+    df = spark.createDataFrame([("g", 1, ["Ann Lee", long, "lee", "Other"])], "k string, id bigint, entities array<string>")
+    assert groups.merge_entities(df, "k").first()["entities"] == [long, "Other"]
