@@ -46,8 +46,10 @@ def radius(min_sim: float) -> float:
 def fit_pivots(rows: DataFrame, block: int, most: int = MAX_PIVOTS) -> Pivots:
     """Centres of a bounded sample, per vector length: far-apart rows first, then three rounds of means.
 
-    One pivot for every ``block`` rows, at most ``most``. The sample is picked by a hash of the ids."""
-    counts = {r["d"]: r["n"] for r in rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect() if r["d"] > 0}
+    One pivot for every ``block`` rows of groups that are larger than a block, at most ``most``; none if no group is. The
+    sample is picked by a hash of the ids."""
+    sizes = rows.groupBy("grp", F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > block) & (F.col("d") > 0))
+    counts = {r["d"]: r["n"] for r in sizes.groupBy("d").agg(F.sum("n").alias("n")).collect()}
     whole, out = sum(counts.values()), {}
     for d, n in counts.items():
         k = max(1, min(most, -(-n // block)) * n // whole) if n > block else 0
