@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -193,10 +194,9 @@ def pair_stats(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Number and mean come from the sum of the unit vectors. For the extremes, pairs inside chunks come first; other
     pairs of chunks are compared only where their angles can beat what is known."""
-    df = cut(df.select("grp", "id", "vec"))
-    norm = F.sqrt(dot(F.col("vec"), F.col("vec")))
-    unit = F.transform("vec", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-    sums = df.where(F.size("vec") > 0).select("grp", F.size("vec").alias("d"), array_to_vector(unit).alias("u"), (norm > 0).cast("double").alias("one"))
+    df = cut(df.select("grp", "id", F.col("vec").cast("array<double>").alias("vec")))
+    sums = Normalizer(inputCol="v", outputCol="u").transform(df.where(F.size("vec") > 0).select(
+        "grp", F.size("vec").alias("d"), array_to_vector("vec").alias("v"), F.exists("vec", lambda x: x != 0).cast("double").alias("one")))
     sums = sums.groupBy("grp", "d").agg(Summarizer.sum(F.col("u")).alias("s"), F.count(F.lit(1)).alias("n"), F.sum("one").alias("own"))
     per = sums.withColumn("s", vector_to_array("s")).select("grp", "n", ((dot(F.col("s"), F.col("s")) - F.col("own")) / 2).alias("total"))
     means = per.groupBy("grp").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"), F.sum("total").alias("total")).where("pairs > 0")
