@@ -1,9 +1,11 @@
 """Hierarchical density clustering (Campello, Moulavi, Zimek, Sander 2015) as DataFrame jobs.
 
 1. Exact copies collapse to one point with a multiplicity.
-2. Core distances: each block pair reports a point's ``min_samples`` nearest; the best of all blocks win.
-3. Candidate edges: each block pair reports the minimum spanning forest of its own mutual-reachability
-   graph. Their union holds the global one, because an edge that is dropped is the longest of a cycle.
+2. Core distances over the vector index: the nearest of a point's own chunk bound the angle beyond which no other
+   chunk is looked at.
+3. The minimum spanning forest of the mutual-reachability graph by Boruvka rounds over the same index: every
+   component takes its least outgoing edge, found in its own chunks first; that edge bounds the search in the others.
+   At most log2(n) rounds and n - 1 edges. A group that is one chunk needs no rounds.
 4. The hierarchy is built bottom-up in bands of ascending weight. A band holds a bounded number of edges;
    its connected pieces are contracted in parallel, and every open cluster leaves the band as one summary row
    (size, sum of densities, best stability below it). No task sees the whole tree.
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..session import cut
 from .components import connected_components
-from .simjoin import matrix, self_grid, stacked, unit_rows
+from .simjoin import matrix, stacked, unit_rows
+from .vectorindex import SLACK, VectorIndex, _sent, chunk_bound, chunk_pairs, radius
 
 FLOOR = 1e-9
 BAND_EDGES = 50_000
@@ -69,53 +72,90 @@ def _with_cells(points: DataFrame, weight: float, scale: float, max_dist: float
     return points.withColumn("cell", F.explode(F.array(own, own + 1)))
 
 
-def _grid(points: DataFrame, weight, scale, max_dist, block: int) -> DataFrame:
-    t = _with_cells(points, weight, scale, max_dist).withColumnRenamed("grp", "_g")
-    t = t.withColumn("grp", F.concat_ws("|", "_g", F.col("cell").cast("string")))
-    return self_grid(t, block).withColumn("grp", F.col("_g")).drop("_g")
+def _indexed(points: DataFrame, weight: float, scale: float, max_dist: float | None, block: int) -> VectorIndex:
+    """The points by group and time cell; ``og`` is the group itself."""
+    t = _with_cells(points, weight, scale, max_dist).withColumn("og", F.col("grp"))
+    return VectorIndex.build(t.withColumn("grp", F.concat_ws("|", "og", F.col("cell").cast("string"))).drop("cell"), block)
 
 
-PAIR_KEYS = ["grp", "cell", "ci", "cj"]
+def _widest(weight: float, max_dist: float | None) -> float:
+    """The greatest angle of two points within the cut-off."""
+    return float(np.pi) + SLACK if max_dist is None or weight >= 1 else radius(1 - max_dist / (1 - weight))
 
 
-def _sides(pdf: pd.DataFrame):
-    ci, cj = pdf["ci"].iloc[0], pdf["cj"].iloc[0]
-    return ci, cj, pdf[pdf["chunk"] == ci].reset_index(drop=True), pdf[pdf["chunk"] == cj].reset_index(drop=True)
+def _angle_for(dist, weight: float, widest: float):
+    """The angle beyond which a composite distance exceeds ``dist``; the widest one where it is null."""
+    if weight >= 1:
+        return F.lit(widest)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.lit(1.0) - F.col(dist) / F.lit(1 - weight))) + F.lit(SLACK)
+    return F.least(F.coalesce(angle, F.lit(widest)), F.lit(widest))
 
 
-def nearest(points: DataFrame, k: int, weight: float, scale: float = vocab.TIME_SCALE_HOURS,
-            max_dist: float | None = None, block: int = BLOCK) -> DataFrame:
-    """The ``k`` nearest other points of each point by composite distance: ``grp, id, nbr, dist, mult, rank``."""
-    grid = _grid(points, weight, scale, max_dist, block)
-    limit = np.inf if max_dist is None else max_dist
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        ci, cj, a, b = _sides(pdf)
-        out = []
-
-        def take(d, x, y):
-            m = min(k, d.shape[1])
-            pos = np.argsort(d, axis=1, kind="stable")[:, :m] if m else np.empty((len(x), 0), int)
-            r = np.repeat(np.arange(len(x)), m)
-            c = pos.ravel()
-            v = d[r, c]
-            ok = np.isfinite(v) & (v <= limit)
-            out.append(pd.DataFrame({"grp": pdf["grp"].iloc[0], "id": x["id"].to_numpy()[r[ok]],
-                                     "nbr": y["id"].to_numpy()[c[ok]], "dist": v[ok],
-                                     "mult": y["mult"].to_numpy()[c[ok]]}))
-
-        if len(a) and len(b):
-            a, b = a.sort_values("id", ignore_index=True), b.sort_values("id", ignore_index=True)
-            d = _dist(a, b, weight, scale)
-            if ci == cj:
-                np.fill_diagonal(d, np.inf)
-                take(d, a, b)
-            else:
-                take(d, a, b)
-                take(d.T, b, a)
-        return stacked(out, "grp", "id", "nbr", "dist", "mult")
+def _other_chunks(index: VectorIndex, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides per pair of different chunks ``(lc, rc)`` in which a left row has a partner within its angle ``_need``.
+
+    ``rows`` are those of the index that still count. With a column ``comp``, pairs of chunks that lie in one and the same
+    component are left out."""
+    spark = rows.sparkSession
+    owner = ["comp"] if "comp" in rows.columns else []
+    marks = [f(c).alias(f"{n}_{c}") for c in owner for n, f in (("least", F.min), ("most", F.max))]
+    live = cut(rows.groupBy("grp", "_chunk").agg(F.max("_need").alias("need"), *marks))
+    reach = live.agg(F.max("need")).first()[0]
+    if reach is None:
+        reach = 0.0
+    pairs = chunk_pairs(spark, index.pivots, index.chunks, index.chunks, reach).where("lc <> rc")
+    left = live.withColumnRenamed("_chunk", "lc")
+    right = live.drop("need").withColumnRenamed("_chunk", "rc").withColumnsRenamed({"least_comp": "least_r", "most_comp": "most_r"})
+    pairs = pairs.join(left, ["grp", "lc"]).join(right, ["grp", "rc"])
+    pairs = pairs.where(chunk_bound(F.col("g"), F.col("llo"), F.col("lhi"), F.col("rlo"), F.col("rhi")) <= F.col("need"))
+    if owner:
+        pairs = pairs.where("least_comp < most_comp or least_r < most_r or least_comp <> least_r")
+    pairs = cut(pairs.select("grp", "lc", "rc", "g", "llo", "lhi", "rlo", "rhi", "need"))
+    rt = _sent(rows, pairs, "rc", "llo", "lhi", F.col("need"))
+    return _sent(rows, pairs, "lc", "rlo", "rhi", F.col("_need")), rt.select(*[F.col(c).alias(f"r_{c}") for c in rt.columns])
+
+
+def _per_pair(sides: tuple[DataFrame, DataFrame], body, schema: str) -> DataFrame:
+    def run(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return body(left, right.rename(columns=lambda c: c[2:]))
+
+    return sides[0].groupBy("grp", "lc", "rc").cogroup(sides[1].groupBy("r_grp", "r_lc", "r_rc")).applyInPandas(run, schema)
+
 
-    found = grid.groupBy(*PAIR_KEYS).applyInPandas(near, "grp string, id bigint, nbr bigint, dist double, mult bigint")
+NEAREST = "grp string, id bigint, og string, nbr bigint, dist double, mult bigint"
+
+
+def nearest(points: DataFrame, k: int, weight: float, scale: float = vocab.TIME_SCALE_HOURS,
+            max_dist: float | None = None, block: int = BLOCK, index: VectorIndex | None = None) -> DataFrame:
+    """The ``k`` nearest other points of each point by composite distance: ``grp, id, nbr, dist, mult, rank``.
+
+    Exact: the ``k`` best of a point's own chunk bound the angle of better ones, so chunks and rows beyond it are skipped."""
+    limit, widest = np.inf if max_dist is None else max_dist, _widest(weight, max_dist)
+    index = index or _indexed(points, weight, scale, max_dist, block)
+    names = [x.split()[0] for x in NEAREST.split(", ")]
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return stacked([], *names)
+        b = b.sort_values("id", ignore_index=True)
+        d = _dist(a, b, weight, scale)
+        ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
+        d[ai[:, None] == bi[None, :]] = np.inf
+        c = np.argsort(d, axis=1, kind="stable")[:, :k]
+        r = np.repeat(np.arange(len(a)), c.shape[1])
+        c = c.ravel()
+        v = d[r, c]
+        ok = np.isfinite(v) & (v <= limit)
+        r, c = r[ok], c[ok]
+        return stacked([pd.DataFrame({"grp": a["grp"].to_numpy(object)[r], "id": ai[r], "og": a["og"].to_numpy(object)[r], "nbr": bi[c],
+                                      "dist": v[ok], "mult": b["mult"].to_numpy()[c]})], *names)
+
+    own = cut(index.rows.groupBy("grp", "_chunk").applyInPandas(lambda pdf: near(pdf, pdf), NEAREST))
+    larger = index.chunks.groupBy("grp").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("grp")
+    full = own.groupBy("grp", "id").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_kth")).where(F.col("_n") >= k).drop("_n")
+    rows = index.rows.join(larger, "grp").join(full, ["grp", "id"], "left").withColumn("_need", _angle_for("_kth", weight, widest)).drop("_kth")
+    found = own.unionByName(_per_pair(_other_chunks(index, cut(rows)), near, NEAREST))
+    found = found.drop("grp").withColumnRenamed("og", "grp").select("grp", "id", "nbr", "dist", "mult")
     if max_dist is not None:
         found = found.distinct()  # a pair may be seen in two neighbouring cells
     w = Window.partitionBy("grp", "id").orderBy("dist", "nbr")
@@ -123,11 +163,11 @@ def nearest(points: DataFrame, k: int, weight: float, scale: float = vocab.TIME_
 
 
 def core_distances(points: DataFrame, k: int, weight: float, scale: float = vocab.TIME_SCALE_HOURS,
-                   max_dist: float | None = None, block: int = BLOCK) -> DataFrame:
+                   max_dist: float | None = None, block: int = BLOCK, index: VectorIndex | None = None) -> DataFrame:
     """Distance to the ``k``-th point, itself and its copies included; the farthest one known when there are fewer.
     With a cut-off, points with too few neighbours inside it get no core distance."""
     base = points.select("grp", "id", "mult")
-    near = nearest(points, max(k - 1, 1), weight, scale, max_dist, block)
+    near = nearest(points, max(k - 1, 1), weight, scale, max_dist, block, index)
     w = Window.partitionBy("grp", "id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = near.withColumn("_cum", F.sum("mult").over(w)).select("grp", "id", "_cum", "dist")
     agg = base.join(reach, ["grp", "id"], "left").groupBy("grp", "id").agg(
@@ -138,48 +178,90 @@ def core_distances(points: DataFrame, k: int, weight: float, scale: float = voca
         F.coalesce("_kth", fallback)).alias("core"))
 
 
-def _forest(d: np.ndarray, limit: float):
-    """Prim's algorithm on a dense symmetric matrix: edges of the minimum spanning forest up to ``limit``."""
-    n = len(d)
-    best = d[0].copy()
-    frm = np.zeros(n, int)
-    done = np.zeros(n, bool)
-    done[0] = True
-    best[0] = np.inf
-    out = []
-    for _ in range(n - 1):
-        j = int(np.argmin(np.where(done, np.inf, best)))
-        if best[j] <= limit:
-            out.append((frm[j], j, best[j]))
-        done[j] = True
-        closer = d[j] < best
-        best = np.where(closer, d[j], best)
-        frm = np.where(closer, j, frm)
-    return out
+EDGE = "comp bigint, to bigint, w double, a bigint, b bigint"
 
 
-def candidate_edges(points: DataFrame, cores: DataFrame, weight: float, scale: float, max_dist: float | None,
-                    block: int = BLOCK) -> DataFrame:
-    """Edges ``grp, a, b, w`` that contain a minimum spanning forest of the mutual-reachability graph."""
-    t = points.join(cores.where("core is not null"), ["grp", "id"])
-    grid = _grid(t, weight, scale, max_dist, block)
-    limit = np.inf if max_dist is None else max_dist
+def _prim(d: np.ndarray, limit: float) -> list[tuple[int, int, float]]:
+    """Edges of the minimum spanning forest of a dense symmetric matrix up to ``limit``."""
+    near, at = d[0].copy(), np.zeros(len(d), int)
+    near[0], out, inside = np.inf, [], np.zeros(len(d), bool)
+    inside[0] = True
+    for _ in range(len(d) - 1):
+        j = int(np.where(inside, np.inf, near).argmin())
+        if near[j] <= limit:
+            out.append((at[j], j, near[j]))
+        inside[j] = True
+        closer = d[j] < near
+        near, at = np.where(closer, d[j], near), np.where(closer, j, at)
+    return out
 
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        ci, cj, a, b = _sides(pdf)
-        rows = a if ci == cj else pd.concat([a, b], ignore_index=True)
-        edges = []
-        if len(rows) > 1 and (ci == cj or (len(a) and len(b))):
-            rows = rows.sort_values("id", ignore_index=True)
-            core = rows["core"].to_numpy(float)
-            d = np.maximum(_dist(rows, rows, weight, scale), np.maximum(core[:, None], core[None, :]))
-            ids = rows["id"].to_numpy()
-            edges = [(ids[min(i, j)], ids[max(i, j)], w) for i, j, w in _forest(d, limit)]
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "a": [e[0] for e in edges], "b": [e[1] for e in edges],
-                             "w": [e[2] for e in edges]})
 
-    found = grid.groupBy(*PAIR_KEYS).applyInPandas(forest, "grp string, a bigint, b bigint, w double")
-    return found.groupBy("grp", "a", "b").agg(F.min("w").alias("w"))
+def _reach(x: pd.DataFrame, y: pd.DataFrame, weight: float, scale: float) -> np.ndarray:
+    return np.maximum(_dist(x, y, weight, scale), np.maximum(x["core"].to_numpy(float)[:, None], y["core"].to_numpy(float)[None, :]))
+
+
+def spanning_forest(index: VectorIndex, cores: DataFrame, weight: float, scale: float, max_dist: float | None) -> DataFrame:
+    """Edges ``a, b, w`` that hold a minimum spanning forest of the mutual-reachability graph up to ``max_dist``.
+
+    Cells of one chunk give their own forest in one task; the rest takes Boruvka rounds. Without a cut-off, that is the
+    forest itself; with one, a point stands in two time cells and the edges are at most three per point. Edges are ordered by
+    ``(w, a, b)``, so equal weights close no cycle. A component without an edge left is done and its points leave the search."""
+    limit, widest = np.inf if max_dist is None else max_dist, _widest(weight, max_dist)
+    whole = index.chunks.groupBy("grp").agg(F.count(F.lit(1)).alias("_k"))
+    known = index.rows.join(cores.where("core is not null").select("id", "core"), "id").join(whole, "grp")
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("id", ignore_index=True)
+        ids = rows["id"].to_numpy()
+        found = _prim(_reach(rows, rows, weight, scale), limit) if len(rows) > 1 else []
+        return pd.DataFrame({"a": [ids[min(i, j)] for i, j, _ in found], "b": [ids[max(i, j)] for i, j, _ in found], "w": [w for *_, w in found]})
+
+    edges = cut(known.where("_k = 1").groupBy("grp").applyInPandas(alone, "a bigint, b bigint, w double"))
+    larger = cut(known.where("_k > 1").drop("_k"))
+    if not larger.isEmpty():
+        edges = edges.unionByName(_boruvka(index, larger, weight, scale, limit, widest))
+    return edges.groupBy("a", "b").agg(F.min("w").alias("w"))
+
+
+def _boruvka(index: VectorIndex, points: DataFrame, weight: float, scale: float, limit: float, widest: float) -> DataFrame:
+    """Minimum spanning forest ``a, b, w`` of the index rows ``points`` (with ``core``)."""
+    names = [x.split()[0] for x in EDGE.split(", ")]
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=names)
+        y = y.sort_values("id", ignore_index=True)
+        d = _reach(x, y, weight, scale)
+        xc, yc, xi, yi = x["comp"].to_numpy(), y["comp"].to_numpy(), x["id"].to_numpy(), y["id"].to_numpy()
+        d[xc[:, None] == yc[None, :]] = np.inf
+        j = d.argmin(axis=1)  # the least id among equals
+        w = d[np.arange(len(x)), j]
+        out = pd.DataFrame({"comp": xc, "to": yc[j], "w": w, "a": np.minimum(xi, yi[j]), "b": np.maximum(xi, yi[j])})
+        out = out[np.isfinite(w) & (w <= limit)]
+        return out.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")
+
+    def least(found: DataFrame) -> DataFrame:
+        return found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.*")
+
+    comp = cut(points.select("id", F.col("id").alias("comp")).distinct())
+    forest = []
+    while True:
+        rows = cut(points.join(comp, "id"))
+        own = cut(least(rows.groupBy("grp", "_chunk").applyInPandas(lambda pdf: best(pdf, pdf), EDGE)))
+        bound = own.select("comp", F.col("w").alias("_w"))
+        asked = rows.join(bound, "comp", "left").withColumn("_need", F.when(
+            F.col("core") <= F.coalesce("_w", F.lit(float("inf"))), _angle_for("_w", weight, widest)).otherwise(F.lit(-1.0))).drop("_w")
+        others = _per_pair(_other_chunks(index, asked), best, EDGE)
+        picked = cut(least(own.unionByName(others.select(*own.columns))))
+        if picked.isEmpty():
+            break
+        forest.append(picked.select("a", "b", "w"))
+        merged = connected_components(picked, "comp", "to").withColumnRenamed("node", "comp")
+        comp = cut(comp.join(merged, "comp").select("id", F.col("component").alias("comp")))
+    edges = own.select("a", "b", "w").limit(0)
+    for some in forest:
+        edges = edges.unionByName(some)
+    return edges
 
 
 # ---- hierarchy --------------------------------------------------------------------
@@ -390,8 +472,9 @@ def density_clusters(df: DataFrame, min_cluster_size: int = 2, min_samples: int
     weight = time_weight_for(t, time_weight)
     points, members = collapse(t)
     points = cut(points)
-    cores = cut(core_distances(points, min_samples, weight, time_scale, max_dist, block))
-    edges = candidate_edges(points, cores, weight, time_scale, max_dist, block)
+    index = _indexed(points, weight, time_scale, max_dist, block)
+    cores = cut(core_distances(points, min_samples, weight, time_scale, max_dist, block, index))
+    edges = spanning_forest(index, cores, weight, time_scale, max_dist)
     chosen = select_clusters(points.select("id", "mult"), edges, min_cluster_size, epsilon, max_dist, band_edges)
     tagged = members.join(chosen.withColumnRenamed("id", "point"), "point", "left")
     names = tagged.where("cid is not null").groupBy("grp", "cid").agg(F.min("member").alias("label"))

@@ -57,25 +57,6 @@ def same_length(left: pd.DataFrame, right: pd.DataFrame):
             yield left[ll == n].reset_index(drop=True), right[rl == n].reset_index(drop=True)
 
 
-def _chunked(df: DataFrame, sizes: DataFrame, block: int, out: str) -> DataFrame:
-    """Add the row's chunk ``out`` and the group's chunk count ``out + 's'``."""
-    n = F.greatest(F.ceil(F.col("_n") / F.lit(block)).cast("int"), F.lit(1))
-    return (df.join(sizes, "grp").withColumn(f"{out}s", n)
-            .withColumn(out, F.pmod(F.xxhash64("id"), F.col(f"{out}s")).cast("int")).drop("_n"))
-
-
-def group_sizes(df: DataFrame) -> DataFrame:
-    return df.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
-
-
-def self_grid(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Replicate rows ``(grp, id, ...)`` to all chunk pairs ``(ci <= cj)`` of their group."""
-    t = _chunked(df, group_sizes(df), block, "chunk")
-    return (t.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .withColumns({"ci": F.least("chunk", "_o"), "cj": F.greatest("chunk", "_o")})
-            .drop("_o", "chunks"))
-
-
 NEIGHBOURS = "grp string, id bigint, nbr bigint, sim double"
 
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from brute import hdbscan_labels, partition
+from brute import composite, hdbscan_labels, partition
 from pyspark.sql import functions as F
 
 from pressweave.operators import density as dn
@@ -51,6 +51,32 @@ def test_density_cut_off_separates_far_times(spark):
         assert len({i < 20 for i, y in label.items() if y == x}) == 1
 
 
+def test_forest_is_minimal(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 8))
+    v = centres[rng.integers(0, 6, 240)] + 0.1 * rng.normal(size=(240, 8))
+    df = frame(spark, v, np.zeros(240)).select(F.lit("").alias("grp"), "id", F.lit(1).cast("bigint").alias("mult"), "vec", "hours")
+    index = dn._indexed(df, 0.0, 12.0, None, 40)
+    cores = dn.cut(dn.core_distances(df, 3, 0.0, 12.0, None, 40, index))
+    d = composite(v, np.zeros(240), 0.0, 12.0)
+    core = np.sort(d, axis=1)[:, 2]
+    got = {r["id"]: r["core"] for r in cores.collect()}
+    assert np.allclose([got[i] for i in range(240)], core)
+    edges = dn.spanning_forest(index, cores, 0.0, 12.0, None).toPandas()
+    assert len(edges) == 239 and len(connected_components(spark.createDataFrame(edges)).select("component").distinct().collect()) == 1
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    assert np.allclose(sorted(edges["w"]), sorted(w for *_, w in dn._prim(reach, np.inf)))
+    compared, every = index.pairs(index, float(np.cos(0.5)))
+    assert compared < every / 2
+
+
+def test_points_all_equally_far_apart(spark):
+    n = 600
+    v = np.eye(n)
+    out = dn.density_clusters(frame(spark, v, np.zeros(n)), min_samples=2, time_weight=0.0, block=128).toPandas()
+    assert sorted(out["id"]) == list(range(n)) and out["label"].nunique() == 1
+
+
 def test_split_keeps_everyone(spark):
     v, h = points(80, 3, 6)
     df = frame(spark, v, h)
