@@ -5,7 +5,7 @@
    chunk is looked at.
 3. The minimum spanning forest of the mutual-reachability graph by Boruvka rounds over the same index: every
    component takes its least outgoing edge, found in its own chunks first; that edge bounds the search in the others.
-   At most log2(n) rounds and n - 1 edges. A group that is one chunk needs no rounds.
+   At most log2(n) rounds and n - 1 edges. Cells of few chunks need no rounds: the forests of all their pairs of chunks hold theirs.
 4. The hierarchy is built bottom-up in bands of ascending weight. A band holds a bounded number of edges;
    its connected pieces are contracted in parallel, and every open cluster leaves the band as one summary row
    (size, sum of densities, best stability below it). No task sees the whole tree.
@@ -29,6 +29,8 @@ from .vectorindex import SLACK, VectorIndex, _sent, chunk_bound, chunk_pairs, ra
 FLOOR = 1e-9
 BAND_EDGES = 50_000
 BLOCK = 1024
+#: Cells of up to this many chunks are compared pair of chunks by pair of chunks; larger ones take Boruvka rounds.
+PAIRWISE = 16
 
 
 # ---- distances --------------------------------------------------------------------
@@ -200,15 +202,20 @@ def _reach(x: pd.DataFrame, y: pd.DataFrame, weight: float, scale: float) -> np.
     return np.maximum(_dist(x, y, weight, scale), np.maximum(x["core"].to_numpy(float)[:, None], y["core"].to_numpy(float)[None, :]))
 
 
-def spanning_forest(index: VectorIndex, cores: DataFrame, weight: float, scale: float, max_dist: float | None) -> DataFrame:
+def spanning_forest(index: VectorIndex, cores: DataFrame, weight: float, scale: float, max_dist: float | None,
+                    pairwise: int = PAIRWISE) -> DataFrame:
     """Edges ``a, b, w`` that hold a minimum spanning forest of the mutual-reachability graph up to ``max_dist``.
 
-    Cells of one chunk give their own forest in one task; the rest takes Boruvka rounds. Without a cut-off, that is the
-    forest itself; with one, a point stands in two time cells and the edges are at most three per point. Edges are ordered by
-    ``(w, a, b)``, so equal weights close no cycle. A component without an edge left is done and its points leave the search."""
+    Cells of at most ``pairwise`` chunks give the forest of every pair of their chunks in one pass, at most ``pairwise`` edges
+    per point; larger ones take Boruvka rounds, one edge per point. An edge that either leaves out is the longest of a cycle.
+    Edges are ordered by ``(w, a, b)``, so equal weights close no cycle. A component without an edge left is done and its points
+    leave the search."""
     limit, widest = np.inf if max_dist is None else max_dist, _widest(weight, max_dist)
-    whole = index.chunks.groupBy("grp").agg(F.count(F.lit(1)).alias("_k"))
-    known = index.rows.join(cores.where("core is not null").select("id", "core"), "id").join(whole, "grp")
+    keys = ["grp", "_len"]  # vectors of different lengths never meet
+    whole = index.chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    few = index.chunks.join(whole.where(F.col("_k") <= pairwise), keys).groupBy(*keys).agg(
+        F.first("_k").alias("_k"), F.collect_list("_chunk").alias("_all"))
+    known = index.rows.join(cores.where("core is not null").select("id", "core"), "id")
 
     def alone(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("id", ignore_index=True)
@@ -216,8 +223,12 @@ def spanning_forest(index: VectorIndex, cores: DataFrame, weight: float, scale:
         found = _prim(_reach(rows, rows, weight, scale), limit) if len(rows) > 1 else []
         return pd.DataFrame({"a": [ids[min(i, j)] for i, j, _ in found], "b": [ids[max(i, j)] for i, j, _ in found], "w": [w for *_, w in found]})
 
-    edges = cut(known.where("_k = 1").groupBy("grp").applyInPandas(alone, "a bigint, b bigint, w double"))
-    larger = cut(known.where("_k > 1").drop("_k"))
+    # a chunk alone is a pair with itself only if the cell has no other
+    partner = F.when(F.col("_k") == 1, F.col("_all")).otherwise(F.filter("_all", lambda c: c != F.col("_chunk")))
+    paired = known.join(few, keys).withColumn("_o", F.explode(partner)).withColumns(
+        {"ci": F.least("_chunk", "_o"), "cj": F.greatest("_chunk", "_o")}).select("grp", "ci", "cj", "id", "vec", "hours", "core")
+    edges = cut(paired.groupBy("grp", "ci", "cj").applyInPandas(alone, "a bigint, b bigint, w double"))
+    larger = cut(known.join(whole.where(F.col("_k") > pairwise).select(*keys), keys))
     if not larger.isEmpty():
         edges = edges.unionByName(_boruvka(index, larger, weight, scale, limit, widest))
     return edges.groupBy("a", "b").agg(F.min("w").alias("w"))
@@ -246,7 +257,7 @@ def _boruvka(index: VectorIndex, points: DataFrame, weight: float, scale: float,
     comp = cut(points.select("id", F.col("id").alias("comp")).distinct())
     forest = []
     while True:
-        rows = cut(points.join(comp, "id"))
+        rows = points.join(comp, "id")
         own = cut(least(rows.groupBy("grp", "_chunk").applyInPandas(lambda pdf: best(pdf, pdf), EDGE)))
         bound = own.select("comp", F.col("w").alias("_w"))
         asked = rows.join(bound, "comp", "left").withColumn("_need", F.when(

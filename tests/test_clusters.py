@@ -62,10 +62,15 @@ def test_forest_is_minimal(spark):
     core = np.sort(d, axis=1)[:, 2]
     got = {r["id"]: r["core"] for r in cores.collect()}
     assert np.allclose([got[i] for i in range(240)], core)
-    edges = dn.spanning_forest(index, cores, 0.0, 12.0, None).toPandas()
+    edges = dn.spanning_forest(index, cores, 0.0, 12.0, None, pairwise=1).toPandas()
     assert len(edges) == 239 and len(connected_components(spark.createDataFrame(edges)).select("component").distinct().collect()) == 1
     reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
-    assert np.allclose(sorted(edges["w"]), sorted(w for *_, w in dn._prim(reach, np.inf)))
+    plain = sorted(w for *_, w in dn._prim(reach, np.inf))
+    assert np.allclose(sorted(edges["w"]), plain)
+    some = np.full((240, 240), np.inf)
+    for e in dn.spanning_forest(index, cores, 0.0, 12.0, None, pairwise=1000).collect():
+        some[e["a"], e["b"]] = some[e["b"], e["a"]] = e["w"]
+    assert np.allclose(sorted(w for *_, w in dn._prim(some, 1e9)), plain)
     compared, every = index.pairs(index, float(np.cos(0.5)))
     assert compared < every / 2
 
