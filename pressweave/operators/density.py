@@ -74,10 +74,12 @@ def _with_cells(points: DataFrame, weight: float, scale: float, max_dist: float
     return points.withColumn("cell", F.explode(F.array(own, own + 1)))
 
 
-def _indexed(points: DataFrame, weight: float, scale: float, max_dist: float | None, block: int) -> VectorIndex:
-    """The points by group and time cell; ``og`` is the group itself."""
+def _indexed(points: DataFrame, weight: float, scale: float, max_dist: float | None, block: int, pairwise: int = PAIRWISE) -> VectorIndex:
+    """The points by group and time cell; ``og`` is the group itself. Without pivots where no cell has more than ``pairwise`` chunks."""
     t = _with_cells(points, weight, scale, max_dist).withColumn("og", F.col("grp"))
-    return VectorIndex.build(t.withColumn("grp", F.concat_ws("|", "og", F.col("cell").cast("string"))).drop("cell"), block)
+    t = t.withColumn("grp", F.concat_ws("|", "og", F.col("cell").cast("string"))).drop("cell")
+    most = t.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return VectorIndex.build(t, block, {} if most <= pairwise * block else None)
 
 
 def _widest(weight: float, max_dist: float | None) -> float:

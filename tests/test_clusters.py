@@ -56,7 +56,7 @@ def test_forest_is_minimal(spark):
     centres = rng.normal(size=(6, 8))
     v = centres[rng.integers(0, 6, 240)] + 0.1 * rng.normal(size=(240, 8))
     df = frame(spark, v, np.zeros(240)).select(F.lit("").alias("grp"), "id", F.lit(1).cast("bigint").alias("mult"), "vec", "hours")
-    index = dn._indexed(df, 0.0, 12.0, None, 40)
+    index = dn._indexed(df, 0.0, 12.0, None, 40, pairwise=1)
     cores = dn.cut(dn.core_distances(df, 3, 0.0, 12.0, None, 40, index))
     d = composite(v, np.zeros(240), 0.0, 12.0)
     core = np.sort(d, axis=1)[:, 2]
