@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import parsing as ps
-from ..operators.timeline import quota_windows
+from ..operators.timeline import quota_windows, running_sum, trailing_count
 from ..plans import usage as us
 from . import query
 from .views import NOW_SQL
@@ -211,11 +211,10 @@ w AS (SELECT *, count(*) OVER (PARTITION BY key ORDER BY sec RANGE BETWEEN 86399
 SELECT pos, in_window, in_day, greatest(4 - in_window, 0) AS window_left, greatest(3 - in_day, 0) AS day_left,
   in_window > 4 OR in_day > 3 AS exhausted FROM w""")
 def rolling_rate(spark, sf):
-    from ..operators.timeline import running_sum, trailing_count  # day-long window needs day-long slices
     r = fx.requests(spark, sf)
-    t = trailing_count(r, "key", "ts", 86400, "in_window", slice_seconds=86400)
-    t = running_sum(t.withColumns({"day": F.to_date("ts"), "one": F.lit(1)}), ["key", "day"], "ts", ["ts", "pos"],
-                    "one", "in_day")
+    t = trailing_count(r, "key", "ts", 86400, "in_window")
+    t = running_sum(t.withColumns({"day": F.to_date("ts"), "one": F.lit(1)}), ["key", "day"], ["ts", "pos"], "one",
+                    "in_day")
     return t.select("pos", "in_window", "in_day", F.greatest(F.lit(4) - F.col("in_window"), F.lit(0)).alias("window_left"),
                     F.greatest(F.lit(3) - F.col("in_day"), F.lit(0)).alias("day_left"),
                     ((F.col("in_window") > 4) | (F.col("in_day") > 3)).alias("exhausted"))
@@ -245,6 +244,6 @@ SELECT pos, idx - start_idx + 1 <= 3 AS allowed, greatest(3 - (idx - start_idx +
   CASE WHEN idx - start_idx + 1 <= 3 THEN 0 ELSE CAST(ceil((start_us + 172800000000 - us) / 1e6) AS BIGINT) END
     AS retry_after_seconds FROM w""")
 def quota_decisions(spark, sf):
-    out = quota_windows(fx.requests(spark, sf), "key", "ts", "pos", 3, 172800, slice_seconds=86400)
+    out = quota_windows(fx.requests(spark, sf), "key", "ts", "pos", 3, 172800)
     return out.select("pos", "allowed", F.col("remaining").cast("bigint").alias("remaining"), "reset_seconds",
                       "retry_after_seconds")

@@ -1,8 +1,9 @@
 """Ordered per-key operators that stay parallel when one key holds much of the data.
 
-Each key's time line is cut into slices. Work inside a slice is a window over (key, slice); what
-crosses a slice border - the previous value, the last message, the count so far - comes from an
-aggregate with one row per (key, slice). No task has to hold a whole key.
+All rows are put in the order of (key, time) by one range shuffle, whose borders Spark samples from the data: a key with
+many rows spans several ranges, many small keys share one. Work inside a range is a window over (key, range); what
+crosses a border - the previous value, the last message, the sum so far - comes from an aggregate with one row per
+(key, range). No task has to hold a whole key, however its rows lie in time.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ def micros(c) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def slice_of(ts: str, seconds: int) -> Column:
-    return F.floor(micros(ts) / F.lit(seconds * 1_000_000))
+def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``_slice``, the range of (keys, order) they lie in; ranges ascend with the order, equal rows share one.
+
+    Written once, so that every later reader sees the same borders."""
+    return cut(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
 
 
 def _join_slices(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,76 +40,67 @@ def _join_slices(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(right, cond, "left").drop(*[f"_r_{k}" for k in keys], "_r_slice")
 
 
-def lag_value(df: DataFrame, keys, ts: str, order: list[str], value: str, out: str = "previous",
-              slice_seconds: int = 3600) -> DataFrame:
-    """Value of the previous row of the key in time order."""
+def lag_value(df: DataFrame, keys, order: list[str], value: str, out: str = "previous") -> DataFrame:
+    """Value of the previous row of the key in the order."""
     keys = _keys(keys)
-    t = df.withColumn("_slice", slice_of(ts, slice_seconds))
+    t = ranged(df, keys, order)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    t = t.withColumns({"_rn": F.row_number().over(inside), "_in": F.lag(value).over(inside)})
     tails = t.groupBy(*keys, "_slice").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_tail"))
     heads = tails.withColumn("_before", F.lag(F.col(f"_tail.{value}")).over(
         Window.partitionBy(*keys).orderBy("_slice"))).drop("_tail")
+    t = t.withColumns({"_rn": F.row_number().over(inside), "_in": F.lag(value).over(inside)})
     return (_join_slices(t, heads, keys)
             .withColumn(out, F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_in")))
             .drop("_slice", "_rn", "_in", "_before"))
 
 
-def carry_forward(df: DataFrame, keys, ts: str, order: list[str], value: str, out: str,
-                  slice_seconds: int = 3600) -> DataFrame:
+def carry_forward(df: DataFrame, keys, order: list[str], value: str, out: str) -> DataFrame:
     """Last non-null ``value`` of the key up to and including the row."""
     keys = _keys(keys)
-    t = df.withColumn("_slice", slice_of(ts, slice_seconds))
+    t = ranged(df, keys, order)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("_in", F.last(value, ignorenulls=True).over(inside))
     tails = t.groupBy(*keys, "_slice").agg(
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_tail"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = tails.withColumn("_before", F.last("_tail", ignorenulls=True).over(before)).drop("_tail")
+    t = t.withColumn("_in", F.last(value, ignorenulls=True).over(inside))
     return (_join_slices(t, heads, keys).withColumn(out, F.coalesce("_in", "_before"))
             .drop("_slice", "_in", "_before"))
 
 
-def running_sum(df: DataFrame, keys, ts: str, order: list[str], value: str, out: str,
-                slice_seconds: int = 3600) -> DataFrame:
-    """Sum of ``value`` over the key's rows up to and including the row."""
+def running_sum(df: DataFrame, keys, order: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the key's rows up to and including the row; without keys, over all rows."""
     keys = _keys(keys)
-    t = df.withColumn("_slice", slice_of(ts, slice_seconds))
+    t = ranged(df, keys, order)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("_in", F.sum(value).over(inside))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = (t.groupBy(*keys, "_slice").agg(F.sum(value).alias("_s"))
              .withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s"))
+    t = t.withColumn("_in", F.sum(value).over(inside))
     return (_join_slices(t, heads, keys).withColumn(out, F.col("_in") + F.col("_before"))
             .drop("_slice", "_in", "_before"))
 
 
-def trailing_count(df: DataFrame, keys, ts: str, seconds: int, out: str,
-                   slice_seconds: int = 3600) -> DataFrame:
-    """Rows of the key in the ``seconds`` whole seconds ending with the row's own second.
+def trailing_count(df: DataFrame, keys, ts: str, seconds: int, out: str) -> DataFrame:
+    """Rows of the key in the ``seconds`` whole seconds ending with the row's own second, whatever the length.
 
-    Seconds are counted first, so a burst is one row per second; the last seconds of a slice are
-    repeated as context of the next one."""
-    if seconds > slice_seconds:
-        raise ValueError("the trailing window must fit into one slice")
+    Seconds are counted first, so a burst is one row per second. The count is the running total at the second less
+    the running total ``seconds`` earlier; both are points of one running sum."""
     keys = _keys(keys)
     t = df.withColumn("_sec", F.floor(micros(ts) / F.lit(1_000_000)))
-    per = t.groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n"))
-    width = F.lit(slice_seconds)
-    own = F.floor(F.col("_sec") / width)
-    tail = F.floor((F.col("_sec") + (seconds - 1)) / width)
-    spread = per.withColumn("_slice", F.explode(F.array_distinct(F.array(own, tail)))).withColumn(
-        "_own", F.col("_slice") == own)
-    w = Window.partitionBy(*keys, "_slice").orderBy("_sec").rangeBetween(-(seconds - 1), 0)
-    counts = spread.withColumn(out, F.sum("_n").over(w)).where("_own").select(
-        *keys, F.col("_sec").alias("_slice"), out)
+    point = lambda at, kind, n, sign: F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), n.alias("_n"),
+                                               F.lit(sign).alias("_sign"))
+    points = t.groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_sec", F.inline(F.array(
+        point(F.col("_sec"), 0, F.col("_n"), 1), point(F.col("_sec") - seconds, 1, F.lit(0).cast("bigint"), -1))))
+    totals = running_sum(points, keys, ["_at", "_kind"], "_n", "_total")
+    counts = totals.groupBy(*keys, F.col("_sec").alias("_slice")).agg(F.sum(F.col("_sign") * F.col("_total")).alias(out))
     return _join_slices(t.withColumnRenamed("_sec", "_slice"), counts, keys).drop("_slice")
 
 
-def quota_windows(df: DataFrame, key: str, ts: str, pos: str, max_requests: int, window_seconds: float,
-                  slice_seconds: int = 3600) -> DataFrame:
+def quota_windows(df: DataFrame, key: str, ts: str, pos: str, max_requests: int,
+                  window_seconds: float) -> DataFrame:
     """Fixed-window quota per key: a window opens at the first request after the last one ended.
 
     Window starts form a chain (each start points at the first request at or after its end). The chain
@@ -116,8 +111,7 @@ def quota_windows(df: DataFrame, key: str, ts: str, pos: str, max_requests: int,
     base = df.select(key, ts, pos, micros(ts).alias("_us"))
     asked = base.select(key, pos, F.col("_us"), F.lit(1).alias("_kind"))
     ends = base.select(key, pos, (F.col("_us") + us).alias("_us"), F.lit(0).alias("_kind"))
-    both = asked.unionByName(ends).withColumn("_t", F.timestamp_micros("_us"))
-    ranked = running_sum(both, key, "_t", ["_us", "_kind", pos], "_kind", "_c", slice_seconds)
+    ranked = cut(running_sum(asked.unionByName(ends), key, ["_us", "_kind", pos], "_kind", "_c"))
     idx = ranked.where("_kind = 1").select(key, pos, "_us", F.col("_c").alias("idx"))
     nxt = ranked.where("_kind = 0").select(key, pos, (F.col("_c") + 1).alias("nxt"))
     rows = cut(idx.join(nxt, [key, pos]))
@@ -139,8 +133,7 @@ def quota_windows(df: DataFrame, key: str, ts: str, pos: str, max_requests: int,
     marks = starts.select(key, F.col("i").alias("idx"), F.lit(True).alias("_start"))
     t = rows.join(marks, [key, "idx"], "left").withColumn(
         "_w", F.when(F.col("_start"), F.struct("idx", "_us")))
-    t = t.withColumn("_t", F.timestamp_micros("_us"))
-    t = carry_forward(t, key, "_t", ["idx"], "_w", "_win", slice_seconds)
+    t = carry_forward(t, key, ["idx"], "_w", "_win")
     count = F.col("idx") - F.col("_win.idx") + 1
     reset = F.ceil((F.col("_win._us") + us - F.col("_us")) / F.lit(1_000_000)).cast("bigint")
     allowed = count <= max_requests

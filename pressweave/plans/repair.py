@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import is_broken, strip
+from ..operators.timeline import running_sum
 from .feed import as_datetime, ntz
 
 
@@ -64,23 +65,12 @@ def repair_stories(stories: DataFrame, now, limit: int = vocab.REPAIR_MAX_STORIE
     return _capped(todo, [F.col("updated_at").desc(), F.col("id")], limit)
 
 
-def backfill_batches(articles: DataFrame, size: int = 50, slices: int = 1024) -> DataFrame:
+def backfill_batches(articles: DataFrame, size: int = 50) -> DataFrame:
     """Number the articles without vector, oldest first, in batches of ``size``.
 
-    The global position is (rows in earlier time slices) + (position inside the slice), so no single
-    task sorts the whole backlog. Slices come from the id hash of equal timestamps only through order:
-    they are range buckets of ``created_at``.
+    The position is a running count over ranges of (created_at, id), so no single task sorts the whole backlog, also
+    when most of it was created at one time.
     """
-    todo = articles.where(~F.col("has_embedding")).select("id", "created_at")
-    us = F.unix_micros(F.col("created_at").cast("timestamp"))
-    lo_hi = todo.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(slices)), F.lit(1))
-    t = (todo.withColumn("_k", F.lit(1)).join(lo_hi.withColumn("_k", F.lit(1)), "_k")
-         .withColumn("slice", F.floor((us - F.col("lo")) / width)).drop("_k", "lo", "hi"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = t.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    w = Window.partitionBy("slice").orderBy("created_at", "id")
-    pos = t.withColumn("rn", F.row_number().over(w)).join(counts, "slice").withColumn(
-        "position", F.col("before") + F.col("rn"))
+    todo = articles.where(~F.col("has_embedding")).select("id", "created_at", F.lit(1).cast("bigint").alias("_one"))
+    pos = running_sum(todo, [], ["created_at", "id"], "_one", "position")
     return pos.select("id", "created_at", "position", F.ceil(F.col("position") / size).alias("batch"))

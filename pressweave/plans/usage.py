@@ -61,7 +61,7 @@ def usage_totals(log: DataFrame, now) -> DataFrame:
 def counter_deltas(samples: DataFrame, keys: list[str], ts: str = "collected_at", value: str = "bytes",
                    tie: str = "sample_id") -> DataFrame:
     """Growth since the previous sample of the same key; a falling counter is a reset without delta."""
-    t = lag_value(samples, keys, ts, [ts, tie], value, "previous")
+    t = lag_value(samples, keys, [ts, tie], value, "previous")
     reset = F.coalesce(F.col(value) < F.col("previous"), F.lit(False))
     return t.withColumns({"counter_reset": reset, "delta": F.when(
         F.col("previous").isNotNull() & ~reset, F.col(value) - F.col("previous"))})
@@ -191,7 +191,7 @@ def app_runtime(lines: DataFrame) -> DataFrame:
     A ``durationMs`` field counts when the message line it belongs to says finished or complete; a
     structured line carries both itself."""
     t = parse_log_lines(lines).drop("text", "clean")
-    t = carry_forward(t, "execution", "ts", ["ts", "pos"], "message", "event")
+    t = carry_forward(t, "execution", ["ts", "pos"], "message", "event")
     number = F.col("value").try_cast("double")
     ms = F.coalesce("json_ms", F.when((F.col("key") == "durationMs") & ps.is_finished("event"), number))
     return (t.withColumn("ms", ms).where("ms is not null").groupBy("execution")
@@ -205,7 +205,7 @@ def rolling_rate(requests: DataFrame, key: str = "key", per_minute: int = 14, pe
     """Trailing-minute and calendar-day counts with the head-room left under each limit."""
     t = trailing_count(requests, key, "ts", seconds, "in_window")
     t = t.withColumns({"day": F.to_date("ts"), "_one": F.lit(1)})
-    t = running_sum(t, [key, "day"], "ts", ["ts", "pos"], "_one", "in_day")
+    t = running_sum(t, [key, "day"], ["ts", "pos"], "_one", "in_day")
     return t.drop("_one").withColumns({
         "window_left": F.greatest(F.lit(per_minute) - F.col("in_window"), F.lit(0)),
         "day_left": F.greatest(F.lit(per_day) - F.col("in_day"), F.lit(0)),

@@ -55,7 +55,7 @@ def test_quota_across_batches(spark, sf):
         F.col("user_id").alias("key"), "ts", F.col("event_id").alias("pos"))
     table = BatchTable(spark, work + "/q", jobs.QUOTA_OUT).create()
     run_available(jobs.quota_stream(r, 2, 86400), table.write, work + "/c")
-    want = quota_windows(fx.requests(spark, sf), "key", "ts", "pos", 2, 86400, slice_seconds=86400).select(
+    want = quota_windows(fx.requests(spark, sf), "key", "ts", "pos", 2, 86400).select(
         "key", "pos", "allowed", F.col("remaining").cast("bigint"), "reset_seconds", "retry_after_seconds")
     assert table.rows().exceptAll(want).isEmpty() and want.exceptAll(table.rows()).isEmpty()
 
