@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..plans import search as se
-from ..session import spread
+from ..plans.searchindex import StoredIndex
+from ..session import scratch_path, spread
 from . import query
 
 POSTINGS = """words AS (
@@ -99,3 +100,58 @@ def search_index_refresh(spark, sf):
     a = fx.news_articles(spark, sf)
     changed = a.where("id % 10 = 0").select("id", F.concat(F.lit("new "), "title").alias("title"), F.lit("").alias("body"))
     return se.refresh_index(se.build_index(texts(spark, sf), positions=False), changed)
+
+
+#: The articles after the refreshes below.
+EDITED = """cur AS (SELECT id, story_id, published_at, CASE WHEN id % 10 = 0 THEN 'new ' || title ELSE title END AS title,
+  CASE WHEN id % 10 = 0 THEN '' WHEN id % 7 = 1 THEN 'the end with ' || body ELSE body END AS body
+  FROM news_articles WHERE id % 10 <> 3)"""
+EDITED_POSTINGS = POSTINGS.replace("news_articles", "cur")
+
+
+def kept_index(spark, sf) -> StoredIndex:
+    """All articles written, then two refreshes: some rewritten and some removed, then others lengthened."""
+    a = texts(spark, sf)
+    index = StoredIndex(spark, scratch_path(spark, "index")).create(a)
+    index.refresh(a.where("id % 10 = 0").select("id", F.concat(F.lit("old "), "title").alias("title"), "body"),
+                  a.where("id % 10 = 3").select("id"))
+    renamed = F.when(F.col("id") % 10 == 0, F.concat(F.lit("new "), "title")).otherwise(F.col("title"))
+    body = F.when(F.col("id") % 10 == 0, "").otherwise(F.concat(F.lit("the end with "), "body"))
+    index.refresh(a.where("id % 10 = 0 or id % 7 = 1 and id % 10 <> 3").select("id", renamed.alias("title"), body.alias("body")))
+    return index
+
+
+@query("stored_index", f"WITH {EDITED}, {EDITED_POSTINGS} SELECT term, article_id, field, tf FROM idx")
+def stored_index(spark, sf):
+    index = kept_index(spark, sf)
+    index.merge()
+    return index.postings()
+
+
+@query("stored_search", f"""
+WITH {EDITED}, {EDITED_POSTINGS},
+h AS (SELECT article_id, {RANK} AS rank FROM idx WHERE term IN ('the', 'with') GROUP BY 1 HAVING count(DISTINCT term) = 2)
+SELECT story_id, count(*) AS matched_articles, max(published_at) AS latest_published_at, round(max(rank), 6) AS relevance_score
+FROM h JOIN cur ON cur.id = h.article_id WHERE story_id IS NOT NULL GROUP BY 1""")
+def stored_search(spark, sf):
+    words = se.query_terms("The with")
+    found = se.matching_articles(kept_index(spark, sf).postings(words), words)
+    out = se.roll_up(found, fx.news_articles(spark, sf), [])
+    return out.withColumn("relevance_score", F.round("relevance_score", 6))
+
+
+@query("stored_search_many", f"""
+WITH {EDITED}, {EDITED_POSTINGS}, q AS (SELECT item_id AS query_id, {QSQL} AS w FROM benchmark),
+qt AS (SELECT query_id, len(w) AS need, unnest(w) AS term FROM q),
+h AS (SELECT query_id, need, article_id, {RANK} AS rank, count(DISTINCT qt.term) AS n FROM idx JOIN qt ON qt.term = idx.term
+  GROUP BY 1, 2, 3),
+s AS (SELECT query_id, story_id, count(*) AS matched_articles, max(published_at) AS latest_published_at,
+  round(max(rank), 6) AS relevance_score FROM h JOIN cur ON cur.id = h.article_id
+  WHERE n = need AND story_id IS NOT NULL GROUP BY 1, 2)
+SELECT query_id, story_id, matched_articles, latest_published_at, relevance_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, story_id) AS place FROM s)
+WHERE place <= 50""")
+def stored_search_many(spark, sf):
+    q = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    out = se.search_many(kept_index(spark, sf).postings(), fx.news_articles(spark, sf), q)
+    return out.drop("place").withColumn("relevance_score", F.round("relevance_score", 6))

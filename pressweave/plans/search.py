@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from ..session import cut
 from .stories import story_image
 
 WEIGHTS = {"title": 1.0, "body": 0.4}
@@ -71,7 +72,8 @@ def matching_articles(index: DataFrame, words: list[str]) -> DataFrame:
             .where(F.col("n") == len(words)).drop("n"))
 
 
-def _roll_up(hits: DataFrame, articles: DataFrame, keys: list[str]) -> DataFrame:
+def roll_up(hits: DataFrame, articles: DataFrame, keys: list[str]) -> DataFrame:
+    """Stories of the articles found: how many, the newest and the best rank."""
     a = articles.select(F.col("id").alias("article_id"), "story_id", "published_at").where("story_id is not null")
     return (hits.join(a, "article_id").groupBy(*keys, "story_id")
             .agg(F.count(F.lit(1)).alias("matched_articles"), F.max("published_at").alias("latest_published_at"),
@@ -88,8 +90,8 @@ def _present(top: DataFrame, stories: DataFrame, articles: DataFrame, sources: D
 def search(index: DataFrame, articles: DataFrame, stories: DataFrame, sources: DataFrame, query: str,
            limit: int = 50, fallback: bool = True, excluded=()) -> DataFrame:
     """Stories with matching articles, best first; a title substring search when there are none."""
-    top = (_roll_up(matching_articles(index, query_terms(query)), articles, [])
-           .orderBy(F.col("relevance_score").desc(), "story_id").limit(limit))
+    top = cut(roll_up(matching_articles(index, query_terms(query)), articles, [])
+              .orderBy(F.col("relevance_score").desc(), "story_id").limit(limit))  # the search runs once
     if fallback and top.isEmpty():
         top = substring_search(articles, stories, query, limit)
     return _present(top, stories, articles, sources, excluded)
@@ -114,7 +116,7 @@ def search_many(index: DataFrame, articles: DataFrame, queries: DataFrame, limit
     wanted = q.select("query_id", F.size("words").alias("need"), F.explode("words").alias("term"))
     hits = (index.join(wanted, "term").groupBy("query_id", "need", "article_id")
             .agg(F.count_distinct("term").alias("n"), _rank().alias("rank")).where("n = need"))
-    stories = _roll_up(hits.drop("n", "need"), articles, ["query_id"])
+    stories = roll_up(hits.drop("n", "need"), articles, ["query_id"])
     w = Window.partitionBy("query_id").orderBy(F.col("relevance_score").desc(), "story_id")
     return stories.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
