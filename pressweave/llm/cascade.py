@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects a document by some of its counts. Costs and rejections of the rules are measured on a bounded
-sample; rules then run in falling order of rejections per second, and a document that one rule rejects is not
-shown to the next. Whatever the order, the documents kept are the same.
+Each rule rejects a document by some of its counts. On a bounded sample every feature is priced once, apart from the
+rules that share it, and every row's verdicts under all rules are kept. The order is then greedy: next comes the rule
+that rejects most per second of those rows that no earlier rule rejects, and it pays only for features that no earlier
+rule has computed. A document that one rule rejects is not shown to the next. Whatever the order, the documents kept
+are the same.
 """
 
 from __future__ import annotations
@@ -35,28 +37,52 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 class Rows:
     """Texts and what is already known about them; every feature is computed when first asked for."""
 
-    def __init__(self, texts: pa.Array, known: dict | None = None):
-        self.texts, self.known, self._words = texts, known or {}, None
+    def __init__(self, texts: pa.Array, known: dict | None = None, words: tuple | None = None):
+        self.texts, self.known, self._words = texts, known or {}, words
+        self.spent: dict[str, float] = {}  # seconds of every feature computed here, without those it asked for
+        self.needs: dict[str, set[str]] = {}  # what every feature, or the rule under way, asked for
+        self._open: list[list] = []
 
     def __len__(self):
         return len(self.texts)
 
     def __getitem__(self, name: str) -> np.ndarray:
+        self._asked(name)
         if name not in self.known:
-            self.known[name] = FEATURES[name](self)
+            self.known[name] = self.timed(name, lambda: FEATURES[name](self))
         return self.known[name]
 
+    def _asked(self, name: str) -> None:
+        if self._open:
+            self.needs[self._open[-1][0]].add(name)
+
+    def timed(self, name: str, make: Callable):
+        """``make()``, its seconds booked under ``name`` but for those of features it asks for."""
+        self.needs.setdefault(name, set())
+        self._open.append([name, 0.0])
+        began = time.perf_counter()
+        made = make()
+        took = time.perf_counter() - began
+        self.spent[name] = took - self._open.pop()[1]
+        if self._open:
+            self._open[-1][1] += took
+        return made
+
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words, equal for equal words, and each row's count."""
-        if self._words is None:
+        def split():
             words, counts = words_of(self.texts)
-            self._words = np.asarray(words.dictionary_encode().indices).astype(np.int64), counts
+            return np.asarray(words.dictionary_encode().indices).astype(np.int64), counts
+        self._asked("words")
+        if self._words is None:
+            self._words = self.timed("words", split)
         return self._words
 
     def take(self, keep: np.ndarray) -> Rows:
         if keep.all():
             return self
-        return Rows(self.texts.filter(pa.array(keep)), {k: v[keep] for k, v in self.known.items()})
+        words = self._words and (self._words[0][np.repeat(keep, self._words[1])], self._words[1][keep])
+        return Rows(self.texts.filter(pa.array(keep)), {k: v[keep] for k, v in self.known.items()}, words)
 
 
 def count_bytes(rows: Rows, table: np.ndarray) -> np.ndarray:
@@ -173,27 +199,61 @@ def run_rules(rows: Rows, rules) -> np.ndarray:
     return verdict
 
 
-def measure(sample: DataFrame, rules=RULES) -> list[tuple[str, float, float]]:
-    """``(rule, seconds per row, share rejected)`` on a sample, each rule on its own."""
+@dataclass(frozen=True)
+class Prices:
+    """Seconds a row of features and of the rules' own comparisons, what each asks for, and how often each set of
+    verdicts was met: ``met["01..."]`` rows that the second rule rejects and the first does not."""
+    seconds: dict[str, float]
+    needs: dict[str, frozenset[str]]
+    met: dict[str, int]
+
+    def features(self, name: str) -> frozenset[str]:
+        """All features below a rule or feature."""
+        direct = self.needs.get(name, frozenset())
+        return direct.union(*(self.features(n) for n in direct))
+
+
+def measure(sample: DataFrame, rules=RULES, known: tuple[str, ...] = ()) -> Prices:
+    """Prices on a sample; features named in ``known`` are computed before the cascade anyway and cost it nothing."""
     def body(part, texts):
-        names, cost, gone = [], [], []
-        for rule in rules:
-            began = time.perf_counter()
-            hits = int(np.asarray(rule.rejects(Rows(texts)), dtype=bool).sum())
-            names.append(rule.name)
-            cost.append(time.perf_counter() - began)
-            gone.append(hits)
-        return {"rule": names, "cost": cost, "gone": pa.array(gone, type=pa.int64()),
-                "rows": pa.array([len(texts)] * len(names), type=pa.int64())}
-    got = map_slices(sample, body, "rule string, cost double, gone bigint, rows bigint").groupBy("rule").agg(
-        (F.sum("cost") / F.sum("rows")).alias("cost"), (F.sum("gone") / F.sum("rows")).alias("share")).collect()
-    return [(r["rule"], r["cost"], r["share"]) for r in got]
-
-
-def ordered(rules, measured) -> list[Rule]:
-    """Rules by falling rejections per cost; unmeasured ones last, ties in the given order."""
-    rank = {name: share / max(cost, 1e-12) for name, cost, share in measured}
-    return sorted(rules, key=lambda r: -rank.get(r.name, -1.0))
+        rows = Rows(texts)
+        for name in known:
+            rows[name]
+        rows.spent, rows.needs = {}, {}
+        hits = [np.asarray(rows.timed(f"rule {r.name}", lambda r=r: r.rejects(rows)), dtype=bool) for r in rules]
+        out = [("seconds", n, took, len(texts), sorted(rows.needs[n])) for n, took in rows.spent.items()]
+        if hits and len(texts):
+            marks, n = np.unique(np.stack(hits, axis=1), axis=0, return_counts=True)
+            out += [("met", "".join("01"[int(b)] for b in m), 0.0, k, []) for m, k in zip(marks, n.tolist())]
+        kind, name, took, n, needs = zip(*out) if out else ([],) * 5
+        return {"kind": pa.array(kind, type=pa.string()), "name": pa.array(name, type=pa.string()),
+                "took": pa.array(took, type=pa.float64()), "n": pa.array(n, type=pa.int64()),
+                "needs": pa.array(needs, type=pa.list_(pa.string()))}
+    got = map_slices(sample, body, "kind string, name string, took double, n bigint, needs array<string>").groupBy(
+        "kind", "name").agg(F.sum("took").alias("took"), F.sum("n").alias("n"),
+                            F.array_distinct(F.flatten(F.collect_set("needs"))).alias("needs")).collect()
+    timed = [r for r in got if r["kind"] == "seconds"]
+    return Prices({r["name"]: r["took"] / max(r["n"], 1) for r in timed}, {r["name"]: frozenset(r["needs"]) for r in timed},
+                  {r["name"]: r["n"] for r in got if r["kind"] == "met"})
+
+
+def ordered(rules, prices: Prices) -> list[Rule]:
+    """Rules by rejections per cost, each on what those before leave and without the features they have computed.
+
+    Ties, and rules that reject nothing more, stand in the given order."""
+    left, plan, have, met = list(enumerate(rules)), [], frozenset(), dict(prices.met)
+    while left:
+        def gain(entry):
+            i, rule = entry
+            parts = prices.features(f"rule {rule.name}") - have | {f"rule {rule.name}"}
+            gone = sum(n for marks, n in met.items() if marks[i] == "1")
+            return gone / max(sum(prices.seconds.get(p, 0.0) for p in parts), 1e-12)
+        best = max(left, key=gain)
+        left.remove(best)
+        plan.append(best[1])
+        have |= prices.features(f"rule {best[1].name}")
+        met = {marks: n for marks, n in met.items() if marks[best[0]] == "0"}
+    return plan
 
 
 def sample_of(docs: DataFrame, wanted: int) -> DataFrame:
@@ -209,7 +269,7 @@ def quality_cascade(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Repeated rows stay; an empty table gives none. With ``counts`` the base counts are taken of all rows, and only
     the other rules are saved their work."""
     frame = pick(docs, doc_id, text)
-    plan = ordered(rules, measure(sample_of(frame, sample_rows), rules))
+    plan = ordered(rules, measure(sample_of(frame, sample_rows), rules, BASE if counts else ()))
 
     def body(part, texts):
         rows = Rows(texts)

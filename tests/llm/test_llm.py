@@ -155,10 +155,44 @@ def test_order_does_not_change_verdicts(spark, sf):
     first = cascade.run_rules(cascade.Rows(texts), cascade.RULES) < 0
     for rules in (cascade.RULES[::-1], cascade.RULES[3:] + cascade.RULES[:3]):
         assert (first == (cascade.run_rules(cascade.Rows(texts), rules) < 0)).all()
-    order = cascade.ordered(cascade.RULES, [("symbols", 1.0, 0.5), ("short", 1.0, 0.1), ("repeats", 0.01, 0.1)])
+    order = cascade.ordered(cascade.RULES, cascade.Prices(
+        {"rule symbols": 1.0, "rule short": 1.0, "rule repeats": 0.01, "rule line_copies": 1.0}, {},
+        {"0010000": 50, "1000000": 10, "0100000": 10, "0000000": 30}))
     assert [r.name for r in order[:3]] == ["repeats", "symbols", "short"]
 
 
+def test_shared_features_are_priced_once_and_selectivity_is_what_is_left():
+    rules = [cascade.Rule(n, lambda r: None) for n in ("a", "b", "c")]
+    seconds = {"rule a": 1.0, "rule b": 1.0, "rule c": 1.0, "words": 9.0, "x": 4.0}
+    needs = {"rule a": frozenset({"x"}), "rule b": frozenset({"y"}), "y": frozenset({"words"}), "rule c": frozenset({"words"})}
+    # a: 40 / 5; then c has 20 left to reject and b 22, both with the same words to split; after b they are free to c
+    met = {"100": 10, "101": 30, "010": 12, "011": 10, "001": 10, "000": 28}
+    assert [r.name for r in cascade.ordered(rules, cascade.Prices(seconds, needs, met))] == ["a", "b", "c"]
+    # with the words known before, c rejects 50 for a second and comes first
+    assert cascade.ordered(rules, cascade.Prices(seconds | {"words": 0.0}, needs, met))[0].name == "c"
+
+
+def test_prices_of_a_sample(spark):
+    docs = spark.createDataFrame([(1, "few words"), (2, "# # # " + "many more words stand in this text " * 3), (3, None)],
+                                 "doc_id bigint, text string").na.fill("", ["text"]).coalesce(1)
+    prices = cascade.measure(docs)
+    assert "words" in prices.features("rule one_word") and sum(prices.met.values()) == 3
+    position = [r.name for r in cascade.RULES].index("short")
+    assert sum(n for marks, n in prices.met.items() if marks[position] == "1") == 2
+    known = cascade.measure(docs, known=cascade.BASE)
+    assert not {"words", "n_words", "n_symbols"} & set(known.seconds) and "n_top_word" in known.seconds
+    assert cascade.measure(docs.limit(0)) == cascade.Prices({}, {}, {})
+
+
+def test_rows_taken_keep_their_words():
+    rows = cascade.Rows(pa.array(["a b a", "c", "", "b b b b"]))
+    rows["n_top_word"]
+    some = rows.take(np.array([True, False, True, True]))
+    assert some.words()[1].tolist() == [3, 0, 4] and not some.spent
+    del some.known["n_top_word"]
+    assert some["n_top_word"].tolist() == [2, 0, 4]
+
+
 def test_cascade_hard(hard, nothing):
     got = cascade.quality_cascade(hard, counts=True).collect()
     assert len(got) == hard.count() and not any(r.kept for r in got if r.doc_id in (2, 3, 5, 7))
