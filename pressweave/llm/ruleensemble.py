@@ -106,7 +106,8 @@ def learn(statistics: DataFrame, labels: DataFrame, label: str = "quality", doc_
     known = labels.select(F.col(doc_id).cast("bigint").alias("k"), F.col(label).cast("double").alias("label")).where(
         "k IS NOT NULL AND label IS NOT NULL")
     known = hash_sample(known, "k", max_rows, known.count(), seed)
-    train = cut(statistics.join(known, statistics["doc_id"] == known["k"]).select("label", *STATISTICS).coalesce(2))
+    # written by as many tasks as scan the statistics; only what is written, the bounded sample, is read by two
+    train = cut(statistics.join(known, statistics["doc_id"] == known["k"]).select("label", *STATISTICS)).coalesce(2)
     kinds = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
     if len(kinds) < 2:
         share = 0.5 if not kinds else min(max(next(iter(kinds)), 1e-3), 1 - 1e-3)

@@ -297,6 +297,58 @@ def test_compiled_rules_equal_plain_ones():
     assert "words" in text and "digits" in text
 
 
+@pytest.fixture(scope="module")
+def measured(spark):
+    """400 rows of random statistics; label 1 mostly where there are many words and few symbols."""
+    rng = np.random.default_rng(4)
+    values = rng.random((400, len(ruleensemble.STATISTICS)))
+    at = {n: i for i, n in enumerate(ruleensemble.STATISTICS)}
+    good = (values[:, at["words"]] > 0.4) & (values[:, at["symbols"]] < 0.6)
+    label = np.where(rng.random(400) < 0.1, ~good, good).astype(int)
+    rows = [(i, *map(float, v)) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "doc_id bigint, " + ", ".join(f"{n} double" for n in ruleensemble.STATISTICS)).repartition(3)
+    return table, spark.createDataFrame(list(enumerate(label.tolist())), "doc_id bigint, quality int"), values, label
+
+
+def holds(rule, values):
+    at = {n: i for i, n in enumerate(ruleensemble.STATISTICS)}
+    out = np.ones(len(values), dtype=bool)
+    for name, at_most, threshold in rule.conditions:
+        out &= values[:, at[name]] <= threshold if at_most else values[:, at[name]] > threshold
+    return out
+
+
+def test_learned_rules_scored_in_numpy(measured):
+    table, labels, values, label = measured
+    model = ruleensemble.learn(table, labels)
+    z = model.intercept + sum(w * holds(r, values) for r, w in model.rules)
+    chance = 1 / (1 + np.exp(-z))
+    got = ruleensemble.classify(table, model).orderBy("doc_id").collect()
+    assert np.allclose([r["score"] for r in got], chance) and [r["predicted"] for r in got] == (chance >= 0.3).astype(int).tolist()
+    assert ((chance >= 0.5) == label).mean() > 0.85
+    # the lasso's optimum: a kept rule's gradient meets the penalty on its standardised weight
+    for rule, weight in model.rules:
+        x = holds(rule, values).astype(float)
+        if abs(weight) > 0.05:
+            assert abs((x * (chance - label)).mean() + 0.002 * x.std(ddof=1) * np.sign(weight)) < 0.0006
+
+
+def test_paths_are_the_nodes_of_the_trees(measured, spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.linalg import Vectors
+
+    table, labels, values, _ = measured
+    train = VectorAssembler(inputCols=list(ruleensemble.STATISTICS), outputCol="features").transform(
+        table.join(labels, "doc_id").withColumn("label", F.col("quality").cast("double")))
+    for tree in RandomForestClassifier(numTrees=3, maxDepth=3, seed=1).fit(train).trees:
+        rules = ruleensemble.paths([tree])
+        assert len(rules) == tree.numNodes - 1
+        met = np.stack([holds(r, values) for r in rules], axis=1)
+        leaf = [tree.predictLeaf(Vectors.dense(v)) for v in values]
+        assert len({(n, tuple(m)) for n, m in zip(leaf, met.tolist())}) == len(set(leaf)) == len({tuple(m) for m in met.tolist()})
+
+
 def test_classifier_hard(hard, nothing, spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id bigint, quality int")
     kept = ruleensemble.reject_low_quality(hard, labels)
