@@ -43,12 +43,14 @@ def usage_hourly_stream(log: DataFrame, table: BatchTable, checkpoint: str, late
     run_available(hours, table.write, checkpoint, mode="update")
 
 
+#: State tables read by key are folded before every so many batches, so a batch reads a bounded number of earlier ones.
+FOLD_EVERY = 16
 TAIL = "project_id bigint, branch_id string, collected_at timestamp_ntz, sample_id bigint, bytes bigint"
 DELTAS = "sample_id bigint, previous bigint, counter_reset boolean, delta bigint"
 
 
 def counter_delta_stream(samples: DataFrame, tails: BatchTable, deltas: BatchTable, checkpoint: str,
-                         keys=("project_id", "branch_id")) -> None:
+                         keys=("project_id", "branch_id"), fold_every: int = FOLD_EVERY) -> None:
     """Counter deltas across micro-batches: the newest sample of every key is carried as one row.
 
     A sample that arrives late is compared with what its own batch holds before it, else has no previous one; it never
@@ -56,6 +58,8 @@ def counter_delta_stream(samples: DataFrame, tails: BatchTable, deltas: BatchTab
     keys = list(keys)
 
     def on_batch(batch: DataFrame, n: int) -> None:
+        if n and n % fold_every == 0:
+            tails.fold(keys, n)
         batch = cut(batch.select(*keys, "collected_at", "sample_id", "bytes"))
         last = tails.latest(keys, before=n).withColumn("_old", F.lit(True))
         both = last.unionByName(batch.withColumn("_old", F.lit(False)))
@@ -126,14 +130,16 @@ STORIES = ("id bigint, title string, article_count bigint, entities array<string
 class Ingest:
     """Screen, de-duplicate, embed and assign each micro-batch; state lives in tables under one folder."""
 
-    def __init__(self, spark, folder: str, embed=None, dims: int = 256, **assign_options):
+    def __init__(self, spark, folder: str, embed=None, dims: int = 256, fold_every: int = FOLD_EVERY, **assign_options):
         def table(name, schema):
             return BatchTable(spark, f"{folder}/{name}", schema).create()
         self.articles, self.discards, self.stories = (
             table("articles", ARTICLES), table("discards", DISCARDS), table("stories", STORIES))
-        self.embed, self.dims, self.options = embed, dims, assign_options
+        self.embed, self.dims, self.fold_every, self.options = embed, dims, fold_every, assign_options
 
     def on_batch(self, batch: DataFrame, n: int) -> None:
+        if n and n % self.fold_every == 0:
+            self.stories.fold(["id"], n)
         known = self.articles.before(n)
         new = drop_known(batch, known, "url")
         kept, log = route_low_value(new, "extracted")
