@@ -61,21 +61,25 @@ def best_overlapping_story(spark, sf):
     return mt.best_overlap(new_clusters(spark, sf), a).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("story_matches", f"""
-WITH RECURSIVE {NEW}, c AS (SELECT cluster, row_number() OVER (ORDER BY min(id)) AS turn FROM nc GROUP BY 1),
+#: Clusters served one by one, in order of their least article, each with its best story that is still free.
+MATCHED = f"""{NEW}, c AS (SELECT cluster, row_number() OVER (ORDER BY min(id)) AS turn FROM nc GROUP BY 1),
 o AS (SELECT c.turn, c.cluster, ov.story_id, ov.overlap, ov.ratio FROM c LEFT JOIN ov USING (cluster)),
 g AS (SELECT 0 AS turn, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS cluster, CAST(NULL AS BIGINT) AS story_id
   UNION ALL SELECT n.turn, CASE WHEN n.pick IS NULL THEN n.used ELSE list_append(n.used, n.pick) END, n.cluster, n.pick
   FROM (SELECT g.turn + 1 AS turn, g.used, any_value(o.cluster) AS cluster, arg_min(o.story_id, [-o.overlap, -o.ratio,
       o.story_id]) FILTER (WHERE o.story_id IS NOT NULL AND NOT list_contains(g.used, o.story_id)) AS pick
-    FROM g JOIN o ON o.turn = g.turn + 1 GROUP BY g.turn, g.used) n)
-SELECT cluster, story_id FROM g WHERE turn > 0""")
+    FROM g JOIN o ON o.turn = g.turn + 1 GROUP BY g.turn, g.used) n)"""
+MOVES = """mv AS (SELECT nc.id, nc.cluster, g.story_id, a.story_id AS old_story_id FROM nc JOIN g ON g.cluster = nc.cluster
+  JOIN news_articles a ON a.id = nc.id WHERE g.turn > 0 AND (g.story_id IS NULL OR g.story_id IS DISTINCT FROM a.story_id))"""
+
+
+@query("story_matches", f"WITH RECURSIVE {MATCHED} SELECT cluster, story_id FROM g WHERE turn > 0")
 def story_matches(spark, sf):
     matches, _, _, _ = mt.reconcile(new_clusters(spark, sf), articles(spark, sf).select("id", "story_id"))
     return matches
 
 
-@query("article_moves")
+@query("article_moves", f"WITH RECURSIVE {MATCHED}, {MOVES} SELECT id, cluster, story_id, old_story_id FROM mv")
 def article_moves(spark, sf):
     return mt.reconcile(new_clusters(spark, sf), articles(spark, sf).select("id", "story_id"))[1]
 
@@ -86,7 +90,9 @@ def cleared_articles(spark, sf):
     return mt.reconcile(new_clusters(spark, sf), articles(spark, sf).select("id", "story_id"))[2]
 
 
-@query("stories_losing_articles")
+@query("stories_losing_articles", f"""
+WITH RECURSIVE {MATCHED}, {MOVES} SELECT old_story_id AS story_id FROM mv WHERE old_story_id IS NOT NULL
+UNION SELECT story_id FROM news_articles WHERE story_id IS NOT NULL AND id NOT IN (SELECT id FROM nc)""")
 def stories_losing_articles(spark, sf):
     return mt.reconcile(new_clusters(spark, sf), articles(spark, sf).select("id", "story_id"))[3]
 
