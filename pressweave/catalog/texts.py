@@ -52,10 +52,13 @@ def significant_tokens(spark, sf):
                                       F.array_join(F.array_sort(t), " ").alias("tokens"))
 
 
-@query("significant_tokens_exact")
+@query("significant_tokens_exact", f"""
+SELECT id, CAST(len({tokens_sql('body')}) AS BIGINT) AS n_tokens,
+  md5(array_to_string(list_sort({tokens_sql('body')}), ' ')) AS tokens_md5 FROM news_articles""")
 def significant_tokens_exact(spark, sf):
     t = tx.significant_tokens("body", exact=True)
-    return articles(spark, sf).select("id", F.size(t).cast("bigint").alias("n_tokens"))
+    return articles(spark, sf).select("id", t.alias("t")).select(
+        "id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("tokens_md5"))
 
 
 @query("entity_lists", """

@@ -154,11 +154,13 @@ def text_vectors(spark, sf):
     return v.select("id", F.size(F.filter("vec", lambda x: x > 0)).alias("nonzero"))
 
 
-@query("model_vectors")
+@query("model_vectors", """
+SELECT id, length(body)::DOUBLE AS chars, (length(body) - length(replace(body, ' ', '')))::DOUBLE AS spaces FROM news_articles""")
 def model_vectors(spark, sf):
     def lengths(texts):
         return [[float(len(t)), float(t.count(" "))] for t in texts]
-    return hooks.embed_texts(articles(spark, sf).select("id", F.col("body").alias("text")), fn=lengths)
+    v = hooks.embed_texts(articles(spark, sf).select("id", F.col("body").alias("text")), fn=lengths)
+    return v.select("id", F.get("vec", F.lit(0)).alias("chars"), F.get("vec", F.lit(1)).alias("spaces"))
 
 
 @query("reduced_vectors")
