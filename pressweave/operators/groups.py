@@ -55,14 +55,15 @@ def contained_forms(forms: DataFrame, keys, how: str = "left_semi") -> DataFrame
     """Forms ``(keys, _l)`` that are part of a longer one in their group; ``how='inner'`` names that one in ``_in``.
 
     A form is looked up by its first characters among the windows of the group's forms, then compared: windows
-    grow with the length of a form, not with its square."""
+    grow with the length of a form, not with its square. They are many times the forms whose size Catalyst knows, so the
+    join is one by sorting: a broadcast of them would pass through the driver."""
     keys = _keys(keys)
     inner = forms.select(*keys, "_l", F.left("_l", F.lit(ANCHOR)).alias("_a"))
     outer = forms.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_l").alias("_in"), F.explode(_windows(F.col("_l"))).alias("_w"))
     cond = (F.col("_a") == F.col("_w")) & (F.length("_l") < F.length("_in")) & F.contains("_in", "_l")
     for i, k in enumerate(keys):
         cond = cond & (inner[k] == F.col(f"_k{i}"))
-    return inner.join(outer, cond, how).select(*keys, "_l", *(["_in"] if how == "inner" else []))
+    return inner.join(outer.hint("merge"), cond, how).select(*keys, "_l", *(["_in"] if how == "inner" else []))
 
 
 def entity_forms(df: DataFrame, keys, entities: str = "entities", order: str = "id") -> DataFrame:

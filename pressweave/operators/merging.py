@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..session import cut
 from .groups import merge_centroids
-from .simjoin import BLOCK, matrix, unit_rows
-from .vectorindex import Pivots, VectorIndex, fit_pivots
+from .simjoin import BLOCK, CELLS, matrix, unit_rows
+from .vectorindex import Pivots, VectorIndex, fit_pivots, radius
 
 MARKS = "array<struct<f:bigint,g:int>>"
 PARTNER = "id bigint, partner bigint, sim double, tie bigint"
@@ -54,16 +54,22 @@ def banned(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
 
 
 def _allowed(a: pd.DataFrame, b: pd.DataFrame, threshold: float, max_size: int):
-    """Per vector length: the two sides, their ids, and the similarities of pairs that may merge (others -inf)."""
+    """Per vector length and run of left rows: the two sides, their ids, and the similarities of pairs that may merge (others -inf)."""
     for n in sorted((set(a["vec"].map(len)) & set(b["vec"].map(len))) - {0}):
-        x, y = a[a["vec"].map(len) == n].reset_index(drop=True), b[b["vec"].map(len) == n].reset_index(drop=True)
-        sim = np.round(unit_rows(matrix(x["vec"])) @ unit_rows(matrix(y["vec"])).T, 9)
-        xi, yi = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64)
-        joint = x["size"].to_numpy()[:, None] + y["size"].to_numpy()[None, :]
-        ok = (sim >= threshold) & (joint <= max_size) & (xi[:, None] != yi[None, :])
-        if ok.any():
-            ok &= ~banned(x, y)
-        yield x, y, xi, yi, np.where(ok, sim, -np.inf)
+        whole, y = a[a["vec"].map(len) == n].reset_index(drop=True), b[b["vec"].map(len) == n].reset_index(drop=True)
+        ux, uy, yi = unit_rows(matrix(whole["vec"])), unit_rows(matrix(y["vec"])).T, y["id"].to_numpy(np.int64)
+        step = max(1, CELLS // len(y))
+        for i in range(0, len(whole), step):
+            x = whole.iloc[i:i + step].reset_index(drop=True)
+            sim = ux[i:i + step] @ uy
+            if not (sim >= threshold - 1e-8).any():
+                continue
+            sim, xi = np.round(sim, 9), x["id"].to_numpy(np.int64)
+            joint = x["size"].to_numpy()[:, None] + y["size"].to_numpy()[None, :]
+            ok = (sim >= threshold) & (joint <= max_size) & (xi[:, None] != yi[None, :])
+            if ok.any():
+                ok &= ~banned(x, y)
+                yield x, y, xi, yi, np.where(ok, sim, -np.inf)
 
 
 def best_partners(left: VectorIndex, right: VectorIndex, threshold: float, max_size: int, both: bool = False) -> DataFrame:
@@ -145,6 +151,9 @@ def merge_clusters(clusters: DataFrame, threshold: float = vocab.MERGE_THRESHOLD
         return VectorIndex.build(rows, block, pivots)
 
     whole = index(now)
+    if pivots and not whole.skips(whole, radius(threshold)):  # asked once, not in every round
+        pivots = {}
+        whole = index(now)
     want = cut(_best(best_partners(whole, whole, threshold, max_size)))
     while True:
         back = want.select(F.col("id").alias("partner"), F.col("partner").alias("id"))

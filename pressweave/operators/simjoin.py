@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .vectorindex import SLACK, VectorIndex, chunk_bound, chunk_pairs, radius
+from .vectorindex import COPIES, SLACK, VectorIndex, chunk_bound, chunk_pairs, radius
 
 BLOCK = 2048
 
@@ -65,38 +65,68 @@ def stacked(frames: list[pd.DataFrame], *names: str) -> pd.DataFrame:
     return (pd.concat(frames) if frames else pd.DataFrame(columns=names)).astype({"grp": object})
 
 
-def _top_k(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column positions of the k largest per row; ties by id."""
+#: Similarities held at once in a task.
+CELLS = 1 << 22
+
+
+def _top_k(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest per row; ties by id."""
     order = np.argsort(ids, kind="stable")
-    part = np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]
-    return order[part]
+    sim = sim[:, order]
+    if k >= sim.shape[1]:
+        r, c = np.indices(sim.shape)
+        return r.ravel(), order[c.ravel()]
+    least = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k][:, None]
+    kept = sim >= least
+    many = np.flatnonzero(kept.sum(axis=1) > k)
+    if len(many):
+        s, low = sim[many], least[many]
+        above, even = s > low, s == low
+        kept[many] = above | (even & (np.cumsum(even, axis=1) <= k - above.sum(axis=1)[:, None]))
+    r, c = np.nonzero(kept)
+    return r, order[c]
+
+
+def by_group(left: pd.DataFrame, right: pd.DataFrame):
+    """The two sides of every group that both have."""
+    if len(left) and len(right) and left["grp"].nunique() == 1 and right["grp"].nunique() == 1:
+        if left["grp"].iloc[0] == right["grp"].iloc[0]:
+            yield left, right
+        return
+    theirs = right.groupby("grp", sort=False).indices
+    for g, at in left.groupby("grp", sort=False).indices.items():
+        if g in theirs:
+            yield left.iloc[at], right.iloc[theirs[g]]
 
 
 def block_knn(lt: DataFrame, rt: DataFrame, k: int, min_sim: float, strict: bool, self_join: bool, earlier: bool) -> DataFrame:
-    """The ``k`` best of every block pair ``(grp, lc, rc)``, per left row."""
+    """The ``k`` best of every pair of blocks ``(lc, rc)`` in the same group, per left row."""
     rt = rt.select(*[F.col(c).alias(f"r_{c}") for c in rt.columns])  # both sides may be the same frame
 
     def best(_key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
-        r = r.rename(columns=lambda c: c[2:])
-        if len(l) and len(r):
-            for a, b in same_length(l, r):
-                sim = unit_rows(matrix(a["vec"])) @ unit_rows(matrix(b["vec"])).T
-                ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
-                if self_join:
-                    sim = np.where(ai[:, None] == bi[None, :], -np.inf, sim)
-                if earlier:
-                    sim = np.where(b["ord"].to_numpy()[None, :] < a["ord"].to_numpy()[:, None], sim, -np.inf)
-                cols_ = _top_k(sim, bi, k)
-                rows_ = np.repeat(np.arange(len(a)), cols_.shape[1])
-                cols_ = cols_.ravel()
-                s = sim[rows_, cols_]
-                keep = (s > min_sim if strict else s >= min_sim) & np.isfinite(s)
-                out.append(pd.DataFrame({"grp": a["grp"].to_numpy(object)[rows_[keep]], "id": ai[rows_[keep]],
-                                         "nbr": bi[cols_[keep]], "sim": s[keep]}))
-        return stacked(out, "grp", "id", "nbr", "sim")
-
-    return lt.groupBy("grp", "lc", "rc").cogroup(rt.groupBy("r_grp", "r_lc", "r_rc")).applyInPandas(best, NEIGHBOURS)
+        for x, y in by_group(l, r.rename(columns=lambda c: c[2:])):
+            for a, b in same_length(x, y):
+                ua, ub = unit_rows(matrix(a["vec"])), unit_rows(matrix(b["vec"])).T
+                ids, bi, g = a["id"].to_numpy(), b["id"].to_numpy(), a["grp"].iloc[0]
+                step = max(1, CELLS // len(b))
+                for i in range(0, len(a), step):
+                    sim, ai = ua[i:i + step] @ ub, ids[i:i + step]
+                    if self_join:
+                        sim[ai[:, None] == bi[None, :]] = -np.inf
+                    if earlier:
+                        sim[b["ord"].to_numpy()[None, :] >= a["ord"].to_numpy()[i:i + step, None]] = -np.inf
+                    rows_, cols_ = _top_k(sim, bi, k)
+                    s = sim[rows_, cols_]
+                    keep = (s > min_sim if strict else s >= min_sim) & np.isfinite(s)
+                    out.append((g, ai[rows_[keep]], bi[cols_[keep]], s[keep]))
+        if not out:
+            return stacked([], "grp", "id", "nbr", "sim")
+        sizes = [len(s) for *_, s in out]
+        return stacked([pd.DataFrame({"grp": np.repeat(np.array([g for g, *_ in out], object), sizes), "id": np.concatenate([i for _, i, _, _ in out]),
+                                      "nbr": np.concatenate([j for _, _, j, _ in out]), "sim": np.concatenate([s for *_, s in out])})])
+
+    return lt.groupBy("lc", "rc").cogroup(rt.groupBy("r_lc", "r_rc")).applyInPandas(best, NEIGHBOURS)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -143,6 +173,7 @@ def index_self_grid(index: VectorIndex, pairs: DataFrame) -> DataFrame:
     """Rows per unordered pair of chunks ``(ci <= cj)``; ``chunk`` says on which side a row stands."""
     base = [c for c in index.rows.columns if not c.startswith("_")]
     sides = pairs.select("grp", F.col("lc").alias("ci"), F.col("rc").alias("cj")).where("ci <= cj")
+    sides = sides.hint("merge") if index.pivots else sides  # there may be far more pairs than their small files tell
     a = index.rows.withColumn("ci", F.col("_chunk")).join(sides, ["grp", "ci"]).select(*base, "ci", "cj", F.col("ci").alias("chunk"))
     b = index.rows.withColumn("cj", F.col("_chunk")).join(sides.where("ci < cj"), ["grp", "cj"]).select(*base, "ci", "cj", F.col("cj").alias("chunk"))
     return a.unionByName(b)
@@ -158,12 +189,15 @@ def _extremes(index: VectorIndex, pairs: DataFrame) -> DataFrame:
         lo, hi = np.inf, -np.inf
         if len(a) and len(b):
             for x, y in same_length(a, b):
-                sim = unit_rows(matrix(x["vec"])) @ unit_rows(matrix(y["vec"])).T
-                if ci == cj:
-                    xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
-                    sim = sim[xi[:, None] < yi[None, :]]
-                if sim.size:
-                    lo, hi = min(lo, float(sim.min())), max(hi, float(sim.max()))
+                ux, uy = unit_rows(matrix(x["vec"])), unit_rows(matrix(y["vec"])).T
+                xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
+                step = max(1, CELLS // len(y))
+                for i in range(0, len(x), step):
+                    sim = ux[i:i + step] @ uy
+                    if ci == cj:
+                        sim = sim[xi[i:i + step, None] < yi[None, :]]
+                    if sim.size:
+                        lo, hi = min(lo, float(sim.min())), max(hi, float(sim.max()))
         ok = np.isfinite(lo)
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "low": [lo if ok else None], "high": [hi if ok else None]})
 
@@ -181,7 +215,8 @@ def pair_stats(df: DataFrame, block: int = BLOCK) -> DataFrame:
     sums = sums.groupBy("grp", "d").agg(Summarizer.sum(F.col("u")).alias("s"), F.count(F.lit(1)).alias("n"), F.sum("one").alias("own"))
     per = sums.withColumn("s", vector_to_array("s")).select("grp", "n", ((dot(F.col("s"), F.col("s")) - F.col("own")) / 2).alias("total"))
     means = per.groupBy("grp").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"), F.sum("total").alias("total")).where("pairs > 0")
-    index = VectorIndex.build(df, block)
+    most = df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    index = VectorIndex.build(df, block, {} if most <= COPIES * block else None)  # few chunks a group: every pair of them, no tiny cells
     spark = df.sparkSession
     own = index.chunks.where("n > 1").select("grp", F.col("_chunk").alias("lc"), F.col("_chunk").alias("rc"))
     found = cut(_extremes(index, own))
@@ -210,16 +245,19 @@ def top_pairs(df: DataFrame, n: int = 10, above: float = -1.0, block: int = BLOC
         out = []
         if len(a) and len(b):
             for x, y in same_length(a, b):
-                sim = unit_rows(matrix(x["vec"])) @ unit_rows(matrix(y["vec"])).T
-                xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
-                if ci == cj:
-                    sim = np.where(xi[:, None] < yi[None, :], sim, -np.inf)
-                m = min(n, sim.size)
-                cut_at = np.partition(sim.ravel(), sim.size - m)[sim.size - m]
-                i, j = np.nonzero(sim >= max(cut_at, np.nextafter(above, np.inf)))
-                lo, hi = np.minimum(xi[i], yi[j]), np.maximum(xi[i], yi[j])
-                f = pd.DataFrame({"grp": np.full(len(lo), pdf["grp"].iloc[0], object), "a": lo, "b": hi, "sim": sim[i, j]})
-                out.append(f.sort_values(["sim", "a", "b"], ascending=[False, True, True]).head(n))
+                ux, uy = unit_rows(matrix(x["vec"])), unit_rows(matrix(y["vec"])).T
+                xs, yi = x["id"].to_numpy(), y["id"].to_numpy()
+                step = max(1, CELLS // len(y))
+                for at in range(0, len(x), step):
+                    sim, xi = ux[at:at + step] @ uy, xs[at:at + step]
+                    if ci == cj:
+                        sim = np.where(xi[:, None] < yi[None, :], sim, -np.inf)
+                    m = min(n, sim.size)
+                    cut_at = np.partition(sim.ravel(), sim.size - m)[sim.size - m]
+                    i, j = np.nonzero(sim >= max(cut_at, np.nextafter(above, np.inf)))
+                    lo, hi = np.minimum(xi[i], yi[j]), np.maximum(xi[i], yi[j])
+                    f = pd.DataFrame({"grp": np.full(len(lo), pdf["grp"].iloc[0], object), "a": lo, "b": hi, "sim": sim[i, j]})
+                    out.append(f.sort_values(["sim", "a", "b"], ascending=[False, True, True]).head(n))
         return stacked(out, "grp", "a", "b", "sim")
 
     found = index_self_grid(index, pairs).groupBy("grp", "ci", "cj").applyInPandas(best, TOP_PAIRS)

@@ -25,6 +25,11 @@ SAMPLE = 8
 RINGS = 64
 #: Added to every radius: rounding of cosines next to 1.
 SLACK = 1e-6
+#: Without pivots a group has about this many chunks, as long as a chunk has no more than ``SIDE`` rows: so often is a row copied.
+COPIES = 16
+SIDE = 32768
+#: Groups of one chunk are compared in so many packs, not one by one.
+PACKS = 8192
 
 Pivots = dict[int, np.ndarray]
 
@@ -110,19 +115,21 @@ def chunked(placed: DataFrame, block: int, pivots: Pivots) -> tuple[DataFrame, D
     """``(rows, chunks, counts)``: rows with ``_chunk``, and ``grp, _len, _pid, _chunk, lo, hi, n`` of every chunk.
 
     A group of at most ``block`` rows is one chunk without a pivot. Without any pivots, ``counts`` says how many
-    chunks a group has."""
-    def counts(t, keys):
-        return t.groupBy(*keys).agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.lit(1)).alias("_subs"))
-
-    def cut_up(t, keys):
-        return t.join(counts(t, keys), keys).withColumn("_chunk", F.concat_ws(":", "_len", "_pid", "_ring", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("_subs")))).drop(
-            "_ring", "_subs")
-
-    def stats(rows):
-        return rows.groupBy(*CELL, "_chunk").agg(F.min("_ang").alias("lo"), F.max("_ang").alias("hi"), F.count(F.lit(1)).alias("n"))
+    chunks a group has (larger ones in larger groups, see ``COPIES``), and the rows know it as ``_own``."""
+    def counts(t, keys, copies=None):
+        n = F.count(F.lit(1))
+        size = F.greatest(F.lit(block), F.least(F.lit(SIDE), F.ceil(n / F.lit(copies)))) if copies else F.lit(block)
+        return t.groupBy(*keys).agg(F.greatest(F.ceil(n / size), F.lit(1)).alias("_subs"))
+
+    def cut_up(t, keys, copies=None):
+        return t.join(counts(t, keys, copies), keys).withColumn("_chunk", F.concat_ws(":", "_len", "_pid", "_ring", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("_subs")))).drop(
+            "_ring")
+
+    def stats(rows, *more):
+        return rows.groupBy(*CELL, "_chunk").agg(F.min("_ang").alias("lo"), F.max("_ang").alias("hi"), F.count(F.lit(1)).alias("n"), *more)
     if not pivots:  # hashed chunks only; nothing to write down
-        rows = cut_up(placed.withColumn("_ring", F.lit(0)), ["grp", "_len"])
-        return rows, stats(rows), counts(placed, ["grp", "_len"])
+        rows = cut_up(placed.withColumn("_ring", F.lit(0)), ["grp", "_len"], COPIES).withColumnRenamed("_subs", "_own")
+        return rows, stats(rows, F.max("_own").alias("_own")), counts(placed, ["grp", "_len"], COPIES)
     sizes = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("_gn"))
     t = placed.join(sizes, "grp").withColumn("_pid", F.when(F.col("_gn") > block, F.col("_pid")).otherwise(-1)).drop("_gn")
     t = cut(t.withColumn("_ang", F.when(F.col("_pid") >= 0, F.col("_ang")).otherwise(0.0)))
@@ -131,7 +138,7 @@ def chunked(placed: DataFrame, block: int, pivots: Pivots) -> tuple[DataFrame, D
     rings = F.least(F.lit(RINGS), F.ceil(F.col("_n") / F.lit(block)).cast("int"))
     ringed = t.join(cells, CELL).withColumn("_ring", F.when(F.col("_n") <= block, F.lit(0)).otherwise(
         F.floor(F.size(F.filter("_q", lambda q: q < F.col("_ang"))) * rings / RINGS)).cast("int")).drop("_q", "_n")
-    rows = cut(cut_up(ringed, [*CELL, "_ring"]))
+    rows = cut(cut_up(ringed, [*CELL, "_ring"]).drop("_subs"))
     return rows, cut(stats(rows)), None
 
 
@@ -184,11 +191,17 @@ def chunk_pairs(spark: SparkSession, pivots: Pivots, left: DataFrame, right: Dat
 
 def _sent(rows: DataFrame, pairs: DataFrame, own: str, lo: str, hi: str, reach) -> DataFrame:
     """Rows copied to the chunk pairs of their chunk in which they can have a partner."""
+    pairs = pairs.hint("merge")  # there may be far more pairs than their small files tell
     t = rows.join(pairs, [rows["grp"] == pairs["grp"], rows["_chunk"] == pairs[own]]).drop(pairs["grp"])
     near = chunk_bound(F.col("g"), F.col("_ang"), F.col("_ang"), F.col(lo), F.col(hi)) <= reach
     return t.where(near).select(*rows.columns, "lc", "rc")
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Chunk names with their group, so that ``(lc, rc)`` alone is a key."""
+    return rows.withColumns({c: F.concat_ws("/", c, "grp") for c in ("lc", "rc")})
+
+
 class VectorIndex:
     """Rows ``(grp, id, vec, ...)`` in chunks, with their pivots."""
 
@@ -203,19 +216,53 @@ class VectorIndex:
         return cls(*chunked(place(rows, pivots), block, pivots), pivots, block)
 
     def grid(self, other: VectorIndex, min_sim: float, reach: Column | None = None) -> tuple[DataFrame, DataFrame]:
-        """Rows of both sides per pair of chunks ``(lc, rc)`` that may hold a pair of at least ``min_sim``.
+        """Rows of both sides per pair of blocks ``(lc, rc)`` that may hold a pair of at least ``min_sim``.
 
-        ``reach`` is an angle per left row (no more than that of ``min_sim``), if it is known to be smaller."""
+        A block is a chunk of one group, or a pack of groups that have a single chunk on either side; ``lc`` and ``rc`` name it
+        among those of all groups. ``reach`` is an angle per left row (no more than that of ``min_sim``), if it is known to be
+        smaller. Where the angles skip so little that larger chunks without pivots make fewer copies, these are used."""
         if not self.pivots:  # nothing to skip
             def all_of(rows, counts, own, theirs):
                 each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_subs") - 1))
-                return rows.join(counts, ["grp", "_len"]).where("_len > 0").withColumn("_i", each).withColumn(own, F.col("_chunk")).withColumn(
-                    theirs, F.concat_ws(":", "_len", F.lit("-1:0"), "_i")).drop("_subs", "_i")
+                alone = (F.col("_own") == 1) & (F.col("_subs") == 1)
+                pack = F.concat(F.lit("*"), F.pmod(F.xxhash64(F.lit(7), "grp"), F.lit(PACKS)).cast("string"))
+                t = rows.join(counts, ["grp", "_len"]).where("_len > 0").withColumn("_i", each)
+                return t.withColumn(own, F.when(alone, pack).otherwise(F.concat_ws("/", "_chunk", "grp"))).withColumn(theirs, F.when(
+                    alone, pack).otherwise(F.concat_ws("/", F.concat_ws(":", "_len", F.lit("-1:0"), "_i"), "grp"))).drop("_subs", "_own", "_i")
             return all_of(self.rows, other.counts, "lc", "rc"), all_of(other.rows, self.counts, "rc", "lc")
         most = radius(min_sim)
+        if not self.skips(other, most, reach):
+            return self.plain().grid(other.plain(), min_sim)
         pairs = cut(chunk_pairs(self.rows.sparkSession, self.pivots, self.chunks, other.chunks, most))
-        return (_sent(self.rows, pairs, "lc", "rlo", "rhi", F.lit(most) if reach is None else reach),
-                _sent(other.rows, pairs, "rc", "llo", "lhi", F.lit(most)))
+        return (named(_sent(self.rows, pairs, "lc", "rlo", "rhi", F.lit(most) if reach is None else reach)),
+                named(_sent(other.rows, pairs, "rc", "llo", "lhi", F.lit(most))))
+
+    def plain(self) -> VectorIndex:
+        """The same rows in hashed chunks without pivots."""
+        rows = self.rows.drop("_len", "_pid", "_ang", "_chunk")
+        return VectorIndex.build(rows, self.block, {})
+
+    def skips(self, other: VectorIndex, most: float, reach: Column | None = None) -> bool:
+        """Do the angles leave fewer copies of a row than chunks without pivots would make?
+
+        An estimate that only decides how rows are laid out: all pairs of chunks within ``most``, or within the mean ``reach`` of
+        the left chunk's rows, count whole."""
+        need = F.lit(most)
+        pairs = chunk_pairs(self.rows.sparkSession, self.pivots, self.chunks, other.chunks, most)
+        if reach is not None:
+            mean = self.rows.groupBy("grp", F.col("_chunk").alias("lc")).agg(F.avg(reach).alias("_need"))
+            pairs, need = pairs.join(mean, ["grp", "lc"]), F.col("_need")
+        pairs = pairs.where(chunk_bound(F.col("g"), F.col("llo"), F.col("lhi"), F.col("rlo"), F.col("rhi")) <= need)
+        ln, rn = (i.chunks.select("grp", F.col("_chunk").alias(c), F.col("n").alias(f"{c}_n")) for i, c in ((self, "lc"), (other, "rc")))
+        made = pairs.join(ln, ["grp", "lc"]).join(rn, ["grp", "rc"]).agg(F.sum(F.col("lc_n") + F.col("rc_n"))).first()[0] or 0
+
+        def sizes(index, name):
+            n = index.chunks.groupBy("grp", "_len").agg(F.sum("n").alias(name))
+            size = F.greatest(F.lit(index.block), F.least(F.lit(SIDE), F.ceil(F.col(name) / F.lit(COPIES))))
+            return n.withColumn(f"{name}_k", F.ceil(F.col(name) / size))
+        plain = sizes(self, "_l").join(sizes(other, "_r"), ["grp", "_len"]).agg(
+            F.sum(F.col("_l") * F.col("_r_k") + F.col("_r") * F.col("_l_k"))).first()[0] or 0
+        return made <= plain
 
     def pairs(self, other: VectorIndex, min_sim: float) -> tuple[int, int]:
         """``(compared, all)`` pairs of chunks for a join at ``min_sim``."""
@@ -240,7 +287,7 @@ class VectorIndex:
             if r["d"] >= 0:
                 pivots.setdefault(r["d"], []).append(r["v"])
         chunks = spark.read.parquet(f"{path}/chunks")
-        return cls(spark.read.parquet(f"{path}/rows"), chunks, None if pivots else chunks.groupBy("grp", "_len").agg(F.count(F.lit(1)).alias("_subs")),
+        return cls(spark.read.parquet(f"{path}/rows"), chunks, None if pivots else chunks.groupBy("grp", "_len").agg(F.max("_own").alias("_subs")),
                    {d: np.array(v) for d, v in pivots.items()}, flat[0]["block"])
 
     def probe(self, queries: DataFrame, probes: int) -> tuple[DataFrame, DataFrame]:
@@ -266,4 +313,4 @@ class VectorIndex:
         every = parts.withColumn("lc", F.explode(
             F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1), lambda i: i.cast("string")))).drop("_parts")
         rt = self.rows.join(every, CELL).withColumnRenamed("_chunk", "rc").drop("_len", "_pid", "_ang")
-        return lt, rt
+        return named(lt), named(rt)

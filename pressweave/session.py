@@ -57,6 +57,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_large(df: DataFrame) -> DataFrame:
+    """:func:`cut` for a table that grows with the input and is joined by key: it is never broadcast.
+
+    Catalyst takes the size of the files for that of the table. Ids and repeated words take a few bytes a row in a file and
+    ten times that in the driver, and what is exploded from them still more."""
+    return cut(df).hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer partitions than cores (one small file, one row group) to all cores.
 
