@@ -23,30 +23,45 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..session import cut
 from .components import connected_components
-from .simjoin import matrix, stacked, unit_rows
-from .vectorindex import SLACK, VectorIndex, _sent, chunk_bound, chunk_pairs, radius
+from .simjoin import CELLS, _top_k, matrix, stacked, unit_rows
+from .vectorindex import SIDE, SLACK, VectorIndex, _sent, chunk_bound, chunk_pairs, radius
 
 FLOOR = 1e-9
 BAND_EDGES = 50_000
 BLOCK = 1024
 #: Cells of up to this many chunks are compared pair of chunks by pair of chunks; larger ones take Boruvka rounds.
 PAIRWISE = 16
+#: Points whose times span more than this many time scales are cut into about ``RUNS`` runs of times, of no more than ``SIDE`` rows.
+SPAN = 8
+RUNS = 32
 
 
 # ---- distances --------------------------------------------------------------------
 
 def composite(va: np.ndarray, vb: np.ndarray, ta, tb, weight: float, scale: float) -> np.ndarray:
     """``(1-w) * cosine distance + w * min(|dt|/scale, 1)``; cosine alone when times are missing."""
-    d = 1.0 - unit_rows(va) @ unit_rows(vb).T
+    return _composed(unit_rows(va), unit_rows(vb), ta, tb, weight, scale)
+
+
+def _composed(ua: np.ndarray, ub: np.ndarray, ta, tb, weight: float, scale: float) -> np.ndarray:
+    d = 1.0 - ua @ ub.T
     if weight > 0 and ta is not None:
         d = (1 - weight) * d + weight * np.minimum(np.abs(ta[:, None] - tb[None, :]) / scale, 1.0)
     return np.maximum(d, 0.0)
 
 
 def _dist(a: pd.DataFrame, b: pd.DataFrame, weight: float, scale: float) -> np.ndarray:
+    return next(_dists(a, b, weight, scale, len(a)))[1]
+
+
+def _dists(a: pd.DataFrame, b: pd.DataFrame, weight: float, scale: float, step: int | None = None):
+    """``(slice of a, distances to b)``, a bounded number of distances at a time."""
     ta, tb = a["hours"].to_numpy(float), b["hours"].to_numpy(float)
     timed = weight > 0 and not (np.isnan(ta).any() or np.isnan(tb).any())
-    return composite(matrix(a["vec"]), matrix(b["vec"]), ta if timed else None, tb if timed else None, weight, scale)
+    ua, ub, step = unit_rows(matrix(a["vec"])), unit_rows(matrix(b["vec"])), step or max(1, CELLS // len(b))
+    for i in range(0, len(a), step):
+        at = slice(i, i + step)
+        yield at, _composed(ua[at], ub, ta[at] if timed else None, tb if timed else None, weight, scale)
 
 
 def time_weight_for(df: DataFrame, weight: float) -> float:
@@ -74,12 +89,43 @@ def _with_cells(points: DataFrame, weight: float, scale: float, max_dist: float
     return points.withColumn("cell", F.explode(F.array(own, own + 1)))
 
 
-def _indexed(points: DataFrame, weight: float, scale: float, max_dist: float | None, block: int, pairwise: int = PAIRWISE) -> VectorIndex:
-    """The points by group and time cell; ``og`` is the group itself. Without pivots where no cell has more than ``pairwise`` chunks."""
+class TimeIndex:
+    """Rows ``(grp, id, vec, hours, ...)`` in runs of times: chunks know their first and last hour instead of angles."""
+
+    timed, pivots = True, {}
+
+    def __init__(self, rows: DataFrame, block: int):
+        n = F.count(F.lit(1))
+        t = cut(rows.withColumn("_len", F.size("vec")))
+        size = F.greatest(F.lit(block), F.least(F.lit(SIDE), F.ceil(n / F.lit(RUNS))))
+        steps = F.array(*(F.lit((i + 1) / 256) for i in range(255)))
+        cells = t.groupBy("grp", "_len").agg(F.ceil(n / size).alias("_k"), F.percentile_approx("hours", steps, 2000).alias("_q"))
+        # 256 slices of equal counts are dealt to the runs; a run that equal times make too large is cut by a hash
+        run = F.floor(F.size(F.filter("_q", lambda q: q < F.col("hours"))) * F.least("_k", F.lit(256)) / 256)
+        t = t.join(cells, ["grp", "_len"]).withColumn("_run", run)
+        subs = t.groupBy("grp", "_len", "_run").agg(n.alias("_c"), F.first("_k").alias("_k"))
+        whole = subs.groupBy("grp", "_len").agg(F.sum("_c").alias("_n"))
+        subs = subs.join(whole, ["grp", "_len"]).select("grp", "_len", "_run", F.ceil(F.col("_c") / (F.lit(2.0) * F.ceil(F.col("_n") / F.col("_k")))).alias("_subs"))
+        part = F.pmod(F.xxhash64(F.lit(3), "id"), F.col("_subs"))
+        self.rows = cut(t.join(subs, ["grp", "_len", "_run"]).withColumn("_chunk", F.concat_ws(":", "_len", "_run", part)).drop("_q", "_k", "_run", "_subs"))
+        self.chunks = cut(self.rows.groupBy("grp", "_len", "_chunk").agg(F.min("hours").alias("lo"), F.max("hours").alias("hi"), n.alias("n")))
+
+
+def _indexed(points: DataFrame, weight: float, scale: float, max_dist: float | None, block: int, pairwise: int = PAIRWISE) -> VectorIndex | TimeIndex:
+    """The points by group and time cell; ``og`` is the group itself. Without pivots where no cell has more than ``pairwise`` chunks.
+
+    Larger ones are cut by time where every point has one and a cell spans many time scales: far-off times alone make a
+    distance that near ones undercut whatever the vectors are. Else by angle."""
     t = _with_cells(points, weight, scale, max_dist).withColumn("og", F.col("grp"))
     t = t.withColumn("grp", F.concat_ws("|", "og", F.col("cell").cast("string"))).drop("cell")
-    most = t.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return VectorIndex.build(t, block, {} if most <= pairwise * block else None)
+    known = F.col("hours").isNotNull() & ~F.isnan("hours")
+    per = t.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bool_and(known).alias("known"), (F.max("hours") - F.min("hours")).alias("span"))
+    most = per.agg(F.max("n").alias("n"), F.bool_and("known").alias("known"), F.max_by("span", "n").alias("span")).first()
+    if (most["n"] or 0) <= pairwise * block:
+        return VectorIndex.build(t, block, {})
+    if weight > 0 and most["known"] and most["span"] > SPAN * scale:
+        return TimeIndex(t, block)
+    return VectorIndex.build(t, block)
 
 
 def _widest(weight: float, max_dist: float | None) -> float:
@@ -95,6 +141,18 @@ def _angle_for(dist, weight: float, widest: float):
     return F.least(F.coalesce(angle, F.lit(widest)), F.lit(widest))
 
 
+def _need_for(index: VectorIndex | TimeIndex, dist, weight: float, scale: float, widest: float, limit: float):
+    """How far from a row others can lie within the distance: an angle, or hours for an index by time."""
+    if not isinstance(index, TimeIndex):
+        return _angle_for(dist, weight, widest)
+    d = F.coalesce(F.least(F.col(dist), F.lit(limit)), F.lit(limit)) + F.lit(1e-9)
+    return F.when(d < weight, d * F.lit(scale / weight) + F.lit(1e-6)).otherwise(F.lit(float("inf")))
+
+
+def _gap(lo, hi, lo2, hi2):
+    return F.greatest(lo2 - hi, lo - hi2, F.lit(0.0))
+
+
 def _other_chunks(index: VectorIndex, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of both sides per pair of different chunks ``(lc, rc)`` in which a left row has a partner within its angle ``_need``.
 
@@ -107,16 +165,29 @@ def _other_chunks(index: VectorIndex, rows: DataFrame) -> tuple[DataFrame, DataF
     reach = live.agg(F.max("need")).first()[0]
     if reach is None:
         reach = 0.0
-    pairs = chunk_pairs(spark, index.pivots, index.chunks, index.chunks, reach).where("lc <> rc")
+    timed = isinstance(index, TimeIndex)
+    if timed:
+        c = index.chunks.where("_len > 0")
+        pairs = c.select("grp", "_len", F.col("_chunk").alias("lc"), F.col("lo").alias("llo"), F.col("hi").alias("lhi")).join(
+            c.select("grp", "_len", F.col("_chunk").alias("rc"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi")), ["grp", "_len"]).where("lc <> rc").drop("_len")
+        pairs = pairs.withColumn("g", F.lit(0.0))
+    else:
+        pairs = chunk_pairs(spark, index.pivots, index.chunks, index.chunks, reach).where("lc <> rc")
     left = live.withColumnRenamed("_chunk", "lc")
     right = live.drop("need").withColumnRenamed("_chunk", "rc").withColumnsRenamed({"least_comp": "least_r", "most_comp": "most_r"})
     pairs = pairs.join(left, ["grp", "lc"]).join(right, ["grp", "rc"])
-    pairs = pairs.where(chunk_bound(F.col("g"), F.col("llo"), F.col("lhi"), F.col("rlo"), F.col("rhi")) <= F.col("need"))
+    bound = [F.col(c) for c in ("llo", "lhi", "rlo", "rhi")]
+    pairs = pairs.where((_gap(*bound) if timed else chunk_bound(F.col("g"), *bound)) <= F.col("need"))
     if owner:
         pairs = pairs.where("least_comp < most_comp or least_r < most_r or least_comp <> least_r")
     pairs = cut(pairs.select("grp", "lc", "rc", "g", "llo", "lhi", "rlo", "rhi", "need"))
-    rt = _sent(rows, pairs, "rc", "llo", "lhi", F.col("need"))
-    return _sent(rows, pairs, "lc", "rlo", "rhi", F.col("_need")), rt.select(*[F.col(c).alias(f"r_{c}") for c in rt.columns])
+    def sent(own, lo, hi, need):
+        if not timed:
+            return _sent(rows, pairs, own, lo, hi, need)
+        t = rows.join(pairs.withColumnRenamed(own, "_chunk").withColumn(own, F.col("_chunk")), ["grp", "_chunk"])
+        return t.where(_gap(F.col("hours"), F.col("hours"), F.col(lo), F.col(hi)) <= need).select(*rows.columns, "lc", "rc")
+    rt = sent("rc", "llo", "lhi", F.col("need"))
+    return sent("lc", "rlo", "rhi", F.col("_need")), rt.select(*[F.col(c).alias(f"r_{c}") for c in rt.columns])
 
 
 def _per_pair(sides: tuple[DataFrame, DataFrame], body, schema: str) -> DataFrame:
@@ -142,22 +213,21 @@ def nearest(points: DataFrame, k: int, weight: float, scale: float = vocab.TIME_
         if not len(a) or not len(b):
             return stacked([], *names)
         b = b.sort_values("id", ignore_index=True)
-        d = _dist(a, b, weight, scale)
-        ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
-        d[ai[:, None] == bi[None, :]] = np.inf
-        c = np.argsort(d, axis=1, kind="stable")[:, :k]
-        r = np.repeat(np.arange(len(a)), c.shape[1])
-        c = c.ravel()
-        v = d[r, c]
-        ok = np.isfinite(v) & (v <= limit)
-        r, c = r[ok], c[ok]
-        return stacked([pd.DataFrame({"grp": a["grp"].to_numpy(object)[r], "id": ai[r], "og": a["og"].to_numpy(object)[r], "nbr": bi[c],
-                                      "dist": v[ok], "mult": b["mult"].to_numpy()[c]})], *names)
+        ids, bi, og, mult, out = a["id"].to_numpy(), b["id"].to_numpy(), a["og"].to_numpy(object), b["mult"].to_numpy(), []
+        for at, d in _dists(a, b, weight, scale):
+            ai = ids[at]
+            d[ai[:, None] == bi[None, :]] = np.inf
+            r, c = _top_k(-d, bi, k)
+            v = d[r, c]
+            ok = np.isfinite(v) & (v <= limit)
+            r, c = r[ok], c[ok]
+            out.append(pd.DataFrame({"grp": a["grp"].to_numpy(object)[at][r], "id": ai[r], "og": og[at][r], "nbr": bi[c], "dist": v[ok], "mult": mult[c]}))
+        return stacked(out, *names)
 
     own = cut(index.rows.groupBy("grp", "_chunk").applyInPandas(lambda pdf: near(pdf, pdf), NEAREST))
     larger = index.chunks.groupBy("grp").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("grp")
     full = own.groupBy("grp", "id").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_kth")).where(F.col("_n") >= k).drop("_n")
-    rows = index.rows.join(larger, "grp").join(full, ["grp", "id"], "left").withColumn("_need", _angle_for("_kth", weight, widest)).drop("_kth")
+    rows = index.rows.join(larger, "grp").join(full, ["grp", "id"], "left").withColumn("_need", _need_for(index, "_kth", weight, scale, widest, limit)).drop("_kth")
     found = own.unionByName(_per_pair(_other_chunks(index, cut(rows)), near, NEAREST))
     found = found.drop("grp").withColumnRenamed("og", "grp").select("grp", "id", "nbr", "dist", "mult")
     if max_dist is not None:
@@ -244,14 +314,16 @@ def _boruvka(index: VectorIndex, points: DataFrame, weight: float, scale: float,
         if not len(x) or not len(y):
             return pd.DataFrame(columns=names)
         y = y.sort_values("id", ignore_index=True)
-        d = _reach(x, y, weight, scale)
-        xc, yc, xi, yi = x["comp"].to_numpy(), y["comp"].to_numpy(), x["id"].to_numpy(), y["id"].to_numpy()
-        d[xc[:, None] == yc[None, :]] = np.inf
-        j = d.argmin(axis=1)  # the least id among equals
-        w = d[np.arange(len(x)), j]
-        out = pd.DataFrame({"comp": xc, "to": yc[j], "w": w, "a": np.minimum(xi, yi[j]), "b": np.maximum(xi, yi[j])})
-        out = out[np.isfinite(w) & (w <= limit)]
-        return out.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")
+        xs, yc, ids, yi, out = x["comp"].to_numpy(), y["comp"].to_numpy(), x["id"].to_numpy(), y["id"].to_numpy(), []
+        xcore, ycore = x["core"].to_numpy(float), y["core"].to_numpy(float)
+        for at, d in _dists(x, y, weight, scale):
+            d, xc, xi = np.maximum(d, np.maximum(xcore[at][:, None], ycore[None, :])), xs[at], ids[at]
+            d[xc[:, None] == yc[None, :]] = np.inf
+            j = d.argmin(axis=1)  # the least id among equals
+            w = d[np.arange(len(xi)), j]
+            some = pd.DataFrame({"comp": xc, "to": yc[j], "w": w, "a": np.minimum(xi, yi[j]), "b": np.maximum(xi, yi[j])})
+            out.append(some[np.isfinite(w) & (w <= limit)])
+        return pd.concat(out).sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")
 
     def least(found: DataFrame) -> DataFrame:
         return found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.*")
@@ -263,7 +335,7 @@ def _boruvka(index: VectorIndex, points: DataFrame, weight: float, scale: float,
         own = cut(least(rows.groupBy("grp", "_chunk").applyInPandas(lambda pdf: best(pdf, pdf), EDGE)))
         bound = own.select("comp", F.col("w").alias("_w"))
         asked = rows.join(bound, "comp", "left").withColumn("_need", F.when(
-            F.col("core") <= F.coalesce("_w", F.lit(float("inf"))), _angle_for("_w", weight, widest)).otherwise(F.lit(-1.0))).drop("_w")
+            F.col("core") <= F.coalesce("_w", F.lit(float("inf"))), _need_for(index, "_w", weight, scale, widest, limit)).otherwise(F.lit(-1.0))).drop("_w")
         others = _per_pair(_other_chunks(index, asked), best, EDGE)
         picked = cut(least(own.unionByName(others.select(*own.columns))))
         if picked.isEmpty():

@@ -59,3 +59,29 @@ def test_statistics_of_groups_of_few_chunks_use_no_cells(spark, monkeypatch):
     r = pair_stats(frame(spark, v), block=32).first()
     s = (unit(v) @ unit(v).T)[np.triu_indices(150, 1)]
     assert not seen[0].pivots and abs(r["min_sim"] - s.min()) < 1e-9 and abs(r["max_sim"] - s.max()) < 1e-9
+
+
+def test_points_spread_over_time_are_cut_by_time(spark, monkeypatch):
+    import pressweave.operators.density as dn
+    rng = np.random.default_rng(8)
+    v, h = rng.normal(size=(700, 6)), np.round(rng.uniform(0, 400, 700), 2)
+    h[:120] = 7.0  # more than a run at one time
+    df = spark.createDataFrame([("", i, list(map(float, x)), float(t), 1) for i, (x, t) in enumerate(zip(v, h))], "grp string, id bigint, vec array<double>, hours double, mult bigint")
+    index = dn._indexed(df, 0.55, 12.0, None, 16)
+    assert isinstance(index, dn.TimeIndex) and index.rows.count() == 700 and index.chunks.agg({"n": "max"}).first()[0] <= 120
+    d = dn.composite(v, v, h, h, 0.55, 12.0)
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in dn.nearest(df, 3, 0.55, block=16, index=index).collect():
+        got.setdefault(r["id"], []).append(round(r["dist"], 8))
+    assert all(sorted(got[i]) == np.round(np.sort(d[i])[:3], 8).tolist() for i in range(700))
+    rows = index.rows.withColumn("_need", dn.F.lit(5.0))
+    lt, _ = dn._other_chunks(index, rows)
+    assert lt.count() < 8 * 700  # of more than 30 runs
+
+    core = np.sort(d, axis=1)[:, 1]
+    m = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    cores = spark.createDataFrame([(i, float(c)) for i, c in enumerate(core)], "id bigint, core double")
+    edges = dn.spanning_forest(index, cores, 0.55, 12.0, None, pairwise=1).collect()
+    want = sorted(w for *_, w in dn._prim(m, np.inf))
+    assert np.allclose(sorted(e["w"] for e in edges), want)
