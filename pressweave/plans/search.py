@@ -110,13 +110,42 @@ def substring_search(articles: DataFrame, stories: DataFrame, query: str, limit:
             .orderBy(F.col("latest_published_at").desc_nulls_last(), "story_id").limit(limit))
 
 
+def _all_words(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(query_id, article_id, rank)`` of articles with all words of ``wanted`` ``(query_id, need, term)``.
+
+    A query's rarest word gives its articles; its next two, four, ... words in order of frequency are looked up in those that
+    are left. So a word that stands everywhere is never joined with every query that has it."""
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("query_id", "need").orderBy("df", "term")
+    t = wanted.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("nth", F.dense_rank().over(order))
+    t = cut(t.withColumn("_none", F.min("df").over(Window.partitionBy("query_id", "need"))).where("_none > 0").drop("df", "_none"))
+    most = t.agg(F.max("need")).first()[0] or 0
+    weight = F.when(F.col("field") == "title", WEIGHTS["title"]).otherwise(WEIGHTS["body"])
+    score, found = F.sum(weight * F.col("tf") / (F.col("tf") + 1.0)), F.count_distinct("term").alias("n")
+    left = cut(index.join(t.where("nth = 1"), "term").groupBy("query_id", "need", "article_id").agg(score.alias("score")))
+    low, high = 1, 3
+    while low < most:
+        words = t.where((F.col("nth") > low) & (F.col("nth") <= high))
+        asked = left.join(words.select("query_id", "need", "term"), ["query_id", "need"])
+        more = asked.drop("score").join(index, ["term", "article_id"]).groupBy("query_id", "need", "article_id").agg(score.alias("more"), found)
+        full = more.where(F.col("n") == F.least(F.col("need"), F.lit(high)) - F.lit(low)).drop("n")
+        done = left.where(F.col("need") <= low)
+        left = cut(left.join(full, ["query_id", "need", "article_id"]).withColumn("score", F.col("score") + F.col("more")).drop("more").unionByName(done))
+        low, high = high, 2 * high + 1
+    return left.select("query_id", "article_id", F.round("score", 9).alias("rank"))
+
+
 def search_many(index: DataFrame, articles: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
     """Many queries ``(query_id, text)`` at once: best ``limit`` stories of each."""
     q = queries.select("query_id", F.array_distinct(terms("text")).alias("words"))
     wanted = q.select("query_id", F.size("words").alias("need"), F.explode("words").alias("term"))
-    hits = (index.join(wanted, "term").groupBy("query_id", "need", "article_id")
-            .agg(F.count_distinct("term").alias("n"), _rank().alias("rank")).where("n = need"))
-    stories = roll_up(hits.drop("n", "need"), articles, ["query_id"])
+    mine = cut(index.join(wanted.select("term").distinct(), "term", "left_semi").select("term", "article_id", "field", "tf"))
+    # one id for several texts: their words count together, as soon as there are enough
+    mixed = wanted.groupBy("query_id", "need").agg(F.count_distinct("term").alias("n")).where("n <> need").select("query_id", "need")
+    plain = mine.join(wanted.join(mixed, ["query_id", "need"], "left_semi"), "term").groupBy("query_id", "need", "article_id").agg(
+        F.count_distinct("term").alias("n"), _rank().alias("rank")).where("n = need").select("query_id", "article_id", "rank")
+    hits = _all_words(mine, wanted.join(mixed, ["query_id", "need"], "left_anti")).unionByName(plain)
+    stories = roll_up(hits, articles, ["query_id"])
     w = Window.partitionBy("query_id").orderBy(F.col("relevance_score").desc(), "story_id")
     return stories.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 

@@ -85,3 +85,19 @@ def test_points_spread_over_time_are_cut_by_time(spark, monkeypatch):
     edges = dn.spanning_forest(index, cores, 0.55, 12.0, None, pairwise=1).collect()
     want = sorted(w for *_, w in dn._prim(m, np.inf))
     assert np.allclose(sorted(e["w"] for e in edges), want)
+
+
+def test_frequent_words_are_not_joined_with_every_query(spark):
+    from pressweave.plans import search as se
+    rows = [(i, "the sea", "the and of " + " ".join(f"w{j}" for j in range(12) if i >> j & 1)) for i in range(300)]
+    a = spark.createDataFrame(rows, "id bigint, title string, body string")
+    index = se.build_index(a, positions=False)
+    asked = [(q, "the and of sea " + " ".join(f"w{j}" for j in range(9) if q >> j & 1)) for q in range(200, 260)] + [(900, "the nowhere"), (901, "the"), (902, "")]
+    queries = spark.createDataFrame(asked, "query_id bigint, text string").withColumn("words", se.F.array_distinct(se.terms("text")))
+    wanted = queries.select("query_id", se.F.size("words").alias("need"), se.F.explode("words").alias("term"))
+    got = {(r["query_id"], r["article_id"]): r["rank"] for r in se._all_words(index, wanted).collect()}
+    plain = index.join(wanted, "term").groupBy("query_id", "need", "article_id").agg(
+        se.F.count_distinct("term").alias("n"), se._rank().alias("rank")).where("n = need").collect()
+    assert got == {(r["query_id"], r["article_id"]): r["rank"] for r in plain} and len(got) > 300
+    plan = se._all_words(index, wanted)  # a few articles a query are left when its frequent words are looked up
+    assert plan.where("query_id < 900").count() < 60 * 300 / 8
