@@ -598,16 +598,19 @@ def id_runs(rows: DataFrame, size: int, slices: int = 256) -> DataFrame:
     """``rows`` ``(label, id, ...)`` with ``run``: runs of ``size`` ids in id order within each label.
 
     The position inside a label is the count of earlier id ranges plus the position in the range, so a
-    huge label is ranked by many tasks."""
-    span = rows.groupBy("label").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
+    huge label is ranked by many tasks. Labels of at most ``size`` rows are one run and need no ranges."""
+    span = rows.groupBy("label").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") > size).drop("_n")
+    small = rows.join(span.select("label"), "label", "left_anti").withColumn("run", F.lit(0).cast("bigint"))
     width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(slices)), F.lit(1))
     t = rows.join(span, "label").withColumn("_s", F.floor((F.col("id") - F.col("_lo")) / width)).drop("_lo", "_hi")
     before = Window.partitionBy("label").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     ahead = t.groupBy("label", "_s").agg(F.count(F.lit(1)).alias("_c")).withColumn(
         "_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     w = Window.partitionBy("label", "_s").orderBy("id")
-    return t.withColumn("_rn", F.row_number().over(w)).join(ahead, ["label", "_s"]).withColumn(
+    large = t.withColumn("_rn", F.row_number().over(w)).join(ahead, ["label", "_s"]).withColumn(
         "run", F.floor((F.col("_before") + F.col("_rn") - 1) / F.lit(size))).drop("_s", "_rn", "_before")
+    return large.unionByName(small)
 
 
 def _chunk(now: DataFrame, sizes: DataFrame, max_size: int) -> DataFrame:

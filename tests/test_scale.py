@@ -2,9 +2,11 @@
 
 import numpy as np
 
+from pressweave.operators.density import id_runs
 from pressweave.operators.groups import contained_forms
 from pressweave.operators.simjoin import index_knn, knn_join, pair_stats
 from pressweave.operators.vectorindex import COPIES, VectorIndex
+from pressweave.plans import quality as ql
 from test_index import brute, found, frame, unit
 
 
@@ -101,3 +103,19 @@ def test_frequent_words_are_not_joined_with_every_query(spark):
     assert got == {(r["query_id"], r["article_id"]): r["rank"] for r in plain} and len(got) > 300
     plan = se._all_words(index, wanted)  # a few articles a query are left when its frequent words are looked up
     assert plan.where("query_id < 900").count() < 60 * 300 / 8
+
+
+def test_clusters_and_their_verdicts_are_not_broadcast(spark):
+    members = spark.createDataFrame([(c, 10 * c + i) for c in range(4) for i in range(3)], "cluster bigint, id bigint")
+    rows = [(f"{10 * c},{10 * c + 1},{10 * c + 2}", [10 * c, 10 * c + 1, 10 * c + 2], False, None, None, [[10 * c], [10 * c + 1, 10 * c + 2]], "m", None)
+            for c in (1, 2)]
+    cache = spark.createDataFrame(rows, ql.CACHE_COLUMNS)
+    for t in (ql.prior_splits(members, cache), ql.regroup(ql.prior_splits(members, cache)), ql._parted(members, members.where("id % 10 = 2"))):
+        assert "BroadcastExchange" not in t._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, ql.prior_splits(members, cache).collect())) == [(c, 10 * c + i, min(i, 1)) for c in (1, 2) for i in range(3)]
+
+
+def test_labels_of_one_run_need_no_ranges(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(50)] + [(8, 100), (8, 105)], "label bigint, id bigint")
+    got = {r["id"]: r["run"] for r in id_runs(rows, 24).collect()}
+    assert got == {**{i: i // 24 for i in range(50)}, 100: 0, 105: 0}
