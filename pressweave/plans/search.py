@@ -33,12 +33,12 @@ def query_terms(text: str) -> list[str]:
 
 
 def build_index(articles: DataFrame, positions: bool = True) -> DataFrame:
-    """Postings ``(term, article_id, field, tf, positions)``; positions count from 1."""
-    both = None
-    for field in WEIGHTS:
-        part = articles.select(F.col("id").alias("article_id"), F.lit(field).alias("field"),
-                               F.posexplode(terms(field)).alias("pos", "term"))
-        both = part if both is None else both.unionByName(part)
+    """Postings ``(term, article_id, field, tf, positions)``; positions count from 1.
+
+    Texts are dealt by article, not words: all words of an article are then counted in the task that splits its texts."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), terms(f).alias("words")) for f in WEIGHTS])
+    dealt = articles.select("id", *WEIGHTS).repartition("id").select(F.col("id").alias("article_id"), F.explode(fields).alias("f"))
+    both = dealt.select("article_id", "f.field", F.posexplode("f.words").alias("pos", "term"))
     aggs = [F.count(F.lit(1)).alias("tf")]
     if positions:
         aggs.append(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))

@@ -7,6 +7,7 @@ from pressweave.operators.groups import contained_forms
 from pressweave.operators.simjoin import index_knn, knn_join, pair_stats
 from pressweave.operators.vectorindex import COPIES, VectorIndex
 from pressweave.plans import quality as ql
+from pressweave.plans.search import build_index
 from test_index import brute, found, frame, unit
 
 
@@ -119,3 +120,13 @@ def test_labels_of_one_run_need_no_ranges(spark):
     rows = spark.createDataFrame([(7, i) for i in range(50)] + [(8, 100), (8, 105)], "label bigint, id bigint")
     got = {r["id"]: r["run"] for r in id_runs(rows, 24).collect()}
     assert got == {**{i: i // 24 for i in range(50)}, 100: 0, 105: 0}
+
+
+def test_postings_are_counted_where_the_texts_are_split(spark):
+    rows = [(1, "A b a", "b b"), (2, None, "a"), (1, "a", None), (3, "", "...")]
+    articles = spark.createDataFrame(rows, "id bigint, title string, body string")
+    index = build_index(articles)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(id" in plan
+    got = {tuple(r)[:4]: r["positions"] for r in index.collect()}
+    assert got == {("a", 1, "title", 3): [1, 1, 3], ("b", 1, "title", 1): [2], ("b", 1, "body", 2): [1, 2], ("a", 2, "body", 1): [1]}
