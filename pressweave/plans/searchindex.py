@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .search import build_index, write_index
 
 POSTINGS = "term string, article_id bigint, field string, tf bigint, seq bigint"
@@ -39,13 +40,17 @@ class StoredIndex:
         self.spark.createDataFrame([(seqs,)], "seqs array<bigint>").coalesce(1).write.mode("overwrite").parquet(
             f"{self.path}/live/v={version}")
 
+    def _built(self, articles: DataFrame) -> DataFrame:
+        """Their postings, written as they come: the range borders are sampled from these, not from texts split once more."""
+        return cut(build_index(articles, positions=False))
+
     def _write(self, postings: DataFrame, gone: DataFrame, version: int) -> None:
         gone.write.mode("overwrite").parquet(f"{self.path}/gone/seq={version}")
         write_index(postings.select("term", "article_id", "field", "tf"), f"{self.path}/postings/seq={version}")
 
     def create(self, articles: DataFrame) -> "StoredIndex":
         """The first segment, of all ``(id, title, body)``. Null texts have no words; an empty table gives an empty index."""
-        self._write(build_index(articles, positions=False), self.spark.createDataFrame([], "article_id bigint"), 0)
+        self._write(self._built(articles), self.spark.createDataFrame([], "article_id bigint"), 0)
         self._commit(0, [0])
         return self
 
@@ -54,7 +59,7 @@ class StoredIndex:
         ``(id)`` go. An article in both is a changed one."""
         version, seqs = self.version()
         ids = changed.select("id") if removed is None else changed.select("id").unionByName(removed.select("id"))
-        self._write(build_index(changed, positions=False),
+        self._write(self._built(changed),
                     ids.distinct().select(F.col("id").cast("bigint").alias("article_id")), version + 1)
         self._commit(version + 1, seqs + [version + 1])
         if len(seqs) + 1 > max_segments:

@@ -7,6 +7,7 @@ from pressweave.operators.groups import contained_forms
 from pressweave.operators.simjoin import index_knn, knn_join, pair_stats
 from pressweave.operators.vectorindex import COPIES, VectorIndex
 from pressweave.plans import quality as ql
+from pressweave.plans import searchindex as sx
 from pressweave.plans.search import build_index
 from test_index import brute, found, frame, unit
 
@@ -130,3 +131,14 @@ def test_postings_are_counted_where_the_texts_are_split(spark):
     assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(id" in plan
     got = {tuple(r)[:4]: r["positions"] for r in index.collect()}
     assert got == {("a", 1, "title", 3): [1, 1, 3], ("b", 1, "title", 1): [2], ("b", 1, "body", 2): [1, 2], ("a", 2, "body", 1): [1]}
+
+
+def test_a_segment_splits_its_texts_once(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sx, "write_index", lambda postings, path, write=sx.write_index: (
+        seen.append(postings._jdf.queryExecution().executedPlan().toString()), write(postings, path)))
+    articles = spark.createDataFrame([(1, "a b", "c"), (2, "b", "c c")], "id bigint, title string, body string")
+    index = sx.StoredIndex(spark, str(tmp_path)).create(articles)
+    assert "Generate" not in seen[0]  # the borders of the ranges are sampled from written postings
+    assert sorted(map(tuple, index.postings().collect())) == [
+        ("a", 1, "title", 1), ("b", 1, "title", 1), ("b", 2, "title", 1), ("c", 1, "body", 1), ("c", 2, "body", 2)]
