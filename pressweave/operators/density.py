@@ -99,15 +99,18 @@ class TimeIndex:
         t = cut(rows.withColumn("_len", F.size("vec")))
         size = F.greatest(F.lit(block), F.least(F.lit(SIDE), F.ceil(n / F.lit(RUNS))))
         steps = F.array(*(F.lit((i + 1) / 256) for i in range(255)))
-        cells = t.groupBy("grp", "_len").agg(F.ceil(n / size).alias("_k"), F.percentile_approx("hours", steps, 2000).alias("_q"))
+        # groups of more than one run and runs of more than one part: less than one for every ``block`` rows, so that vectors stay
+        # where they are instead of being dealt by a group that may hold all of them
+        cells = cut(t.groupBy("grp", "_len").agg(n.alias("_n"), F.ceil(n / size).alias("_k"), F.percentile_approx("hours", steps, 2000).alias("_q")).where(
+            "_k > 1"))
         # 256 slices of equal counts are dealt to the runs; a run that equal times make too large is cut by a hash
         run = F.floor(F.size(F.filter("_q", lambda q: q < F.col("hours"))) * F.least("_k", F.lit(256)) / 256)
-        t = t.join(cells, ["grp", "_len"]).withColumn("_run", run)
-        subs = t.groupBy("grp", "_len", "_run").agg(n.alias("_c"), F.first("_k").alias("_k"))
-        whole = subs.groupBy("grp", "_len").agg(F.sum("_c").alias("_n"))
-        subs = subs.join(whole, ["grp", "_len"]).select("grp", "_len", "_run", F.ceil(F.col("_c") / (F.lit(2.0) * F.ceil(F.col("_n") / F.col("_k")))).alias("_subs"))
-        part = F.pmod(F.xxhash64(F.lit(3), "id"), F.col("_subs"))
-        self.rows = cut(t.join(subs, ["grp", "_len", "_run"]).withColumn("_chunk", F.concat_ws(":", "_len", "_run", part)).drop("_q", "_k", "_run", "_subs"))
+        t = t.join(F.broadcast(cells), ["grp", "_len"], "left").withColumn("_run", F.when(F.col("_k").isNull(), F.lit(0)).otherwise(run))
+        subs = t.where("_k is not null").groupBy("grp", "_len", "_run").agg(n.alias("_c"), F.first("_k").alias("_k"), F.first("_n").alias("_n"))
+        subs = cut(subs.select("grp", "_len", "_run", F.ceil(F.col("_c") / (F.lit(2.0) * F.ceil(F.col("_n") / F.col("_k")))).alias("_subs")).where("_subs > 1"))
+        part = F.pmod(F.xxhash64(F.lit(3), "id"), F.coalesce("_subs", F.lit(1)))
+        t = t.join(F.broadcast(subs), ["grp", "_len", "_run"], "left").withColumn("_chunk", F.concat_ws(":", "_len", "_run", part))
+        self.rows = cut(t.drop("_q", "_k", "_n", "_run", "_subs"))
         self.chunks = cut(self.rows.groupBy("grp", "_len", "_chunk").agg(F.min("hours").alias("lo"), F.max("hours").alias("hi"), n.alias("n")))
 
 

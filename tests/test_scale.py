@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from pressweave.operators.density import id_runs
+import pressweave.operators.density as dn
+from pressweave.operators.density import TimeIndex, id_runs
 from pressweave.operators.groups import contained_forms
 from pressweave.operators.simjoin import index_knn, knn_join, pair_stats
 from pressweave.operators.vectorindex import COPIES, VectorIndex
@@ -142,3 +143,16 @@ def test_a_segment_splits_its_texts_once(spark, tmp_path, monkeypatch):
     assert "Generate" not in seen[0]  # the borders of the ranges are sampled from written postings
     assert sorted(map(tuple, index.postings().collect())) == [
         ("a", 1, "title", 1), ("b", 1, "title", 1), ("b", 2, "title", 1), ("c", 1, "body", 1), ("c", 2, "body", 2)]
+
+
+def test_points_are_cut_into_runs_where_they_are(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(dn, "cut", lambda df, cut=dn.cut: seen.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rows = [("a", i, [1.0, float(i)], float(i % 90)) for i in range(180)] + [("a", 1000 + i, [1.0, 0.0], 95.0) for i in range(100)]
+    rows += [("b", 2000 + i, [0.0, 1.0], 5.0) for i in range(7)]
+    index = TimeIndex(spark.createDataFrame(rows, "grp string, id bigint, vec array<double>, hours double"), 20)
+    placed = [p for p in seen if "_chunk" in p and "vec" in p][0]
+    assert "hashpartitioning" not in placed and "SortMergeJoin" not in placed
+    chunks = {(r["grp"], r["_chunk"]): r for r in index.chunks.collect()}
+    assert sum(r["n"] for r in chunks.values()) == 287 and max(r["n"] for r in chunks.values()) <= 60
+    assert [k for k in chunks if k[0] == "b"] == [("b", "2:0:0")] and len(chunks) >= 10
