@@ -108,11 +108,14 @@ def test_frequent_words_are_not_joined_with_every_query(spark):
     assert plan.where("query_id < 900").count() < 60 * 300 / 8
 
 
-def test_clusters_and_their_verdicts_are_not_broadcast(spark):
+def test_clusters_and_their_verdicts_are_not_broadcast(spark, tmp_path):
     members = spark.createDataFrame([(c, 10 * c + i) for c in range(4) for i in range(3)], "cluster bigint, id bigint")
     rows = [(f"{10 * c},{10 * c + 1},{10 * c + 2}", [10 * c, 10 * c + 1, 10 * c + 2], False, None, None, [[10 * c], [10 * c + 1, 10 * c + 2]], "m", None)
             for c in (1, 2)]
     cache = spark.createDataFrame(rows, ql.CACHE_COLUMNS)
+    for name, df in (("members", members), ("cache", cache)):  # files tell a small size
+        df.write.parquet(str(tmp_path / name))
+    members, cache = spark.read.parquet(str(tmp_path / "members")), spark.read.parquet(str(tmp_path / "cache"))
     for t in (ql.prior_splits(members, cache), ql.regroup(ql.prior_splits(members, cache)), ql._parted(members, members.where("id % 10 = 2"))):
         assert "BroadcastExchange" not in t._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, ql.prior_splits(members, cache).collect())) == [(c, 10 * c + i, min(i, 1)) for c in (1, 2) for i in range(3)]
