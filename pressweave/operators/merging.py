@@ -7,6 +7,8 @@ marks of both, so the ban is contracted with every round.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,11 +18,13 @@ from .. import vocab
 from ..session import cut
 from .groups import merge_centroids
 from .simjoin import BLOCK, CELLS, matrix, unit_rows
-from .vectorindex import Pivots, VectorIndex, fit_pivots, radius
+from .vectorindex import COPIES, SIDE, Pivots, VectorIndex, fit_pivots, radius
 
 MARKS = "array<struct<f:bigint,g:int>>"
 PARTNER = "id bigint, partner bigint, sim double, tie bigint"
 ORDER = "(sim, tie)"
+#: Pairs of blocks in a grid without pivots, where blocks of ``SIDE`` rows need no more.
+TASKS = 128
 
 
 def pair_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -53,53 +57,104 @@ def banned(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _marked(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array([m is not None and len(m) > 0 for m in pdf["marks"]], dtype=bool)
+
+
 def _allowed(a: pd.DataFrame, b: pd.DataFrame, threshold: float, max_size: int):
-    """Per vector length and run of left rows: the two sides, their ids, and the similarities of pairs that may merge (others -inf)."""
+    """Pairs that may merge, per vector length and run of left rows: the two sides, the positions in them (left ones ascending)
+    and the similarities.
+
+    Single precision finds the few pairs near the threshold or above; all else is done for these alone, in double precision."""
     for n in sorted((set(a["vec"].map(len)) & set(b["vec"].map(len))) - {0}):
-        whole, y = a[a["vec"].map(len) == n].reset_index(drop=True), b[b["vec"].map(len) == n].reset_index(drop=True)
-        ux, uy, yi = unit_rows(matrix(whole["vec"])), unit_rows(matrix(y["vec"])).T, y["id"].to_numpy(np.int64)
-        step = max(1, CELLS // len(y))
-        for i in range(0, len(whole), step):
-            x = whole.iloc[i:i + step].reset_index(drop=True)
-            sim = ux[i:i + step] @ uy
-            if not (sim >= threshold - 1e-8).any():
-                continue
-            sim, xi = np.round(sim, 9), x["id"].to_numpy(np.int64)
-            joint = x["size"].to_numpy()[:, None] + y["size"].to_numpy()[None, :]
-            ok = (sim >= threshold) & (joint <= max_size) & (xi[:, None] != yi[None, :])
+        x, y = a[a["vec"].map(len) == n].reset_index(drop=True), b[b["vec"].map(len) == n].reset_index(drop=True)
+        ux, uy = unit_rows(matrix(x["vec"])), unit_rows(matrix(y["vec"]))
+        fx, fy = ux.astype(np.float32), uy.astype(np.float32).T
+        xi, yi, xn, yn = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64), x["size"].to_numpy(), y["size"].to_numpy()
+        xm, ym, least = _marked(x), _marked(y), np.float32(threshold - 1e-5 - 2e-7 * n)
+        step, run = max(1, CELLS // len(y)), max(1, CELLS // n)
+        for at in range(0, len(x), step):
+            r, c = np.nonzero(fx[at:at + step] @ fy >= least)
+            r += at
+            ok = (xn[r] + yn[c] <= max_size) & (xi[r] != yi[c])
+            r, c = r[ok], c[ok]
+            sim = np.empty(len(r))
+            for i in range(0, len(r), run):
+                sim[i:i + run] = np.einsum("ij,ij->i", ux[r[i:i + run]], uy[c[i:i + run]])
+            sim = np.round(sim, 9)
+            ok = sim >= threshold
+            both = np.flatnonzero(ok & xm[r] & ym[c])
+            if len(both):
+                (rows, i), (cols, j) = np.unique(r[both], return_inverse=True), np.unique(c[both], return_inverse=True)
+                ok[both[banned(x.iloc[rows], y.iloc[cols])[i, j]]] = False
             if ok.any():
-                ok &= ~banned(x, y)
-                yield x, y, xi, yi, np.where(ok, sim, -np.inf)
+                yield x, y, r[ok], c[ok], sim[ok]
+
+
+def _ties(xi: np.ndarray, yi: np.ndarray) -> np.ndarray:
+    return pair_hash(np.minimum(xi, yi), np.maximum(xi, yi))
+
+
+def _first_of(key: np.ndarray, sim: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Per key the position of its greatest ``sim``, among equals that of the least ``tie``."""
+    order = np.argsort(key, kind="stable")
+    key, sim, tie = key[order], sim[order], tie[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n = np.diff(np.r_[starts, len(key)])
+    tie = np.where(sim == np.repeat(np.maximum.reduceat(sim, starts), n), tie, np.iinfo(np.int64).max)
+    hit = np.flatnonzero(tie == np.repeat(np.minimum.reduceat(tie, starts), n))
+    return order[hit[np.unique(key[hit], return_index=True)[1]]]
+
 
+def grid(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides per pair of blocks ``(lc, rc)``, all pairs. About ``TASKS`` pairs of blocks, so cut that the fewest
+    copies of rows are made: a short side is sent to many parts of a long one, whose rows are sent but once or twice."""
+    m, n = max(left.count(), 1), max(right.count(), 1)
+    parts = [min(math.ceil(max(p / SIDE, (TASKS * p / q) ** 0.5)), math.ceil(p / block)) for p, q in ((m, n), (n, m))]
 
-def best_partners(left: VectorIndex, right: VectorIndex, threshold: float, max_size: int, both: bool = False) -> DataFrame:
-    """``id, partner, sim, tie``: the most similar right cluster that each left one may join; with ``both`` also the
-    most similar left cluster marked ``made`` for each right one.
+    def dealt(rows, own, k, theirs, copies):
+        rows = rows.where(F.size("vec") > 0).withColumn(own, F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(k)).cast("int"))
+        return rows.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    return dealt(left, "lc", parts[0], "rc", parts[1]), dealt(right, "rc", parts[1], "lc", parts[0])
+
+
+def half_grid(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of all pairs of blocks of one table, each pair of blocks once (``lc <= rc``)."""
+    n = rows.count()
+    parts = max(math.ceil(n / max(block, min(SIDE, math.ceil(n / COPIES)))), 1)
+    t = rows.where(F.size("vec") > 0).withColumn("_own", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(parts)).cast("int"))
+    left = t.withColumn("rc", F.explode(F.sequence("_own", F.lit(parts - 1)))).withColumnRenamed("_own", "lc")
+    return left, t.withColumn("lc", F.explode(F.sequence(F.lit(0), "_own"))).withColumnRenamed("_own", "rc")
+
+
+def _per_pair(sides: tuple[DataFrame, DataFrame], cols: list[str], body, schema: str) -> DataFrame:
+    lt, rt = sides
+    rt = rt.select(*[F.col(c).alias(f"r_{c}") for c in [*cols, "lc", "rc"]])
+    return lt.select(*cols, "lc", "rc").groupBy("lc", "rc").cogroup(rt.groupBy("r_lc", "r_rc")).applyInPandas(
+        lambda _key, a, b: body(a, b.rename(columns=lambda c: c[2:])), schema)
+
+
+def best_partners(sides: tuple[DataFrame, DataFrame], threshold: float, max_size: int, both: bool = False) -> DataFrame:
+    """``id, partner, sim, tie`` per pair of blocks of ``sides``: the most similar right cluster that each left one may join;
+    with ``both`` also the most similar left cluster marked ``made`` for each right one.
 
     Equal similarities are ordered by a hash of the pair, the same from both ends, so that a large set of
     copies pairs off in parallel."""
-    lt, rt = left.grid(right, threshold)
-    cols = ["grp", "id", "vec", "size", "marks", "made", "lc", "rc"]
-    rt = rt.select(*[F.col(c).alias(f"r_{c}") for c in cols])
-
-    def propose(_key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.rename(columns=lambda c: c[2:])
-        out = []
-        for x, y, xi, yi, sim in _allowed(a, b, threshold, max_size):
-            tie = pair_hash(np.minimum(xi[:, None], yi[None, :]), np.maximum(xi[:, None], yi[None, :]))
-            sides = [(sim, tie, xi, yi)]
-            if both:
-                sides.append((np.where(x["made"].to_numpy(bool)[None, :], sim.T, -np.inf), tie.T, yi, xi))
-            for s, t, mine, theirs in sides:
-                if not s.size:
-                    continue
-                top = s.max(axis=1)
-                pick = np.where(s == top[:, None], t, np.iinfo(np.int64).max).argmin(axis=1)
-                at = np.flatnonzero(np.isfinite(top))
-                out.append(pd.DataFrame({"id": mine[at], "partner": theirs[pick[at]], "sim": top[at], "tie": t[at, pick[at]]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "partner": [], "sim": [], "tie": []})
-
-    return lt.select(*cols).groupBy("grp", "lc", "rc").cogroup(rt.groupBy("r_grp", "r_lc", "r_rc")).applyInPandas(propose, PARTNER)
+    def propose(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "partner": [], "sim": [], "tie": []}).astype({"id": "int64", "partner": "int64", "sim": "float64", "tie": "int64"})]
+        for x, y, r, c, sim in _allowed(a, b, threshold, max_size):
+            xi, yi = x["id"].to_numpy(np.int64)[r], y["id"].to_numpy(np.int64)[c]
+            tie = _ties(xi, yi)
+            at = _first_of(r, sim, tie)
+            out.append(pd.DataFrame({"id": xi[at], "partner": yi[at], "sim": sim[at], "tie": tie[at]}))
+            made = np.flatnonzero(x["made"].to_numpy(bool)[r]) if both else []
+            if len(made):
+                at = made[_first_of(c[made], sim[made], tie[made])]
+                out.append(pd.DataFrame({"id": yi[at], "partner": xi[at], "sim": sim[at], "tie": tie[at]}))
+        return pd.concat(out)
+
+    return _per_pair(sides, ["id", "vec", "size", "marks", "made"], propose, PARTNER)
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -108,29 +163,22 @@ def _best(found: DataFrame) -> DataFrame:
         "id", "b.partner", "b.sim", "b.tie")
 
 
-def disturbed(made: VectorIndex, parts: VectorIndex, threshold: float, max_size: int) -> DataFrame:
+def disturbed(sides: tuple[DataFrame, DataFrame], threshold: float, max_size: int) -> DataFrame:
     """``pair`` of clusters about to merge that a better pair's merged cluster would come closer to.
 
-    ``made`` are the would-be merged clusters and ``parts`` the clusters of all pairs; both carry ``pair, psim, ptie``."""
-    lt, rt = made.grid(parts, threshold)
-    cols = ["grp", "id", "vec", "size", "marks", "pair", "psim", "ptie", "lc", "rc"]
-    rt = rt.select(*[F.col(c).alias(f"r_{c}") for c in cols])
-
-    def check(_key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.rename(columns=lambda c: c[2:])
+    The left side has the would-be merged clusters and the right one the clusters of all pairs; both carry ``pair, psim, ptie``."""
+    def check(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = set()
-        for x, y, xi, yi, sim in _allowed(a, b, threshold, max_size):
-            tie = pair_hash(np.minimum(xi[:, None], yi[None, :]), np.maximum(xi[:, None], yi[None, :]))
-            qs, qt = x["psim"].to_numpy()[:, None], x["ptie"].to_numpy()[:, None]
-            ps, pt = y["psim"].to_numpy()[None, :], y["ptie"].to_numpy()[None, :]
+        for x, y, r, c, sim in _allowed(a, b, threshold, max_size):
+            tie = _ties(x["id"].to_numpy(np.int64)[r], y["id"].to_numpy(np.int64)[c])
+            qs, qt, q = (x[k].to_numpy()[r] for k in ("psim", "ptie", "pair"))
+            ps, pt, p = (y[k].to_numpy()[c] for k in ("psim", "ptie", "pair"))
             first = (qs > ps) | ((qs == ps) & (qt < pt))
             closer = (sim > ps) | ((sim == ps) & (tie < pt))
-            hit = (first & closer & (x["pair"].to_numpy()[:, None] != y["pair"].to_numpy()[None, :])).any(axis=0)
-            out |= set(y["pair"].to_numpy()[hit].tolist())
+            out |= set(p[first & closer & (q != p)].tolist())
         return pd.DataFrame({"pair": sorted(out)}, dtype="int64")
 
-    found = lt.select(*cols).groupBy("grp", "lc", "rc").cogroup(rt.groupBy("r_grp", "r_lc", "r_rc")).applyInPandas(check, "pair bigint")
-    return found.distinct()
+    return _per_pair(sides, ["id", "vec", "size", "marks", "pair", "psim", "ptie"], check, "pair bigint").distinct()
 
 
 def merge_clusters(clusters: DataFrame, threshold: float = vocab.MERGE_THRESHOLD,
@@ -147,14 +195,19 @@ def merge_clusters(clusters: DataFrame, threshold: float = vocab.MERGE_THRESHOLD
     member = cut(clusters.select("id", F.col("id").alias("merged")))
     pivots: Pivots = fit_pivots(now, block)
 
-    def index(rows):
-        return VectorIndex.build(rows, block, pivots)
+    def sides(left, right):
+        if not pivots:
+            return grid(left, right, block)
+        return VectorIndex.build(left, block, pivots).grid(VectorIndex.build(right, block, pivots), threshold)
 
-    whole = index(now)
+    whole = VectorIndex.build(now, block, pivots) if pivots else None
     if pivots and not whole.skips(whole, radius(threshold)):  # asked once, not in every round
         pivots = {}
-        whole = index(now)
-    want = cut(_best(best_partners(whole, whole, threshold, max_size)))
+    if pivots:
+        found = best_partners(whole.grid(whole, threshold), threshold, max_size)
+    else:
+        found = best_partners(half_grid(now.withColumn("made", F.lit(True)), block), threshold, max_size, both=True)
+    want = cut(_best(found))
     while True:
         back = want.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
         mutual = cut(want.join(back, ["id", "partner"]).where("id < partner"))
@@ -170,9 +223,9 @@ def merge_clusters(clusters: DataFrame, threshold: float = vocab.MERGE_THRESHOLD
         joined = cut(now.join(pairs, "id").join(right, "partner").select(
             "grp", "id", merge_centroids("vec", "size", "_v", "_n").alias("vec"), (F.col("size") + F.col("_n")).alias("size"), union.alias("marks"),
             F.lit(True).alias("made"), *tag))
-        parts = now.join(pairs.select("id", "pair", "sim", "tie").unionByName(pairs.select(F.col("partner").alias("id"), "pair", "sim", "tie")), "id").select(
-            *now.columns, *tag)
-        waiting = disturbed(index(joined), index(parts), threshold, max_size)
+        parts = cut(now.join(pairs.select("id", "pair", "sim", "tie").unionByName(pairs.select(F.col("partner").alias("id"), "pair", "sim", "tie")), "id").select(
+            *now.columns, *tag))
+        waiting = disturbed(sides(joined, parts), threshold, max_size)
         pairs = cut(mutual.join(waiting.select(F.col("pair").alias("id")), "id", "left_anti"))
         made = joined.join(pairs.select("id"), "id", "left_semi").select(*now.columns)
         touched = cut(pairs.select("id").union(pairs.select("partner")))
@@ -182,6 +235,6 @@ def merge_clusters(clusters: DataFrame, threshold: float = vocab.MERGE_THRESHOLD
         kept = want.join(touched, "id", "left_anti")
         lost = kept.join(touched.withColumnRenamed("id", "partner"), "partner", "left_semi").select("id")
         kept = kept.join(touched.withColumnRenamed("id", "partner"), "partner", "left_anti").select(*want.columns)
-        looking = now.join(lost.union(pairs.select("id")), "id", "left_semi")
-        fresh = best_partners(index(looking), index(now), threshold, max_size, both=True)
+        looking = cut(now.join(lost.union(pairs.select("id")), "id", "left_semi"))
+        fresh = best_partners(sides(looking, now), threshold, max_size, both=True)
         want = cut(_best(kept.unionByName(fresh)))

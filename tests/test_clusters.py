@@ -10,6 +10,7 @@ from brute import composite, hdbscan_labels, partition
 from pyspark.sql import functions as F
 
 from pressweave.operators import density as dn
+from pressweave.operators import merging
 from pressweave.operators.components import connected_components
 from pressweave.operators.matching import match_stories
 from pressweave.operators.merging import merge_clusters
@@ -146,6 +147,32 @@ def test_merge_matches_sequential(spark, seed, block):
     assert {frozenset(g["id"]) for _, g in got.groupby("merged")} == greedy(rows, 0.9, 10, marks)
 
 
+def test_merge_blocks_hold_every_pair_once_in_few_copies(spark):
+    """A short side against a long one does not copy the long one sixteen times; a table against itself is halved."""
+    def side(n):
+        return spark.range(n).select("id", F.array(F.col("id") + 1.0).alias("vec"))
+    lt, rt = merging.grid(side(40), side(4000), 10)
+    assert rt.count() == 4000 * 2 and lt.count() <= 40 * merging.TASKS
+    pairs = lt.join(rt.withColumnRenamed("id", "other"), ["lc", "rc"]).select("id", "other")
+    assert pairs.count() == pairs.distinct().count() == 40 * 4000
+    lt, rt = merging.half_grid(side(320), 10)
+    assert lt.count() + rt.count() == 320 * 17
+    met = lt.join(rt.withColumnRenamed("id", "other"), ["lc", "rc"]).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    assert met.count() == 320 * 321 // 2
+
+
+def test_merged_cluster_makes_a_worse_pair_wait(spark):
+    """1 and 2 merge into what 3 prefers to 4, so the pair of 3 and 4 waits."""
+    at = {1: 0.0, 2: 20.0, 3: 35.0, 4: 61.0}
+    rows = [(i, 1, [float(np.cos(np.radians(x))), float(np.sin(np.radians(x)))]) for i, x in at.items()]
+    df = spark.createDataFrame(rows, "id bigint, size bigint, centroid array<double>")
+    better = F.col("id") < 3
+    parts = df.select("id", F.col("centroid").alias("vec"), "size", F.lit(None).cast(merging.MARKS).alias("marks"), F.when(better, 1).otherwise(3).cast("bigint").alias("pair"),
+                      F.when(better, 0.94).otherwise(0.80).alias("psim"), F.when(better, 5).otherwise(7).cast("bigint").alias("ptie"))
+    made = parts.where("id = 1").withColumn("size", F.lit(2).cast("bigint"))
+    assert [r["pair"] for r in merging.disturbed(merging.grid(made, parts, 10), 0.5, 24).collect()] == [3]
+
+
 def test_merge_of_many_copies_ends(spark):
     rows = [(i, 1, [1.0, 2.0]) for i in range(100)]
     got = merge_clusters(spark.createDataFrame(rows, "id bigint, size bigint, centroid array<double>"), 0.97, 24).toPandas()
