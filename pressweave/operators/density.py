@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..session import cut
-from .components import connected_components
+from .components import TAIL, connected_components
 from .simjoin import CELLS, _top_k, matrix, stacked, unit_rows
 from .vectorindex import SIDE, SLACK, VectorIndex, _sent, chunk_bound, chunk_pairs, radius
 
@@ -344,7 +344,7 @@ def _boruvka(index: VectorIndex, points: DataFrame, weight: float, scale: float,
         if picked.isEmpty():
             break
         forest.append(picked.select("a", "b", "w"))
-        merged = connected_components(picked, "comp", "to").withColumnRenamed("node", "comp")
+        merged = connected_components(picked, "comp", "to", TAIL).withColumnRenamed("node", "comp")
         comp = cut(comp.join(merged, "comp").select("id", F.col("component").alias("comp")))
     edges = own.select("a", "b", "w").limit(0)
     for some in forest:
@@ -511,7 +511,7 @@ def select_clusters(points: DataFrame, edges: DataFrame, min_size: int = 2, epsi
         else:
             limit = rest.approxQuantile("w", [band_edges / left], 0.0005)[0]
             band, later = rest.where(F.col("w") <= limit), rest.where(F.col("w") > limit)
-        comp = connected_components(band)
+        comp = connected_components(band, tail=TAIL)
         tagged = nodes.join(comp, "node")
         e = band.join(comp.select(F.col("node").alias("a"), F.col("component").alias("piece")), "a")
         step = cut(e.groupBy("piece").cogroup(tagged.groupBy("component")).applyInPandas(merge, STEP))

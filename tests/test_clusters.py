@@ -147,6 +147,27 @@ def test_merge_matches_sequential(spark, seed, block):
     assert {frozenset(g["id"]) for _, g in got.groupby("merged")} == greedy(rows, 0.9, 10, marks)
 
 
+@pytest.mark.parametrize("tail", [0, 40, 50_000])
+def test_components_of_any_tail(spark, tail):
+    """A path, a star, a circle and loose pairs in mixed order; rounds alone, rounds and a last task, the last task alone."""
+    rnd = random.Random(5)
+    names = rnd.sample(range(1000), 200)
+    edges = [*zip(names[:60], names[1:60]), *((names[60], x) for x in names[61:100]), *zip(names[100:140], [*names[101:140], names[100]]), *zip(names[140::2], names[141::2])]
+    rnd.shuffle(edges)
+    want = {x: min(g) for g in (names[:60], names[60:100], names[100:140], *zip(names[140::2], names[141::2])) for x in g}
+    df = spark.createDataFrame([*edges, edges[0], (names[0], names[0])], "a bigint, b bigint")
+    assert {r["node"]: r["component"] for r in connected_components(df, tail=tail).collect()} == want
+
+
+def test_small_graphs_take_two_tables(spark, monkeypatch):
+    from pressweave.operators import components
+    made = []
+    monkeypatch.setattr(components, "cut", lambda df: made.append(1) or merging.cut(df))
+    path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert connected_components(path, tail=components.TAIL).where("component <> 0").isEmpty() and len(made) == 2
+    assert connected_components(path.limit(0), tail=components.TAIL).isEmpty()
+
+
 def test_merge_blocks_hold_every_pair_once_in_few_copies(spark):
     """A short side against a long one does not copy the long one sixteen times; a table against itself is halved."""
     def side(n):
