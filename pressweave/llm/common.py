@@ -112,11 +112,11 @@ class Memo:
         return out, starts_of(sizes)
 
 
-def map_slices(df: DataFrame, body: Callable, schema: str, text: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, body: Callable, schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over bounded slices: ``body(part, texts) -> dict of columns``."""
     def run(batches):
         for batch in batches:
-            for part, column in slices(batch, text):
+            for part, column in slices(batch, text, limit):
                 yield pa.RecordBatch.from_pydict(body(part, column))
     return df.mapInArrow(run, schema)
 

@@ -21,6 +21,9 @@ from .common import Memo, flat, gather, map_slices, pick, starts_of, words_of
 
 NONE = np.int64(1) << 40
 WORDS_AT_ONCE = 100_000
+#: Words, pairs and ids of a slice take some forty times its bytes, so slices are small; so is what a worker remembers.
+SLICE = 1 << 20
+REMEMBERED = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -64,7 +67,7 @@ class WordBpe:
         for word, i in [*vocab.items(), *self.special.items()]:
             names[i] = word + " "
         self.names = pa.array(names, type=pa.string())
-        self.coded = Memo(self.encode_words)
+        self.coded = Memo(self.encode_words, REMEMBERED)
 
     def normal(self, word: str) -> str:
         """NFC and letter-wise lower case (a final sigma has no form of its own)."""
@@ -179,7 +182,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
         ids, off = loaded(vocabulary).encode(texts)
         lists = pa.ListArray.from_arrays(pa.array(off, type=pa.int32()), pa.array(ids, type=pa.int32()))
         return {"doc_id": part.column("doc_id"), "ids": lists}
-    return map_slices(pick(docs, doc_id, text), body, "doc_id bigint, ids array<int>")
+    return map_slices(pick(docs, doc_id, text), body, "doc_id bigint, ids array<int>", limit=SLICE)
 
 
 def decode_documents(coded: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -215,4 +218,4 @@ def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
             "ids_sha256": [hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in _spans(off)],
             "decoded_sha256": [hashlib.sha256(data[a:max(a, b - 1)]).hexdigest() for a, b in _spans(cut)], **lists}
     return map_slices(pick(docs, doc_id, text), body, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-                      + (", ids array<int>" if with_ids else ""))
+                      + (", ids array<int>" if with_ids else ""), limit=SLICE)

@@ -473,6 +473,21 @@ def test_bpe_equals_the_library(spark, sf, hard, nothing):
     assert wordbpe.round_trip(nothing, path).count() == 0
 
 
+def test_bpe_takes_small_slices_and_remembers_few_words(monkeypatch):
+    class Frame:  # runs the step on batches of this process
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(wordbpe, "pick", lambda docs, *names: docs)
+    path = vocabulary("word_bpe_49k.json")
+    texts = [" ".join(f"w{i}x{j}" for j in range(2_500)) for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(100), pa.int64()), "text": pa.array(texts)})
+    for run in (wordbpe.round_trip(Frame(), path, with_ids=True), wordbpe.encode_documents(Frame(), path)):
+        sizes = [part.num_rows for part in run([batch])]
+        assert sum(sizes) == 100 and max(sizes) * len(texts[0]) <= 1 << 20
+    assert len(wordbpe.loaded(path).coded.at) <= 100_000
+
+
 # ---- pipeline ---------------------------------------------------------------------
 
 def test_pipeline(spark, sf):
