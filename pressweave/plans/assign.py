@@ -24,12 +24,12 @@ def _side(df: DataFrame, vec: str) -> DataFrame:
 
 
 def candidate_scores(articles: DataFrame, stories: DataFrame, now, k: int = 10,
-                     threshold: float = vocab.SIM_THRESHOLD, block: int = BLOCK) -> DataFrame:
+                     threshold: float = vocab.SIM_THRESHOLD, block: int = BLOCK, earlier: bool = False) -> DataFrame:
     """Acceptable (article, story) pairs with their combined score.
 
-    Articles: ``id, vec, matching_text, role, entities``. Stories are open ones."""
+    Articles: ``id, vec, matching_text, role, entities``. Stories are open ones; with ``earlier`` only those of a smaller ``ord``."""
     near = knn_join(_side(articles, "vec"), _side(stories, "centroid"), k, threshold - vocab.CANDIDATE_MARGIN,
-                    block=block).select("id", F.col("nbr").alias("story_id"), "sim")
+                    block=block, earlier=earlier).select("id", F.col("nbr").alias("story_id"), "sim")
     st = stories.select(F.col("id").alias("story_id"), F.col("title").alias("_title"), "article_count",
                         F.col("entities").alias("_sent"), "created_at")
     t = near.join(articles.select("id", "matching_text", "role", "entities"), "id").join(st, "story_id")
@@ -71,7 +71,9 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
 
     One round scores everything still open against the current stories, gives each article its best story,
     lets a story take its best articles up to its free places, and moves centroids, counts and entities. An
-    article without any story whose vector is not close to an earlier one of the same kind founds a story.
+    article without any story founds one, unless it would take the story that one of the ``k`` nearest earlier articles of
+    the same kind would found: then it waits for that one. Who is merely near waits for nobody, so rounds do not follow
+    chains of near articles, which grow with their number.
     Of exact copies every ``max_size``-th founds one at once, so a hot event takes few rounds. Rounds go on until
     nothing is open: each one has a founder or an article that finds a place. With ``rounds`` given, what is left
     after the last one founds a story each. Existing stories that took articles come back with their new centroid,
@@ -85,9 +87,9 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
     now_stories = cut(stories.where((F.col("updated_at") > cutoff) & F.col("centroid").isNotNull()).select(*STORY))
     done, founded = [], []
 
-    def found(rows: DataFrame) -> DataFrame:
+    def found(rows: DataFrame, *more: str) -> DataFrame:
         return rows.select((F.col("id") + F.lit(top_id + 1)).alias("id"), "title", F.lit(1).cast("bigint").alias(
-            "article_count"), "entities", F.col("vec").alias("centroid"), ntz(as_datetime(now)).alias("created_at"))
+            "article_count"), "entities", F.col("vec").alias("centroid"), ntz(as_datetime(now)).alias("created_at"), *more)
 
     for turn in itertools.count():
         if todo.isEmpty():
@@ -104,12 +106,10 @@ def assign_stories(articles: DataFrame, stories: DataFrame, now, threshold: floa
             taken = cut(best.withColumn("_rn", F.row_number().over(queue)).where(F.col("_rn") <= max_size)
                         .join(room, "story_id").where(F.col("_rn") <= F.col("room"))
                         .select("id", "story_id", "score", "sim"))
-            lonely = todo.join(scored.select("id"), "id", "left_anti")
-            side = _side(lonely, "vec")
+            lonely = cut(todo.join(scored.select("id"), "id", "left_anti"))
             # ids are given in arrival order, so the lower id is the earlier article
-            earlier = knn_join(side, side, 1, threshold - vocab.CANDIDATE_MARGIN, block=block, self_join=True,
-                               earlier=True).select("id")
-            first = lonely.join(earlier, "id", "left_anti").select("id", "_same")
+            waiting = candidate_scores(lonely, found(lonely, "ord"), now, k, threshold, block, earlier=True).select("id")
+            first = lonely.join(waiting, "id", "left_anti").select("id", "_same")
             seeds = cut(lonely.join(_founders(lonely, first, max_size), "id", "left_semi"))
         fresh = cut(found(seeds))
         founded.append(fresh)

@@ -278,6 +278,21 @@ def test_equal_articles_fill_whole_stories(spark):
     assert sorted(rows.groupby("story_id").size()) == [12] * 5
 
 
+def test_near_articles_that_would_not_join_do_not_wait(spark, monkeypatch):
+    import math
+
+    from pressweave.plans import assign
+    turns, founders = [], assign._founders
+    monkeypatch.setattr(assign, "_founders", lambda *a: turns.append(1) or founders(*a))
+    ring = [(math.cos(math.pi * i / 4), math.sin(math.pi * i / 4)) for i in range(8)]  # similarity to the next: 0.707
+    rows = [(i, [float(x) for x in v], f"title{i}", f"words{i}", "event", [f"Name{i}"], None, dt.datetime(2024, 1, 1)) for i, v in enumerate(ring)]
+    rows.append((8, [1.0, 0.0], "title0", "title0", "event", ["Name0"], None, dt.datetime(2024, 1, 1)))
+    articles = spark.createDataFrame(rows, assign_rows(spark, [(0, (1.0, 0.0))]).schema)
+    done, _, _ = assign.assign_stories(articles, spark.createDataFrame([], NO_STORIES), "2024-01-01")
+    assert dict(map(tuple, done.collect())) == {**{i: i + 1 for i in range(8)}, 8: 1}
+    assert len(turns) == 2  # the founders, then who waited for one of them
+
+
 def test_changed_stories_come_back(spark):
     from pressweave.plans.assign import assign_stories, renewed
     old = spark.createDataFrame([(7, "t", 1, ["A", "B"], [1.0, 0.0], dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1)),
