@@ -14,7 +14,7 @@ from ..operators.groups import centroid, merge_centroids, merge_entities
 from ..operators.simjoin import BLOCK, knn_join
 from ..session import cut
 from .feed import as_datetime, ntz
-from .pairing import assign_compatible, pair_scores, rescue_allowed
+from .pairing import assign_compatible, pair_scores, rescue_allowed, terms
 
 STORY = ["id", "title", "article_count", "entities", "centroid", "created_at"]
 
@@ -30,10 +30,9 @@ def candidate_scores(articles: DataFrame, stories: DataFrame, now, k: int = 10,
     Articles: ``id, vec, matching_text, role, entities``. Stories are open ones; with ``earlier`` only those of a smaller ``ord``."""
     near = knn_join(_side(articles, "vec"), _side(stories, "centroid"), k, threshold - vocab.CANDIDATE_MARGIN,
                     block=block, earlier=earlier).select("id", F.col("nbr").alias("story_id"), "sim")
-    st = stories.select(F.col("id").alias("story_id"), F.col("title").alias("_title"), "article_count",
-                        F.col("entities").alias("_sent"), "created_at")
-    t = near.join(articles.select("id", "matching_text", "role", "entities"), "id").join(st, "story_id")
-    t = pair_scores(t, "matching_text", "_title", "entities", "_sent")
+    st = terms(stories, "title", "entities", "_b").select(F.col("id").alias("story_id"), "article_count", "created_at", "_b", "_be")
+    mine = terms(articles, "matching_text", "entities", "_a").select("id", "role", "_a", "_ae")
+    t = pair_scores(near.join(mine, "id").join(st, "story_id"), "_a", "_b")
     age_h = seconds_between(ntz(as_datetime(now)), "created_at") / 3600.0
     score = (F.col("sim") * F.exp(-age_h / 24.0) * vocab.WEIGHT_SEMANTIC
              + F.col("entity_score") * vocab.WEIGHT_ENTITY + F.col("token_score") * vocab.WEIGHT_TOKEN)

@@ -57,9 +57,14 @@ def needs_validation(members: DataFrame, group: str, part: str) -> DataFrame:
         ((F.count(F.lit(1)) > 1) & (F.bool_or("soft") | (F.min("n") == 1))).alias("needs_validation"))
 
 
-def pair_scores(pairs: DataFrame, left_text: str, right_text: str, left_ent: str, right_ent: str) -> DataFrame:
-    """Token Jaccard, entity Jaccard and shared-entity count of candidate pairs."""
-    t = pairs.withColumns({"_a": significant_tokens(left_text), "_b": significant_tokens(right_text),
-                           "_ea": norm_entities(left_ent), "_eb": norm_entities(right_ent)})
-    return t.withColumns({"token_score": jaccard("_a", "_b"), "entity_score": jaccard("_ea", "_eb"),
-                          "shared_entities": shared_count("_ea", "_eb")}).drop("_a", "_b", "_ea", "_eb")
+def terms(rows: DataFrame, text: str, entities: str, name: str) -> DataFrame:
+    """Significant tokens of a text as ``name`` and entities in normal form as ``name`` with an ``e``.
+
+    Taken once per row, before rows are copied to their pairs."""
+    return rows.withColumns({name: significant_tokens(text), f"{name}e": norm_entities(entities)})
+
+
+def pair_scores(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Token Jaccard, entity Jaccard and shared-entity count of candidate pairs with the :func:`terms` of both sides."""
+    return pairs.withColumns({"token_score": jaccard(left, right), "entity_score": jaccard(f"{left}e", f"{right}e"),
+                              "shared_entities": shared_count(f"{left}e", f"{right}e")}).drop(left, right, f"{left}e", f"{right}e")

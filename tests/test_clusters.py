@@ -293,6 +293,15 @@ def test_near_articles_that_would_not_join_do_not_wait(spark, monkeypatch):
     assert len(turns) == 2  # the founders, then who waited for one of them
 
 
+def test_terms_are_taken_once_per_row(spark):
+    from pressweave.plans.pairing import pair_scores, terms
+    a = terms(spark.createDataFrame([(1, "flood hits harbour town", ["Ann", "Bo"])], "id bigint, text string, entities array<string>"), "text", "entities", "_a")
+    b = terms(spark.createDataFrame([(2, "flood leaves harbour", ["bo"])], "nbr bigint, title string, entities array<string>"), "title", "entities", "_b")
+    got = pair_scores(a.select("id", "_a", "_ae").crossJoin(b.select("nbr", "_b", "_be")), "_a", "_b").first()
+    mine, theirs = set(a.first()["_a"]), set(b.first()["_b"])
+    assert got.asDict() == {"id": 1, "nbr": 2, "token_score": len(mine & theirs) / len(mine | theirs), "entity_score": 0.5, "shared_entities": 1}
+
+
 def test_changed_stories_come_back(spark):
     from pressweave.plans.assign import assign_stories, renewed
     old = spark.createDataFrame([(7, "t", 1, ["A", "B"], [1.0, 0.0], dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1)),
