@@ -17,14 +17,12 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..session import cut
 from .groups import merge_centroids
-from .simjoin import BLOCK, CELLS, matrix, unit_rows
+from .simjoin import BLOCK, CELLS, TASKS, grid, matrix, unit_rows  # noqa: F401
 from .vectorindex import COPIES, SIDE, Pivots, VectorIndex, fit_pivots, radius
 
 MARKS = "array<struct<f:bigint,g:int>>"
 PARTNER = "id bigint, partner bigint, sim double, tie bigint"
 ORDER = "(sim, tie)"
-#: Pairs of blocks in a grid without pivots, where blocks of ``SIDE`` rows need no more.
-TASKS = 128
 
 
 def pair_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -106,19 +104,6 @@ def _first_of(key: np.ndarray, sim: np.ndarray, tie: np.ndarray) -> np.ndarray:
     return order[hit[np.unique(key[hit], return_index=True)[1]]]
 
 
-def grid(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of both sides per pair of blocks ``(lc, rc)``, all pairs. About ``TASKS`` pairs of blocks, so cut that the fewest
-    copies of rows are made: a short side is sent to many parts of a long one, whose rows are sent but once or twice."""
-    m, n = max(left.count(), 1), max(right.count(), 1)
-    parts = [min(math.ceil(max(p / SIDE, (TASKS * p / q) ** 0.5)), math.ceil(p / block)) for p, q in ((m, n), (n, m))]
-
-    def dealt(rows, own, k, theirs, copies):
-        rows = rows.where(F.size("vec") > 0).withColumn(own, F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(k)).cast("int"))
-        return rows.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-
-    return dealt(left, "lc", parts[0], "rc", parts[1]), dealt(right, "rc", parts[1], "lc", parts[0])
-
-
 def half_grid(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides of all pairs of blocks of one table, each pair of blocks once (``lc <= rc``)."""
     n = rows.count()

@@ -8,6 +8,8 @@ larger one, and no task ever emits all of its pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Normalizer
@@ -17,9 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .vectorindex import COPIES, SLACK, VectorIndex, chunk_bound, chunk_pairs, radius
+from .vectorindex import COPIES, SIDE, SLACK, VectorIndex, chunk_bound, chunk_pairs, radius
 
 BLOCK = 2048
+#: Pairs of blocks in a grid without pivots, where blocks of ``SIDE`` rows need no more.
+TASKS = 128
 
 
 # ---- column helpers ---------------------------------------------------------------
@@ -87,6 +91,77 @@ def _top_k(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return r, order[c]
 
 
+#: Rows and columns of a tile that is weighed at once in single precision; the first tiles of a run of rows are smaller.
+RUN = 512
+TILE = 2048
+FIRST = 256
+
+
+def single_slack(n: int) -> float:
+    """No less than the error of a cosine of ``n`` components in single precision."""
+    return 1e-5 + 2e-7 * n
+
+
+def _best_of(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int):
+    """The ``k`` greatest per row, ties by column, in the order of the rows; and which of them are the last of ``k``."""
+    order = np.lexsort((c, -s, r))
+    r, c, s = r[order], c[order], s[order]
+    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    nth = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
+    ok = nth < k
+    return r[ok], c[ok], s[ok], nth[ok] == k - 1
+
+
+def nearest_rows(ua: np.ndarray, ub: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray, ban=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``ua``, rows of ``ub`` and their cosines: for each unit row of ``ua`` the ``k`` nearest of ``ub`` (with ``ids``), ties by id.
+
+    What lies clearly below ``least`` (one bound a row) may be left out. Single precision finds the few pairs that can be among the best
+    of what was seen so far; these alone are weighed in double precision. ``ban(rows, columns)`` names pairs that don't count."""
+    order = np.argsort(ids, kind="stable")
+    ub = ub[order]
+    fb, slack = np.ascontiguousarray(ub.astype(np.float32).T), single_slack(ua.shape[1])
+    edges, at = [], 0
+    while at < len(ub):
+        edges.append((at, min(len(ub), at + min(TILE, max(FIRST, at)))))
+        at = edges[-1][1]
+    out = []
+    for i in range(0, len(ua), RUN):
+        a = ua[i:i + RUN]
+        fa, low = a.astype(np.float32), np.array(least[i:i + RUN], dtype=np.float64)
+        kept, more, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+        for lo, hi in edges:
+            sim, width = fa @ fb[:, lo:hi], hi - lo
+            hit = np.flatnonzero(sim >= (low - slack).astype(np.float32)[:, None])
+            if len(hit) * 8 > sim.size:  # copies, or no bound yet: a dense product costs less
+                d = a @ ub[lo:hi].T
+                if ban is not None:
+                    r, c = np.divmod(np.arange(d.size), width)
+                    d[ban(r + i, order[c + lo]).reshape(d.shape)] = -np.inf
+                r, c = _top_k(d, np.arange(width), k)
+                ok = np.isfinite(d[r, c])
+                r, c = r[ok], c[ok] + lo
+            else:
+                r, c = np.divmod(hit, width)
+                c += lo
+                if ban is not None:
+                    ok = ~ban(r + i, order[c])
+                    r, c = r[ok], c[ok]
+            if not len(r):
+                continue
+            more.append((r, c, np.einsum("ij,ij->i", a[r], ub[c])))
+            waiting += len(r)
+            if waiting >= len(a) * k or hi == edges[-1][1]:
+                *kept, full = _best_of(*(np.concatenate(x) for x in zip(kept, *more)), k)
+                low[kept[0][full]] = np.maximum(low[kept[0][full]], kept[2][full])
+                more, waiting = [], 0
+        if more:
+            *kept, _ = _best_of(*(np.concatenate(x) for x in zip(kept, *more)), k)
+        out.append((kept[0] + i, order[kept[1]], kept[2]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def by_group(left: pd.DataFrame, right: pd.DataFrame):
     """The two sides of every group that both have."""
     if len(left) and len(right) and left["grp"].nunique() == 1 and right["grp"].nunique() == 1:
@@ -100,26 +175,28 @@ def by_group(left: pd.DataFrame, right: pd.DataFrame):
 
 
 def block_knn(lt: DataFrame, rt: DataFrame, k: int, min_sim: float, strict: bool, self_join: bool, earlier: bool) -> DataFrame:
-    """The ``k`` best of every pair of blocks ``(lc, rc)`` in the same group, per left row."""
+    """The ``k`` best of every pair of blocks ``(lc, rc)`` in the same group, per left row.
+
+    Left rows may carry ``_kth``: a similarity that ``k`` right rows are known to reach."""
+    known = "_kth" in lt.columns
     rt = rt.select(*[F.col(c).alias(f"r_{c}") for c in rt.columns])  # both sides may be the same frame
 
     def best(_key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         for x, y in by_group(l, r.rename(columns=lambda c: c[2:])):
             for a, b in same_length(x, y):
-                ua, ub = unit_rows(matrix(a["vec"])), unit_rows(matrix(b["vec"])).T
-                ids, bi, g = a["id"].to_numpy(), b["id"].to_numpy(), a["grp"].iloc[0]
-                step = max(1, CELLS // len(b))
-                for i in range(0, len(a), step):
-                    sim, ai = ua[i:i + step] @ ub, ids[i:i + step]
-                    if self_join:
-                        sim[ai[:, None] == bi[None, :]] = -np.inf
-                    if earlier:
-                        sim[b["ord"].to_numpy()[None, :] >= a["ord"].to_numpy()[i:i + step, None]] = -np.inf
-                    rows_, cols_ = _top_k(sim, bi, k)
-                    s = sim[rows_, cols_]
-                    keep = (s > min_sim if strict else s >= min_sim) & np.isfinite(s)
-                    out.append((g, ai[rows_[keep]], bi[cols_[keep]], s[keep]))
+                ai, bi, g = a["id"].to_numpy(), b["id"].to_numpy(), a["grp"].iloc[0]
+                ao, bo = (a["ord"].to_numpy(), b["ord"].to_numpy()) if earlier else (None, None)
+
+                def ban(r, c):
+                    own = ai[r] == bi[c] if self_join else np.zeros(len(r), dtype=bool)
+                    return own | (bo[c] >= ao[r]) if earlier else own
+                least = np.full(len(a), float(min_sim))
+                if known:
+                    least = np.fmax(least, a["_kth"].to_numpy(float))
+                r, c, s = nearest_rows(unit_rows(matrix(a["vec"])), unit_rows(matrix(b["vec"])), bi, k, least, ban if self_join or earlier else None)
+                keep = s > min_sim if strict else s >= min_sim
+                out.append((g, ai[r[keep]], bi[c[keep]], s[keep]))
         if not out:
             return stacked([], "grp", "id", "nbr", "sim")
         sizes = [len(s) for *_, s in out]
@@ -151,12 +228,26 @@ def index_knn(left: DataFrame, index: VectorIndex, k: int = 10, min_sim: float =
     own = VectorIndex.build(left, index.block, index.pivots)
     reach = None
     if index.pivots:
-        kth = cut(near(1).where(F.col("rank") == k).select(F.col("grp").alias("_g"), F.col("id").alias("_i"), F.acos(F.least("sim", F.lit(1.0))).alias("_reach")))
+        kth = cut(near(1).where(F.col("rank") == k).select(F.col("grp").alias("_g"), F.col("id").alias("_i"), F.col("sim").alias("_kth")))
         rows = own.rows.join(kth, (F.col("grp") == F.col("_g")) & (F.col("id") == F.col("_i")), "left").drop("_g", "_i")
         own = VectorIndex(rows, own.chunks, None, own.pivots, own.block)
-        reach = F.least(F.lit(radius(min_sim)), F.coalesce(F.col("_reach") + 1e-6, F.lit(10.0)))
+        reach = F.least(F.lit(radius(min_sim)), F.coalesce(F.acos(F.greatest(F.lit(-1.0), F.least("_kth", F.lit(1.0)))) + SLACK, F.lit(10.0)))
     lt, rt = own.grid(index, min_sim, reach)
-    return ranked(block_knn(lt.select(*cols, "lc", "rc"), rt.select(*cols, "lc", "rc"), k, min_sim, strict, self_join, earlier), k)
+    known = [c for c in lt.columns if c == "_kth"]
+    return ranked(block_knn(lt.select(*cols, *known, "lc", "rc"), rt.select(*cols, "lc", "rc"), k, min_sim, strict, self_join, earlier), k)
+
+
+def grid(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides per pair of blocks ``(lc, rc)``, all pairs. About ``TASKS`` pairs of blocks, so cut that the fewest
+    copies of rows are made: a short side is sent to many parts of a long one, whose rows are sent but once or twice."""
+    m, n = max(left.count(), 1), max(right.count(), 1)
+    parts = [min(math.ceil(max(p / SIDE, (TASKS * p / q) ** 0.5)), math.ceil(p / block)) for p, q in ((m, n), (n, m))]
+
+    def dealt(rows, own, k, theirs, copies):
+        rows = rows.where(F.size("vec") > 0).withColumn(own, F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(k)).cast("int"))
+        return rows.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    return dealt(left, "lc", parts[0], "rc", parts[1]), dealt(right, "rc", parts[1], "lc", parts[0])
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.67, strict: bool = True,
@@ -164,8 +255,13 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.
     """The ``k`` most similar right rows of each left row with similarity above ``min_sim``.
 
     Both sides: ``(grp, id, vec)``; only rows of the same group are compared. With ``self_join`` a row
-    is not its own neighbour; with ``earlier`` only right rows with a smaller ``ord`` count."""
+    is not its own neighbour; with ``earlier`` only right rows with a smaller ``ord`` count. A short left side of one group meets
+    every right row once; an index of these would cost more than it saves."""
     cols = ["grp", "id", "vec", *(["ord"] if earlier else [])]
+    asked = left.agg(F.count(F.lit(1)).alias("n"), F.min("grp").eqNullSafe(F.max("grp")).alias("one")).first()
+    if asked["n"] <= COPIES * block and asked["one"]:
+        lt, rt = grid(left.select(*cols), right.select(*cols), block)
+        return ranked(block_knn(lt, rt, k, min_sim, strict, self_join, earlier), k)
     return index_knn(left, VectorIndex.build(right.select(*cols), block), k, min_sim, strict, self_join, earlier)
 
 
