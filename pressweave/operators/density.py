@@ -4,7 +4,8 @@
 2. Core distances over the vector index: the nearest of a point's own chunk bound the angle beyond which no other
    chunk is looked at.
 3. The minimum spanning forest of the mutual-reachability graph by Boruvka rounds over the same index: every
-   component takes its least outgoing edge, found in its own chunks first; that edge bounds the search in the others.
+   component takes its least outgoing edge, found in its own chunks first; that edge bounds the search in the others. The own
+   chunks' edges are those of their spanning forests, which are made once.
    At most log2(n) rounds and n - 1 edges. Cells of few chunks need no rounds: the forests of all their pairs of chunks hold theirs.
 4. The hierarchy is built bottom-up in bands of ascending weight. A band holds a bounded number of edges;
    its connected pieces are contracted in parallel, and every open cluster leaves the band as one summary row
@@ -15,6 +16,8 @@ Edges of equal weight merge at once, so the result does not depend on row order.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,11 +26,13 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..session import cut
 from .components import TAIL, connected_components
-from .simjoin import CELLS, _top_k, matrix, stacked, unit_rows
+from .simjoin import CELLS, RUN, _best_of, _top_k, matrix, single_slack, stacked, unit_rows
 from .vectorindex import SIDE, SLACK, VectorIndex, _sent, chunk_bound, chunk_pairs, radius
 
 FLOOR = 1e-9
-BAND_EDGES = 50_000
+BAND_EDGES = 200_000
+#: Pieces of a band are dealt to so many tasks; most of them are small.
+DEALT = 64
 BLOCK = 1024
 #: Cells of up to this many chunks are compared pair of chunks by pair of chunks; larger ones take Boruvka rounds.
 PAIRWISE = 16
@@ -64,6 +69,102 @@ def _dists(a: pd.DataFrame, b: pd.DataFrame, weight: float, scale: float, step:
         yield at, _composed(ua[at], ub, ta[at] if timed else None, tb if timed else None, weight, scale)
 
 
+class _Points(NamedTuple):
+    """Unit vectors, hours, core distances and owners (points of one owner don't count for each other) in the order of their ids."""
+
+    ids: np.ndarray
+    unit: np.ndarray
+    hours: np.ndarray
+    core: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame, owner: str = "id") -> _Points:
+        core = rows["core"].to_numpy(float) if "core" in rows else np.zeros(len(rows))
+        return cls(rows["id"].to_numpy(), unit_rows(matrix(rows["vec"])), rows["hours"].to_numpy(float), core, rows[owner].to_numpy())
+
+
+#: Columns that are weighed at once; near ones in time come first.
+STRIP = 512
+
+
+def closest(a: _Points, b: _Points, k: int, weight: float, scale: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a``, rows of ``b`` and their mutual reachability: for each row of ``a`` the ``k`` least of other owners, ties by id,
+    and none above ``least`` (one bound a row).
+
+    Strips of ``b`` that lie too far off in time are skipped. In the others single precision finds the few pairs that can be among
+    the best of what was seen so far; these alone are weighed in double precision."""
+    timed = weight > 0 and not (np.isnan(a.hours).any() or np.isnan(b.hours).any())
+    weight = weight if timed else 0.0
+    ta, tb = (x.hours if timed else np.zeros(len(x.ids)) for x in (a, b))
+    oa, ob = np.argsort(ta, kind="stable"), np.argsort(tb, kind="stable")
+    middle = float(np.median(tb)) if len(tb) else 0.0
+    pace = weight / scale if timed else 0.0
+    far = max(np.abs(ta - middle).max(initial=0.0), np.abs(tb - middle).max(initial=0.0)) * pace
+    slack = single_slack(a.unit.shape[1]) + 1e-6 * (1 + far)
+    fb, fh = np.ascontiguousarray(b.unit[ob].astype(np.float32).T), ((tb[ob] - middle) * pace).astype(np.float32)
+    starts = np.arange(0, len(ob), STRIP)
+    first, last = tb[ob[starts]], tb[ob[np.minimum(starts + STRIP, len(ob)) - 1]]
+
+    def weighed(r, c):
+        d = 1.0 - np.einsum("ij,ij->i", a.unit[r], b.unit[c])
+        if timed:
+            d = (1 - weight) * d + weight * np.minimum(np.abs(ta[r] - tb[c]) / scale, 1.0)
+        return np.maximum(np.maximum(d, 0.0), np.maximum(a.core[r], b.core[c]))
+
+    out = []
+    for i in range(0, len(oa), RUN):
+        rows = oa[i:i + RUN]
+        fa, ha = (a.unit[rows] * -(1 - weight)).astype(np.float32), ((ta[rows] - middle) * pace).astype(np.float32)
+        low = np.array(least[rows], dtype=np.float64)
+        bound = np.minimum(np.maximum(np.maximum(first - ta[rows[-1]], ta[rows[0]] - last), 0.0) * pace, weight)
+        kept, more, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+        def settled(kept, more):
+            r, c, s, full = _best_of(*(np.concatenate(x) for x in zip(kept, *more)), k)
+            low[r[full]] = np.minimum(low[r[full]], -s[full])
+            return r, c, s
+
+        for strip in np.argsort(bound, kind="stable"):
+            if bound[strip] > low.max() + 1e-9:
+                break
+            lo = starts[strip]
+            cols = ob[lo:lo + STRIP]
+            d = fa @ fb[:, lo:lo + STRIP]
+            d += np.float32(1 - weight)
+            if timed:
+                gap = np.abs(ha[:, None] - fh[None, lo:lo + STRIP])
+                np.minimum(gap, np.float32(weight), out=gap)
+                d += gap
+            hit = np.flatnonzero(d <= np.minimum(low + slack, 1e30).astype(np.float32)[:, None])
+            if len(hit) * 8 > d.size:  # no bound yet, or copies
+                exact = _composed(a.unit[rows], b.unit[cols], ta[rows] if timed else None, tb[cols] if timed else None, weight, scale)
+                exact = np.maximum(exact, np.maximum(a.core[rows][:, None], b.core[cols][None, :]))
+                exact[a.owner[rows][:, None] == b.owner[cols][None, :]] = np.inf
+                r, c = _top_k(-exact, cols, k)
+                ok = np.isfinite(exact[r, c])
+                r, c = r[ok], cols[c[ok]]
+            else:
+                r, c = np.divmod(hit, len(cols))
+                c = cols[c]
+                ok = (a.owner[rows[r]] != b.owner[c]) & (b.core[c] <= low[r])
+                r, c = r[ok], c[ok]
+            if not len(r):
+                continue
+            w = weighed(rows[r], c)
+            ok = w <= low[r]
+            more.append((r[ok], c[ok], -w[ok]))
+            waiting += int(ok.sum())
+            if waiting >= len(rows) * k:
+                kept, more, waiting = settled(kept, more), [], 0
+        if more:
+            kept = settled(kept, more)
+        out.append((rows[kept[0]], kept[1], -kept[2]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def time_weight_for(df: DataFrame, weight: float) -> float:
     """No time term at all when any row lacks its time."""
     return 0.0 if not df.where("hours is null").isEmpty() else weight
@@ -215,22 +316,17 @@ def nearest(points: DataFrame, k: int, weight: float, scale: float = vocab.TIME_
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return stacked([], *names)
-        b = b.sort_values("id", ignore_index=True)
-        ids, bi, og, mult, out = a["id"].to_numpy(), b["id"].to_numpy(), a["og"].to_numpy(object), b["mult"].to_numpy(), []
-        for at, d in _dists(a, b, weight, scale):
-            ai = ids[at]
-            d[ai[:, None] == bi[None, :]] = np.inf
-            r, c = _top_k(-d, bi, k)
-            v = d[r, c]
-            ok = np.isfinite(v) & (v <= limit)
-            r, c = r[ok], c[ok]
-            out.append(pd.DataFrame({"grp": a["grp"].to_numpy(object)[at][r], "id": ai[r], "og": og[at][r], "nbr": bi[c], "dist": v[ok], "mult": mult[c]}))
+        a, b = a.sort_values("id", ignore_index=True), b.sort_values("id", ignore_index=True)
+        known = a["_kth"].fillna(np.inf).to_numpy(float) if "_kth" in a else np.inf
+        r, c, v = closest(_Points.of(a), _Points.of(b), k, weight, scale, np.minimum(np.full(len(a), limit), known))
+        out = [pd.DataFrame({"grp": a["grp"].to_numpy(object)[r], "id": a["id"].to_numpy()[r], "og": a["og"].to_numpy(object)[r],
+                             "nbr": b["id"].to_numpy()[c], "dist": v, "mult": b["mult"].to_numpy()[c]})]
         return stacked(out, *names)
 
     own = cut(index.rows.groupBy("grp", "_chunk").applyInPandas(lambda pdf: near(pdf, pdf), NEAREST))
     larger = index.chunks.groupBy("grp").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("grp")
     full = own.groupBy("grp", "id").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_kth")).where(F.col("_n") >= k).drop("_n")
-    rows = index.rows.join(larger, "grp").join(full, ["grp", "id"], "left").withColumn("_need", _need_for(index, "_kth", weight, scale, widest, limit)).drop("_kth")
+    rows = index.rows.join(larger, "grp").join(full, ["grp", "id"], "left").withColumn("_need", _need_for(index, "_kth", weight, scale, widest, limit))
     found = own.unionByName(_per_pair(_other_chunks(index, cut(rows)), near, NEAREST))
     found = found.drop("grp").withColumnRenamed("og", "grp").select("grp", "id", "nbr", "dist", "mult")
     if max_dist is not None:
@@ -243,6 +339,8 @@ def core_distances(points: DataFrame, k: int, weight: float, scale: float = voca
                    max_dist: float | None = None, block: int = BLOCK, index: VectorIndex | None = None) -> DataFrame:
     """Distance to the ``k``-th point, itself and its copies included; the farthest one known when there are fewer.
     With a cut-off, points with too few neighbours inside it get no core distance."""
+    if k <= 1:  # the point itself
+        return points.select("grp", "id", F.lit(0.0).alias("core"))
     base = points.select("grp", "id", "mult")
     near = nearest(points, max(k - 1, 1), weight, scale, max_dist, block, index)
     w = Window.partitionBy("grp", "id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -273,6 +371,67 @@ def _prim(d: np.ndarray, limit: float) -> list[tuple[int, int, float]]:
     return out
 
 
+#: Edges that a point knows at once in a chunk's forest.
+LISTED = 8
+
+
+def chunk_forest(pdf: pd.DataFrame, weight: float, scale: float, limit: float) -> pd.DataFrame:
+    """``a, b, w``: the minimum spanning forest of one chunk's points up to ``limit``; edges are ordered by ``(w, a, b)``.
+
+    Every point lists its ``LISTED`` least edges to other components. The least one that a component lists is its least one
+    at all unless it comes after the last listed one of a point; only when no component is sure of its edge do the points
+    in question list anew, those of the largest component excepted."""
+    rows = pdf.sort_values("id", ignore_index=True)
+    p, n = _Points.of(rows), len(rows)
+    comp, out = np.arange(n), []
+    x, y, w = closest(p._replace(owner=comp), p._replace(owner=comp), LISTED, weight, scale, np.full(n, limit))
+    while True:
+        open_ = comp[x] != comp[y]
+        # edges by (w, a, b); one that both ends list has one place
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((b, a, w))
+        same = (w[order][1:] == w[order][:-1]) & (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        place = np.empty(len(x), np.int64)
+        place[order] = np.cumsum(np.r_[True, ~same]) - 1 if len(x) else 0
+        count, last = np.bincount(x, minlength=n), np.full(n, -1, np.int64)
+        np.maximum.at(last, x, place)
+        last[count < LISTED] = len(x)  # there are no others
+        best, known = np.full(n, len(x) + 1), np.full(n, len(x) + 1)
+        np.minimum.at(best, comp[x[open_]], place[open_])
+        np.minimum.at(known, comp, last)
+        some = best <= len(x)
+        sure = np.flatnonzero(some & (best <= known))
+        if len(sure):
+            at = np.full(len(x) + 2, -1)
+            at[place] = np.arange(len(x))
+            e = np.unique(at[best[sure]])
+            out.append((a[e], b[e], w[e]))
+            to = np.arange(n)
+            u, v = comp[x[e]], comp[y[e]]
+            while (to[u] != to[v]).any():
+                low = np.minimum(to[u], to[v])
+                np.minimum.at(to, to[u], low)
+                np.minimum.at(to, to[v], low)
+                while (to[to] != to).any():
+                    to = to[to]
+            comp = to[comp]
+            continue
+        size = np.bincount(comp, minlength=n)
+        short = (known <= len(x) - 1) & (known < best) & (size > 0)  # others may have edges that nobody lists
+        short[int(size.argmax())] = False
+        again = np.flatnonzero(short[comp] & (last < best[comp]))
+        if not len(again):
+            break
+        sub = _Points(*(f[again] for f in p._replace(owner=comp)))
+        r, c, v = closest(sub, p._replace(owner=comp), LISTED, weight, scale, np.full(len(again), limit))
+        keep = ~np.isin(x, again)
+        x, y, w = np.concatenate([x[keep], again[r]]), np.concatenate([y[keep], c]), np.concatenate([w[keep], v])
+    if not out:
+        return pd.DataFrame({"a": [], "b": [], "w": []}).astype({"a": "int64", "b": "int64"})
+    a, b, w = (np.concatenate(z) for z in zip(*out))
+    return pd.DataFrame({"a": p.ids[a], "b": p.ids[b], "w": w})
+
+
 def _reach(x: pd.DataFrame, y: pd.DataFrame, weight: float, scale: float) -> np.ndarray:
     return np.maximum(_dist(x, y, weight, scale), np.maximum(x["core"].to_numpy(float)[:, None], y["core"].to_numpy(float)[None, :]))
 
@@ -316,37 +475,40 @@ def _boruvka(index: VectorIndex, points: DataFrame, weight: float, scale: float,
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame(columns=names)
-        y = y.sort_values("id", ignore_index=True)
-        xs, yc, ids, yi, out = x["comp"].to_numpy(), y["comp"].to_numpy(), x["id"].to_numpy(), y["id"].to_numpy(), []
-        xcore, ycore = x["core"].to_numpy(float), y["core"].to_numpy(float)
-        for at, d in _dists(x, y, weight, scale):
-            d, xc, xi = np.maximum(d, np.maximum(xcore[at][:, None], ycore[None, :])), xs[at], ids[at]
-            d[xc[:, None] == yc[None, :]] = np.inf
-            j = d.argmin(axis=1)  # the least id among equals
-            w = d[np.arange(len(xi)), j]
-            some = pd.DataFrame({"comp": xc, "to": yc[j], "w": w, "a": np.minimum(xi, yi[j]), "b": np.maximum(xi, yi[j])})
-            out.append(some[np.isfinite(w) & (w <= limit)])
-        return pd.concat(out).sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")
+        x, y = x.sort_values("id", ignore_index=True), y.sort_values("id", ignore_index=True)
+        a, b = _Points.of(x, "comp"), _Points.of(y, "comp")
+        r, c, w = closest(a, b, 1, weight, scale, np.minimum(limit, x["_w"].fillna(np.inf).to_numpy(float)))
+        i, j = a.ids[r], b.ids[c]
+        some = pd.DataFrame({"comp": a.owner[r], "to": b.owner[c], "w": w, "a": np.minimum(i, j), "b": np.maximum(i, j)})
+        return some.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        return chunk_forest(pdf, weight, scale, limit)
 
     def least(found: DataFrame) -> DataFrame:
         return found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.*")
 
+    # of all edges between a component and the rest of a chunk the chunk's own forest holds the least, in every round
+    held = cut(points.groupBy("grp", "_chunk").applyInPandas(inside, "a bigint, b bigint, w double").select(
+        "a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
     comp = cut(points.select("id", F.col("id").alias("comp")).distinct())
     forest = []
     while True:
-        rows = points.join(comp, "id")
-        own = cut(least(rows.groupBy("grp", "_chunk").applyInPandas(lambda pdf: best(pdf, pdf), EDGE)))
-        bound = own.select("comp", F.col("w").alias("_w"))
-        asked = rows.join(bound, "comp", "left").withColumn("_need", F.when(
-            F.col("core") <= F.coalesce("_w", F.lit(float("inf"))), _need_for(index, "_w", weight, scale, widest, limit)).otherwise(F.lit(-1.0))).drop("_w")
+        ends = F.explode(F.array(F.struct(F.col("ca").alias("comp"), F.col("cb").alias("to")), F.struct(F.col("cb").alias("comp"), F.col("ca").alias("to"))))
+        own = cut(least(held.select("a", "b", "w", ends.alias("e")).select("e.comp", "e.to", "w", "a", "b")))
+        bound = own.select("comp", F.col("w").alias("_w")).hint("merge")
+        asked = points.join(comp.hint("merge"), "id").join(bound, "comp", "left").withColumn("_need", F.when(
+            F.col("core") <= F.coalesce("_w", F.lit(float("inf"))), _need_for(index, "_w", weight, scale, widest, limit)).otherwise(F.lit(-1.0)))
         others = _per_pair(_other_chunks(index, asked), best, EDGE)
-        picked = cut(least(own.unionByName(others.select(*own.columns))))
+        picked = cut(least(own.select("comp", "to", "w", "a", "b").unionByName(others.select("comp", "to", "w", "a", "b"))))
         if picked.isEmpty():
             break
         forest.append(picked.select("a", "b", "w"))
-        merged = connected_components(picked, "comp", "to", TAIL).withColumnRenamed("node", "comp")
+        merged = cut(connected_components(picked, "comp", "to", TAIL).withColumnRenamed("node", "comp"))
         comp = cut(comp.join(merged, "comp").select("id", F.col("component").alias("comp")))
-    edges = own.select("a", "b", "w").limit(0)
+        to = [merged.select(F.col("comp").alias(c), F.col("component").alias(f"_{c}")) for c in ("ca", "cb")]
+        held = cut(held.join(to[0], "ca").join(to[1], "cb").where("_ca <> _cb").select("a", "b", "w", F.col("_ca").alias("ca"), F.col("_cb").alias("cb")))
+    edges = held.select("a", "b", "w").limit(0)
     for some in forest:
         edges = edges.unionByName(some)
     return edges
@@ -376,7 +538,7 @@ class _Cluster:
 
 def contract(edges: pd.DataFrame, nodes: pd.DataFrame, min_size: int, epsilon: float,
              final_weight: float | None = None) -> pd.DataFrame:
-    """Merge one connected piece along its edges in ascending order.
+    """Merge connected pieces along their edges in ascending order.
 
     Returns one ``kind='map'`` row per input node (where it went, the topmost selected cluster around it)
     and one ``kind='open'`` row per resulting open node."""
@@ -511,10 +673,14 @@ def select_clusters(points: DataFrame, edges: DataFrame, min_size: int = 2, epsi
         else:
             limit = rest.approxQuantile("w", [band_edges / left], 0.0005)[0]
             band, later = rest.where(F.col("w") <= limit), rest.where(F.col("w") > limit)
-        comp = connected_components(band, tail=TAIL)
-        tagged = nodes.join(comp, "node")
-        e = band.join(comp.select(F.col("node").alias("a"), F.col("component").alias("piece")), "a")
-        step = cut(e.groupBy("piece").cogroup(tagged.groupBy("component")).applyInPandas(merge, STEP))
+        comp = connected_components(band, tail=max(TAIL, band_edges))
+        def task(piece):
+            return F.pmod(F.xxhash64(piece), F.lit(DEALT))
+
+        # by number: the bytes of pieces don't tell their work
+        tagged = nodes.join(comp, "node").withColumn("_n_task", task("component")).repartition(DEALT, "_n_task")
+        e = band.join(comp.select(F.col("node").alias("a"), F.col("component").alias("piece")), "a").withColumn("_task", task("piece")).repartition(DEALT, "_task")
+        step = cut(e.groupBy("_task").cogroup(tagged.groupBy("_n_task")).applyInPandas(merge, STEP))
         maps = step.where("kind = 'map'")
         state = cut(_update(state, maps))
         nodes = cut(nodes.join(comp.select("node"), "node", "left_anti").unionByName(

@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..session import cut
+from .components import TAIL, connected_components
 from .groups import merge_centroids
-from .simjoin import BLOCK, CELLS, TASKS, grid, matrix, unit_rows  # noqa: F401
+from .simjoin import BLOCK, CELLS, TASKS, grid, matrix, single_slack, unit_rows  # noqa: F401
 from .vectorindex import COPIES, SIDE, Pivots, VectorIndex, fit_pivots, radius
 
 MARKS = "array<struct<f:bigint,g:int>>"
 PARTNER = "id bigint, partner bigint, sim double, tie bigint"
 ORDER = "(sim, tie)"
+#: Clusters that could ever meet are settled by one task where they are no more than this many.
+LOCAL = 2048
+#: Below this similarity nearly everything could meet sooner or later, and looking for what could not is no use.
+APART = 0.6
 
 
 def pair_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -69,7 +74,7 @@ def _allowed(a: pd.DataFrame, b: pd.DataFrame, threshold: float, max_size: int):
         ux, uy = unit_rows(matrix(x["vec"])), unit_rows(matrix(y["vec"]))
         fx, fy = ux.astype(np.float32), uy.astype(np.float32).T
         xi, yi, xn, yn = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64), x["size"].to_numpy(), y["size"].to_numpy()
-        xm, ym, least = _marked(x), _marked(y), np.float32(threshold - 1e-5 - 2e-7 * n)
+        xm, ym, least = _marked(x), _marked(y), np.float32(threshold - single_slack(n))
         step, run = max(1, CELLS // len(y)), max(1, CELLS // n)
         for at in range(0, len(x), step):
             r, c = np.nonzero(fx[at:at + step] @ fy >= least)
@@ -166,18 +171,137 @@ def disturbed(sides: tuple[DataFrame, DataFrame], threshold: float, max_size: in
     return _per_pair(sides, ["id", "vec", "size", "marks", "pair", "psim", "ptie"], check, "pair bigint").distinct()
 
 
+def least_similarity(threshold: float, max_size: int) -> float:
+    """Clusters of at least one article that come to stand in two clusters about to meet: the nearest of them are at least this similar.
+
+    A centroid is a positive sum of its parts. Each join at ``threshold`` leaves no less than ``sqrt((1 + threshold) / 2)`` of the
+    length that the parts would have in line, and two clusters that fit together have made at most ``max_size - 2`` joins."""
+    return threshold * ((1 + threshold) / 2) ** (max(max_size - 2, 0) / 2) - 1e-6
+
+
+def linked(sides: tuple[DataFrame, DataFrame], least: float, max_size: int) -> DataFrame:
+    """``a, b``: edges that connect what pairs of at least this similarity and of fitting size connect, no more than rows per pair of blocks."""
+    def edges(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for n in sorted((set(a["vec"].map(len)) & set(b["vec"].map(len))) - {0}):
+            x, y = a[a["vec"].map(len) == n], b[b["vec"].map(len) == n]
+            fx, fy = unit_rows(matrix(x["vec"])).astype(np.float32), unit_rows(matrix(y["vec"])).astype(np.float32).T
+            xi, yi, xn, yn = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64), x["size"].to_numpy(), y["size"].to_numpy()
+            names, at = np.unique(np.concatenate([xi, yi]), return_inverse=True)
+            xs, ys, to, step = at[:len(xi)], at[len(xi):], np.arange(len(names)), max(1, CELLS // len(y))
+            for i in range(0, len(x), step):
+                r, c = np.nonzero(fx[i:i + step] @ fy >= np.float32(least - single_slack(n)))
+                r += i
+                ok = (xn[r] + yn[c] <= max_size) & (xi[r] != yi[c])
+                r, c = xs[r[ok]], ys[c[ok]]
+                while (to[r] != to[c]).any():
+                    low = np.minimum(to[r], to[c])
+                    np.minimum.at(to, to[r], low)
+                    np.minimum.at(to, to[c], low)
+                    while (to[to] != to).any():
+                        to = to[to]
+            own = np.flatnonzero(to != np.arange(len(to)))
+            found.append(pd.DataFrame({"a": names[to[own]], "b": names[own]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return _per_pair(sides, ["id", "vec", "size"], edges, "a bigint, b bigint").distinct()
+
+
+def merged_within(pdf: pd.DataFrame, threshold: float, max_size: int) -> pd.DataFrame:
+    """``id, merged`` of clusters that only meet each other, by the rounds of :func:`merge_clusters`."""
+    ids, vec, size = pdf["id"].to_numpy(np.int64), matrix(pdf["vec"]), pdf["size"].to_numpy(np.int64)
+    order = np.argsort(ids)
+    ids, vec, size = ids[order], vec[order], size[order]
+    marks = [{(m["f"], m["g"]) for m in (x if x is not None else ())} for x in pdf["marks"].iloc[order]]
+    owner, alive = np.arange(len(ids)), np.ones(len(ids), dtype=bool)
+
+    def allowed(x, y, xm, ym):
+        """Similarities of the positions ``x`` and ``y`` with these vectors, sizes and marks; -inf where they may not meet."""
+        sim = np.round(np.einsum("ij,kj->ik", unit_rows(x[1]), unit_rows(y[1])), 9)
+        sim[(sim < threshold) | (x[2][:, None] + y[2][None, :] > max_size) | (ids[x[0]][:, None] == ids[y[0]][None, :])] = -np.inf
+        for i in (i for i, m in enumerate(xm) if m):
+            for j in np.flatnonzero(np.isfinite(sim[i])):
+                if any(f == f2 and g != g2 for f, g in xm[i] for f2, g2 in ym[j]):
+                    sim[i, j] = -np.inf
+        return sim
+
+    while True:
+        at = np.flatnonzero(alive)
+        here = (at, vec[at], size[at])
+        mine = [marks[i] for i in at]
+        sim = allowed(here, here, mine, mine)
+        best = sim.max(axis=1)
+        r, c = np.nonzero((sim == best[:, None]) & np.isfinite(best)[:, None])
+        if not len(r):
+            return pd.DataFrame({"id": ids, "merged": ids[owner]})
+        tie = _ties(ids[at[r]], ids[at[c]])
+        by = np.lexsort((c, tie, r))
+        r, c, tie = r[by], c[by], tie[by]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        r, c, tie = r[first], c[first], tie[first]
+        to = np.full(len(at), -1)
+        to[r] = c
+        pick = np.flatnonzero((to[c] == r) & (r < c))
+        if not len(pick):  # rounding broke a symmetry
+            pick = np.lexsort((r, tie, -best[r]))[:1]
+        lo, hi = np.minimum(at[r[pick]], at[c[pick]]), np.maximum(at[r[pick]], at[c[pick]])
+        psim, ptie, n = best[r[pick]], tie[pick], size[lo] + size[hi]
+        weight = size.astype(float)
+        joined = (vec[lo] * weight[lo][:, None] + vec[hi] * weight[hi][:, None]) / (weight[lo] + weight[hi])[:, None]
+        both = [marks[i] | marks[j] for i, j in zip(lo, hi)]
+        parts, pair = np.concatenate([lo, hi]), np.tile(np.arange(len(lo)), 2)
+        near = allowed((lo, joined, n), (parts, vec[parts], size[parts]), both, [marks[i] for i in parts])
+        q, p = np.nonzero(np.isfinite(near))
+        s, t, p2 = near[q, p], _ties(ids[lo[q]], ids[parts[p]]), pair[p]
+        ahead = (psim[q] > psim[p2]) | ((psim[q] == psim[p2]) & (ptie[q] < ptie[p2]))
+        closer = (s > psim[p2]) | ((s == psim[p2]) & (t < ptie[p2]))
+        go = np.ones(len(lo), dtype=bool)
+        go[p2[ahead & closer & (q != p2)]] = False
+        for k in np.flatnonzero(go):
+            i, j = lo[k], hi[k]
+            vec[i], size[i], marks[i], alive[j] = joined[k], n[k], both[k], False
+            owner[owner == j] = i
+
+
 def merge_clusters(clusters: DataFrame, threshold: float = vocab.MERGE_THRESHOLD,
-                   max_size: int = vocab.MERGE_MAX_SIZE, block: int = BLOCK) -> DataFrame:
+                   max_size: int = vocab.MERGE_MAX_SIZE, block: int = BLOCK, local: int = LOCAL) -> DataFrame:
     """``(id, merged)`` for clusters ``(id, size, centroid[, marks])``: repeatedly join the most similar pair at or above
     the threshold whose joint size fits and whose marks allow it, with the size-weighted mean as the new centroid.
 
     A round joins all pairs that are each other's best choice, except those that the merged cluster of a better pair would
     come closer to: these wait, as they would in the sequential order. Only clusters that were made in the last round, or
-    lost their partner in it, look for one again; the index keeps them to the cells in reach."""
+    lost their partner in it, look for one again; the index keeps them to the cells in reach.
+
+    Clusters that no merging can bring together (see :func:`least_similarity`) know nothing of each other: what can meet is found
+    once, and up to ``local`` such clusters go through their rounds in one task. Only larger sets take rounds over all tasks."""
     marks = F.col("marks").cast(MARKS) if "marks" in clusters.columns else F.lit(None).cast(MARKS)
     now = cut(clusters.select(F.lit("").alias("grp"), "id", F.col("centroid").cast("array<double>").alias("vec"), F.col("size").cast("bigint").alias("size"),
                               marks.alias("marks"), F.lit(False).alias("made")))
-    member = cut(clusters.select("id", F.col("id").alias("merged")))
+    near = least_similarity(threshold, max_size)
+    few = now.agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least")).first()
+    if not local or near < APART or few["least"] is None or few["least"] < 1:
+        return _rounds(now, threshold, max_size, block)
+    if few["n"] <= block:
+        sides = half_grid(now, block)
+    else:
+        pivots = fit_pivots(now, block)
+        whole = VectorIndex.build(now, block, pivots) if pivots else None
+        sides = whole.grid(whole, near) if whole and whole.skips(whole, radius(near)) else half_grid(now, block)
+    comp = cut(connected_components(cut(linked(sides, near, max_size)), tail=TAIL))
+    many = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    tagged = cut(now.join(comp.join(many, "component").withColumnRenamed("node", "id"), "id"))
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        return merged_within(pdf, threshold, max_size)
+
+    out = tagged.where(F.col("_n") <= local).groupBy("component").applyInPandas(within, "id bigint, merged bigint").unionByName(
+        clusters.select("id", F.col("id").alias("merged")).join(comp.select(F.col("node").alias("id")), "id", "left_anti"))
+    large = tagged.where(F.col("_n") > local)
+    return cut(out if large.isEmpty() else out.unionByName(_rounds(cut(large.select(*now.columns)), threshold, max_size, block)))
+
+
+def _rounds(now: DataFrame, threshold: float, max_size: int, block: int) -> DataFrame:
+    """``id, merged`` by rounds over all tasks; see :func:`merge_clusters`."""
+    member = cut(now.select("id", F.col("id").alias("merged")))
     pivots: Pivots = fit_pivots(now, block)
 
     def sides(left, right):
