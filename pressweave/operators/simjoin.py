@@ -267,7 +267,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 10, min_sim: float = 0.
 
 def index_self_grid(index: VectorIndex, pairs: DataFrame) -> DataFrame:
     """Rows per unordered pair of chunks ``(ci <= cj)``; ``chunk`` says on which side a row stands."""
-    base = [c for c in index.rows.columns if not c.startswith("_")]
+    base = [c for c in index.rows.columns if not c.startswith("_") or c == "_low"]
     sides = pairs.select("grp", F.col("lc").alias("ci"), F.col("rc").alias("cj")).where("ci <= cj")
     sides = sides.hint("merge") if index.pivots else sides  # there may be far more pairs than their small files tell
     a = index.rows.withColumn("ci", F.col("_chunk")).join(sides, ["grp", "ci"]).select(*base, "ci", "cj", F.col("ci").alias("chunk"))
@@ -329,33 +329,70 @@ def pair_stats(df: DataFrame, block: int = BLOCK) -> DataFrame:
 TOP_PAIRS = "grp string, a bigint, b bigint, sim double"
 
 
+def _top_of(x: pd.DataFrame, y: pd.DataFrame, n: int, above: float, known: float, same: bool) -> pd.DataFrame:
+    """``a, b, sim``: the ``n`` most similar pairs of two blocks (of one, if ``same``) above a similarity; those below ``known`` may be left out."""
+    ux, uy, xs, ys = unit_rows(matrix(x["vec"])), unit_rows(matrix(y["vec"])), x["id"].to_numpy(), y["id"].to_numpy()
+    fx, fy, slack, low = ux.astype(np.float32), np.ascontiguousarray(uy.astype(np.float32).T), single_slack(ux.shape[1]), max(above, known)
+    best = pd.DataFrame({"a": xs[:0], "b": ys[:0], "sim": np.zeros(0)})
+    for i in range(0, len(ux), RUN):
+        for lo in range(0, len(uy), TILE):
+            sim = fx[i:i + RUN] @ fy[:, lo:lo + TILE]
+            hit = np.flatnonzero(sim >= np.float32(low - slack))
+            if len(hit) > max(n, sim.size // 8):  # no bound yet, or copies
+                d = ux[i:i + RUN] @ uy[lo:lo + TILE].T
+                if same:
+                    d = np.where(xs[i:i + RUN, None] < ys[None, lo:lo + TILE], d, -np.inf)
+                hit = np.flatnonzero(d >= np.partition(d.ravel(), d.size - n)[d.size - n] - 1e-12)
+            r, c = np.divmod(hit, sim.shape[1])
+            r, c = r + i, c + lo
+            if same:
+                r, c = r[xs[r] < ys[c]], c[xs[r] < ys[c]]
+            exact = np.concatenate([np.einsum("ij,ij->i", ux[r[j:j + CELLS // 64]], uy[c[j:j + CELLS // 64]]) for j in range(0, len(r), CELLS // 64)] or [np.zeros(0)])
+            ok = (exact > above) & (exact >= low)
+            if ok.any():
+                r, c = r[ok], c[ok]
+                more = pd.DataFrame({"a": np.minimum(xs[r], ys[c]), "b": np.maximum(xs[r], ys[c]), "sim": exact[ok]})
+                best = pd.concat([best, more]).sort_values(["sim", "a", "b"], ascending=[False, True, True]).head(n)
+                if len(best) == n:
+                    low = max(low, best["sim"].iloc[-1])
+    return best
+
+
 def top_pairs(df: DataFrame, n: int = 10, above: float = -1.0, block: int = BLOCK) -> DataFrame:
-    """The ``n`` most similar pairs (a < b) of each group above a similarity; each block reports at most ``n``."""
+    """The ``n`` most similar pairs (a < b) of each group above a similarity; each block reports at most ``n``.
+
+    Pairs inside chunks come first; the ``n``-th best of them bounds the angle of better ones. Where the angles still skip little,
+    larger chunks without pivots make fewer copies of rows."""
     index = VectorIndex.build(df.select("grp", "id", "vec"), block)
-    pairs = chunk_pairs(df.sparkSession, index.pivots, index.chunks, index.chunks, radius(above))
-    pairs = cut(pairs) if index.pivots else pairs
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         ci, cj = pdf["ci"].iloc[0], pdf["cj"].iloc[0]
         a, b = pdf[pdf["chunk"] == ci], pdf[pdf["chunk"] == cj]
+        known = pdf["_low"].iloc[0] if "_low" in pdf else None
         out = []
         if len(a) and len(b):
             for x, y in same_length(a, b):
-                ux, uy = unit_rows(matrix(x["vec"])), unit_rows(matrix(y["vec"])).T
-                xs, yi = x["id"].to_numpy(), y["id"].to_numpy()
-                step = max(1, CELLS // len(y))
-                for at in range(0, len(x), step):
-                    sim, xi = ux[at:at + step] @ uy, xs[at:at + step]
-                    if ci == cj:
-                        sim = np.where(xi[:, None] < yi[None, :], sim, -np.inf)
-                    m = min(n, sim.size)
-                    cut_at = np.partition(sim.ravel(), sim.size - m)[sim.size - m]
-                    i, j = np.nonzero(sim >= max(cut_at, np.nextafter(above, np.inf)))
-                    lo, hi = np.minimum(xi[i], yi[j]), np.maximum(xi[i], yi[j])
-                    f = pd.DataFrame({"grp": np.full(len(lo), pdf["grp"].iloc[0], object), "a": lo, "b": hi, "sim": sim[i, j]})
-                    out.append(f.sort_values(["sim", "a", "b"], ascending=[False, True, True]).head(n))
+                f = _top_of(x, y, n, above, -2.0 if known is None or np.isnan(known) else known, ci == cj)
+                out.append(f.assign(grp=np.full(len(f), pdf["grp"].iloc[0], object))[["grp", "a", "b", "sim"]])
         return stacked(out, "grp", "a", "b", "sim")
 
-    found = index_self_grid(index, pairs).groupBy("grp", "ci", "cj").applyInPandas(best, TOP_PAIRS)
+    def of(index, pairs):
+        return index_self_grid(index, pairs).groupBy("grp", "ci", "cj").applyInPandas(best, TOP_PAIRS)
+
     w = Window.partitionBy("grp").orderBy(F.col("sim").desc(), "a", "b")
+    if index.pivots:
+        own = cut(of(index, index.chunks.where("n > 1").select("grp", F.col("_chunk").alias("lc"), F.col("_chunk").alias("rc"))))
+        nth = cut(own.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == n).select("grp", F.col("sim").alias("_low")))
+        groups = index.chunks.groupBy("grp").agg(F.sum("n").alias("_n")).where("_n > 1")
+        least = groups.join(nth, "grp", "left").agg(F.min(F.coalesce("_low", F.lit(above)))).first()[0]
+        most = radius(max(above, -1.0 if least is None else least))
+        index = VectorIndex(index.rows.join(nth, "grp", "left"), index.chunks, index.counts, index.pivots, block)
+        if index.skips(index, most):
+            pairs = chunk_pairs(df.sparkSession, index.pivots, index.chunks, index.chunks, most)
+            found = own.unionByName(of(index, cut(pairs.where("lc < rc"))))
+        else:
+            index = index.plain()
+            found = of(index, cut(chunk_pairs(df.sparkSession, {}, index.chunks, index.chunks, most)))
+    else:
+        found = of(index, chunk_pairs(df.sparkSession, index.pivots, index.chunks, index.chunks, radius(above)))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -51,3 +51,22 @@ def test_a_short_side_needs_no_index(spark, monkeypatch):
     for r in sorted(rows, key=lambda r: (r["id"], r["rank"])):
         got.setdefault(r["id"], []).append(r["nbr"])
     assert got == want
+
+
+def test_best_pairs_copy_few_rows(spark, monkeypatch):
+    """Vectors without structure: no pair of chunks can be skipped, so rows go to few large chunks; and equal pairs go by id."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3000, 24))
+    v[[5, 700, 1900, 2500]] = v[40]
+    sent, grid = [], sj.index_self_grid
+
+    def counted(index, pairs):
+        rows = grid(index, pairs)
+        sent.append(rows.count())
+        return rows
+    monkeypatch.setattr(sj, "index_self_grid", counted)
+    got = [(r["a"], r["b"]) for r in sj.top_pairs(frame(spark, v), 8, 0.1, block=32).orderBy("rank").collect()]
+    s = unit(v) @ unit(v).T
+    i, j = np.triu_indices(len(v), 1)
+    assert got == [(int(a), int(b)) for _, a, b in sorted(zip(-np.round(s[i, j], 9), i, j))[:8]]
+    assert sum(sent) <= 3000 * 20
