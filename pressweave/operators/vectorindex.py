@@ -30,6 +30,8 @@ COPIES = 16
 SIDE = 32768
 #: Groups of one chunk are compared in so many packs, not one by one.
 PACKS = 8192
+#: Rows of a cell that a probe compares at once with as many queries, if a block is smaller.
+PROBED = 8192
 
 Pivots = dict[int, np.ndarray]
 
@@ -274,7 +276,8 @@ class VectorIndex:
     def write(self, path: str) -> None:
         """Cells as partitions, so that a search reads only those that it probes."""
         spark = self.rows.sparkSession
-        self.rows.write.mode("overwrite").partitionBy("_len", "_pid").parquet(f"{path}/rows")
+        rows = self.rows.repartitionByRange("_len", "_pid", "_chunk")  # a cell in few files, not in one of every task
+        rows.write.mode("overwrite").partitionBy("_len", "_pid").parquet(f"{path}/rows")
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         flat = [(int(d), i, self.block, [float(x) for x in v]) for d, m in self.pivots.items() for i, v in enumerate(m)] or [(-1, -1, self.block, [])]
         spark.createDataFrame(flat, "d int, i int, block int, v array<double>").write.mode("overwrite").parquet(f"{path}/pivots")
@@ -306,11 +309,14 @@ class VectorIndex:
 
         cells = nearest("vec") if pivots else F.array(F.lit(-1))
         asked = queries.select("*", F.size("vec").alias("_len"), F.explode(cells).alias("_pid"))
-        parts = asked.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / F.lit(self.block)).alias("_parts"))
-        found = self.chunks.select(*CELL, F.col("_chunk").alias("rc"))
-        lt = asked.join(parts, CELL).withColumn("lc", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_parts")).cast("string")).join(found, CELL).select(
-            *queries.columns, "lc", "rc")
-        every = parts.withColumn("lc", F.explode(
-            F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1), lambda i: i.cast("string")))).drop("_parts")
-        rt = self.rows.join(every, CELL).withColumnRenamed("_chunk", "rc").drop("_len", "_pid", "_ang")
+        size, chunk = F.lit(max(self.block, PROBED)), F.concat_ws(":", "_len", "_pid", "_sub")
+        parts = asked.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
+        subs = self.chunks.groupBy(*CELL).agg(F.ceil(F.sum("n") / size).alias("_subs"))
+
+        def each(n):
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        lt = asked.join(parts, CELL).join(subs, CELL).withColumn("_sub", each("_subs"))
+        lt = lt.withColumns({"lc": F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_parts")).cast("string"), "rc": chunk}).select(*queries.columns, "lc", "rc")
+        rt = self.rows.join(parts, CELL).join(subs, CELL).withColumn("_sub", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("_subs"))).withColumn("_part", each("_parts"))
+        rt = rt.withColumns({"lc": F.col("_part").cast("string"), "rc": chunk}).drop("_len", "_pid", "_ang", "_chunk", "_sub", "_subs", "_part", "_parts")
         return named(lt), named(rt)

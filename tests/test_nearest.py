@@ -70,3 +70,15 @@ def test_best_pairs_copy_few_rows(spark, monkeypatch):
     i, j = np.triu_indices(len(v), 1)
     assert got == [(int(a), int(b)) for _, a, b in sorted(zip(-np.round(s[i, j], 9), i, j))[:8]]
     assert sum(sent) <= 3000 * 20
+
+
+def test_a_stored_index_has_few_files_and_a_probe_few_copies(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    df = frame(spark, rng.normal(size=(2000, 8))).repartition(8)
+    index = VectorIndex.build(df, 16)
+    spread = VectorIndex(index.rows.repartition(8), index.chunks, index.counts, index.pivots, index.block)
+    spread.write(str(tmp_path / "index"))
+    cells = index.chunks.select("_pid").distinct().count()
+    assert len(list((tmp_path / "index" / "rows").rglob("*.parquet"))) <= cells + 8
+    lt, rt = VectorIndex.read(spark, str(tmp_path / "index")).probe(df, 1)
+    assert lt.count() == 2000 and rt.count() <= 2000  # not one copy for every chunk of a cell
